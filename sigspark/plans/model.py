@@ -22,6 +22,11 @@ class Model:
     def D(self) -> DataFrame:
         return B.documents_view(self.spark, self.sf_dir, self.as_of)
 
+    @cached_property
+    def Dn(self) -> DataFrame:
+        """D after the tagging pass: country aliases normalised (P10)."""
+        return self.D.withColumn("country", tagging.normalize_country("country"))
+
     @cached_property
     def S(self) -> DataFrame:
         return B.sources_view(self.spark, self.sf_dir)

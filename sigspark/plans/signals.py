@@ -203,3 +203,45 @@ def alerts_window_docs(spark, sf_dir):
     d = model(spark, sf_dir).D
     since = as_of_ts(L.AS_OF) - F.make_dt_interval(F.lit(0), F.lit(L.ALERT_LOOKBACK_HOURS))
     return d.filter(F.col("scraped_at") >= since).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+# --------------------------------------------------------------------------
+# Fuzzy matching (M2, M3) and the full tag union (M4)
+# --------------------------------------------------------------------------
+FULL_LEXICON = L.TEST_LEXICON + L.TEST_FUZZY_TERMS
+
+
+def _full_k(spark):
+    from ..bindings import lexicon_view
+    return lexicon_view(spark, FULL_LEXICON)
+
+
+@register("tag_fuzzy", V.with_(V.D_DOCS, V.k_lex(FULL_LEXICON, "k_all"), V.D_SEARCH, V.fuzzy_ctes("k_all"))
+          + f"SELECT document_id, keyword_id, {rnd_sql('match_score', R)} AS match_score FROM g_fuzzy")
+def q_tag_fuzzy(spark, sf_dir):
+    m = model(spark, sf_dir)
+    fz = tagging.tag_fuzzy(m.D, _full_k(spark))
+    return fz.select("document_id", "keyword_id", rnd("match_score", R).alias("match_score"))
+
+
+@register("tag_all", V.with_(V.D_DOCS, V.k_lex(FULL_LEXICON, "k_all"), V.D_SEARCH,
+                             V.fuzzy_ctes("k_all"),
+                             V.G_EXACT.replace("k_lex", "k_all")) + f"""
+SELECT document_id, keyword_id, {rnd_sql('match_score', R)} AS match_score, 'exact' AS match_kind FROM g_exact
+UNION ALL
+SELECT document_id, keyword_id, {rnd_sql('match_score', R)} AS match_score, 'fuzzy' AS match_kind FROM g_fuzzy""")
+def q_tag_all(spark, sf_dir):
+    m = model(spark, sf_dir)
+    g = tagging.tag(m.D, _full_k(spark))
+    return g.select("document_id", "keyword_id", rnd("match_score", R).alias("match_score"), "match_kind")
+
+
+@register("fuzzy_hits_per_term", V.with_(V.D_DOCS, V.k_lex(FULL_LEXICON, "k_all"), V.D_SEARCH,
+                                         V.fuzzy_ctes("k_all")) + f"""
+SELECT keyword_id, count(*) AS n_docs, {rnd_sql('max(match_score)', R)} AS best_score
+FROM g_fuzzy GROUP BY keyword_id""")
+def fuzzy_hits_per_term(spark, sf_dir):
+    m = model(spark, sf_dir)
+    fz = tagging.tag_fuzzy(m.D, _full_k(spark))
+    return fz.groupBy("keyword_id").agg(F.count(F.lit(1)).alias("n_docs"),
+                                        rnd(F.max("match_score"), R).alias("best_score"))

@@ -207,3 +207,42 @@ def with_(*ctes: str) -> str:
 # Standard chain: docs, sources, lexicon, exact signals, flags, scores.
 G_SIG_EXACT = "g_sig AS (SELECT document_id, keyword_id, match_score FROM g_exact)"
 SCORED_CHAIN = (D_DOCS, S_SRC, k_lex(), D_SEARCH, G_EXACT, G_SIG_EXACT, D_SIDE, FLAGS, SCORED)
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """LCS length by row DP (DuckDB lambdas); mirrors functions.text.lcs_length."""
+    return (f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE list_reduce(range(1, length({a}) + 1), "
+            f"lambda prev, i: list_reduce(range(1, length({b}) + 1), "
+            f"lambda cur, j: list_append(cur, CASE WHEN substr({a}, i, 1) = substr({b}, j, 1) "
+            f"THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0]), "
+            f"list_resize([0], length({b}) + 1, 0))[length({b}) + 1] END")
+
+
+def fuzzy_ctes(lex_name: str = "k_all", threshold: float = L.FUZZY_THRESHOLD) -> str:
+    """Fuzzy windows -> first window with ratio >= threshold (M2/M3)."""
+    budget = f"CAST(floor((1.0 - {threshold} / 100.0) * (length(kw) + length(chunk)) + 1e-9) AS INTEGER)"
+    return f"""fz_pairs AS (
+  SELECT s.document_id, k.keyword_id, lower(k.keyword) AS kw,
+         len(string_split(lower(k.keyword), ' ')) AS n, s.ws
+  FROM (SELECT document_id, search_text,
+               list_filter(regexp_split_to_array(search_text, '\\s+'), lambda w: w <> '') AS ws
+        FROM d_search) s
+  JOIN {lex_name} k ON len(string_split(lower(k.keyword), ' ')) >= {L.FUZZY_MIN_TERM_WORDS}
+                   AND NOT contains(s.search_text, lower(k.keyword))),
+fz_win AS (
+  SELECT document_id, keyword_id, kw, CAST(st / n AS BIGINT) AS w_pos,
+         array_to_string(ws[st + 1 : st + n], ' ') AS chunk
+  FROM (SELECT *, unnest(generate_series(0, least(len(ws), {L.FUZZY_MAX_WORDS}) - n, n)) AS st FROM fz_pairs)),
+fz_cand AS (
+  SELECT * FROM fz_win
+  WHERE abs(length(kw) - length(chunk)) <= {budget} AND levenshtein(kw, chunk) <= {budget}),
+fz_ratio AS (
+  SELECT document_id, keyword_id, w_pos,
+         (1.0 - (length(kw) + length(chunk) - 2 * ({lcs_sql('kw', 'chunk')})) / (length(kw) + length(chunk))) * 100.0 AS ratio
+  FROM fz_cand),
+g_fuzzy AS (
+  SELECT document_id, keyword_id, arg_min(ratio, w_pos) / 100.0 * {L.FUZZY_SCALE} AS match_score
+  FROM fz_ratio WHERE ratio >= {threshold} GROUP BY document_id, keyword_id)"""
+
+
+DN_DOCS = f"""dn_docs AS (SELECT * REPLACE ({country_norm('country')} AS country) FROM d_docs)"""
