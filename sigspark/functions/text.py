@@ -109,7 +109,8 @@ def indel_ratio_bounded(a, b, threshold: float) -> Column:
 def html_to_text(c) -> Column:
     """Strip script/style blocks and tags, decode common entities, squeeze blanks."""
     x = col_(c)
-    x = F.regexp_replace(x, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    x = F.regexp_replace(x, r"(?is)<script\b.*?</script\s*>", " ")
+    x = F.regexp_replace(x, r"(?is)<style\b.*?</style\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
     for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),

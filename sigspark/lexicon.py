@@ -154,3 +154,34 @@ TEST_DOC_TYPES = ["clinical_trial", "journal_article", "Drucksache (Gesetzentwur
 TEST_SOURCE_TYPES = ["regulatory", "scientific", "trends", "news", "telecom",
                      "parliamentary", "hta"]
 TEST_REGIONS = ["Europe", "North America", "Asia", "Middle East", "Global"]
+
+# Test dictionaries for the classification operators on the driver's
+# invented prose (ordered; label -> contained terms).
+TEST_TOPICS = [
+    ("English prose", ["that", "with"]),
+    ("German prose", ["keit", "sich", "und "]),
+    ("French prose", ["pour", "elle", "que "]),
+    ("Spanish prose", ["para ", "los "]),
+    ("Licensing", ["license", "apache", "rights reserved"]),
+    ("Credentials", ["token", "@"]),
+]
+TEST_TOPIC_DEFAULT = "General"
+
+TEST_ENTITIES = {
+    "ther": "Thera", "orre": "Orrestad", "keit": "Keitburg", "pour": "Pourville",
+    "los ": "Los Altos", "elle": "Elle (region)", "sich": "Sichheim", "rewh": "Rewh (region)",
+}
+TEST_ENTITY_GROUPS = {"Thera": "North", "Orrestad": "North", "Keitburg": "East",
+                      "Pourville": "West"}
+TEST_THREATS = [
+    ("Licence", ["license", "apache"]),
+    ("Identity", ["token", "@"]),
+    ("Germanic", ["keit", "sch"]),
+    ("Romance", ["que", "para"]),
+]
+TEST_THREAT_DEFAULT = "Other"
+TEST_POST_TYPES = [("Mobile", ["://m."]), ("Paged", ["page="]), ("Anchored", ["#top"]),
+                   ("Secure", ["https"])]
+TEST_POST_DEFAULT = "Post"
+STOP_WORDS = ["the", "and", "for", "that", "with", "this", "from", "are", "was", "but",
+              "not", "you", "all", "any", "can", "has", "have", "our", "out"]
