@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ("signals", "relational", "text")
+_MODULES = ("signals", "relational", "text", "series")
 
 
 def _load():
