@@ -180,3 +180,70 @@ def weighted_relevance(text, doc_type, weights: dict, type_bonus: dict,
     dt = F.col(doc_type) if isinstance(doc_type, str) else doc_type
     total = total + lookup(dt, type_bonus, 0.0)
     return F.least(total, F.lit(cap))
+
+
+def score_documents(D: DataFrame, S: DataFrame, terms: list[tuple], as_of: str = L.AS_OF,
+                    weights: dict | None = None, default_geo_need: float = L.DEFAULT_GEO_NEED,
+                    cap: int = L.SEARCH_TEXT_CAP, head: int = L.EXACT_HEAD_CHARS) -> DataFrame:
+    """Fused tag -> flags -> score in one narrow pass over the documents.
+
+    Same results as ``tag_exact`` + ``document_flags`` + ``score``, but the
+    per-document work (search text, hits, flags, impact) happens once per
+    document before the explode, so there is no signal x document join and
+    no flags aggregation: the only wide operations are the two tiny novelty
+    aggregates (bounded by |lexicon| x |sources|), broadcast back.
+    """
+    from ..functions.text import search_text
+    from ..session import spread
+    from .tagging import _terms_literal
+
+    s = S.select("source_id", "source_name", "trust_level", "source_type")
+    d = spread(D, "document_id").join(F.broadcast(s), "source_id")
+    st = search_text("title", "full_text", cap)
+    hits = F.filter(_terms_literal(terms), lambda t: F.col("search_text").contains(t["kw"]))
+    dt = F.lower(F.coalesce(F.col("document_type"), F.lit("")))
+    srct = F.coalesce(F.col("source_type"), F.lit(""))
+
+    def any_type(names):
+        c = F.lit(False)
+        for n in names:
+            c = c | dt.contains(n)
+        return c
+
+    def any_level(lv):
+        return F.exists("hits", lambda t: t["level"] == lv)
+
+    per_doc = d.select(
+        "document_id", "source_id", "source_name", "trust_level", "publish_date", "scraped_at",
+        "title", "url", normalize_country("country").alias("country"), "document_type",
+        "full_text", "source_type").withColumn("search_text", st).withColumn("hits", hits) \
+        .filter(F.size("hits") > 0)
+    per_doc = per_doc.select(
+        "*",
+        (any_level(2) | srct.isin("regulatory", "hta") | any_type(L.DOC_TYPE_FLAGS["regulatory"])).alias("is_regulatory"),
+        ((srct == "scientific") | dt.isin("journal_article", "clinical_trial")).alias("is_scientific"),
+        any_level(3).alias("is_neuro"), any_level(4).alias("is_lmic"),
+        ((srct == "parliamentary") | any_type(L.DOC_TYPE_FLAGS["parliamentary"])).alias("is_parliamentary"),
+        any_level(5).alias("is_reimbursement"),
+        F.exists("hits", lambda t: t["cluster"].isin(*L.DIGA_CLUSTERS)).alias("is_diga"),
+        impact_expr().alias("impact_score"),
+        F.substring("search_text", 1, head).alias("_head"))
+    sig = per_doc.select(
+        "*", F.explode("hits").alias("t")).select(
+        "document_id", "source_id", "source_name", "trust_level", "publish_date", "scraped_at",
+        "title", "url", "country", "document_type", "impact_score", *L.FLAG_NAMES,
+        F.col("t.keyword_id").alias("keyword_id"), F.col("t.kw").alias("keyword"),
+        F.col("t.level").alias("level"),
+        F.when(F.col("_head").contains(F.col("t.kw")), F.lit(L.EXACT_HEAD_SCORE))
+         .otherwise(F.lit(L.EXACT_BODY_SCORE)).alias("match_score"))
+    by_kw, by_kw_src = novelty_counts(sig.select("keyword_id", "source_id", "publish_date"), as_of)
+    j = sig.join(F.broadcast(by_kw), "keyword_id").join(F.broadcast(by_kw_src), ["keyword_id", "source_id"]) \
+           .withColumn("has_flags", F.lit(True))
+    j = j.withColumn("relevance_score", relevance_expr()) \
+         .withColumn("novelty_score", novelty_expr(as_of))
+    j = j.withColumn("strategic_score", strategic_expr(weights=weights, default_geo_need=default_geo_need))
+    j = j.withColumn("urgency", urgency_expr())
+    return j.select("document_id", "keyword_id", "keyword", "level", "source_id", "source_name",
+                    "title", "url", "country", "document_type", "publish_date", "scraped_at",
+                    "match_score", "relevance_score", "novelty_score", "impact_score",
+                    "strategic_score", "urgency", *L.FLAG_NAMES)

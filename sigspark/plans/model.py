@@ -50,6 +50,12 @@ class Model:
 
     @cached_property
     def scored(self) -> DataFrame:
+        """Tag -> flags -> score fused in one pass (see scoring.score_documents);
+        equal to scoring.score(G, D, K, S, flags) on the same inputs."""
+        return scoring.score_documents(self.D, self.S, self.terms, self.as_of)
+
+    @cached_property
+    def scored_unfused(self) -> DataFrame:
         return scoring.score(self.G, self.D, self.K, self.S, self.flags, self.as_of)
 
 
