@@ -196,3 +196,17 @@ def default(c, value: str) -> Column:
     """Python ``x or value``: NULL and '' both count as missing."""
     c = col_(c)
     return F.when(c.isNull() | (c == ""), F.lit(value)).otherwise(c)
+
+
+def first_match(arr, pred, default=None) -> Column:
+    """First element satisfying ``pred`` (a Column lambda), else default."""
+    hit = F.get(F.filter(col_(arr), pred), 0)
+    return F.coalesce(hit, F.lit(default)) if default is not None else hit
+
+
+def contains_all_groups(text, groups: list[list[str]], lower: bool = True) -> Column:
+    """every term group has at least one contained term."""
+    cond = F.lit(True)
+    for g in groups:
+        cond = cond & contains_any(text, g, lower)
+    return cond

@@ -472,3 +472,70 @@ def monthly_revenue_running(spark, sf_dir):
 
 # Fixed-label defaults used by the pages
 _ = L
+
+
+# ------------------------------------------------ text filters, J4, A29 --
+FILTER_TERMS = ["keit", "license", "token"]
+GROUPS = [["that", "with"], ["tion", "ment"]]
+SOURCE_FILTERS = {"src1": ["keit"], "src2": ["pour", "que "]}
+
+
+def _fsql(t, terms):
+    return "(" + " OR ".join(f"contains({t}, '{x}')" for x in terms) + ")"
+
+
+@register("text_filters", DOCS + f"""
+SELECT count(*) FILTER (WHERE {_fsql('lower(full_text)', FILTER_TERMS)}) AS n_any,
+       count(*) FILTER (WHERE {_fsql('lower(full_text)', GROUPS[0])} AND {_fsql('lower(full_text)', GROUPS[1])}) AS n_all_groups,
+       count(*) FILTER (WHERE CASE (SELECT source FROM documents o WHERE o.doc_id = dn_docs.document_id)
+            {' '.join(f"WHEN '{s}' THEN {_fsql('lower(full_text)', t)}" for s, t in SOURCE_FILTERS.items())}
+            ELSE TRUE END) AS n_source_switch
+FROM dn_docs""")
+def text_filters(spark, sf_dir):
+    """F1 contains-any, F2 all groups, F3 per-source filter switch (sources
+    without a list keep every row)."""
+    from ..functions.text import contains_all_groups, contains_any
+    d = model(spark, sf_dir).Dn
+    o = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source")
+    j = d.join(o, "document_id")
+    sw = None
+    for s, terms in SOURCE_FILTERS.items():
+        c = contains_any("full_text", terms)
+        sw = F.when(F.col("source") == s, c) if sw is None else sw.when(F.col("source") == s, c)
+    sw = sw.otherwise(F.lit(True))
+    return j.agg(F.count_if(contains_any("full_text", FILTER_TERMS)).alias("n_any"),
+                 F.count_if(contains_all_groups("full_text", GROUPS)).alias("n_all_groups"),
+                 F.count_if(sw).alias("n_source_switch"))
+
+
+@register("neuro_signals", SCORED + """
+SELECT document_id, keyword_id, keyword, source_name, coalesce(NULL, cluster) AS disease,
+       floor(strategic_score * 10000.0 + 0.5) / 10000.0 AS strategic_score
+FROM scored JOIN k_lex USING (keyword_id, keyword, level)
+WHERE is_neuro ORDER BY strategic_score DESC, document_id, keyword_id LIMIT 100""")
+def neuro_signals(spark, sf_dir):
+    """J4 + P17: signals of neuro-flagged documents with document, source and
+    keyword; disease area falls back to the keyword cluster; top 100."""
+    from ..functions.numeric import rnd
+    m = model(spark, sf_dir)
+    k = m.K.select("keyword_id", F.coalesce("disease_area", "cluster").alias("disease"))
+    j = m.scored.filter("is_neuro").join(F.broadcast(k), "keyword_id")
+    top = RL.top_k(j, [F.desc("strategic_score"), F.col("document_id"), F.col("keyword_id")], 100)
+    return top.select("document_id", "keyword_id", "keyword", "source_name", "disease",
+                      rnd("strategic_score").alias("strategic_score"))
+
+
+@register("run_totals", """
+WITH h AS (SELECT source, doc_id, sha256(coalesce(text, 'None')) AS hsh FROM documents),
+firsts AS (SELECT hsh, min(doc_id) AS doc_id FROM h GROUP BY hsh)
+SELECT count(*) AS total_fetched, (SELECT count(*) FROM firsts) AS total_new,
+       count(DISTINCT source) AS n_sources FROM documents""")
+def run_totals(spark, sf_dir):
+    """Totals over the per-source run stats (K8)."""
+    from .. import sinks as K
+    d = read(spark, sf_dir, "documents")
+    h = d.select("source", "doc_id", content_hash("text").alias("hsh"))
+    new = h.join(h.groupBy("hsh").agg(F.min("doc_id").alias("doc_id")), ["hsh", "doc_id"], "left_semi")
+    st = K.run_stats(d, d, new, "source")
+    return st.agg(F.sum("fetched").alias("total_fetched"), F.sum("new").alias("total_new"),
+                  F.count(F.lit(1)).alias("n_sources"))

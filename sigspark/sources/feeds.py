@@ -102,3 +102,16 @@ def parse_articles(raw: DataFrame, xml_col: str = "xml", max_authors: int = 5) -
         F.col("a.Journal").alias("journal"),
         F.array_join(authors, ", ").alias("authors"),
         affiliation_country(F.col("a.Affiliation")).alias("country"))
+
+
+def to_document(items: DataFrame, source_id: int, document_type: str, language: str = "en",
+                country: str | None = None) -> DataFrame:
+    """P1 + P6: normalise parsed feed items to the common document row."""
+    from ..functions.text import content_hash
+    ext = F.concat(F.lit(f"src{source_id}-"), F.sha2(F.coalesce(F.col("link"), F.col("title")), 256).substr(1, 16))
+    return items.select(
+        F.lit(source_id).alias("source_id"), ext.alias("external_id"), F.col("title"),
+        F.col("link").alias("url"), F.col("published").alias("publish_date"),
+        F.lit(language).alias("language"), F.col("summary").alias("full_text"),
+        F.lit(country).cast("string").alias("country"), F.lit(document_type).alias("document_type"),
+    ).withColumn("content_hash", content_hash("title", "external_id", "url"))
