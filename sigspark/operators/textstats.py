@@ -14,11 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# explode_outer + a NULL filter instead of explode: an inner explode lets the
+# optimizer infer "size(array) > 0" and push it (with the whole array
+# expression) below a repartition into the scan stage; this keeps the
+# per-row dictionary work after the spread, on all cores.
+
 
 def label_counts(df: DataFrame, arr: str, k: int | None = None, name: str = "label",
                  count_name: str = "n") -> DataFrame:
     """Counts of exploded labels, optional top-k (ties by label)."""
-    out = df.select(F.explode(arr).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias(count_name))
+    out = df.select(F.explode_outer(arr).alias(name)).filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias(count_name))
     if k is not None:
         out = out.orderBy(F.desc(count_name), name).limit(k)
     return out
@@ -27,8 +32,8 @@ def label_counts(df: DataFrame, arr: str, k: int | None = None, name: str = "lab
 def rollup_labels(df: DataFrame, a: str, b: str, default_b: str = "Unknown") -> DataFrame:
     """Parent totals and (parent, child) counts; empty child list -> default."""
     bb = F.when(F.size(b) == 0, F.array(F.lit(default_b))).otherwise(F.col(b))
-    ex = df.select(F.explode(a).alias("parent"), bb.alias("_b")).select(
-        "parent", F.explode("_b").alias("child"))
+    ex = df.select(F.explode_outer(a).alias("parent"), bb.alias("_b")).filter(F.col("parent").isNotNull()) \
+           .select("parent", F.explode_outer("_b").alias("child")).filter(F.col("child").isNotNull())
     return ex.rollup("parent", "child").agg(F.grouping_id().cast("int").alias("level"),
                                             F.count(F.lit(1)).alias("n")) \
              .filter(F.col("level") < 3)
@@ -39,8 +44,8 @@ def cooccurrence(df: DataFrame, a: str, b: str, k: int | None = None,
     """Bipartite co-occurrence edges (a, b) with weights, top k."""
     bb = F.col(b) if default_b is None else \
         F.when(F.size(b) == 0, F.array(F.lit(default_b))).otherwise(F.col(b))
-    ex = df.select(F.explode(a).alias("source"), bb.alias("_b")).select(
-        "source", F.explode("_b").alias("target"))
+    ex = df.select(F.explode_outer(a).alias("source"), bb.alias("_b")).filter(F.col("source").isNotNull()) \
+           .select("source", F.explode_outer("_b").alias("target")).filter(F.col("target").isNotNull())
     e = ex.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
     if k is not None:
         e = e.orderBy(F.desc("weight"), "source", "target").limit(k)

@@ -13,6 +13,7 @@ from ..functions.numeric import rnd, rnd_sql
 from ..operators import classify as C
 from ..operators import textstats as TS
 from ..operators.scoring import weighted_relevance
+from ..session import spread
 from . import sqlviews as V
 from .model import model
 from .registry import register
@@ -60,7 +61,7 @@ cls2 AS (SELECT document_id, language, publish_date, t, {topics_sql('t')} AS top
 
 # ----------------------------------------------------------- Spark helpers --
 def _cls(spark, sf_dir):
-    d = model(spark, sf_dir).Dn
+    d = spread(model(spark, sf_dir).Dn, "document_id")
     t = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("full_text", F.lit(""))))
     return d.withColumn("t", t)
 
@@ -68,8 +69,8 @@ def _cls(spark, sf_dir):
 def _cls2(spark, sf_dir):
     d = _cls(spark, sf_dir)
     return d.select("document_id", "language", "publish_date", "t",
-                    C.classify_multi("t", L.TEST_TOPICS, L.TEST_TOPIC_DEFAULT).alias("topics"),
-                    C.extract_entities("t", L.TEST_ENTITIES).alias("entities"))
+                    C.classify_multi("t", L.TEST_TOPICS, L.TEST_TOPIC_DEFAULT, lower=False).alias("topics"),
+                    C.extract_entities("t", L.TEST_ENTITIES, lower=False).alias("entities"))
 
 
 def _toks(c):
@@ -183,7 +184,7 @@ SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS_SQL.format(t='full_text')
 GROUP BY word ORDER BY n DESC, word LIMIT 25""")
 def term_freq_top25(spark, sf_dir):
     """A22 + P16: corpus term frequency, stop words removed, top 25."""
-    d = model(spark, sf_dir).D
+    d = spread(model(spark, sf_dir).D, "document_id")
     return TS.term_freq(d, _toks(F.col("full_text")), 25)
 
 
@@ -213,7 +214,7 @@ def country_term_matrix(spark, sf_dir):
     """Countries with most tokens x most frequent words, zero-filled.
     Both top lists are bounded (15); the grid is built by exploding the word
     list literal on each top-country row, then one left join with the counts."""
-    d = model(spark, sf_dir).Dn.filter(F.col("country").isNotNull())
+    d = spread(model(spark, sf_dir).Dn.filter(F.col("country").isNotNull()), "document_id")
     c = d.select("country", F.explode(_toks(F.col("full_text"))).alias("word")) \
          .groupBy("country", "word").agg(F.count(F.lit(1)).alias("n"))
     top_w = [r.word for r in c.groupBy("word").agg(F.sum("n").alias("s"))
@@ -234,7 +235,7 @@ trend AS (SELECT strftime(d.publish_date, '%Y-%m') AS month, tw.word AS keyword,
 
 
 def _trend(spark, sf_dir):
-    d = model(spark, sf_dir).D
+    d = spread(model(spark, sf_dir).D, "document_id")
     words = TS.top_words_list(d, _toks(F.col("full_text")), 8)
     return TS.keyword_trend(d, "full_text", F.date_format("publish_date", "yyyy-MM"), words)
 
