@@ -216,8 +216,7 @@ def score_documents(D: DataFrame, S: DataFrame, terms: list[tuple], as_of: str =
     per_doc = d.select(
         "document_id", "source_id", "source_name", "trust_level", "publish_date", "scraped_at",
         "title", "url", normalize_country("country").alias("country"), "document_type",
-        "full_text", "source_type").withColumn("search_text", st).withColumn("hits", hits) \
-        .filter(F.size("hits") > 0)
+        "full_text", "source_type").withColumn("search_text", st).withColumn("hits", hits)
     per_doc = per_doc.select(
         "*",
         (any_level(2) | srct.isin("regulatory", "hta") | any_type(L.DOC_TYPE_FLAGS["regulatory"])).alias("is_regulatory"),
@@ -228,8 +227,10 @@ def score_documents(D: DataFrame, S: DataFrame, terms: list[tuple], as_of: str =
         F.exists("hits", lambda t: t["cluster"].isin(*L.DIGA_CLUSTERS)).alias("is_diga"),
         impact_expr().alias("impact_score"),
         F.substring("search_text", 1, head).alias("_head"))
+    # explode_outer + NULL filter (not a size filter): keeps the matching
+    # after the spread instead of letting it be pushed into the scan task.
     sig = per_doc.select(
-        "*", F.explode("hits").alias("t")).select(
+        "*", F.explode_outer("hits").alias("t")).filter(F.col("t").isNotNull()).select(
         "document_id", "source_id", "source_name", "trust_level", "publish_date", "scraped_at",
         "title", "url", "country", "document_type", "impact_score", *L.FLAG_NAMES,
         F.col("t.keyword_id").alias("keyword_id"), F.col("t.kw").alias("keyword"),

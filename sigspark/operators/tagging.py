@@ -49,7 +49,10 @@ def match_terms(docs: DataFrame, terms: list[tuple], text_col: str = "search_tex
     if len(terms) > MAX_LITERAL_TERMS:
         return _match_terms_automaton(docs, terms, text_col)
     hits = F.filter(_terms_literal(terms), lambda t: F.col(text_col).contains(t["kw"]))
-    return docs.withColumn("t", F.explode(hits))
+    # explode_outer + NULL filter: an inner explode would let the optimizer
+    # infer size(hits) > 0 and push the whole match below the spread
+    # (into the single scan task); this keeps matching on all cores.
+    return docs.withColumn("t", F.explode_outer(hits)).filter(F.col("t").isNotNull())
 
 
 def _match_terms_automaton(docs: DataFrame, terms: list[tuple], text_col: str) -> DataFrame:
@@ -136,7 +139,8 @@ def tag_fuzzy(D: DataFrame, K: DataFrame, threshold: float = L.FUZZY_THRESHOLD,
     pairs = docs.select(
         "document_id",
         words("search_text").alias("ws"),
-        F.explode(F.filter(lit_terms, lambda t: ~F.col("search_text").contains(t["kw"]))).alias("t"))
+        F.explode_outer(F.filter(lit_terms, lambda t: ~F.col("search_text").contains(t["kw"]))).alias("t")) \
+        .filter(F.col("t").isNotNull())
     lim = F.least(F.size("ws"), F.lit(max_words)) - F.col("t.n")
     starts = F.when(lim >= 0, F.sequence(F.lit(0), lim, F.col("t.n"))) \
               .otherwise(F.array().cast("array<int>"))

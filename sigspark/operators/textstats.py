@@ -84,7 +84,8 @@ def keyword_trend(df: DataFrame, text: str, month: Column, words: list[str]) ->
     ``words`` is a bounded top-k list, matched like the lexicon (no join)."""
     arr = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     hits = F.filter(arr, lambda w: F.col(text).contains(w))
-    ex = df.filter(month.isNotNull()).select(month.alias("month"), F.explode(hits).alias("keyword"))
+    ex = df.filter(month.isNotNull()).select(month.alias("month"), F.explode_outer(hits).alias("keyword")) \
+           .filter(F.col("keyword").isNotNull())
     return ex.groupBy("month", "keyword").agg(F.count(F.lit(1)).alias("mentions"))
 
 
