@@ -34,7 +34,7 @@ from .common import WORD_CLASS, ceil_div, stored, table
 
 GOLDEN = 0.6180339887498949
 #: Words per block, slots per ranking bucket, rows per shuffling bucket.
-BLOCK, SLOT_BUCKET, ROW_BUCKET = 256, 65536, 65536
+BLOCK, SLOT_BUCKET, ROW_BUCKET = 256, 16384, 2048
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing
+from . import chat, exact_dedup, mixing, piece_lattice, token_files
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_token_files": token_files.op4_token_files,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_mixing": mixing.op7_mixing,
+    "op8_sentencepiece": piece_lattice.op8_sentencepiece,
 }
 ORACLE = {
     "op3_exact_dedup": exact_dedup.ORACLE,
