@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +53,21 @@ def as_id(df: DataFrame, id_col: str, *cols: Column) -> DataFrame:
     """Only the id (as ``id`` long) and the given columns: other columns of
     the input, whatever their names, cannot clash with working columns."""
     return df.select(F.col(id_col).cast("long").alias("id"), *cols)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of all executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sigspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="sigspark-code-")  # Spark's file server deals it out
+    name = os.path.join(folder, "sigspark_code.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for at, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join("sigspark", os.path.relpath(full, root)))
+    sc.addPyFile(name)
+    sc._sigspark_shipped = True

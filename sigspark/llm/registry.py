@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, piece_lattice, token_files
+import functools
 
-QUERIES = {
-    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
-    "op4_token_files": token_files.op4_token_files,
-    "op6_chat_formatting": chat.op6_chat_formatting,
-    "op7_mixing": mixing.op7_mixing,
-    "op8_sentencepiece": piece_lattice.op8_sentencepiece,
-}
+from . import chat, exact_dedup, langid, mixing, piece_lattice, quality, token_files
+from .common import ship
+
+
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (
+    quality.op1_quality,
+    exact_dedup.op3_exact_dedup,
+    token_files.op4_token_files,
+    langid.op5_language_id,
+    chat.op6_chat_formatting,
+    mixing.op7_mixing,
+    piece_lattice.op8_sentencepiece,
+)}
 ORACLE = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
