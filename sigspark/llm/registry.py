@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 
-from . import chat, exact_dedup, langid, mixing, piece_lattice, quality, token_files
+from . import (chat, embed_dedup, exact_dedup, langid, mixing, ngram_join, piece_lattice, quality,
+               token_files)
 from .common import ship
 
 
@@ -18,15 +19,19 @@ def _shipped(query):
 
 QUERIES = {f.__name__: _shipped(f) for f in (
     quality.op1_quality,
+    ngram_join.op2_ngram_join,
     exact_dedup.op3_exact_dedup,
     token_files.op4_token_files,
     langid.op5_language_id,
     chat.op6_chat_formatting,
     mixing.op7_mixing,
     piece_lattice.op8_sentencepiece,
+    embed_dedup.op10_embedding_dedup,
 )}
 ORACLE = {
+    "op2_ngram_join": ngram_join.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op10_embedding_dedup": embed_dedup.ORACLE,
 }
