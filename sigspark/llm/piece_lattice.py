@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunks import Store, numbered, spread
 from .common import table
@@ -98,7 +99,7 @@ class Lattices(Store):
     piece is an edge numbered ``size + c`` and drawn as its byte pieces.
     """
 
-    limit = 150_000
+    limit = 300_000
     #: Longer chunks are filtered one by one with rescaled sums.
     long = 200
 
@@ -112,7 +113,7 @@ class Lattices(Store):
         self.end = np.zeros(0, np.int64)
         self.root = np.zeros(0, bool)
         self.cum = np.zeros(0, np.float64)
-        self.prev = np.zeros(0, np.int64)
+        self.prev = np.zeros(0, np.int32)
         self.piece = np.zeros(0, np.int32)
 
     def _edges(self, chars: np.ndarray, start: np.ndarray, length: np.ndarray):
@@ -203,7 +204,7 @@ class Lattices(Store):
         self.end = np.concatenate([self.end, self.nodes + first + length])
         self.root = np.concatenate([self.root, root])
         self.cum = np.concatenate([self.cum, self.nodes + dst + cum])
-        self.prev = np.concatenate([self.prev, self.nodes + src])
+        self.prev = np.concatenate([self.prev, (self.nodes + src).astype(np.int32)])
         self.piece = np.concatenate([self.piece, pid.astype(np.int32)])
         self.nodes += len(root)
 
@@ -224,7 +225,7 @@ class Lattices(Store):
             e = np.searchsorted(self.cum, node + u, "left")
             drawn.append((who, self.piece[e]))
             length[who] += 1
-            node = self.prev[e]
+            node = self.prev[e].astype(np.int64)
             on = ~self.root[node]
             node, who, step = node[on], who[on], step + 1
         at = np.cumsum(length) - length
@@ -302,6 +303,24 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                            else "id long, ids array<int>")
 
 
+def with_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0,
+                alpha: float = 1.0, out: str = "pieces") -> DataFrame:
+    """``docs`` with a further column of sampled piece ids."""
+    schema = T.StructType([f for f in docs.schema if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    names = [f.name for f in schema][:-1]
+
+    def run(batches):
+        lat = lattices(model, alpha)
+        for whole in batches:
+            for b in slices(whole, text_col, 4 << 20):
+                ids, n = lat.sample(b.column(text_col), row_keys(b.column(id_col)), seed)
+                off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(c) for c in names] + [pa.ListArray.from_arrays(off, pa.array(ids))], names=names + [out])
+
+    return docs.select(*names).mapInArrow(run, schema)
+
+
 def decode(rows: DataFrame, model: str) -> DataFrame:
     """id, text from id, ids."""
     def run(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import (chat, embed_dedup, exact_dedup, langid, mixing, ngram_join, piece_lattice, quality,
+from . import (chat, embed_dedup, exact_dedup, langid, lm_scoring, mixing, ngram_join, piece_lattice, quality,
                token_files)
 from .common import ship
 
@@ -26,6 +26,7 @@ QUERIES = {f.__name__: _shipped(f) for f in (
     chat.op6_chat_formatting,
     mixing.op7_mixing,
     piece_lattice.op8_sentencepiece,
+    lm_scoring.op9_lm_scoring,
     embed_dedup.op10_embedding_dedup,
 )}
 ORACLE = {

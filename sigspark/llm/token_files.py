@@ -18,6 +18,7 @@ an empty table gives an empty set of files; further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -45,6 +46,10 @@ LAYOUT = {
 }
 
 
+#: White space or a separator of any definition after a chunk's first space.
+_INNER_SPACE = re.compile(r"\s")
+
+
 class Encoder(Store):
     """Chunk -> ids with the tokenizers library."""
 
@@ -53,6 +58,7 @@ class Encoder(Store):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
 
     def clear(self):
@@ -60,15 +66,36 @@ class Encoder(Store):
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, strings):
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
+        """Chunks of one space and a word are encoded many at a time, with line
+        ends between them: these are tokens of their own in front of a space,
+        and no such chunk has a token with a line end."""
+        plain = [k for k, s in enumerate(strings) if s[:1] == " " and len(s.split(None, 1)) == 1 and s[-1:] > " "
+                 and not _INNER_SPACE.search(s, 1)]
+        rest = sorted(set(range(len(strings))) - set(plain))
+        lines = ["\n".join([strings[k] for k in plain[lo:lo + 256]]) + "\n " for lo in range(0, len(plain), 256)]
+        n = np.zeros(len(strings), np.int64)
+        parts, order = [], []
+        if lines:
+            ids = np.concatenate([np.array(e.ids[:-1], np.int32) for e in
+                                  self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            cut = np.flatnonzero(ids == self.line_end)
+            n[plain] = np.diff(np.concatenate([[-1], cut])) - 1
+            parts.append(np.delete(ids, cut))
+            order += plain
+        if rest:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([strings[k] for k in rest], add_special_tokens=False)]
+            n[rest] = np.fromiter(map(len, got), np.int64, len(got))
+            parts.append(np.fromiter(chain.from_iterable(got), np.int32))
+            order += rest
+        new = np.concatenate(parts)
+        at = np.zeros(len(strings), np.int64)
+        at[order] = self.used + np.cumsum(n[order]) - n[order]
+        while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(got), np.int32, total)
-        self.start = np.concatenate([self.start, self.used + np.cumsum(n) - n])
+        self.flat[self.used:self.used + len(new)] = new
+        self.start = np.concatenate([self.start, at])
         self.length = np.concatenate([self.length, n])
-        self.used += total
+        self.used += len(new)
 
     def encode(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each ended by ``end_id``; ids per text)."""
@@ -123,9 +150,12 @@ def read_tokens(spark: SparkSession, path: str, *cols: str, first_id: int | None
     return df.select(*cols) if cols else df
 
 
-def with_starts(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds ``start``: n_tokens of all rows before, by part and then order."""
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+def with_starts(rows: DataFrame, lengths: DataFrame, *order: str) -> DataFrame:
+    """Adds ``start``: n_tokens of all rows before, by part and then order.
+
+    ``lengths``: part and n_tokens of the same rows, read by themselves.
+    """
+    totals = lengths.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
     own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -156,4 +186,5 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     rows = digests(read_tokens(spark, path, "part", "doc_id", "n_tokens", "ids"))
-    return with_starts(rows, "doc_id").select("doc_id", "start", "n_tokens", "ids_crc32")
+    lengths = read_tokens(spark, path, "part", "n_tokens")
+    return with_starts(rows, lengths, "doc_id").select("doc_id", "start", "n_tokens", "ids_crc32")

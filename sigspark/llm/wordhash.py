@@ -70,7 +70,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SEGMENT) -> Iterator[p
         lo = hi
 
 
-def _segments(buf: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[int, int]]:
+def _segments(buf: np.ndarray, breaks: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cut [0, len) near every SEGMENT bytes at a text's start or a space."""
     lo, n = 0, len(buf)
     while lo < n:
@@ -82,10 +82,10 @@ def _segments(buf: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[int, int]]:
         if breaks[k] > lo:
             hi = int(breaks[k])
         else:
-            step = np.flatnonzero(_SPACE[buf[hi:hi + SEGMENT]])
+            step = np.flatnonzero(space[buf[hi:hi + SEGMENT]])
             while not len(step) and hi < n:  # one word longer than a segment
                 hi = min(n, hi + SEGMENT)
-                step = np.flatnonzero(_SPACE[buf[hi:hi + SEGMENT]])
+                step = np.flatnonzero(space[buf[hi:hi + SEGMENT]])
             hi = min(n, hi + (int(step[0]) if len(step) else 0))
             nxt = int(np.searchsorted(breaks, lo, "right"))
             if nxt < len(breaks) and breaks[nxt] < hi:
@@ -94,20 +94,20 @@ def _segments(buf: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(col: pa.Array, lower: bool = True, keep_bytes: bool = False):
+def words(col: pa.Array, lower: bool = True, keep_bytes: bool = False, space: np.ndarray = _SPACE):
     """(hash, text index, count of words per text[, start, end, bytes]).
 
     ``hash`` lists the words of all texts in order; ``index`` says which
-    text each belongs to.
+    text each belongs to. ``space``: which bytes separate words.
     """
     buf, off = string_buffers(col)
     n_docs = len(off) - 1
     vals = _BYTE_LOWER if lower else _BYTE
     hs, ss, es = [], [], []
     starts_of = np.unique(off[:-1])
-    for lo, hi in _segments(buf, starts_of):
+    for lo, hi in _segments(buf, starts_of, space):
         seg = buf[lo:hi]
-        on = ~_SPACE[seg]
+        on = ~space[seg]
         first = on.copy()
         first[1:] &= ~on[:-1]
         last = on.copy()
