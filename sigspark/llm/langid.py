@@ -183,20 +183,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"{kept}, lang_pred string, score double, n_langs int, fit double")
 
 
-def filter_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The accepted rows of ``docs`` with all their columns, in one pass."""
+def filter_accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.2) -> DataFrame:
+    """The accepted rows of ``docs`` with all their columns, in one pass: those
+    not ``und`` whose score reaches ``min_score`` (below it no language leads)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**16 doubles at most
 
     def run(batches):
         m = shared.value
-        blind = np.log(BUCKETS)
         for whole in batches:
             for b in slices(whole, text_col):
                 texts = b.column(text_col).to_pylist()
                 keep = []
                 for k, c in per_text(b.column(text_col)):
                     fine = bool(m.langs) and texts[k] is not None and bool(_LETTER.search(texts[k]))
-                    keep.append(fine and m.mixture(c)[2] + blind >= 0)
+                    if fine:
+                        pi, sure, _ = m.mixture(c)
+                        fine = bool(pi.max() * sure >= min_score)
+                    keep.append(fine)
                 yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
