@@ -43,7 +43,7 @@ def documents_view(spark: SparkSession, sf_dir: str, as_of: str = L.AS_OF) -> Da
         i.alias("document_id"),
         F.substring("source", 4, 12).cast("int").alias("source_id"),
         F.concat(F.col("source"), F.lit("-"), i.cast("string")).alias("external_id"),
-        F.substring("text", 1, 80).alias("title"),
+        F.substring_index(F.substring_index("text", "\n", 1), ".", 1).alias("title"),
         F.concat(F.lit("doc/"), i.cast("string")).alias("url"),
         F.when(i % 17 == 0, F.lit(None).cast("date"))
          .otherwise(F.date_add(F.lit("2024-01-01").cast("date"), (i % 366).cast("int")))
@@ -53,6 +53,7 @@ def documents_view(spark: SparkSession, sf_dir: str, as_of: str = L.AS_OF) -> Da
         F.col("text").alias("full_text"),
         _pick(L.TEST_COUNTRIES, i % 10).alias("country"),
         _pick(L.TEST_DOC_TYPES, i % 8).alias("document_type"),
+        "source", "n_chars",
     )
 
 

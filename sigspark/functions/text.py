@@ -13,10 +13,13 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def search_text(title="title", body="full_text", cap: int = 3000) -> Column:
-    """lower(title + ' ' + body[:cap]); the body part is left out when empty."""
+def search_text(title="title", body="full_text", cap: int | None = None) -> Column:
+    """lower(title + ' ' + body); the body part is left out when empty.
+
+    ``cap`` limits the body to its first characters (off by default).
+    """
     b = col_(body)
-    part = F.when(b.isNotNull() & (b != ""), F.substring(b, 1, cap))
+    part = F.when(b.isNotNull() & (b != ""), F.substring(b, 1, cap) if cap else b)
     return F.lower(F.concat_ws(" ", F.coalesce(col_(title), F.lit("")), part))
 
 
@@ -91,8 +94,8 @@ def indel_ratio(a, b) -> Column:
     return F.when(tot == 0, F.lit(100.0)).otherwise((F.lit(1.0) - indel / tot) * 100.0)
 
 
-def indel_ratio_bounded(a, b, threshold: float) -> Column:
-    """indel_ratio, or NULL when it is provably below ``threshold``.
+def fuzzy_possible(a, b, threshold: float) -> Column:
+    """False when indel_ratio is provably below ``threshold``.
 
     ratio >= t  <=>  indel <= (1 - t/100) * (la + lb). Both |la - lb| and the
     Levenshtein distance are lower bounds of indel, so pairs failing either
@@ -101,9 +104,7 @@ def indel_ratio_bounded(a, b, threshold: float) -> Column:
     a, b = col_(a), col_(b)
     la, lb = F.length(a), F.length(b)
     budget = F.floor((1.0 - threshold / 100.0) * (la + lb) + 1e-9).cast("int")
-    lev = F.call_function("levenshtein", a, b, budget)   # -1 when above budget
-    ok = (F.abs(la - lb) <= budget) & (lev >= 0)
-    return F.when(ok, indel_ratio(a, b))
+    return (F.abs(la - lb) <= budget) & (F.call_function("levenshtein", a, b, budget) >= 0)
 
 
 def html_to_text(c) -> Column:

@@ -12,11 +12,9 @@ from __future__ import annotations
 # Scoring and tagging constants
 # ---------------------------------------------------------------------------
 FUZZY_THRESHOLD = 85
-SEARCH_TEXT_CAP = 3000          # characters of full_text that are searched
 EXACT_HEAD_CHARS = 200          # a hit inside this prefix scores higher
 EXACT_HEAD_SCORE = 9.5
 EXACT_BODY_SCORE = 8.0
-FUZZY_MAX_WORDS = 500
 FUZZY_MIN_TERM_WORDS = 3
 FUZZY_SCALE = 7.0
 
@@ -31,14 +29,10 @@ COUNTRY_ALIASES = {
     "republic of india": "India",
 }
 
-# Document-type terms per flag (tested against lower-cased
-# type, so the capitalised ones can never match -- kept as in the original)
+# Document-type terms per flag (tested against the lower-cased type)
 DOC_TYPE_FLAGS = {
-    "regulatory": ["guidance", "regulation", "directive", "act", "law",
-                   "Richtlinie", "Verordnung", "Gesetz"],
-    "scientific": ["journal_article", "clinical_trial", "review", "meta-analysis"],
-    "parliamentary": ["Drucksache", "Plenarprotokoll"],
-    "reimbursement": ["G-BA", "Nutzenbewertung", "AMNOG", "erstattung", "hta_report"],
+    "regulatory": ["guidance", "regulation", "directive", "act", "law"],
+    "parliamentary": [],
 }
 
 # Keyword level -> flag set by a match; clusters setting is_diga
@@ -110,9 +104,11 @@ NOVELTY_RECENT_DAYS = 30
 NOVELTY_FIRST_POINTS = 2.5
 NOVELTY_NEW_SOURCE_POINTS = 1.5
 
-# Keyword level names
-KEYWORD_LEVELS = {1: "macro_topic", 2: "regulatory", 3: "neurodegenerative",
-                  4: "lmic_access", 5: "germany_reimbursement"}
+# Terms in a parliamentary paper that set a further flag
+PAPER_DIGA_TERMS = ["diga", "digitale gesundheit", "telemedizin", "epa", "gematik",
+                    "gesundheitsdaten", "e-health"]
+PAPER_REIMBURSEMENT_TERMS = ["erstattung", "nutzenbewertung", "amnog", "krankenversicherung",
+                             "sgb v", "leistung"]
 
 # ---------------------------------------------------------------------------
 # Test lexicon bound to the driver's synthetic documents (see FIXTURES.md §3).

@@ -42,13 +42,12 @@ def digest(alerts: DataFrame, immediate: float = L.ALERT_IMMEDIATE) -> DataFrame
                  F.when(n > 0, F.array_join(labels, "|")).alias("items"))
 
 
-def alert_rows(alerts: DataFrame) -> DataFrame:
+def alert_rows(alerts: DataFrame, digest_title: str = "Signals of this run: ") -> DataFrame:
     """K7: one row per immediate alert plus one digest row per run."""
     imm = alerts.filter(F.col("channel") == "immediate").select(
         F.lit("immediate").alias("kind"), F.col("subject"), F.lit(1).cast("long").alias("n_signals"))
     dg = digest(alerts).filter(F.col("n_signals") > 0).select(
         F.lit("digest").alias("kind"),
-        F.concat(F.lit("Daily Intelligence Digest ("), F.col("n_signals").cast("string"),
-                 F.lit(" signals)")).alias("subject"),
+        F.concat(F.lit(digest_title), F.col("n_signals").cast("string")).alias("subject"),
         F.col("n_signals"))
     return imm.unionByName(dg)

@@ -1,14 +1,13 @@
 """Signal scoring: relevance, novelty, impact, strategic score, urgency.
 
 Plan shape (what keeps this cheap at scale):
-* Impact depends only on the document and its source, so it is computed on
-  the document side before the signal join, and ``full_text`` never leaves
-  the scan (only a boolean "phase 3"/"phase 2" mention does).
+* Matching, flags and impact are expressions of a document's own row, so the
+  texts are read once and never leave the scan's tasks. The resulting narrow
+  signal table (exact and fuzzy hits) is stored once.
 * Novelty needs counts over *all* signals of a keyword (and of a keyword
-  and source). These are partial aggregates (map-side combine) whose size is
-  bounded by |lexicon| x |sources|, joined back by broadcast -- no window over
-  a hot keyword, no correlated sub-queries.
-* Sources and keywords are bounded dimensions: broadcast.
+  and source). These are partial aggregates (map-side combine) of the stored
+  table, joined back -- no window over a hot keyword, no correlated
+  sub-queries, no forced broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..bindings import as_of_ts
-from .tagging import normalize_country
+from ..session import stored_once
+from .tagging import match_flags, merged_flags, normalize_country, signals, type_flags, with_hits
 
 
 def lookup(c, mapping: dict, default) -> Column:
@@ -106,7 +106,7 @@ def document_side(D: DataFrame, S: DataFrame) -> DataFrame:
     d = D.select("document_id", "source_id", "publish_date", "scraped_at", "title", "url",
                  normalize_country("country").alias("country"), "document_type", "full_text")
     s = S.select("source_id", "source_name", "trust_level")
-    j = d.join(F.broadcast(s), "source_id")          # J13: missing source -> skipped
+    j = d.join(s, "source_id")          # J13: missing source -> skipped
     return j.select("document_id", "source_id", "source_name", "trust_level", "publish_date",
                     "scraped_at", "title", "url", "country", "document_type",
                     impact_expr().alias("impact_score"))
@@ -136,38 +136,72 @@ def novelty_expr(as_of: str, days: int = L.NOVELTY_RECENT_DAYS) -> Column:
     return F.least(score, F.lit(10.0))
 
 
+def finish(base: DataFrame, as_of: str, weights: dict | None = None,
+           default_geo_need: float = L.DEFAULT_GEO_NEED, over: DataFrame | None = None) -> DataFrame:
+    """Scores of signal rows that carry their document's columns and flags.
+
+    The novelty counts are aggregates of ``over`` (all signals; by default
+    ``base`` itself), narrow columns of a stored table, so no text is matched
+    again; the planner picks their joins.
+    """
+    by_kw, by_kw_src = novelty_counts(base if over is None else over, as_of)
+    j = base.join(by_kw, "keyword_id").join(by_kw_src, ["keyword_id", "source_id"])
+    j = j.withColumn("relevance_score", relevance_expr()).withColumn("novelty_score", novelty_expr(as_of))
+    j = j.withColumn("strategic_score", strategic_expr(weights=weights, default_geo_need=default_geo_need))
+    j = j.withColumn("urgency", urgency_expr())
+    return j.select("document_id", "keyword_id", "keyword", "level", "source_id", "source_name",
+                    "title", "url", "country", "document_type", "publish_date", "scraped_at",
+                    "match_score", "match_kind", "kw_signals", "kw_recent", "kw_src_signals",
+                    "relevance_score", "novelty_score", "impact_score",
+                    "strategic_score", "urgency", *L.FLAG_NAMES)
+
+
+def signal_rows(D: DataFrame, S: DataFrame, K: DataFrame, **options) -> DataFrame:
+    """Every exact and fuzzy signal with its document's attributes, flags and
+    impact, in one pass over the texts."""
+    s = S.select("source_id", "source_name", "trust_level", "source_type")
+    m = with_hits(D, K, **options).join(s, "source_id")       # J13: missing source -> skipped
+    m = m.withColumn("country", normalize_country("country"))
+    m = m.select("document_id", "source_id", "source_name", "trust_level", "publish_date", "scraped_at",
+                 "title", "url", "country", "document_type", impact_expr().alias("impact_score"),
+                 *merged_flags(match_flags(), type_flags()), "hits")
+    cols = [c for c in m.columns if c != "hits"]
+    return signals(m, *cols).withColumn("has_flags", F.lit(True))
+
+
+def score_documents(D: DataFrame, S: DataFrame, K: DataFrame, as_of: str = L.AS_OF,
+                    weights: dict | None = None, default_geo_need: float = L.DEFAULT_GEO_NEED,
+                    **options) -> DataFrame:
+    """Tag -> flags -> score: M1-M12 over all documents. The signals are
+    stored once; counts and scores read the stored rows."""
+    sig = stored_once(signal_rows(D, S, K, **options), "signals")
+    return finish(sig, as_of, weights, default_geo_need)
+
+
 def score(G: DataFrame, D: DataFrame, K: DataFrame, S: DataFrame,
-          flags: DataFrame | None, as_of: str = L.AS_OF,
-          weights: dict | None = None, default_geo_need: float = L.DEFAULT_GEO_NEED) -> DataFrame:
-    """Score every signal of G in one plan (M9 -> N1..N3 -> M10 -> M11 -> M12).
+          flags: DataFrame | None, as_of: str = L.AS_OF, weights: dict | None = None,
+          default_geo_need: float = L.DEFAULT_GEO_NEED, already: DataFrame | None = None) -> DataFrame:
+    """Score the stored signals G (document_id, keyword_id, match_score).
 
     ``flags`` is the document-flags table; ``None`` means no flags rows exist
-    (every signal then uses the (relevance + impact) / 2 branch).
+    (every signal then uses the (relevance + impact) / 2 branch). ``already``
+    holds the keys (document_id, keyword_id) that have a score: these count
+    for novelty but are not scored again.
     """
     ds = document_side(D, S)
     k = K.select("keyword_id", "keyword", "level")
-    base = G.select("document_id", "keyword_id", "match_score") \
-            .join(ds, "document_id") \
-            .join(F.broadcast(k), "keyword_id")
-    by_kw, by_kw_src = novelty_counts(base.select("keyword_id", "source_id", "publish_date"), as_of)
-    j = base.join(F.broadcast(by_kw), "keyword_id").join(F.broadcast(by_kw_src), ["keyword_id", "source_id"])
+    kind = F.col("match_kind") if "match_kind" in G.columns else F.lit(None).cast("string")
+    base = G.select("document_id", "keyword_id", "match_score", kind.alias("match_kind")) \
+            .join(ds, "document_id").join(k, "keyword_id")
     if flags is not None:
-        j = j.join(flags.withColumn("has_flags", F.lit(True)), "document_id", "left") \
-             .withColumn("has_flags", F.coalesce(F.col("has_flags"), F.lit(False)))
-        for f in L.FLAG_NAMES:
-            j = j.withColumn(f, F.coalesce(F.col(f), F.lit(False)))
+        base = base.join(flags.withColumn("has_flags", F.lit(True)), "document_id", "left")
     else:
-        j = j.withColumn("has_flags", F.lit(False))
-        for f in L.FLAG_NAMES:
-            j = j.withColumn(f, F.lit(False))
-    j = j.withColumn("relevance_score", relevance_expr()) \
-         .withColumn("novelty_score", novelty_expr(as_of))
-    j = j.withColumn("strategic_score", strategic_expr(weights=weights, default_geo_need=default_geo_need))
-    j = j.withColumn("urgency", urgency_expr())
-    return j.select("document_id", "keyword_id", "keyword", "level", "source_id", "source_name",
-                    "title", "url", "country", "document_type", "publish_date", "scraped_at",
-                    "match_score", "relevance_score", "novelty_score", "impact_score",
-                    "strategic_score", "urgency", *L.FLAG_NAMES)
+        base = base.withColumns({f: F.lit(None).cast("boolean") for f in L.FLAG_NAMES}) \
+                   .withColumn("has_flags", F.lit(False))
+    base = base.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in (*L.FLAG_NAMES, "has_flags")})
+    new = base if already is None else base.join(
+        already.select("document_id", "keyword_id"), ["document_id", "keyword_id"], "left_anti")
+    return finish(new, as_of, weights, default_geo_need, over=base)
 
 
 def weighted_relevance(text, doc_type, weights: dict, type_bonus: dict,
@@ -180,71 +214,3 @@ def weighted_relevance(text, doc_type, weights: dict, type_bonus: dict,
     dt = F.col(doc_type) if isinstance(doc_type, str) else doc_type
     total = total + lookup(dt, type_bonus, 0.0)
     return F.least(total, F.lit(cap))
-
-
-def score_documents(D: DataFrame, S: DataFrame, terms: list[tuple], as_of: str = L.AS_OF,
-                    weights: dict | None = None, default_geo_need: float = L.DEFAULT_GEO_NEED,
-                    cap: int = L.SEARCH_TEXT_CAP, head: int = L.EXACT_HEAD_CHARS) -> DataFrame:
-    """Fused tag -> flags -> score in one narrow pass over the documents.
-
-    Same results as ``tag_exact`` + ``document_flags`` + ``score``, but the
-    per-document work (search text, hits, flags, impact) happens once per
-    document before the explode, so there is no signal x document join and
-    no flags aggregation: the only wide operations are the two tiny novelty
-    aggregates (bounded by |lexicon| x |sources|), broadcast back.
-    """
-    from ..functions.text import search_text
-    from ..session import spread
-    from .tagging import _terms_literal
-
-    s = S.select("source_id", "source_name", "trust_level", "source_type")
-    d = spread(D, "document_id").join(F.broadcast(s), "source_id")
-    st = search_text("title", "full_text", cap)
-    hits = F.filter(_terms_literal(terms), lambda t: F.col("search_text").contains(t["kw"]))
-    dt = F.lower(F.coalesce(F.col("document_type"), F.lit("")))
-    srct = F.coalesce(F.col("source_type"), F.lit(""))
-
-    def any_type(names):
-        c = F.lit(False)
-        for n in names:
-            c = c | dt.contains(n)
-        return c
-
-    def any_level(lv):
-        return F.exists("hits", lambda t: t["level"] == lv)
-
-    per_doc = d.select(
-        "document_id", "source_id", "source_name", "trust_level", "publish_date", "scraped_at",
-        "title", "url", normalize_country("country").alias("country"), "document_type",
-        "full_text", "source_type").withColumn("search_text", st).withColumn("hits", hits)
-    per_doc = per_doc.select(
-        "*",
-        (any_level(2) | srct.isin("regulatory", "hta") | any_type(L.DOC_TYPE_FLAGS["regulatory"])).alias("is_regulatory"),
-        ((srct == "scientific") | dt.isin("journal_article", "clinical_trial")).alias("is_scientific"),
-        any_level(3).alias("is_neuro"), any_level(4).alias("is_lmic"),
-        ((srct == "parliamentary") | any_type(L.DOC_TYPE_FLAGS["parliamentary"])).alias("is_parliamentary"),
-        any_level(5).alias("is_reimbursement"),
-        F.exists("hits", lambda t: t["cluster"].isin(*L.DIGA_CLUSTERS)).alias("is_diga"),
-        impact_expr().alias("impact_score"),
-        F.substring("search_text", 1, head).alias("_head"))
-    # explode_outer + NULL filter (not a size filter): keeps the matching
-    # after the spread instead of letting it be pushed into the scan task.
-    sig = per_doc.select(
-        "*", F.explode_outer("hits").alias("t")).filter(F.col("t").isNotNull()).select(
-        "document_id", "source_id", "source_name", "trust_level", "publish_date", "scraped_at",
-        "title", "url", "country", "document_type", "impact_score", *L.FLAG_NAMES,
-        F.col("t.keyword_id").alias("keyword_id"), F.col("t.kw").alias("keyword"),
-        F.col("t.level").alias("level"),
-        F.when(F.col("_head").contains(F.col("t.kw")), F.lit(L.EXACT_HEAD_SCORE))
-         .otherwise(F.lit(L.EXACT_BODY_SCORE)).alias("match_score"))
-    by_kw, by_kw_src = novelty_counts(sig.select("keyword_id", "source_id", "publish_date"), as_of)
-    j = sig.join(F.broadcast(by_kw), "keyword_id").join(F.broadcast(by_kw_src), ["keyword_id", "source_id"]) \
-           .withColumn("has_flags", F.lit(True))
-    j = j.withColumn("relevance_score", relevance_expr()) \
-         .withColumn("novelty_score", novelty_expr(as_of))
-    j = j.withColumn("strategic_score", strategic_expr(weights=weights, default_geo_need=default_geo_need))
-    j = j.withColumn("urgency", urgency_expr())
-    return j.select("document_id", "keyword_id", "keyword", "level", "source_id", "source_name",
-                    "title", "url", "country", "document_type", "publish_date", "scraped_at",
-                    "match_score", "relevance_score", "novelty_score", "impact_score",
-                    "strategic_score", "urgency", *L.FLAG_NAMES)

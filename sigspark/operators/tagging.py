@@ -1,230 +1,202 @@
 """Lexicon matching: documents x keywords -> signals, and document flags.
 
-Plan shape: the lexicon is a bounded config dimension. Up to
-``MAX_LITERAL_TERMS`` active terms it is inlined as a literal array and
-matched with ``filter`` + ``explode`` inside one narrow stage (no join, no
-shuffle, whole-stage codegen around the scan). Beyond that it goes to an
-Aho-Corasick automaton per partition (``mapInPandas``), shipped once per
-executor as a broadcast variable.
+Plan shape: the lexicon, whatever its size, is one array in one row that is
+joined to the documents once. All matching happens inside a document's row:
+exact hits are a ``filter`` over the terms, fuzzy hits compare the row's own
+word windows. No window rows, no shuffle; the flags that matches and types
+set are expressions of the same row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions.text import indel_ratio_bounded, search_text, words
+from ..functions.text import fuzzy_possible, indel_ratio, search_text, words
 from ..session import spread
 
-MAX_LITERAL_TERMS = 2000
+SIGNAL_COLS = ("document_id", "keyword_id", "match_score", "match_kind")
 
 
-def active_terms(K: DataFrame, max_terms: int = 100_000) -> list[tuple]:
-    """Collect the active lexicon (size checked first: it is a config dim)."""
+def lexicon_row(K: DataFrame) -> DataFrame:
+    """The active lexicon as one row: an array of its terms in id order."""
+    kw = F.lower("keyword")
     act = K.filter(F.coalesce(F.col("active"), F.lit(True)))
-    n = act.limit(max_terms + 1).count()
-    if n > max_terms:
-        raise ValueError(f"lexicon has more than {max_terms} active terms")
-    rows = act.select("keyword_id", "keyword", "level", "cluster").collect()
-    return [(r.keyword_id, r.keyword.lower(), r.level, r.cluster) for r in rows]
-
-
-def with_search_text(D: DataFrame, cap: int = L.SEARCH_TEXT_CAP,
-                     body_col: str = "full_text") -> DataFrame:
-    return D.withColumn("search_text", search_text("title", body_col, cap))
-
-
-def _terms_literal(terms: list[tuple]):
-    return F.array(*[
-        F.struct(F.lit(k).cast("int").alias("keyword_id"), F.lit(w).alias("kw"),
-                 F.lit(lv).cast("int").alias("level"), F.lit(c).alias("cluster"))
-        for k, w, lv, c in terms])
-
-
-def match_terms(docs: DataFrame, terms: list[tuple], text_col: str = "search_text") -> DataFrame:
-    """One row per (document, contained term); non-equi containment join."""
-    if not terms:
-        return docs.limit(0).withColumn("t", F.lit(None))
-    if len(terms) > MAX_LITERAL_TERMS:
-        return _match_terms_automaton(docs, terms, text_col)
-    hits = F.filter(_terms_literal(terms), lambda t: F.col(text_col).contains(t["kw"]))
-    # explode_outer + NULL filter: an inner explode would let the optimizer
-    # infer size(hits) > 0 and push the whole match below the spread
-    # (into the single scan task); this keeps matching on all cores.
-    return docs.withColumn("t", F.explode_outer(hits)).filter(F.col("t").isNotNull())
-
-
-def _match_terms_automaton(docs: DataFrame, terms: list[tuple], text_col: str) -> DataFrame:
-    """Large-lexicon path: Aho-Corasick over each Arrow batch."""
-    import ahocorasick  # baked into the image
-    spark = docs.sparkSession
-    bterms = spark.sparkContext.broadcast(terms)
-    key_cols = [c for c in docs.columns]
-    out_schema = docs.select(*key_cols).schema.add("_ti", "int")
-
-    def run(batches):
-        import pandas as pd
-        A = ahocorasick.Automaton()
-        by_kw: dict[str, list[int]] = {}
-        for i, (_, w, _, _) in enumerate(bterms.value):
-            by_kw.setdefault(w, []).append(i)
-        for w, idx in by_kw.items():
-            A.add_word(w, idx)
-        A.make_automaton()
-        for pdf in batches:
-            rows, ti = [], []
-            for r, txt in enumerate(pdf[text_col].tolist()):
-                if not txt:
-                    continue
-                seen = set()
-                for _, idx in A.iter(txt):
-                    for i in idx:
-                        if i not in seen:
-                            seen.add(i)
-                            rows.append(r)
-                            ti.append(i)
-            out = pdf.iloc[rows].reset_index(drop=True)
-            out["_ti"] = pd.Series(ti, dtype="int32")
-            yield out
-
-    matched = docs.mapInPandas(run, out_schema)
-    tdf = spark.createDataFrame(
-        [(i, k, w, lv, c) for i, (k, w, lv, c) in enumerate(terms)],
-        "_ti int, keyword_id int, kw string, level int, cluster string")
-    return matched.join(F.broadcast(tdf), "_ti").withColumn(
-        "t", F.struct("keyword_id", "kw", "level", "cluster")).drop(
-        "_ti", "keyword_id", "kw", "level", "cluster")
-
-
-def tag_exact(D: DataFrame, K: DataFrame, head: int = L.EXACT_HEAD_CHARS,
-              cap: int = L.SEARCH_TEXT_CAP, terms: list[tuple] | None = None) -> DataFrame:
-    """M1: exact lower-case substring hits; 9.5 inside the head, else 8.0."""
-    terms = active_terms(K) if terms is None else terms
-    docs = spread(with_search_text(D, cap).select("document_id", "search_text"), "document_id")
-    m = match_terms(docs, terms)
-    head_txt = F.substring("search_text", 1, head)
-    return m.select(
-        "document_id",
-        F.col("t.keyword_id").alias("keyword_id"),
-        F.when(head_txt.contains(F.col("t.kw")), F.lit(L.EXACT_HEAD_SCORE))
-         .otherwise(F.lit(L.EXACT_BODY_SCORE)).alias("match_score"),
-        F.lit("exact").alias("match_kind"),
-    )
-
-
-def tag_fuzzy(D: DataFrame, K: DataFrame, threshold: float = L.FUZZY_THRESHOLD,
-              cap: int = L.SEARCH_TEXT_CAP, max_words: int = L.FUZZY_MAX_WORDS,
-              terms: list[tuple] | None = None, exact: DataFrame | None = None) -> DataFrame:
-    """M2: for terms of >= 3 words that did not hit exactly, compare the
-    non-overlapping n-word windows (start 0, step n, first ``max_words``
-    words) with the term; the first window with ratio >= threshold wins and
-    scores ratio/100*7.
-
-    Windows are generated per (document, term) with ``posexplode``; the
-    quadratic ratio only runs on windows passing the exact length and
-    Levenshtein bounds. The result is one row per (document, term).
+    term = F.struct(F.col("keyword_id").cast("int").alias("keyword_id"), kw.alias("kw"),
+                    F.size(words(kw)).alias("n"), F.col("level").cast("int").alias("level"), "cluster")
+    return act.agg(F.sort_array(F.collect_list(term)).alias("terms"))
+
+
+def _hit(t: Column, score: Column, kind: str) -> Column:
+    return F.struct(t["keyword_id"].alias("keyword_id"), t["kw"].alias("kw"), t["level"].alias("level"),
+                    t["cluster"].alias("cluster"), score.alias("match_score"), F.lit(kind).alias("match_kind"))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, not once per use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def exact_hits(text: Column, terms: Column, head: int = L.EXACT_HEAD_CHARS) -> Column:
+    """M1: terms contained in the text; 9.5 inside its head, else 8.0."""
+    return F.transform(
+        F.filter(terms, lambda t: text.contains(t["kw"])),
+        lambda t: _hit(t, F.when(F.substring(text, 1, head).contains(t["kw"]), F.lit(L.EXACT_HEAD_SCORE))
+                       .otherwise(F.lit(L.EXACT_BODY_SCORE)), "exact"))
+
+
+def fuzzy_hits(text: Column, terms: Column, threshold: float = L.FUZZY_THRESHOLD,
+               max_words: int | None = None) -> Column:
+    """M2: for terms of three words or more without an exact hit, the first
+    non-overlapping window of as many words (start 0, step n) whose ratio
+    reaches the threshold; it scores ratio / 100 * 7.
+
+    ``max_words`` limits the words that are looked at (off by default).
     """
-    terms = active_terms(K) if terms is None else terms
-    long_terms = [t for t in terms if len(t[1].split()) >= L.FUZZY_MIN_TERM_WORDS]
-    if not long_terms:
-        return D.sparkSession.createDataFrame(
-            [], "document_id bigint, keyword_id int, match_score double, match_kind string")
-    docs = spread(with_search_text(D, cap).select("document_id", "search_text"), "document_id")
-    lit_terms = F.array(*[
-        F.struct(F.lit(k).cast("int").alias("keyword_id"), F.lit(w).alias("kw"),
-                 F.lit(len(w.split())).alias("n"))
-        for k, w, _, _ in long_terms])
-    # Exact miss: the term is not contained in the search text.
-    pairs = docs.select(
-        "document_id",
-        words("search_text").alias("ws"),
-        F.explode_outer(F.filter(lit_terms, lambda t: ~F.col("search_text").contains(t["kw"]))).alias("t")) \
-        .filter(F.col("t").isNotNull())
-    lim = F.least(F.size("ws"), F.lit(max_words)) - F.col("t.n")
-    starts = F.when(lim >= 0, F.sequence(F.lit(0), lim, F.col("t.n"))) \
-              .otherwise(F.array().cast("array<int>"))
-    win = pairs.select(
-        "document_id", "t", "ws", F.posexplode(starts).alias("w_pos", "w_start"))
-    win = win.select(
-        "document_id", F.col("t.keyword_id").alias("keyword_id"), F.col("t.kw").alias("kw"),
-        "w_pos", F.array_join(F.slice("ws", F.col("w_start") + 1, F.col("t.n")), " ").alias("chunk"))
-    scored = win.withColumn("ratio", indel_ratio_bounded("kw", "chunk", threshold)) \
-                .filter(F.col("ratio") >= threshold)
-    first = scored.groupBy("document_id", "keyword_id").agg(
-        F.min_by("ratio", "w_pos").alias("ratio"))
-    out = first.select(
-        "document_id", "keyword_id",
-        (F.col("ratio") / 100.0 * L.FUZZY_SCALE).alias("match_score"),
-        F.lit("fuzzy").alias("match_kind"))
-    return out
+    def ratio(t, ws):
+        size = F.least(F.size(ws), F.lit(max_words)) if max_words else F.size(ws)
+        lim = size - t["n"]
+        starts = F.when(lim >= 0, F.sequence(F.lit(0), lim, t["n"])).otherwise(F.array().cast("array<int>"))
+        chunks = F.transform(starts, lambda s: F.array_join(F.slice(ws, s + 1, t["n"]), " "))
+        near = F.filter(chunks, lambda c: fuzzy_possible(t["kw"], c, threshold))
+        good = F.filter(F.transform(near, lambda c: indel_ratio(t["kw"], c)), lambda r: r >= threshold)
+        return _hit(t, F.get(good, 0) / 100.0 * L.FUZZY_SCALE, "fuzzy")
 
+    long_miss = F.filter(terms, lambda t: (t["n"] >= L.FUZZY_MIN_TERM_WORDS) & ~text.contains(t["kw"]))
+    hits = _bind(words(text), lambda ws: F.transform(long_miss, lambda t: ratio(t, ws)))
+    return F.filter(hits, lambda h: h["match_score"].isNotNull())
 
-def tag(D: DataFrame, K: DataFrame, threshold: float = L.FUZZY_THRESHOLD,
-        fuzzy: bool = True) -> DataFrame:
-    """M4: signals = exact hits union fuzzy hits, one row per (doc, keyword)."""
-    terms = active_terms(K)
-    ex = tag_exact(D, K, terms=terms)
-    if not fuzzy:
-        g = ex
-    else:
-        g = ex.unionByName(tag_fuzzy(D, K, threshold, terms=terms))
-    return g.select(
-        "document_id", "keyword_id", "match_score", "match_kind",
-        F.lit("neutral").alias("sentiment"))
 
+def with_hits(docs: DataFrame, K: DataFrame, exact: bool = True, fuzzy: bool = True,
+              threshold: float = L.FUZZY_THRESHOLD, cap: int | None = None,
+              max_words: int | None = None, head: int = L.EXACT_HEAD_CHARS,
+              partitions: int | None = None) -> DataFrame:
+    """``docs`` with ``hits``: every exact and fuzzy match of a document."""
+    d = spread(docs, "document_id", partitions).crossJoin(F.broadcast(lexicon_row(K)))  # one row
+    terms = F.col("terms")
 
-def flags_from_matches(G: DataFrame, K: DataFrame) -> DataFrame:
-    """M5: keyword level / cluster -> flags, OR-ed per document."""
-    k = K.select("keyword_id", "level", "cluster")
-    j = G.select("document_id", "keyword_id").join(F.broadcast(k), "keyword_id")
-    aggs = [F.bool_or(F.col("level") == lv).alias(name) for lv, name in L.LEVEL_FLAGS.items()]
-    aggs.append(F.bool_or(F.col("cluster").isin(*L.DIGA_CLUSTERS)).alias("is_diga"))
-    return j.groupBy("document_id").agg(*aggs)
+    def hits(text):
+        parts = [exact_hits(text, terms, head)] if exact else []
+        if fuzzy:
+            parts.append(fuzzy_hits(text, terms, threshold, max_words))
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
 
+    return d.withColumn("hits", _bind(search_text("title", "full_text", cap), hits)).drop("terms")
+
+
+def signals(matched: DataFrame, *cols: str) -> DataFrame:
+    """One row per hit: the given columns and the hit's fields."""
+    return matched.select(*cols, F.explode("hits").alias("t")).select(
+        *cols, "t.keyword_id", F.col("t.kw").alias("keyword"), "t.level", "t.cluster",
+        "t.match_score", "t.match_kind")
+
+
+def tag_exact(D: DataFrame, K: DataFrame, **options) -> DataFrame:
+    """M1: exact lower-case substring hits."""
+    return signals(with_hits(D, K, fuzzy=False, **options), "document_id").select(*SIGNAL_COLS)
+
+
+def tag_fuzzy(D: DataFrame, K: DataFrame, **options) -> DataFrame:
+    """M2: fuzzy hits of terms of three words or more."""
+    return signals(with_hits(D, K, exact=False, **options), "document_id").select(*SIGNAL_COLS)
+
+
+def tag(D: DataFrame, K: DataFrame, fuzzy: bool = True, **options) -> DataFrame:
+    """M4: signals = exact hits and fuzzy hits, one row per (doc, keyword)."""
+    g = signals(with_hits(D, K, fuzzy=fuzzy, **options), "document_id").select(*SIGNAL_COLS)
+    return g.withColumn("sentiment", F.lit("neutral"))
 
-def flags_from_type(D: DataFrame, S: DataFrame) -> DataFrame:
-    """M6: flags from document type and source type (lower-cased type)."""
-    st = F.coalesce(F.col("source_type"), F.lit(""))
-    dt = F.lower(F.coalesce(F.col("document_type"), F.lit("")))
+
+# ------------------------------------------------------------------ flags --
+def match_flags(hits: str = "hits") -> dict[str, Column]:
+    """M5: flags that a row's matches set."""
+    def level(lv):
+        return F.exists(hits, lambda t: t["level"] == lv)
+
+    out = {name: level(lv) for lv, name in L.LEVEL_FLAGS.items()}
+    out["is_diga"] = F.exists(hits, lambda t: t["cluster"].isin(*L.DIGA_CLUSTERS))
+    return out
+
+
+def type_flags(doc_type: str = "document_type", source_type: str = "source_type") -> dict[str, Column]:
+    """M6: flags that a row's document type and source type set."""
+    st = F.coalesce(F.col(source_type), F.lit(""))
+    dt = F.lower(F.coalesce(F.col(doc_type), F.lit("")))
 
     def any_in(terms):
-        c = None
+        c = F.lit(False)
         for t in terms:
-            x = dt.contains(t)
-            c = x if c is None else (c | x)
+            c = c | dt.contains(t)
         return c
-    j = D.select("document_id", "source_id", "document_type").join(
-        F.broadcast(S.select("source_id", "source_type")), "source_id", "left")
-    return j.select(
-        "document_id",
-        ((st == "scientific") | dt.isin("journal_article", "clinical_trial")).alias("is_scientific"),
-        (st.isin("regulatory", "hta") | any_in(L.DOC_TYPE_FLAGS["regulatory"])).alias("is_regulatory"),
-        ((st == "parliamentary") | any_in(L.DOC_TYPE_FLAGS["parliamentary"])).alias("is_parliamentary"),
-    )
 
+    return {"is_scientific": (st == "scientific") | dt.isin("journal_article", "clinical_trial"),
+            "is_regulatory": st.isin("regulatory", "hta") | any_in(L.DOC_TYPE_FLAGS["regulatory"]),
+            "is_parliamentary": (st == "parliamentary") | any_in(L.DOC_TYPE_FLAGS["parliamentary"])}
 
-def merge_flags(*parts: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """M8: OR over every source of truth; missing flag = false.
 
-    ``docs`` (document ids) gives every stored document its default
-    all-false row, as storing a document does.
+def child_flags(kind: str = "child_kind", neuro: str = "child_neuro", digital: str = "child_digital",
+                title: str = "title", text: str = "full_text") -> dict[str, Column]:
+    """M7: flags that a document's child record sets.
+
+    ``kind``: decision (reimbursement and regulatory; diga if digital, neuro
+    if so marked), app (regulatory, reimbursement and diga; neuro if so
+    marked) or paper (parliamentary; diga and reimbursement by terms in its
+    title and text); null where there is no child record.
     """
-    cols = list(L.FLAG_NAMES)
-    norm = []
-    for p in parts + ((docs.select("document_id"),) if docs is not None else ()):
-        norm.append(p.select("document_id", *[
-            (F.col(c) if c in p.columns else F.lit(False)).alias(c) for c in cols]))
-    u = norm[0]
-    for p in norm[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("document_id").agg(
-        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in cols])
+    k = F.col(kind)
+    both = F.lower(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
+
+    def any_in(terms):
+        c = F.lit(False)
+        for t in terms:
+            c = c | both.contains(t)
+        return c
 
+    decision, app, paper = k.eqNullSafe("decision"), k.eqNullSafe("app"), k.eqNullSafe("paper")
+    yes = {c: F.coalesce(F.col(c), F.lit(False)) for c in (neuro, digital)}
+    return {"is_regulatory": decision | app, "is_parliamentary": paper,
+            "is_reimbursement": decision | app | (paper & any_in(L.PAPER_REIMBURSEMENT_TERMS)),
+            "is_diga": app | (decision & yes[digital]) | (paper & any_in(L.PAPER_DIGA_TERMS)),
+            "is_neuro": (decision | app) & yes[neuro]}
+
+
+def merged_flags(*parts: dict[str, Column]) -> list[Column]:
+    """M8: each flag is set if any part sets it; a missing one is false."""
+    out = []
+    for name in L.FLAG_NAMES:
+        c = F.lit(False)
+        for p in parts:
+            if name in p:
+                c = c | F.coalesce(p[name], F.lit(False))
+        out.append(c.alias(name))
+    return out
+
+
+def with_source_type(D: DataFrame, S: DataFrame) -> DataFrame:
+    return D.join(S.select("source_id", "source_type"), "source_id", "left")
+
+
+def document_flags(D: DataFrame, S: DataFrame, K: DataFrame, children: bool = False, **options) -> DataFrame:
+    """Flags of every document: matches, type rules and (``children``: D has
+    child_kind, child_neuro, child_digital) child records, in one row pass."""
+    cols = ["document_id", "source_type", "document_type", "hits"]
+    if children:
+        cols += ["title", "full_text", "child_kind", "child_neuro", "child_digital"]
+    m = with_source_type(with_hits(D, K, **options), S).select(*cols)
+    parts = [match_flags(), type_flags()] + ([child_flags()] if children else [])
+    return m.select("document_id", *merged_flags(*parts))
 
-def document_flags(D: DataFrame, S: DataFrame, G: DataFrame, K: DataFrame) -> DataFrame:
-    """Flags of every tagged document: matches OR type/source rules."""
-    return merge_flags(flags_from_matches(G, K), flags_from_type(D, S))
+
+def flags_from_matches(D: DataFrame, K: DataFrame, **options) -> DataFrame:
+    """M5: flags of documents with a match."""
+    m = with_hits(D, K, **options).filter(F.size("hits") > 0)
+    return m.select("document_id", *[c.alias(n) for n, c in match_flags().items()])
+
+
+def flags_from_type(D: DataFrame, S: DataFrame) -> DataFrame:
+    """M6: flags from document type and source type (lower-cased type)."""
+    return with_source_type(D, S).select("document_id", *[c.alias(n) for n, c in type_flags().items()])
 
 
 def normalize_country(c, aliases: dict | None = None):
@@ -235,6 +207,6 @@ def normalize_country(c, aliases: dict | None = None):
     return F.when(c.isNull() | (c == ""), c).otherwise(F.coalesce(m[F.lower(c)], c))
 
 
-def untagged(D: DataFrame, G: DataFrame) -> DataFrame:
+def untagged(D: DataFrame, K: DataFrame, **options) -> DataFrame:
     """Documents without any signal."""
-    return D.join(G.select("document_id").distinct(), "document_id", "left_anti")
+    return with_hits(D, K, **options).filter(F.size("hits") == 0).drop("hits")

@@ -253,7 +253,7 @@ def notes_after_delete(spark, sf_dir):
 SELECT 'immediate' AS kind, substr(title, 1, 80) AS subject, CAST(1 AS BIGINT) AS n_signals FROM sel
 WHERE strategic_score >= 8.0
 UNION ALL
-SELECT 'digest', 'Daily Intelligence Digest (' || CAST(count(*) AS VARCHAR) || ' signals)', count(*)
+SELECT 'digest', 'Signals of this run: ' || CAST(count(*) AS VARCHAR), count(*)
 FROM sel WHERE strategic_score < 8.0 HAVING count(*) > 0""")
 def alert_rows(spark, sf_dir):
     """K7: one row per immediate alert plus one digest row."""

@@ -35,28 +35,19 @@ class Model:
     def K(self) -> DataFrame:
         return B.lexicon_view(self.spark)
 
-    @cached_property
-    def terms(self) -> list[tuple]:
-        return tagging.active_terms(self.K)
-
     @cached_property
     def G(self) -> DataFrame:
-        """Signals: exact tagging of D with K."""
-        return tagging.tag_exact(self.D, self.K, terms=self.terms)
+        """Signals: exact and fuzzy tagging of D with K."""
+        return tagging.tag(self.D, self.K)
 
     @cached_property
     def flags(self) -> DataFrame:
-        return tagging.document_flags(self.D, self.S, self.G, self.K)
+        return tagging.document_flags(self.D, self.S, self.K)
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Tag -> flags -> score fused in one pass (see scoring.score_documents);
-        equal to scoring.score(G, D, K, S, flags) on the same inputs."""
-        return scoring.score_documents(self.D, self.S, self.terms, self.as_of)
-
-    @cached_property
-    def scored_unfused(self) -> DataFrame:
-        return scoring.score(self.G, self.D, self.K, self.S, self.flags, self.as_of)
+        """Tag -> flags -> score (see scoring.score_documents)."""
+        return scoring.score_documents(self.D, self.S, self.K, self.as_of)
 
 
 def model(spark: SparkSession, sf_dir: str, as_of: str = L.AS_OF) -> Model:

@@ -9,6 +9,7 @@ from .. import lexicon as L
 from ..bindings import notes_view, read, trends_view
 from ..functions.text import clean_url, content_hash, html_title
 from ..operators import relational as RL
+from ..operators import tagging
 from . import sqlviews as V
 from .model import model
 from .registry import register
@@ -138,7 +139,9 @@ WHERE f.is_regulatory ORDER BY d.publish_date DESC NULLS FIRST, d.document_id LI
 def newest_regulatory(spark, sf_dir):
     """T1 + J2: 50 newest regulatory documents (NULL dates first)."""
     m = model(spark, sf_dir)
-    d = RL.by_flag(m.Dn, m.flags, "is_regulatory")
+    d = tagging.with_source_type(tagging.with_hits(m.Dn, m.K), m.S)
+    flags = tagging.merged_flags(tagging.match_flags(), tagging.type_flags())
+    d = d.select("document_id", "title", "publish_date", *flags).filter("is_regulatory")
     return RL.newest(d, 50).select("document_id", "title", "publish_date")
 
 
@@ -336,7 +339,8 @@ def high_signal_count(spark, sf_dir):
 SELECT count(*) AS n_docs FROM f_flags WHERE is_scientific""")
 def scientific_docs(spark, sf_dir):
     """flag equality."""
-    return model(spark, sf_dir).flags.filter("is_scientific").agg(F.count(F.lit(1)).alias("n_docs"))
+    m = model(spark, sf_dir)
+    return tagging.flags_from_type(m.D, m.S).filter("is_scientific").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 # ------------------------------------------------------------ joins --

@@ -47,44 +47,40 @@ def top_signals(spark, sf_dir, min_score: float = 5.0, n: int = 10):
           + "SELECT document_id, keyword_id, match_score FROM g_exact")
 def q_tag_exact(spark, sf_dir):
     m = model(spark, sf_dir)
-    return m.G.select("document_id", "keyword_id", "match_score")
+    return tagging.tag_exact(m.D, m.K).select("document_id", "keyword_id", "match_score")
 
 
-@register("signals_per_keyword", V.with_(V.D_DOCS, V.k_lex(), V.D_SEARCH, V.G_EXACT) + """
+@register("signals_per_keyword", V.with_(*V.SIGNAL_CHAIN) + """
 SELECT k.keyword_id, k.keyword, count(g.document_id) AS n_signals,
        count(*) FILTER (WHERE g.match_score = 9.5) AS n_head
-FROM k_lex k LEFT JOIN g_exact g USING (keyword_id) GROUP BY k.keyword_id, k.keyword""")
+FROM k_lex k LEFT JOIN g_sig g USING (keyword_id) GROUP BY k.keyword_id, k.keyword""")
 def signals_per_keyword(spark, sf_dir):
     m = model(spark, sf_dir)
     agg = m.G.groupBy("keyword_id").agg(F.count(F.lit(1)).alias("n_signals"),
                                         F.count_if(F.col("match_score") == 9.5).alias("n_head"))
-    return m.K.select("keyword_id", "keyword").join(F.broadcast(agg), "keyword_id", "left") \
+    return m.K.select("keyword_id", "keyword").join(agg, "keyword_id", "left") \
               .select("keyword_id", "keyword", F.coalesce("n_signals", F.lit(0)).alias("n_signals"),
                       F.coalesce("n_head", F.lit(0)).alias("n_head"))
 
 
-@register("document_flags", V.with_(V.D_DOCS, V.S_SRC, V.k_lex(), V.D_SEARCH, V.G_EXACT,
-                                    V.G_SIG_EXACT, V.FLAGS) + "SELECT * FROM f_flags")
+@register("document_flags", V.with_(*V.SIGNAL_CHAIN, V.FLAGS) + "SELECT * FROM f_flags")
 def q_document_flags(spark, sf_dir):
     return model(spark, sf_dir).flags
 
 
-@register("flags_from_matches", V.with_(V.D_DOCS, V.S_SRC, V.k_lex(), V.D_SEARCH, V.G_EXACT,
-                                        V.G_SIG_EXACT, V.FLAGS) + "SELECT * FROM f_match")
+@register("flags_from_matches", V.with_(*V.SIGNAL_CHAIN, V.FLAGS) + "SELECT * FROM f_match")
 def q_flags_from_matches(spark, sf_dir):
     m = model(spark, sf_dir)
-    return tagging.flags_from_matches(m.G, m.K)
+    return tagging.flags_from_matches(m.D, m.K)
 
 
-@register("flags_from_type", V.with_(V.D_DOCS, V.S_SRC, V.k_lex(), V.D_SEARCH, V.G_EXACT,
-                                     V.G_SIG_EXACT, V.FLAGS) + "SELECT * FROM f_type")
+@register("flags_from_type", V.with_(*V.SIGNAL_CHAIN, V.FLAGS) + "SELECT * FROM f_type")
 def q_flags_from_type(spark, sf_dir):
     m = model(spark, sf_dir)
     return tagging.flags_from_type(m.D, m.S)
 
 
-@register("flag_counts", V.with_(V.D_DOCS, V.S_SRC, V.k_lex(), V.D_SEARCH, V.G_EXACT,
-                                 V.G_SIG_EXACT, V.FLAGS) + "SELECT "
+@register("flag_counts", V.with_(*V.SIGNAL_CHAIN, V.FLAGS) + "SELECT "
           + ", ".join(f"count(*) FILTER (WHERE {f}) AS n_{f}" for f in L.FLAG_NAMES)
           + ", count(*) AS n_docs FROM f_flags")
 def flag_counts(spark, sf_dir):
@@ -120,14 +116,9 @@ SELECT document_id, keyword_id, kw.kw_signals, kw.kw_recent, ks.kw_src_signals,
        {rnd_sql("novelty_score", R)} AS novelty_score
 FROM scored JOIN sc_kw kw USING (keyword_id) JOIN sc_kws ks USING (keyword_id, source_id)""")
 def q_novelty(spark, sf_dir):
-    from ..operators.scoring import document_side, novelty_counts, novelty_expr
-    m = model(spark, sf_dir)
-    base = m.G.select("document_id", "keyword_id").join(
-        document_side(m.D, m.S).select("document_id", "source_id", "publish_date"), "document_id")
-    by_kw, by_kw_src = novelty_counts(base, m.as_of)
-    j = base.join(F.broadcast(by_kw), "keyword_id").join(F.broadcast(by_kw_src), ["keyword_id", "source_id"])
-    return j.select("document_id", "keyword_id", "kw_signals", "kw_recent", "kw_src_signals",
-                    rnd(novelty_expr(m.as_of), R).alias("novelty_score"))
+    sc = model(spark, sf_dir).scored
+    return sc.select("document_id", "keyword_id", "kw_signals", "kw_recent", "kw_src_signals",
+                     rnd("novelty_score", R).alias("novelty_score"))
 
 
 @register("urgency_counts", V.with_(*V.SCORED_CHAIN)
@@ -136,12 +127,12 @@ def urgency_counts(spark, sf_dir):
     return model(spark, sf_dir).scored.groupBy("urgency").agg(F.count(F.lit(1)).alias("n_signals"))
 
 
-@register("untagged_documents", V.with_(V.D_DOCS, V.k_lex(), V.D_SEARCH, V.G_EXACT) + """
+@register("untagged_documents", V.with_(*V.SIGNAL_CHAIN) + """
 SELECT document_id, title FROM d_docs d
-WHERE NOT EXISTS (SELECT 1 FROM g_exact g WHERE g.document_id = d.document_id)""")
+WHERE NOT EXISTS (SELECT 1 FROM g_sig g WHERE g.document_id = d.document_id)""")
 def untagged_documents(spark, sf_dir):
     m = model(spark, sf_dir)
-    return tagging.untagged(m.D, m.G).select("document_id", "title")
+    return tagging.untagged(m.D, m.K).select("document_id", "title")
 
 
 @register("country_normalized", V.with_(V.D_DOCS) + f"""
@@ -196,6 +187,49 @@ def q_alert_digest(spark, sf_dir):
     return AL.digest(AL.select_alerts(m.scored, m.as_of))
 
 
+CHILD_KINDS = f"""c_docs AS (
+  SELECT *, CASE document_id % 4 WHEN 0 THEN 'decision' WHEN 1 THEN 'app' WHEN 2 THEN 'paper' END AS child_kind,
+         document_id % 3 = 0 AS child_neuro, document_id % 5 = 0 AS child_digital,
+         lower(coalesce(title, '') || ' ' || coalesce(full_text, '')) AS both_text
+  FROM d_docs),
+f_child AS (
+  SELECT document_id,
+         coalesce(child_kind IN ('decision', 'app'), FALSE) AS is_regulatory,
+         coalesce(child_kind = 'paper', FALSE) AS is_parliamentary,
+         coalesce(child_kind IN ('decision', 'app')
+                  OR child_kind = 'paper' AND {V._contains_any('both_text', L.PAPER_REIMBURSEMENT_TERMS)}, FALSE) AS is_reimbursement,
+         coalesce(child_kind = 'app' OR child_kind = 'decision' AND child_digital
+                  OR child_kind = 'paper' AND {V._contains_any('both_text', L.PAPER_DIGA_TERMS)}, FALSE) AS is_diga,
+         coalesce(child_kind IN ('decision', 'app') AND child_neuro, FALSE) AS is_neuro
+  FROM c_docs)"""
+
+
+def _with_children(d):
+    """D with the child record of a document (a decision, an app or a paper)."""
+    i = F.col("document_id")
+    kind = F.when(i % 4 == 0, "decision").when(i % 4 == 1, "app").when(i % 4 == 2, "paper")
+    return d.withColumns({"child_kind": kind, "child_neuro": i % 3 == 0, "child_digital": i % 5 == 0})
+
+
+@register("flags_from_children", V.with_(V.D_DOCS, CHILD_KINDS) + "SELECT * FROM f_child")
+def q_flags_from_children(spark, sf_dir):
+    """M7: flags that child records set."""
+    d = _with_children(model(spark, sf_dir).D)
+    return d.select("document_id", *[c.alias(n) for n, c in tagging.child_flags().items()])
+
+
+@register("flags_merged", V.with_(*V.SIGNAL_CHAIN, V.FLAGS, CHILD_KINDS) + """
+SELECT document_id, f.is_regulatory OR c.is_regulatory AS is_regulatory, f.is_scientific,
+       f.is_neuro OR c.is_neuro AS is_neuro, f.is_lmic,
+       f.is_parliamentary OR c.is_parliamentary AS is_parliamentary,
+       f.is_reimbursement OR c.is_reimbursement AS is_reimbursement, f.is_diga OR c.is_diga AS is_diga
+FROM f_flags f JOIN f_child c USING (document_id)""")
+def q_flags_merged(spark, sf_dir):
+    """M8: matches, types and child records merged."""
+    m = model(spark, sf_dir)
+    return tagging.document_flags(_with_children(m.D), m.S, m.K, children=True)
+
+
 @register("alerts_window_docs", V.with_(V.D_DOCS) + f"""
 SELECT count(*) AS n_docs FROM d_docs
 WHERE scraped_at >= {V.AS_OF} - INTERVAL {L.ALERT_LOOKBACK_HOURS} HOUR""")
@@ -216,7 +250,7 @@ def _full_k(spark):
     return lexicon_view(spark, FULL_LEXICON)
 
 
-@register("tag_fuzzy", V.with_(V.D_DOCS, V.k_lex(FULL_LEXICON, "k_all"), V.D_SEARCH, V.fuzzy_ctes("k_all"))
+@register("tag_fuzzy", V.with_(V.D_DOCS, V.k_lex(FULL_LEXICON, "k_all"), V.D_SEARCH, V.fuzzy_ctes("k_all", every=True))
           + f"SELECT document_id, keyword_id, {rnd_sql('match_score', R)} AS match_score FROM g_fuzzy")
 def q_tag_fuzzy(spark, sf_dir):
     m = model(spark, sf_dir)

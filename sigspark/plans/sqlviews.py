@@ -38,7 +38,7 @@ D_DOCS = f"""d_docs AS (
   SELECT doc_id AS document_id,
          CAST(substr(source, 4) AS INTEGER) AS source_id,
          source || '-' || CAST(doc_id AS VARCHAR) AS external_id,
-         substr(text, 1, 80) AS title,
+         split_part(split_part(text, chr(10), 1), '.', 1) AS title,
          'doc/' || CAST(doc_id AS VARCHAR) AS url,
          CASE WHEN doc_id % 17 = 0 THEN NULL
               ELSE DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) END AS publish_date,
@@ -46,7 +46,8 @@ D_DOCS = f"""d_docs AS (
          lang AS language,
          text AS full_text,
          {case_pick('doc_id % 10', L.TEST_COUNTRIES)} AS country,
-         {case_pick('doc_id % 8', L.TEST_DOC_TYPES)} AS document_type
+         {case_pick('doc_id % 8', L.TEST_DOC_TYPES)} AS document_type,
+         source, n_chars
   FROM documents)"""
 
 S_SRC = f"""s_src AS (
@@ -70,7 +71,7 @@ def k_lex(rows=None, name: str = "k_lex") -> str:
 D_SEARCH = f"""d_search AS (
   SELECT document_id,
          lower(coalesce(title, '') || CASE WHEN full_text IS NOT NULL AND full_text <> ''
-                                      THEN ' ' || substr(full_text, 1, {L.SEARCH_TEXT_CAP}) ELSE '' END) AS search_text
+                                      THEN ' ' || full_text ELSE '' END) AS search_text
   FROM d_docs)"""
 
 G_EXACT = f"""g_exact AS (
@@ -86,6 +87,8 @@ def country_norm(expr: str) -> str:
 
 
 def _contains_any(expr: str, terms) -> str:
+    if not terms:
+        return "FALSE"
     return "(" + " OR ".join(f"contains({expr}, {q(t)})" for t in terms) + ")"
 
 
@@ -204,11 +207,6 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-# Standard chain: docs, sources, lexicon, exact signals, flags, scores.
-G_SIG_EXACT = "g_sig AS (SELECT document_id, keyword_id, match_score FROM g_exact)"
-SCORED_CHAIN = (D_DOCS, S_SRC, k_lex(), D_SEARCH, G_EXACT, G_SIG_EXACT, D_SIDE, FLAGS, SCORED)
-
-
 def lcs_sql(a: str, b: str) -> str:
     """LCS length by row DP (DuckDB lambdas); mirrors functions.text.lcs_length."""
     return (f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE list_reduce(range(1, length({a}) + 1), "
@@ -218,9 +216,15 @@ def lcs_sql(a: str, b: str) -> str:
             f"list_resize([0], length({b}) + 1, 0))[length({b}) + 1] END")
 
 
-def fuzzy_ctes(lex_name: str = "k_all", threshold: float = L.FUZZY_THRESHOLD) -> str:
-    """Fuzzy windows -> first window with ratio >= threshold (M2/M3)."""
-    budget = f"CAST(floor((1.0 - {threshold} / 100.0) * (length(kw) + length(chunk)) + 1e-9) AS INTEGER)"
+def fuzzy_ctes(lex_name: str = "k_lex", threshold: float = L.FUZZY_THRESHOLD, every: bool = False) -> str:
+    """Fuzzy windows -> first window with ratio >= threshold (M2/M3).
+
+    ``every``: the ratio of every different (term, window) is computed unless
+    the lengths alone rule it out (an LCS is no longer than the shorter one);
+    otherwise a Levenshtein bound saves most of that work."""
+    short = f"200.0 * least(length(kw), length(chunk)) >= {threshold} * (length(kw) + length(chunk))"
+    near = short if every else (short + " AND levenshtein(kw, chunk) <= "
+                                f"(1.0 - {threshold} / 100.0) * (length(kw) + length(chunk)) + 0.000001")
     return f"""fz_pairs AS (
   SELECT s.document_id, k.keyword_id, lower(k.keyword) AS kw,
          len(string_split(lower(k.keyword), ' ')) AS n, s.ws
@@ -232,17 +236,21 @@ def fuzzy_ctes(lex_name: str = "k_all", threshold: float = L.FUZZY_THRESHOLD) ->
 fz_win AS (
   SELECT document_id, keyword_id, kw, CAST(st / n AS BIGINT) AS w_pos,
          array_to_string(ws[st + 1 : st + n], ' ') AS chunk
-  FROM (SELECT *, unnest(generate_series(0, least(len(ws), {L.FUZZY_MAX_WORDS}) - n, n)) AS st FROM fz_pairs)),
-fz_cand AS (
-  SELECT * FROM fz_win
-  WHERE abs(length(kw) - length(chunk)) <= {budget} AND levenshtein(kw, chunk) <= {budget}),
+  FROM (SELECT *, unnest(generate_series(0, len(ws) - n, n)) AS st FROM fz_pairs)),
 fz_ratio AS (
-  SELECT document_id, keyword_id, w_pos,
+  SELECT kw, chunk,
          (1.0 - (length(kw) + length(chunk) - 2 * ({lcs_sql('kw', 'chunk')})) / (length(kw) + length(chunk))) * 100.0 AS ratio
-  FROM fz_cand),
+  FROM (SELECT DISTINCT kw, chunk FROM fz_win WHERE {near})),
 g_fuzzy AS (
   SELECT document_id, keyword_id, arg_min(ratio, w_pos) / 100.0 * {L.FUZZY_SCALE} AS match_score
-  FROM fz_ratio WHERE ratio >= {threshold} GROUP BY document_id, keyword_id)"""
+  FROM fz_win JOIN fz_ratio USING (kw, chunk)
+  WHERE ratio >= {threshold} GROUP BY document_id, keyword_id)"""
 
 
 DN_DOCS = f"""dn_docs AS (SELECT * REPLACE ({country_norm('country')} AS country) FROM d_docs)"""
+
+# Standard chain: docs, sources, lexicon, exact and fuzzy signals, flags, scores.
+G_SIG = """g_sig AS (SELECT document_id, keyword_id, match_score FROM g_exact
+  UNION ALL SELECT document_id, keyword_id, match_score FROM g_fuzzy)"""
+SIGNAL_CHAIN = (D_DOCS, S_SRC, k_lex(), D_SEARCH, G_EXACT, fuzzy_ctes(), G_SIG)
+SCORED_CHAIN = (*SIGNAL_CHAIN, D_SIDE, FLAGS, SCORED)

@@ -7,8 +7,9 @@ session time zone: every timestamp in the model is naive UTC, so jobs pin
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +52,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there and we only read it. Only when it
-    is unset (tests, local runs) do we pick a scratch folder of our own.
+    A cluster names a shared folder there and we only read it. Where it is
+    unset, a local session (tests, benches) gets a scratch folder of its own;
+    on a cluster that is an error, as one machine's folder is no shared one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="sigspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -65,27 +69,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored_once(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later uses read the
+    stored columns they need instead of computing ``df`` again."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Make sure CPU-heavy per-row work (text matching) has enough tasks.
+def spread(df: DataFrame, key: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Deal rows out before CPU-heavy text work, where a caller asks for it.
 
-    A cluster scan of many files already yields thousands of partitions and
-    this is a no-op; a single small file (one row group, one task) is
-    hash-spread over the cores so the matching stage is not one task.
+    ``partitions`` defaults to the session setting ``spark.sigspark.spread``;
+    unset or 0 leaves the scan's own tasks (right for inputs of many files).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sigspark.spread", "0"))
+    if not partitions:
         return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    return df.repartition(partitions, key) if key else df.repartition(partitions)

@@ -34,11 +34,20 @@ def test_exact_tag_head_and_body(spark):
     assert got == {(1, 9.5), (2, 8.0)}
 
 
-def test_exact_respects_3000_char_cap(spark):
+def test_whole_text_is_matched_unless_capped(spark):
     d = _docs(spark, [(1, 0, "t", "y" * 3100 + " token", None, None, None, "news", None)])
     k = spark.createDataFrame([(3, "token", 1, "b", True)], "keyword_id int, keyword string, level int, "
                                                              "cluster string, active boolean")
-    assert TG.tag_exact(d, k).count() == 0
+    assert TG.tag_exact(d, k).count() == 1
+    assert TG.tag_exact(d, k, cap=3000).count() == 0
+
+
+def test_lexicon_of_any_size(spark):
+    rows = [(i, f"term{i}x", 1, "c", True) for i in range(2500)] + [(9000, "one two three", 1, "c", True)]
+    k = spark.createDataFrame(rows, "keyword_id int, keyword string, level int, cluster string, active boolean")
+    d = _docs(spark, [(1, 0, "t", "term7x and term2499x and one two thre", None, None, None, "news", None)])
+    got = {(r.keyword_id, r.match_kind) for r in TG.tag(d, k).collect()}
+    assert got == {(7, "exact"), (2499, "exact"), (9000, "fuzzy")}
 
 
 def test_indel_ratio_known_values(spark):
@@ -52,7 +61,7 @@ def test_indel_ratio_known_values(spark):
 def test_bounded_ratio_never_drops_a_match(spark):
     pairs = [("released under mit", "released undr mit"), ("abcdef", "abcdxf"), ("aaaa", "bbbbbbbb")]
     df = spark.createDataFrame(pairs, "a string, b string")
-    rows = df.select(T.indel_ratio("a", "b").alias("r"), T.indel_ratio_bounded("a", "b", 85).alias("rb")).collect()
+    rows = df.select(T.indel_ratio("a", "b").alias("r"), F.when(T.fuzzy_possible("a", "b", 85), T.indel_ratio("a", "b")).alias("rb")).collect()
     for r in rows:
         if r.r >= 85:
             assert r.rb == r.r
