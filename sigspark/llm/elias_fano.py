@@ -9,12 +9,6 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-#: Place of the k-th set bit of a byte.
-_SELECT = np.zeros((256, 8), np.uint8)
-for _b in range(256):
-    _at = [i for i in range(8) if _b >> i & 1]
-    _SELECT[_b, :len(_at)] = _at
 
 
 class EliasFano:
@@ -34,7 +28,8 @@ class EliasFano:
         at += 8 * words
         self.rank = np.frombuffer(buf, "<u4", words + 1, at)
         at += 4 * (words + 1) + (-4 * (words + 1)) % 8
-        self.low = np.frombuffer(buf, np.uint8, lows, at)
+        # the 8 bytes that begin at each byte, without a copy
+        self.low = np.ndarray((lows - 7,), "<u8", buffer=buf, offset=at, strides=(1,))
         self.end = at + lows
         self.buckets = words * 64 - self.n
         self.zeros = 64 * np.arange(words + 1, dtype=np.int64) - self.rank
@@ -65,21 +60,22 @@ class EliasFano:
     def _select(self, counts: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the k-th (from 0) bit; ``counts``: such bits before each word."""
         w = np.searchsorted(counts, k, "right") - 1
-        word = self.words[w]
-        raw = (~word if flip else word).view(np.uint8).reshape(-1, 8)
-        run = np.cumsum(_ONES[raw], axis=1, dtype=np.int64)
-        rest = k - counts[w]
-        byte = (run <= rest[:, None]).sum(1)
-        row = np.arange(len(k))
-        rest = rest - np.where(byte > 0, run[row, np.maximum(byte - 1, 0)], 0)
-        return w * 64 + byte * 8 + _SELECT[raw[row, byte], rest]
+        word = ~self.words[w] if flip else self.words[w]
+        rest = (k - counts[w]).astype(np.uint64)
+        place = w * 64
+        for width in (32, 16, 8, 4, 2, 1):  # halve the part of the word that holds it
+            ones = np.bitwise_count(word & _U((1 << width) - 1)).astype(np.uint64)
+            up = rest >= ones
+            rest = np.where(up, rest - ones, rest)
+            word = np.where(up, word >> _U(width), word)
+            place += np.where(up, width, 0)
+        return place
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if self.l == 0:
             return np.zeros(len(i), np.uint64)
         off = i * self.l
-        raw = self.low[(off >> 3)[:, None] + np.arange(8)].view("<u8")[:, 0]
-        return raw >> (off & 7).astype(np.uint64) & _U((1 << self.l) - 1)
+        return self.low[off >> 3] >> (off & 7).astype(np.uint64) & _U((1 << self.l) - 1)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -169,17 +165,25 @@ class Trie:
     def code(self, bigrams: np.ndarray) -> np.ndarray:
         """Quantised probability of each key, 0 where it does not occur."""
         out = np.zeros(len(bigrams), np.uint8)
-        k, hit = self.slots.successor(bigrams >> _REST)
-        at = np.flatnonzero(hit)
-        if not len(at):
+        if not len(bigrams) or not self.next.n:
             return out
-        lo = self.starts[k[at]].astype(np.int64)
-        hi = self.starts[k[at] + 1].astype(np.int64)
+        slot = bigrams >> _REST
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))  # sorted keys share slots
+        k, hit = self.slots.successor(slot[first])
+        k = np.where(hit, k, 0)
+        lo = self.starts[k].astype(np.int64)
+        hi = np.where(hit, self.starts[k + 1].astype(np.int64), lo)
         base = np.where(lo > 0, self.next[np.maximum(lo - 1, 0)], _U(0))
-        i, same = self.next.successor((bigrams[at] & _U((1 << int(_REST)) - 1)) + base)
+        times = np.diff(np.concatenate([first, [len(bigrams)]]))
+        lo, hi, base = (np.repeat(x, times) for x in (lo, hi, base))
+        at = np.flatnonzero(hi > lo)
+        lo, hi = lo[at], hi[at]
+        want = (bigrams[at] & _U((1 << int(_REST)) - 1)) + base[at]
+        i, same = self.next.successor(want)
         # of equal numbers the search gives the first, which may end the slot before
-        i = np.where(same & (i < lo), lo, i)
-        good = (i >= lo) & (i < hi)
-        good[good] &= self.next[i[good]] == (bigrams[at[good]] & _U((1 << int(_REST)) - 1)) + base[good]
+        early = np.flatnonzero(same & (i < lo))
+        i[early] = lo[early]
+        same[early] = self.next[i[early]] == want[early]
+        good = same & (i >= lo) & (i < hi)
         out[at[good]] = self.codes[i[good]]
         return out

@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, ceil_div, split_of, stored, table
+from .common import ceil_div, split_of, stored, table
 from .elias_fano import _REST, EliasFano, Trie
 from .wordhash import U, mix, words
 
-BATCH_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 21
+#: Bytes of text for each batch and for each shard.
+BATCH_BYTES, SHARD_BYTES = 6 << 20, 12 << 20
 A, B = 8.0, 0.8  # the best of a grid for held-out texts
 END, START = U(0x1F0E5F0E5), U(0x2A1B2A1B2)
 _MUL = U(0x9E3779B97F4A7C15)
@@ -107,39 +108,35 @@ def ask(t: pa.Table, shards: int) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=names)
 
 
-def _sum(keys: list[np.ndarray], counts: list[np.ndarray]):
-    """Sorted different keys with a count, and their counts."""
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    on = c > 0
-    k, c = k[on], c[on].astype(np.int64)
+def _gathered(t: pa.Table, keys: str, counts: str):
+    """(sorted different keys of all messages, their counts, the place of each
+    message's keys among them)."""
+    parts = [EliasFano(x.as_buffer()).all() for x in t.column(keys)]
+    k = np.concatenate(parts)
+    c = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in t.column(counts)])
     order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], (np.add.reduceat(c, first) if len(k) else c)
-
-
-def build_shard(t: pa.Table, levels: np.ndarray) -> bytes:
-    """The trie over all messages to one shard."""
-    def keys(name):
-        return [EliasFano(x.as_buffer()).all() for x in t.column(name)]
-
-    def counts(name):
-        return [np.frombuffer(x.as_buffer(), "<u4") for x in t.column(name)]
-
-    w, wn = _sum(keys("words"), counts("word_n"))
-    p, pn = _sum(keys("pairs"), counts("pair_n"))
-    return Trie.build(w, wn, p, codes_of(pn, levels))
+    k = k[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(c[order].astype(np.int64), first) if len(k) else c.astype(np.int64)
+    where = np.empty(len(k), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return k[first], total, np.split(where, np.cumsum([len(x) for x in parts])[:-1])
 
 
 def answer(t: pa.Table, levels: np.ndarray) -> pa.Table:
-    """Each message's answer: word counts and pair codes in its key order."""
-    trie = Trie(build_shard(t, levels))
-    word_n = [trie.count(EliasFano(x.as_buffer()).all()).astype("<u8").tobytes() for x in t.column("words")]
-    codes = [trie.code(EliasFano(x.as_buffer()).all()).tobytes() for x in t.column("pairs")]
-    known = [trie.words.n] + [0] * (t.num_rows - 1)
-    return pa.table([t.column("batch").cast(pa.int32()), t.column("shard").cast(pa.int32()), pa.array(word_n, pa.binary()),
-                     pa.array(codes, pa.binary()), pa.array(known, pa.int64())],
-                    names=["batch", "shard", "word_n", "codes", "known"])
+    """Builds one shard's trie from all messages to it and searches it for
+    each different key: word counts and pair codes in each message's order."""
+    w, wn, w_at = _gathered(t, "words", "word_n")
+    p, pn, p_at = _gathered(t, "pairs", "pair_n")
+    trie = Trie(Trie.build(w[wn > 0], wn[wn > 0], p[pn > 0], codes_of(pn[pn > 0], levels)))
+    found_w, found_p = trie.count(w), trie.code(p)
+    rest = [0] * (t.num_rows - 1)
+    return pa.table([t.column("batch").cast(pa.int32()), t.column("shard").cast(pa.int32()),
+                     pa.array([found_w[x].astype("<u8").tobytes() for x in w_at], pa.binary()),
+                     pa.array([found_p[x].tobytes() for x in p_at], pa.binary()),
+                     pa.array([trie.words.n] + rest, pa.int64()), pa.array([int(wn.sum())] + rest, pa.int64())],
+                    names=["batch", "shard", "word_n", "codes", "known", "total"])
 
 
 def scores(t: pa.Table, answers: pa.Table, shards: int, total: int, known: int, levels: np.ndarray) -> pa.Table:
@@ -174,18 +171,18 @@ def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     base_score, score. ``train``: which rows the model learns from."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)) + 1
-    all_tokens, total = rows.agg(F.sum(size), F.sum(F.when(F.col("train"), size))).first()
-    total = int(total or 0)
-    batches, shards = ceil_div(all_tokens, BATCH_TOKENS), ceil_div(all_tokens, SHARD_TOKENS)
-    levels = quantiser(total)
+    size, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size = int(size or 0)
+    batches, shards = ceil_div(size, BATCH_BYTES), ceil_div(size, SHARD_BYTES)
+    levels = quantiser(size // 2 + n)  # no count is larger
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
     asked = rows.groupBy("batch").applyInArrow(
         lambda t: ask(t, shards), "shard int, batch int, words binary, word_n binary, pairs binary, pair_n binary")
     answers = stored(asked.groupBy("shard").applyInArrow(
-        lambda t: answer(t, levels), "batch int, shard int, word_n binary, codes binary, known long"), "lm-answers")
-    known = int(answers.agg(F.sum("known")).first()[0] or 0)
-    out = (rows.groupBy("batch").cogroup(answers.drop("known").groupBy("batch"))
+        lambda t: answer(t, levels), "batch int, shard int, word_n binary, codes binary, known long, total long"),
+        "lm-answers")
+    known, total = (int(x or 0) for x in answers.agg(F.sum("known"), F.sum("total")).first())
+    out = (rows.groupBy("batch").cogroup(answers.drop("known", "total").groupBy("batch"))
            .applyInArrow(lambda t, a: scores(t, a, shards, total, known, levels),
                          "id long, train boolean, n_tokens long, n_known long, base_score double, score double"))
     return out.withColumn("train_tokens", F.lit(total).cast("long"))

@@ -186,10 +186,10 @@ def brute_lm(rows):
     return out, n
 
 
-@pytest.mark.parametrize("limits", [(1 << 20, 1 << 21), (4000, 3000)])
+@pytest.mark.parametrize("limits", [(6 << 20, 12 << 20), (20_000, 15_000)])
 def test_lm_brute(shipped, docs, no_docs, monkeypatch, limits):
-    monkeypatch.setattr(lm_scoring, "BATCH_TOKENS", limits[0])
-    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", limits[1])
+    monkeypatch.setattr(lm_scoring, "BATCH_BYTES", limits[0])
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", limits[1])
     held = F.coalesce(split_of("doc_id", 7) == 2, F.lit(False))
     small = read(shipped, "documents").where("doc_id < 60")
     for df in (docs, small):
