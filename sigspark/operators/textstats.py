@@ -6,7 +6,8 @@ Scale notes: every statistic is an explode followed by a partial aggregate,
 so a label or word that occurs in a third of all documents is combined
 map-side. Pairs are only formed *within one row* (labels x entities of one
 document, both bounded by the dictionaries), never across rows of a group.
-Top-k word lists are bounded by k and become literals of the next stage.
+Top-k word lists are one row of k words that the next stage joins; nothing is
+collected while a plan is built.
 """
 
 from __future__ import annotations
@@ -52,19 +53,21 @@ def cooccurrence(df: DataFrame, a: str, b: str, k: int | None = None,
     return e
 
 
-def flow_edges(df: DataFrame, origin: str, place: str, topics: str, k: int = 40,
+def flow_edges(df: DataFrame, origins: str, place: str, topics: str, k: int | None = 40,
                default_place: str = "Unknown") -> DataFrame:
-    """Origin -> place -> first two topics; each stage its own top k.
-    Stage 2 counts once per (origin, place) pair of a row."""
+    """Origins -> places -> first two topics; each stage its own top k.
+    Stage 2 counts once per (origin, place, topic) of a row."""
     pl = F.when(F.size(place) == 0, F.array(F.lit(default_place))).otherwise(F.col(place))
-    rows = df.select(F.col(origin).alias("o"), pl.alias("p"), F.slice(topics, 1, 2).alias("t"))
+    rows = df.select(F.explode(origins).alias("o"), pl.alias("p"), F.slice(topics, 1, 2).alias("t"))
     s1 = rows.select(F.col("o").alias("source"), F.explode("p").alias("target")) \
              .groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
     s2 = rows.select(F.explode("p").alias("source"), "t").select("source", F.explode("t").alias("target")) \
              .groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
     def top(e, stage):
-        return e.orderBy(F.desc("weight"), "source", "target").limit(k).withColumn("stage", F.lit(stage))
+        if k is not None:
+            e = e.orderBy(F.desc("weight"), "source", "target").limit(k)
+        return e.withColumn("stage", F.lit(stage))
     return top(s1, 1).unionByName(top(s2, 2))
 
 
@@ -74,43 +77,51 @@ def term_freq(df: DataFrame, toks: Column, k: int) -> DataFrame:
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(k)
 
 
-def top_words_list(df: DataFrame, toks: Column, k: int) -> list[str]:
-    """The k most frequent words as a Python list (k rows: bounded by k)."""
-    return [r.word for r in term_freq(df, toks, k).collect()]
+def top_words(df: DataFrame, toks: Column, k: int) -> DataFrame:
+    """The k most frequent words as one row: array ``words``, most frequent first."""
+    top = term_freq(df, toks, k).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("w"))
+    return top.select(F.transform("w", lambda x: x["word"]).alias("words"))
 
 
-def keyword_trend(df: DataFrame, text: str, month: Column, words: list[str]) -> DataFrame:
+def keyword_trend(df: DataFrame, text: Column, day: str, words: DataFrame, days: int | None = None,
+                  as_of: Column | None = None) -> DataFrame:
     """Documents per (month, word) whose text contains the word (substring).
-    ``words`` is a bounded top-k list, matched like the lexicon (no join)."""
-    arr = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    hits = F.filter(arr, lambda w: F.col(text).contains(w))
-    ex = df.filter(month.isNotNull()).select(month.alias("month"), F.explode_outer(hits).alias("keyword")) \
-           .filter(F.col("keyword").isNotNull())
+
+    ``words`` is one row with the array ``words``. ``days`` keeps the last
+    days before ``as_of``, or every day if none lies there.
+    """
+    rows = df.filter(F.col(day).isNotNull())
+    if days is not None:
+        recent = F.col(day) >= F.date_sub(as_of, days)
+        some = rows.agg(F.coalesce(F.bool_or(recent), F.lit(False)).alias("_some"))
+        rows = rows.crossJoin(F.broadcast(some)).filter(~F.col("_some") | recent)  # one row
+    hits = F.get(F.transform(F.array(text), lambda t: F.filter("words", lambda w: t.contains(w))), 0)
+    ex = rows.crossJoin(F.broadcast(words)).select(
+        F.date_format(day, "yyyy-MM").alias("month"), F.explode(hits).alias("keyword"))
     return ex.groupBy("month", "keyword").agg(F.count(F.lit(1)).alias("mentions"))
 
 
-def trend_insight(trend: DataFrame) -> DataFrame:
-    """Dominant keyword, its total, peak month, active months, mean per
-    month, and the rising keywords (>= 2 months and > half of their mentions
-    in the last two months of the series), first four by name."""
-    months = trend.select("month").distinct()
-    last2 = months.orderBy(F.desc("month")).limit(2).withColumn("recent", F.lit(True))
-    t = trend.join(F.broadcast(last2), "month", "left") \
-             .withColumn("recent", F.coalesce("recent", F.lit(False)))
-    per_kw = t.groupBy("keyword").agg(
+def trend_insight(trend: DataFrame, words: DataFrame, n_rising: int = 4) -> DataFrame:
+    """Over all keywords the peak month (the earliest of equals), the
+    number of months and the mean per month; the dominant keyword (the first
+    by name of equals) and its total; the rising keywords: more than half of
+    their mentions in the last two months of the series, in the order of
+    ``words``, if the series has two months or more."""
+    months = trend.groupBy("month").agg(F.sum("mentions").alias("n"))
+    whole = months.agg(F.min_by("month", F.struct((-F.col("n")).alias("n"), "month")).alias("peak_month"),
+                       F.count(F.lit(1)).alias("active_months"), F.sum("n").alias("total"),
+                       F.slice(F.sort_array(F.collect_list("month"), False), 1, 2).alias("last2"))
+    per = trend.crossJoin(F.broadcast(whole.select("last2"))).groupBy("keyword").agg(
         F.sum("mentions").alias("total"),
-        F.count(F.lit(1)).alias("months"),
-        F.sum(F.when(F.col("recent"), F.col("mentions")).otherwise(0)).alias("recent_total"))
-    peak = trend.groupBy("keyword").agg(
-        F.min_by("month", F.struct((-F.col("mentions")).alias("m"), F.col("month").alias("mo"))).alias("peak_month"))
-    kw = per_kw.join(peak, "keyword")
-    dom = kw.orderBy(F.desc("total"), "keyword").limit(1)
-    rising = kw.filter((F.col("months") >= 2) & (F.col("recent_total") / F.col("total") > 0.5)) \
-               .agg(F.slice(F.array_sort(F.collect_list("keyword")), 1, 4).alias("rising"))
-    return dom.select(F.col("keyword").alias("dominant"), F.col("total").alias("dominant_total"),
-                      "peak_month", F.col("months").alias("active_months"),
-                      (F.floor(F.col("total") / F.col("months") * 10.0 + 0.5) / 10.0).alias("mean_per_month")) \
-              .crossJoin(rising.select(F.when(F.size("rising") > 0, F.array_join("rising", "|")).alias("rising")))
+        F.sum(F.when(F.array_contains("last2", F.col("month")), F.col("mentions")).otherwise(0)).alias("recent"))
+    top = per.agg(F.min_by("keyword", F.struct((-F.col("total")).alias("n"), "keyword")).alias("dominant"),
+                  F.max("total").alias("dominant_total"),
+                  F.collect_list(F.when(F.col("recent") / F.col("total") > 0.5, F.col("keyword"))).alias("up"))
+    out = whole.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(words)).filter("active_months > 0")
+    rising = F.slice(F.filter("words", lambda w: F.array_contains("up", w)), 1, n_rising)
+    mean = F.floor(F.col("total") / F.col("active_months") * 10.0 + 0.5) / 10.0
+    return out.select("dominant", "dominant_total", "peak_month", "active_months", mean.alias("mean_per_month"),
+                      F.when((F.col("active_months") >= 2) & (F.size(rising) > 0), F.array_join(rising, "|")).alias("rising"))
 
 
 def top_words_per_row(df: DataFrame, key: str, toks: Column, n: int) -> DataFrame:
@@ -125,5 +136,27 @@ def top_words_per_row(df: DataFrame, key: str, toks: Column, n: int) -> DataFram
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Long-form crosstab (observed pairs); pivot for the wide form."""
-    return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    """Every pair of observed labels with its count, zero where none."""
+    n = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    one = n.agg(F.collect_set(b).alias("_bs"))  # the distinct columns, one row
+    grid = n.select(a).distinct().crossJoin(F.broadcast(one)).select(a, F.explode("_bs").alias(b))
+    return grid.join(n, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def crosstab_wide(df: DataFrame, a: str, b: str, columns: list) -> DataFrame:
+    """One row per ``a``, one zero-filled column per given value of ``b``."""
+    return df.groupBy(a).pivot(b, columns).agg(F.count(F.lit(1))).na.fill(0)
+
+
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
+def seasonality(df: DataFrame, labels: str, day: str, k: int | None = 15) -> DataFrame:
+    """Label x calendar month counts in calendar order, zero-filled, of
+    the k labels most frequent over all rows (with or without a date)."""
+    ex = df.select(F.explode(labels).alias("label"), F.month(day).alias("_m"))
+    cells = [F.count_if(F.col("_m") == i + 1).alias(name) for i, name in enumerate(MONTHS)]
+    out = ex.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("_m").alias("_dated"), *cells)
+    if k is not None:
+        out = out.orderBy(F.desc("n"), "label").limit(k)
+    return out.filter("_dated > 0").select("label", *MONTHS)

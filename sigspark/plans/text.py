@@ -13,7 +13,7 @@ from ..functions.numeric import rnd, rnd_sql
 from ..operators import classify as C
 from ..operators import textstats as TS
 from ..operators.scoring import weighted_relevance
-from ..session import spread
+from ..session import spread, stored_once
 from . import sqlviews as V
 from .model import model
 from .registry import register
@@ -157,27 +157,52 @@ def edge_nodes(spark, sf_dir):
 
 
 @register("flow_edges", CLS_T + """
-, r AS (SELECT language AS o, CASE WHEN len(entities) = 0 THEN ['Unknown'] ELSE entities END AS p,
-               topics[1:2] AS t FROM cls2),
+, r0 AS (SELECT [language, 'any'] AS os, entities, topics FROM cls2),
+r AS (SELECT unnest(os) AS o, CASE WHEN len(entities) = 0 THEN ['Unknown'] ELSE entities END AS p,
+               topics[1:2] AS t FROM r0),
 s1 AS (SELECT o AS source, pp AS target, count(*) AS weight FROM r, unnest(p) AS u(pp)
        GROUP BY 1, 2 ORDER BY weight DESC, source, target LIMIT 40),
 s2 AS (SELECT pp AS source, tt AS target, count(*) AS weight FROM r, unnest(p) AS u(pp), unnest(t) AS v(tt)
        GROUP BY 1, 2 ORDER BY weight DESC, source, target LIMIT 40)
 SELECT source, target, weight, 1 AS stage FROM s1 UNION ALL SELECT source, target, weight, 2 FROM s2""")
 def flow_edges(spark, sf_dir):
-    """Three-level flow (language -> entity -> first two topics)."""
-    return TS.flow_edges(_cls2(spark, sf_dir), "language", "entities", "topics", 40)
+    """Three-level flow (origins -> entities -> first two topics)."""
+    d = _cls2(spark, sf_dir).withColumn("origins", F.array("language", F.lit("any")))
+    return TS.flow_edges(d, "origins", "entities", "topics", 40)
 
 
 @register("topic_by_language", CLS_T + """
-SELECT label, language, count(*) AS n FROM (SELECT unnest(topics) AS label, language FROM cls2)
-GROUP BY label, language""")
+, x AS (SELECT unnest(topics) AS label, language FROM cls2)
+SELECT a.label, b.language, count(x.label) AS n
+FROM (SELECT DISTINCT label FROM x) a CROSS JOIN (SELECT DISTINCT language FROM x) b
+LEFT JOIN x ON x.label = a.label AND x.language = b.language GROUP BY 1, 2""")
 def topic_by_language(spark, sf_dir):
-    """Crosstab (long form) of topic x language."""
+    """Crosstab (long form, zero-filled) of topic x language."""
     d = _cls2(spark, sf_dir).select(F.explode("topics").alias("label"), "language")
     return TS.crosstab(d, "label", "language")
 
 
+@register("topic_language_wide", CLS_T + """
+, x AS (SELECT unnest(topics) AS label, language FROM cls2)
+SELECT label, count(*) FILTER (WHERE language = 'de') AS de, count(*) FILTER (WHERE language = 'en') AS en,
+       count(*) FILTER (WHERE language = 'es') AS es, count(*) FILTER (WHERE language = 'fr') AS fr
+FROM x GROUP BY label""")
+def topic_language_wide(spark, sf_dir):
+    """Crosstab (wide form) of topic x language."""
+    d = _cls2(spark, sf_dir).select(F.explode("topics").alias("label"), "language")
+    return TS.crosstab_wide(d, "label", "language", ["de", "en", "es", "fr"])
+
+
+@register("topic_seasonality", CLS_T + """
+, x AS (SELECT unnest(topics) AS label, month(publish_date) AS m FROM cls2),
+top AS (SELECT label FROM x GROUP BY label ORDER BY count(*) DESC, label LIMIT 15)
+SELECT label, """ + ", ".join(f"count(*) FILTER (WHERE m = {i + 1}) AS {n}" for i, n in enumerate(TS.MONTHS)) + """
+FROM x WHERE label IN (SELECT label FROM top) GROUP BY label HAVING count(m) > 0""")
+def topic_seasonality(spark, sf_dir):
+    """Topic x calendar month, zero-filled, calendar order."""
+    return TS.seasonality(_cls2(spark, sf_dir), "topics", "publish_date")
+
+
 # ------------------------------------------------------- term statistics --
 @register("term_freq_top25", V.with_(V.D_DOCS) + f"""
 SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS_SQL.format(t='full_text')}) AS word FROM d_docs)
@@ -212,55 +237,71 @@ tw AS (SELECT word FROM c GROUP BY word ORDER BY sum(n) DESC, word LIMIT 15)
 SELECT tc.country, tw.word, coalesce(c.n, 0) AS n FROM tc CROSS JOIN tw LEFT JOIN c USING (country, word)""")
 def country_term_matrix(spark, sf_dir):
     """Countries with most tokens x most frequent words, zero-filled.
-    Both top lists are bounded (15); the grid is built by exploding the word
-    list literal on each top-country row, then one left join with the counts."""
+    The counts are stored once; both top lists and the grid read them."""
     d = spread(model(spark, sf_dir).Dn.filter(F.col("country").isNotNull()), "document_id")
     c = d.select("country", F.explode(_toks(F.col("full_text"))).alias("word")) \
          .groupBy("country", "word").agg(F.count(F.lit(1)).alias("n"))
-    top_w = [r.word for r in c.groupBy("word").agg(F.sum("n").alias("s"))
-             .orderBy(F.desc("s"), "word").limit(15).collect()]
+    c = stored_once(c, "country-terms")
+    top_w = c.groupBy("word").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "word").limit(15)
     top_c = c.groupBy("country").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "country").limit(15)
-    words = F.array(*[F.lit(w) for w in top_w]) if top_w else F.array().cast("array<string>")
-    grid = top_c.select("country", F.explode(words).alias("word"))
+    grid = top_c.select("country").crossJoin(F.broadcast(top_w.select("word")))  # 15 x 15
     return grid.join(c, ["country", "word"], "left").select("country", "word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-TREND_SQL = V.with_(V.D_DOCS) + f"""
-, tw AS (SELECT word FROM (SELECT unnest({TOKENS_SQL.format(t='full_text')}) AS word FROM d_docs)
-         GROUP BY word ORDER BY count(*) DESC, word LIMIT 8),
+TREND_DAYS, TREND_AS_OF = 200, "2024-12-31"
+
+
+def _trend_sql(days: int | None) -> str:
+    cut = f"DATE '{TREND_AS_OF}' - INTERVAL {days} DAY"
+    keep = f"AND (d.publish_date >= {cut} OR NOT EXISTS (SELECT 1 FROM d_docs WHERE publish_date >= {cut}))" if days else ""
+    return V.with_(V.D_DOCS) + f"""
+, tl AS (SELECT document_id, publish_date, lower(coalesce(title, '') || ' ' || coalesce(full_text, '')) AS t FROM d_docs),
+tw AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rk
+       FROM (SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS_SQL.format(t='t')}) AS word FROM tl) GROUP BY word)
+       ORDER BY n DESC, word LIMIT 8),
 trend AS (SELECT strftime(d.publish_date, '%Y-%m') AS month, tw.word AS keyword, count(*) AS mentions
-          FROM d_docs d JOIN tw ON contains(d.full_text, tw.word)
-          WHERE d.publish_date IS NOT NULL GROUP BY 1, 2)
+          FROM tl d JOIN tw ON contains(d.t, tw.word)
+          WHERE d.publish_date IS NOT NULL {keep} GROUP BY 1, 2)
 """
 
 
-def _trend(spark, sf_dir):
+def _trend(spark, sf_dir, days=None):
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("full_text", F.lit(""))))
     d = spread(model(spark, sf_dir).D, "document_id")
-    words = TS.top_words_list(d, _toks(F.col("full_text")), 8)
-    return TS.keyword_trend(d, "full_text", F.date_format("publish_date", "yyyy-MM"), words)
+    words = stored_once(TS.top_words(d, _toks(text), 8), "top-words")
+    as_of = F.lit(TREND_AS_OF).cast("date")
+    return TS.keyword_trend(d, text, "publish_date", words, days, as_of), words
 
 
-@register("keyword_trend", TREND_SQL + "SELECT month, keyword, mentions FROM trend")
+@register("keyword_trend", _trend_sql(None) + "SELECT month, keyword, mentions FROM trend")
 def keyword_trend(spark, sf_dir):
     """Monthly document mentions (substring) of the top-8 words."""
-    return _trend(spark, sf_dir)
+    return _trend(spark, sf_dir)[0]
+
+
+@register("keyword_trend_recent", _trend_sql(TREND_DAYS) + "SELECT month, keyword, mentions FROM trend")
+def keyword_trend_recent(spark, sf_dir):
+    """A25 over the last days, or over all if none lies there."""
+    return _trend(spark, sf_dir, TREND_DAYS)[0]
 
 
-@register("trend_insight", TREND_SQL + """
-, last2 AS (SELECT DISTINCT month FROM trend ORDER BY month DESC LIMIT 2),
-kw AS (SELECT keyword, sum(mentions) AS total, count(*) AS months,
-              sum(CASE WHEN month IN (SELECT month FROM last2) THEN mentions ELSE 0 END) AS recent_total,
-              arg_min(month, (-mentions, month)) AS peak_month
+@register("trend_insight", _trend_sql(None) + """
+, mo AS (SELECT month, sum(mentions) AS n FROM trend GROUP BY month),
+kw AS (SELECT keyword, sum(mentions) AS total,
+              sum(CASE WHEN month IN (SELECT month FROM mo ORDER BY month DESC LIMIT 2) THEN mentions ELSE 0 END) AS recent
        FROM trend GROUP BY keyword),
-dom AS (SELECT * FROM kw ORDER BY total DESC, keyword LIMIT 1),
-ris AS (SELECT array_to_string(list_sort(list(keyword))[1:4], '|') AS rising FROM kw
-        WHERE months >= 2 AND recent_total / total > 0.5)
-SELECT dom.keyword AS dominant, CAST(dom.total AS BIGINT) AS dominant_total, dom.peak_month,
-       dom.months AS active_months, floor(dom.total / dom.months * 10.0 + 0.5) / 10.0 AS mean_per_month, ris.rising
-FROM dom, ris""")
+up AS (SELECT kw.keyword, row_number() OVER (ORDER BY tw.rk) AS k FROM kw JOIN tw ON tw.word = kw.keyword
+       WHERE recent / total > 0.5 AND (SELECT count(*) FROM mo) >= 2)
+SELECT (SELECT keyword FROM kw ORDER BY total DESC, keyword LIMIT 1) AS dominant,
+       (SELECT CAST(max(total) AS BIGINT) FROM kw) AS dominant_total,
+       (SELECT month FROM mo ORDER BY n DESC, month LIMIT 1) AS peak_month,
+       (SELECT count(*) FROM mo) AS active_months,
+       (SELECT floor(sum(n) / count(*) * 10.0 + 0.5) / 10.0 FROM mo) AS mean_per_month,
+       (SELECT string_agg(keyword, '|' ORDER BY k) FROM up WHERE k <= 4) AS rising
+FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM trend)""")
 def trend_insight(spark, sf_dir):
     """Trend summary from A25."""
-    return TS.trend_insight(_trend(spark, sf_dir))
+    return TS.trend_insight(*_trend(spark, sf_dir))
 
 
 @register("note_top_words", """
@@ -286,13 +327,14 @@ TYPE_BONUS = {"Drucksache (Gesetzentwurf)": 3.0, "news": 0.5}
 
 @register("weighted_relevance", V.with_(V.D_DOCS) + """
 SELECT document_id, """ + rnd_sql("least(" + " + ".join(
-    f"CASE WHEN contains(lower(full_text), {q(k)}) THEN {v} ELSE 0.0 END" for k, v in WEIGHTS.items())
+    f"CASE WHEN contains(lower(coalesce(title, '') || ' ' || coalesce(full_text, '')), {q(k)}) THEN {v} ELSE 0.0 END" for k, v in WEIGHTS.items())
     + " + " + V.case_map("document_type", TYPE_BONUS, 0.0) + ", 10.0)") + """ AS health_relevance
 FROM d_docs""")
 def q_weighted_relevance(spark, sf_dir):
     """Weighted term sum + type bonus, capped at 10."""
     d = model(spark, sf_dir).D
-    return d.select("document_id", rnd(weighted_relevance("full_text", "document_type", WEIGHTS, TYPE_BONUS))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("full_text", F.lit("")))
+    return d.select("document_id", rnd(weighted_relevance(text, "document_type", WEIGHTS, TYPE_BONUS))
                     .alias("health_relevance"))
 
 
@@ -392,13 +434,11 @@ SELECT document_id,
   substr(regexp_replace(trim(string_split(language || ', ' || source || ', ' || coalesce(country, ''), ',')[-1]), '\\.+$', ''), 1, 95) AS affiliation_country,
   array_to_string(list_transform(['a', 'b'], lambda x: upper(x) || ':' || language), '; ') AS joined,
   CASE WHEN publish_date IS NULL THEN 'N/A' ELSE strftime(publish_date, '%b %Y') END AS month_label
-FROM (SELECT d.*, o.source FROM dn_docs d JOIN documents o ON o.doc_id = d.document_id)""")
+FROM dn_docs""")
 def text_scalars(spark, sf_dir):
     """P3 clip, P17 default, P25 derived language, P7 external id, P11
     affiliation country, P19 string join, P18 month label."""
-    d = model(spark, sf_dir).Dn
-    o = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source")
-    j = d.join(o, "document_id")
+    j = model(spark, sf_dir).Dn
     aff = F.concat(F.col("language"), F.lit(", "), F.col("source"), F.lit(", "), F.coalesce("country", F.lit("")))
     return j.select(
         "document_id",
