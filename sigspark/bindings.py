@@ -37,7 +37,11 @@ def as_of_ts(as_of: str = L.AS_OF) -> Column:
 
 def documents_view(spark: SparkSession, sf_dir: str, as_of: str = L.AS_OF) -> DataFrame:
     """D: the document table of the model, derived from ``documents``."""
-    d = read(spark, sf_dir, "documents")
+    return documents_of(read(spark, sf_dir, "documents"), as_of)
+
+
+def documents_of(d: DataFrame, as_of: str = L.AS_OF) -> DataFrame:
+    """D from rows of ``documents`` (a table or a stream)."""
     i = F.col("doc_id")
     return d.select(
         i.alias("document_id"),

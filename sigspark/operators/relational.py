@@ -22,8 +22,8 @@ def _c(c) -> Column:
 # ----------------------------------------------------------------- joins --
 def with_source(D: DataFrame, S: DataFrame, cols=("source_name", "source_type", "region",
                                                   "trust_level")) -> DataFrame:
-    """Documents x sources (N:1). S is a bounded dimension -> broadcast."""
-    return D.join(F.broadcast(S.select("source_id", *cols)), "source_id")
+    """Documents x sources (N:1); the planner picks the join by size."""
+    return D.join(S.select("source_id", *cols), "source_id")
 
 
 def by_flag(D: DataFrame, flags: DataFrame, flag: str) -> DataFrame:
@@ -31,24 +31,38 @@ def by_flag(D: DataFrame, flags: DataFrame, flag: str) -> DataFrame:
     return D.join(flags.filter(F.col(flag)).select("document_id"), "document_id", "left_semi")
 
 
-def new_only(batch: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
-    """Dedup inside the batch (first row per key) then drop keys already stored."""
-    return batch.dropDuplicates(keys).join(seen.select(*keys).distinct(), keys, "left_anti")
+def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key (null keys are a key). Only keys and order
+    columns are aggregated; they meet the rows again in a join. Rows that are
+    equal in all order columns: one of them stays."""
+    low = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__low")).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(f"__low.{o}").alias(f"__o{i}") for i, o in enumerate(order)])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    for i, o in enumerate(order):
+        cond = cond & F.col(o).eqNullSafe(F.col(f"__o{i}"))
+    return df.join(low, cond, "left_semi").dropDuplicates([*keys, *order])
+
+
+def new_only(batch: DataFrame, seen: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in the batch, without keys that are stored."""
+    return first_per(batch, keys, order).join(seen.select(*keys).distinct(), keys, "left_anti")
 
 
 def cross_small(df: DataFrame, small: DataFrame) -> DataFrame:
-    """Cross join with a small fixed list (broadcast; output = |df| x |small|)."""
-    return df.crossJoin(F.broadcast(small))
+    """Cross join with a small fixed list (output = |df| x |small|)."""
+    return df.crossJoin(small)
 
 
 def geo_enrich(df: DataFrame, coords: DataFrame, key: str) -> DataFrame:
     """Inner lookup of coordinates; unmatched rows are dropped."""
-    return df.join(F.broadcast(coords), key)
+    return df.join(coords, key)
 
 
 def left_lookup(df: DataFrame, dim: DataFrame, key: str, defaults: dict) -> DataFrame:
     """Left join a label dimension, missing labels get defaults."""
-    j = df.join(F.broadcast(dim), key, "left")
+    j = df.join(dim, key, "left")
     for c, v in defaults.items():
         j = j.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return j
@@ -135,17 +149,11 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     return out
 
 
-def union_distinct(dfs: list[DataFrame], key: Column | str, prio_name: str = "_prio") -> DataFrame:
-    """Concatenate with first-wins dedup on ``key`` (earlier input wins;
-    inside one input the smallest ``order_key`` wins). Aggregate form (max_by
-    on a packed priority), so a hot key is combined map-side."""
-    parts = [d.withColumn(prio_name, F.lit(i)) for i, d in enumerate(dfs)]
-    u = union_all(*parts)
-    k = _c(key)
-    cols = [c for c in u.columns if c != prio_name]
-    packed = F.struct(*[F.col(c) for c in cols])
-    return u.groupBy(k.alias("_k")).agg(F.min_by(packed, F.col(prio_name)).alias("_r")) \
-            .select("_r.*")
+def union_distinct(dfs: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
+    """Concatenate with first-wins dedup on ``keys`` (an earlier input
+    wins; inside one input the first row by ``order``)."""
+    u = union_all(*[d.withColumn("_prio", F.lit(i)) for i, d in enumerate(dfs)])
+    return first_per(u, keys, ["_prio", *order]).drop("_prio")
 
 
 def nodes(edges: DataFrame, a: str, b: str, name: str = "node") -> DataFrame:
@@ -160,11 +168,14 @@ def nodes(edges: DataFrame, a: str, b: str, name: str = "node") -> DataFrame:
 
 # ---------------------------------------------------------------- windows --
 def latest_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Newest row per key as an aggregate (max_by on a struct), so a key
-    holding a third of all rows is still combined map-side."""
-    cols = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in cols])
-    return df.groupBy(*keys).agg(F.max_by(packed, F.col(order)).alias("_r")).select(*keys, "_r.*")
+    """Newest row per key: the largest order value of each key (combined
+    map-side) meets the rows again in a join. One of equal rows stays."""
+    top = df.groupBy(*keys).agg(F.max(order).alias("__top")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "__top")
+    cond = F.col(order).eqNullSafe(F.col("__top"))
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(top, cond, "left_semi").dropDuplicates([*keys, order])
 
 
 def top_n_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -183,9 +194,11 @@ def cumulative(daily: DataFrame, order: str, value: str, name: str = "cumulative
     return daily.withColumn(name, F.sum(value).over(w))
 
 
-def paginate(df: DataFrame, order: list[Column], page: int, size: int = 12) -> DataFrame:
-    """One page after a total order."""
-    return df.orderBy(*order).offset(page * size).limit(size)
+def paginate(df: DataFrame, key: str, after=None, size: int = 12) -> DataFrame:
+    """The page after the last key seen (none: the first page). The key
+    reaches the scan as a filter, so late pages cost no more than early ones."""
+    rows = df if after is None else df.filter(F.col(key) > F.lit(after))
+    return rows.orderBy(key).limit(size)
 
 
 # ---------------------------------------------------------------- filters --

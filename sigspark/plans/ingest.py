@@ -1,7 +1,7 @@
-"""Registered queries: raw payload readers and sinks (S1, S4-S6, S11, S12,
-K3, K5, K7, K8). Payloads are generated from the given tables (each row
-becomes one small XML / JSON record), then parsed back by the readers, so
-the work grows with the data."""
+"""Registered queries: payload readers over records made from the given
+tables, and sinks (S1, S4-S6, S11, S12, K3, K5, K7, K8). Readers are tested
+on hand-made samples in the layouts of real payloads; here they run over every
+document."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks as K
 from ..bindings import read, trends_view
-from ..functions.text import content_hash, html_to_text
+from ..functions.text import content_hash
 from ..operators import alerts as AL
 from ..sources import feeds as FD
 from ..sources import payloads as PL
@@ -28,118 +28,132 @@ def _clean(c):
 
 # ------------------------------------------------------------------ S1 --
 @register("feed_items", V.with_(V.D_DOCS) + f"""
-, src AS (SELECT d.document_id, o.source AS feed, {CLEAN_SQL.format(x='substr(d.full_text, 1, 80)')} AS title,
-                 d.url AS link, d.publish_date, {CLEAN_SQL.format(x='substr(d.full_text, 1, 60)')} AS s,
-                 [d.language, o.source] AS tags, o.source AS author
-          FROM d_docs d JOIN documents o ON o.doc_id = d.document_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY document_id) AS rn FROM src)
-SELECT feed, document_id AS pos, title, link, publish_date AS published, s AS summary,
-       array_to_string(tags, '|') AS tags, author
-FROM r WHERE rn <= 30""")
+SELECT source AS feed, document_id AS pos, {CLEAN_SQL.format(x='title')} AS title, url AS link,
+       publish_date AS published, {CLEAN_SQL.format(x='full_text')} AS summary,
+       language || '|' || source AS tags, source AS author
+FROM d_docs""")
 def feed_items(spark, sf_dir):
-    """S1 + P2 + P4: feed items as XML (RFC-822 dates, HTML summaries),
-    parsed back with fallbacks, first 30 items per feed."""
+    """S1 + P2: feed items of both kinds (odd documents as entries with link
+    and category attributes) parsed with their fallbacks, all items kept."""
     d = model(spark, sf_dir).D
-    o = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source")
-    j = d.join(o, "document_id")
+    day = F.date_format("publish_date", "EEE, dd MMM yyyy HH:mm:ss '+0000'")
+    title, text = _clean(F.col("title")), _clean(F.col("full_text"))
+    none = F.lit(None).cast("string")
+
+    def attr(value, name, other):
+        return F.struct(F.when(~other, value).alias("_VALUE"), F.when(other, value).alias(name))
+    entry = F.col("document_id") % 2 == 1
     item = F.struct(
-        _clean(F.substring("full_text", 1, 80)).alias("title"),
-        F.col("url").alias("link"),
-        F.date_format("publish_date", "EEE, dd MMM yyyy HH:mm:ss '+0000'").alias("pubDate"),
-        F.concat(F.lit("<b>"), _clean(F.substring("full_text", 1, 60)), F.lit("</b>")).alias("description"),
-        F.array("language", "source").alias("category"),
-        F.col("source").alias("author"))
-    raw = j.select(F.col("source").alias("feed"), F.col("document_id").alias("pos"),
+        title.alias("title"),
+        F.array(attr(F.col("url"), "_href", entry)).alias("link"),
+        F.when(~entry, day).alias("pubDate"),
+        F.when(entry, F.date_format("publish_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("updated"),
+        F.when(entry, text).alias("summary"), F.when(~entry, text).alias("description"),
+        F.array(attr(F.col("language"), "_term", entry), attr(F.col("source"), "_term", entry)).alias("category"),
+        F.struct(F.when(~entry, F.col("source")).alias("_VALUE"), F.when(entry, F.col("source")).otherwise(none).alias("name")).alias("author"))
+    raw = d.select(F.col("source").alias("feed"), F.col("document_id").alias("pos"),
                    F.to_xml(item, {"rowTag": "item"}).alias("xml"))
-    rows = FD.parse_feed_items(raw, "xml", "feed", "pos", max_per_feed=30)
+    rows = FD.parse_feed_items(raw, "xml", "feed", "pos")
     return rows.select("feed", "pos", "title", "link", "published", "summary",
                        F.array_join("tags", "|").alias("tags"), "author")
 
 
 # ------------------------------------------------------------------ S4 --
 @register("trials_parsed", V.with_(V.D_DOCS) + """
-SELECT 'NCT' || lpad(CAST(d.document_id AS VARCHAR), 8, '0') AS external_id,
-       CASE WHEN d.document_id % 5 = 0 THEN 'Official ' || d.title ELSE d.title END AS title,
-       CASE WHEN d.document_id % 2 = 0 THEN d.publish_date ELSE CAST(date_trunc('month', d.publish_date) AS DATE) END AS start_date,
-       array_to_string(CASE WHEN d.document_id % 3 = 0 THEN ['PHASE2', 'PHASE3'] ELSE ['PHASE1'] END, '|') AS phases,
-       array_to_string(list_distinct_ordered, '|') AS countries,
-       list_distinct_ordered[1] AS country,
-       o.source AS sponsor, o.n_chars AS enrollment,
-       '[' || upper(d.language) || '] ' || substr(d.full_text, 1, 50) AS full_text
-FROM (SELECT *, CASE WHEN country IS NULL THEN ['Kenya'] WHEN country = 'Kenya' THEN ['Kenya']
-                     ELSE [country, 'Kenya'] END AS list_distinct_ordered FROM d_docs) d
-JOIN documents o ON o.doc_id = d.document_id""")
+, t AS (SELECT *, document_id // 2 AS study, CASE WHEN country IS NULL THEN ['Kenya'] WHEN country = 'Kenya' THEN ['Kenya']
+                     ELSE [country, 'Kenya'] END AS places,
+               row_number() OVER (PARTITION BY document_id // 2 ORDER BY document_id) AS k FROM d_docs)
+SELECT 'NCT' || lpad(CAST(study AS VARCHAR), 8, '0') AS external_id,
+       CASE WHEN document_id % 5 = 0 THEN 'Untitled' ELSE title END AS title,
+       CASE WHEN document_id % 4 = 0 THEN publish_date ELSE CAST(date_trunc('month', publish_date) AS DATE) END AS start_date,
+       CASE WHEN document_id % 3 = 0 THEN 'PHASE2, PHASE3' ELSE 'N/A' END AS phase,
+       language || '|' || source AS conditions, 'drug ' || source AS interventions,
+       array_to_string(places, '|') AS countries, places[1] AS country,
+       source AS sponsor, n_chars AS enrollment, upper(language) AS status, full_text
+FROM t WHERE k = 1 AND document_id % 7 <> 0""")
 def trials_parsed(spark, sf_dir):
     """Nested trial JSON -> flat trial rows (distinct countries in
-    document order, first one as the country; 'Y-m-d' then 'Y-m' dates)."""
+    document order, first one as the country; 'Y-m-d' then 'Y-m' dates; two
+    records share an id; some have none)."""
     d = model(spark, sf_dir).D
-    o = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source", "n_chars")
-    j = d.join(o, "document_id")
     i = F.col("document_id")
-    start = F.when(i % 2 == 0, F.date_format("publish_date", "yyyy-MM-dd")) \
+    start = F.when(i % 4 == 0, F.date_format("publish_date", "yyyy-MM-dd")) \
              .otherwise(F.date_format("publish_date", "yyyy-MM"))
     locs = F.array(F.struct(F.col("country").alias("country")), F.struct(F.lit("Kenya").alias("country")),
                    F.struct(F.col("country").alias("country")))
+    first = i % 2 == 0
     payload = F.struct(F.struct(
-        F.struct(F.concat(F.lit("NCT"), F.lpad(i.cast("string"), 8, "0")).alias("nctId"),
-                 F.when(i % 5 != 0, F.col("title")).alias("briefTitle"),
-                 F.concat(F.lit("Official "), F.col("title")).alias("officialTitle")).alias("identificationModule"),
+        F.struct(F.when(~(first & (i % 7 == 0)), F.concat(F.lit("NCT"), F.lpad(F.floor(i / 2).cast("string"), 8, "0"))).alias("nctId"),
+                 F.when(i % 5 != 0, F.col("title")).alias("briefTitle")).alias("identificationModule"),
         F.struct(F.upper("language").alias("overallStatus"),
                  F.struct(start.alias("date")).alias("startDateStruct")).alias("statusModule"),
-        F.struct(F.when(i % 3 == 0, F.array(F.lit("PHASE2"), F.lit("PHASE3")))
-                  .otherwise(F.array(F.lit("PHASE1"))).alias("phases"),
+        F.struct(F.when(i % 3 == 0, F.array(F.lit("PHASE2"), F.lit("PHASE3"))).alias("phases"),
                  F.struct(F.col("n_chars").alias("count")).alias("enrollmentInfo")).alias("designModule"),
-        F.struct(F.substring("full_text", 1, 50).alias("briefSummary")).alias("descriptionModule"),
+        F.struct(F.col("full_text").alias("briefSummary")).alias("descriptionModule"),
         F.struct(F.struct(F.col("source").alias("name")).alias("leadSponsor")).alias("sponsorCollaboratorsModule"),
         F.struct(locs.alias("locations")).alias("contactsLocationsModule"),
+        F.struct(F.array(F.struct(F.concat(F.lit("drug "), F.col("source")).alias("name"))).alias("interventions")).alias("armsInterventionsModule"),
+        F.struct(F.array("language", "source").alias("conditions")).alias("conditionsModule"),
     ).alias("protocolSection"))
-    raw = j.select(F.to_json(payload).alias("payload"))
-    t = PL.parse_trials(raw)
-    return t.select("external_id", "title", "start_date", F.array_join("phases", "|").alias("phases"),
+    raw = d.select(i.alias("pos"), F.to_json(payload).alias("payload"))
+    t = PL.parse_trials(raw.where("not (pos % 2 = 1 and (pos - 1) % 7 = 0)"), order_col="pos")
+    return t.select("external_id", "title", "start_date", "phase", F.array_join("conditions", "|").alias("conditions"),
+                    F.array_join("interventions", "|").alias("interventions"),
                     F.array_join("countries", "|").alias("countries"), "country", "sponsor",
-                    "enrollment", "full_text")
+                    "enrollment", "status", "full_text")
 
 
 # ------------------------------------------------------------------ S5 --
 @register("drucksachen_parsed", V.with_(V.D_DOCS) + """
-SELECT 'dip-' || CAST(document_id AS VARCHAR) AS external_id, title, publish_date,
+SELECT 'BT-20/' || CAST(document_id AS VARCHAR) AS external_id,
+       CASE WHEN document_id % 6 = 0 THEN 'Ohne Titel' ELSE title END AS title, publish_date,
        'Drucksache (' || CASE language WHEN 'de' THEN 'Gesetzentwurf' ELSE 'Antrag' END || ')' AS document_type,
-       CAST(document_id AS INTEGER) AS dip_id, 20 AS wahlperiode,
+       CAST(document_id AS VARCHAR) AS dip_id, 20 AS wahlperiode,
        CASE WHEN language = 'de' THEN 'BT' ELSE 'BR' END AS institution,
-       'Fraktion ' || upper(language) || ', Gruppe ' || CAST(source_id AS VARCHAR) AS urheber
+       'Fraktion ' || upper(language) || ', Gruppe ' || CAST(source_id AS VARCHAR) AS urheber, full_text
 FROM d_docs WHERE language IN ('de', 'fr')""")
 def drucksachen_parsed(spark, sf_dir):
-    """Parliamentary JSON -> document rows + child struct, type filter."""
+    """Parliamentary JSON -> document rows + child struct, type filter;
+    every record comes twice."""
     d = model(spark, sf_dir).D
     typ = F.when(F.col("language") == "de", "Gesetzentwurf") \
            .when(F.col("language") == "fr", "Antrag").otherwise("Kleine Anfrage")
+    i = F.col("document_id")
     payload = F.struct(
-        F.col("document_id").cast("string").alias("id"), typ.alias("drucksachetyp"),
+        i.cast("string").alias("id"), typ.alias("drucksachetyp"),
         F.date_format("publish_date", "yyyy-MM-dd").alias("datum"),
         F.array(F.struct(F.concat(F.lit("Fraktion "), F.upper("language")).alias("titel")),
                 F.struct(F.concat(F.lit("Gruppe "), F.col("source_id").cast("string")).alias("titel"))).alias("urheber"),
-        F.col("title").alias("titel"), F.substring("full_text", 1, 100).alias("text"),
+        F.when(i % 6 != 0, F.col("title")).alias("titel"), F.col("full_text").alias("text"),
+        F.concat(F.lit("20/"), i.cast("string")).alias("dokumentnummer"),
         F.lit(20).alias("wahlperiode"),
-        F.when(F.col("language") == "de", "BT").otherwise("BR").alias("herausgeber"))
-    raw = d.select(F.to_json(payload).alias("payload"))
-    p = PL.parse_drucksachen(raw, types=["Gesetzentwurf", "Antrag"])
+        F.when(F.col("language") != "de", "BR").alias("herausgeber"))
+    raw = d.select(i.alias("pos"), F.to_json(payload).alias("payload"))
+    raw = raw.withColumn("pos", F.explode(F.array(F.col("pos") * 2, F.col("pos") * 2 + 1)))
+    p = PL.parse_drucksachen(raw, types=["Gesetzentwurf", "Antrag"], order_col="pos")
     return p.select("external_id", "title", "publish_date", "document_type", "extra.dip_id",
-                    "extra.wahlperiode", "extra.institution", "extra.urheber")
+                    "extra.wahlperiode", "extra.institution", "extra.urheber", "full_text")
 
 
 # ------------------------------------------------------------------ S6 --
+PROP = "array<struct<type:struct<coding:array<struct<code:string>>>,valueCode:array<struct<code:string>>>>"
+
+
 @register("device_catalog", V.with_(V.D_DOCS) + """
-SELECT CAST(document_id AS VARCHAR) AS device_id, substr(title, 1, 40) AS app_name,
-       'maker-' || CAST(source_id AS VARCHAR) AS manufacturer, language AS indication,
-       CASE WHEN document_id % 4 = 0 THEN 'unknown' ELSE 'active' END AS listing_status,
-       CASE WHEN document_id % 4 = 0 THEN NULL ELSE publish_date END AS listing_date
+SELECT CAST(document_id AS VARCHAR) AS device_id,
+       CASE WHEN document_id % 9 = 0 THEN 'Unknown' WHEN title = '' THEN 'x' ELSE title END AS app_name,
+       'maker-' || CAST(source_id AS VARCHAR) AS manufacturer, language AS indication, 'IIa' AS risk_class,
+       CASE document_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'permanent' WHEN 2 THEN 'provisional' ELSE 'unknown' END AS listing_status,
+       CASE WHEN document_id % 4 = 0 THEN NULL ELSE publish_date END AS listing_date,
+       contains(lower(CASE WHEN document_id % 9 = 0 THEN 'Unknown' WHEN title = '' THEN 'x' ELSE title END || ' ' || language || ' maker-' || CAST(source_id AS VARCHAR)), 'keit') AS neuro_relevant
 FROM d_docs""")
 def device_catalog(spark, sf_dir):
     """S6 + J6: FHIR-like bundles (device + catalogue entry) split by
     resource kind and left-joined; missing entries get 'unknown'."""
     d = model(spark, sf_dir).D
     i = F.col("document_id")
-    def res(kind, id_=None, names=None, maker=None, note=None, ref=None, status=None, start=None):
+
+    def res(kind, id_=None, names=None, maker=None, note=None, ref=None, status=None, start=None, prop=None):
         n = lambda t: F.lit(None).cast(t)
         return F.struct(
             F.lit(kind).alias("resourceType"),
@@ -147,34 +161,38 @@ def device_catalog(spark, sf_dir):
             (names if names is not None else n("array<struct<type:string,name:string>>")).alias("deviceName"),
             (maker if maker is not None else n("string")).alias("manufacturerString"),
             (note if note is not None else n("array<struct<text:string>>")).alias("note"),
+            F.struct(F.lit(kind == "none").cast("string").alias("display")).alias("manufacturerReference"),
+            (prop if prop is not None else n(PROP)).alias("property"),
             F.struct((ref if ref is not None else n("string")).alias("reference")).alias("referencedItem"),
             (status if status is not None else n("string")).alias("status"),
             F.struct((start if start is not None else n("string")).alias("start")).alias("validityPeriod"))
     dev = res("DeviceDefinition", id_=i.cast("string"),
-              names=F.array(F.struct(F.lit("other").alias("type"), F.lit("x").alias("name")),
-                            F.struct(F.lit("user-friendly-name").alias("type"),
-                                     F.substring("title", 1, 40).alias("name"))),
+              names=F.when(i % 9 != 0, F.array(F.struct(F.lit("other").alias("type"), F.lit("x").alias("name")),
+                                               F.struct(F.lit("udi-label-name").alias("type"), F.col("title").alias("name")))),
               maker=F.concat(F.lit("maker-"), F.col("source_id").cast("string")),
-              note=F.array(F.struct(F.col("language").alias("text"))))
+              note=F.array(F.struct(F.lit("").alias("text")), F.struct(F.col("language").alias("text"))),
+              prop=F.array(F.struct(F.struct(F.array(F.struct(F.lit("riskClass").alias("code"))).alias("coding")).alias("type"),
+                                    F.array(F.struct(F.lit("IIa").alias("code"))).alias("valueCode"))))
     cat = res("CatalogEntry", ref=F.concat(F.lit("DeviceDefinition/"), i.cast("string")),
-              status=F.lit("active"),
+              status=F.when(i % 4 == 1, "active").when(i % 4 == 2, "draft").otherwise("other"),
               start=F.date_format("publish_date", "yyyy-MM-dd'T'00:00:00"))
     entries = F.when(i % 4 == 0, F.array(F.struct(dev.alias("resource")))) \
                .otherwise(F.array(F.struct(dev.alias("resource")), F.struct(cat.alias("resource"))))
     raw = d.select(F.to_json(F.struct(entries.alias("entry"))).alias("payload"))
-    p = PL.parse_device_catalog(raw)
-    return p.select("device_id", "app_name", "manufacturer", "indication", "listing_status", "listing_date")
+    p = PL.parse_device_catalog(raw, neuro_terms=("keit",))
+    return p.select("device_id", "app_name", "manufacturer", "indication", "risk_class", "listing_status",
+                    "listing_date", "neuro_relevant")
 
 
 # ------------------------------------------------------------ S11, S12 --
 @register("pages_absent_titles", r"""
 WITH t AS (SELECT DISTINCT trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages)
-SELECT title FROM t WHERE title NOT IN (SELECT substr(text, 1, 80) FROM documents)""")
+SELECT title FROM t WHERE title NOT IN (SELECT title FROM t ORDER BY title LIMIT 60)""")
 def pages_absent_titles(spark, sf_dir):
     """Manual rows (page titles) appended only when absent by title."""
     from ..functions.text import html_title
     p = read(spark, sf_dir, "pages").select(html_title("html").alias("title"))
-    target = read(spark, sf_dir, "documents").select(F.substring("text", 1, 80).alias("title"))
+    target = p.distinct().orderBy("title").limit(60)  # the rows that are there already
     return TB.append_absent(target, p, ["title"])
 
 
@@ -183,7 +201,7 @@ WITH marks AS (SELECT event_type, max(ts) AS mark FROM events WHERE ts < TIMESTA
                AND event_type <> 'signup' GROUP BY 1)
 SELECT e.event_type, count(*) AS n_new
 FROM events e LEFT JOIN marks m USING (event_type)
-WHERE e.ts > coalesce(m.mark, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY) GROUP BY 1""")
+WHERE e.ts >= coalesce(m.mark, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY) GROUP BY 1""")
 def events_since_mark(spark, sf_dir):
     """Rows since each source's high-water mark, else a 30-day lookback
     (the 'signup' source has no mark here)."""
@@ -261,4 +279,3 @@ def alert_rows(spark, sf_dir):
     return AL.alert_rows(AL.select_alerts(m.scored, m.as_of))
 
 
-_ = html_to_text

@@ -21,7 +21,7 @@ SCORED = V.with_(*V.SCORED_CHAIN)
 # ------------------------------------------------------------ overview --
 @register("overview_kpis", SCORED + f"""
 SELECT (SELECT count(*) FROM d_docs) AS total_docs,
-       (SELECT count(*) FROM d_docs WHERE scraped_at >= {V.AS_OF} - INTERVAL 7 DAY) AS new_docs_week,
+       (SELECT count(*) FROM d_docs WHERE scraped_at >= {V.AS_OF} - INTERVAL 2 DAY) AS new_docs_week,
        (SELECT count(*) FROM scored) AS total_signals,
        (SELECT count(*) FROM scored WHERE strategic_score >= 7.0) AS high_signals""")
 def overview_kpis(spark, sf_dir):
@@ -197,18 +197,13 @@ WITH u AS (
   SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS clean, 0 AS prio FROM pages WHERE url LIKE 'https%'
   UNION ALL
   SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS clean, 1 AS prio FROM pages)
-SELECT arg_min(page_id, (prio, page_id)) AS page_id, clean AS clean_url, count(*) AS n_seen
-FROM u GROUP BY clean""")
+SELECT arg_min(page_id, (prio, page_id)) AS page_id, clean AS clean_url FROM u GROUP BY clean""")
 def pages_first_wins(spark, sf_dir):
     """Two feeds (secure pages first, then all pages) concatenated with
     first-wins dedup on the URL without its query string."""
     p = read(spark, sf_dir, "pages").select("page_id", "url", clean_url("url").alias("clean_url"))
-    a = p.filter(F.col("url").startswith("https")).withColumn("prio", F.lit(0))
-    b = p.withColumn("prio", F.lit(1))
-    u = a.unionByName(b)
-    return u.groupBy("clean_url").agg(
-        F.min_by("page_id", F.struct("prio", "page_id")).alias("page_id"),
-        F.count(F.lit(1)).alias("n_seen"))
+    secure = p.filter(F.col("url").startswith("https"))
+    return RL.union_distinct([secure, p], ["clean_url"], ["page_id"]).select("page_id", "clean_url")
 
 
 # ------------------------------------------------------------ windows --
@@ -247,11 +242,11 @@ def cumulative_daily_events(spark, sf_dir):
 
 
 @register("docs_page_2", DOCS + """
-SELECT document_id, title FROM dn_docs ORDER BY title, document_id LIMIT 12 OFFSET 24""")
+SELECT document_id, title FROM dn_docs ORDER BY document_id LIMIT 12 OFFSET 24""")
 def docs_page_2(spark, sf_dir):
-    """Third page of 12 after sorting by title (unique tie-break)."""
+    """The third page of 12 by id, after the second page's last id."""
     d = model(spark, sf_dir).Dn
-    return RL.paginate(d, [F.col("title"), F.col("document_id")], 2, 12).select("document_id", "title")
+    return RL.paginate(d, "document_id", after=23, size=12).select("document_id", "title")
 
 
 @register("max_scaled_edges", """
@@ -270,22 +265,29 @@ def max_scaled_edges(spark, sf_dir):
 
 # ------------------------------------------------------------ filters --
 @register("recent_docs_week", DOCS + f"""
-SELECT count(*) AS n_docs FROM dn_docs WHERE scraped_at >= {V.AS_OF} - INTERVAL 7 DAY""")
+SELECT count(*) AS n_docs FROM dn_docs WHERE scraped_at >= {V.AS_OF} - INTERVAL 2 DAY""")
 def recent_docs_week(spark, sf_dir):
     """F7."""
     m = model(spark, sf_dir)
-    return RL.recent(m.Dn, "scraped_at", m.as_of, days=7).agg(F.count(F.lit(1)).alias("n_docs"))
+    return RL.recent(m.Dn, "scraped_at", m.as_of, days=2).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 @register("recent_or_all_730", DOCS + f"""
-, r AS (SELECT * FROM dn_docs WHERE CAST(publish_date AS TIMESTAMP) >= {V.AS_OF} - INTERVAL 730 DAY)
-SELECT count(*) AS n_docs FROM (SELECT * FROM r UNION ALL
-  SELECT * FROM dn_docs WHERE NOT EXISTS (SELECT 1 FROM r))""")
+, w AS (SELECT *, CAST(publish_date AS TIMESTAMP) AS pts FROM dn_docs),
+a AS (SELECT * FROM w WHERE pts >= {V.AS_OF} - INTERVAL 200 DAY)
+SELECT 'some recent' AS kind, count(*) AS n_docs FROM a
+UNION ALL SELECT 'none recent', count(*) FROM w
+WHERE NOT EXISTS (SELECT 1 FROM w WHERE pts >= TIMESTAMP '2030-01-01 00:00:00' - INTERVAL 730 DAY)""")
 def recent_or_all_730(spark, sf_dir):
-    """F7 with the fall-back to all rows when nothing is recent."""
+    """F7 with the fall-back to all rows when nothing is recent: once with
+    recent rows, once (as of 2030) without."""
     m = model(spark, sf_dir)
     d = m.Dn.withColumn("pts", F.col("publish_date").cast("timestamp"))
-    return RL.recent_or_all(d, "pts", m.as_of, 730).agg(F.count(F.lit(1)).alias("n_docs"))
+
+    def n(kind, as_of, days):
+        rows = RL.recent_or_all(d, "pts", as_of, days)
+        return rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_docs"))
+    return n("some recent", m.as_of, 200).unionByName(n("none recent", "2030-01-01 00:00:00", 730))
 
 
 @register("facet_filtered", DOCS + """
@@ -373,7 +375,7 @@ def docs_label_status(spark, sf_dir):
 
 
 @register("new_unlabeled_docs", DOCS + """
-, h AS (SELECT document_id, sha256(coalesce(title, 'None') || coalesce(external_id, 'None') || coalesce(full_text, 'None')) AS content_hash FROM dn_docs),
+, h AS (SELECT document_id, sha256(coalesce(title, 'None') || coalesce(language, 'None') || coalesce(full_text, 'None')) AS content_hash FROM dn_docs),
 first AS (SELECT content_hash, min(document_id) AS document_id FROM h GROUP BY content_hash),
 seen AS (SELECT DISTINCT h.content_hash FROM h JOIN labels l ON l.doc_id = h.document_id)
 SELECT document_id, content_hash FROM first WHERE content_hash NOT IN (SELECT content_hash FROM seen)""")
@@ -381,11 +383,10 @@ def new_unlabeled_docs(spark, sf_dir):
     """J8 + P6: dedup by content hash inside the batch (first document wins),
     then drop hashes already stored (here: documents that carry labels)."""
     m = model(spark, sf_dir)
-    h = m.Dn.select("document_id", content_hash("title", "external_id", "full_text").alias("content_hash"))
+    h = m.Dn.select("document_id", content_hash("title", "language", "full_text").alias("content_hash"))
     lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))
     seen = h.join(lab, "document_id", "left_semi").select("content_hash")
-    first = h.groupBy("content_hash").agg(F.min("document_id").alias("document_id"))
-    return first.join(seen.distinct(), "content_hash", "left_anti").select("document_id", "content_hash")
+    return RL.new_only(h, seen, ["content_hash"], ["document_id"]).select("document_id", "content_hash")
 
 
 @register("keyword_geo_pairs", """
@@ -475,7 +476,6 @@ def monthly_revenue_running(spark, sf_dir):
 
 
 # Fixed-label defaults used by the pages
-_ = L
 
 
 # ------------------------------------------------ text filters, J4, A29 --

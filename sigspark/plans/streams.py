@@ -1,26 +1,89 @@
-"""Registered streaming query: event-time weekly counts drained from the
-landed ``events`` file (X1 + X5), compared with the batch SQL oracle."""
+"""Registered streaming queries, drained from the landed tables and compared
+with batch SQL (X1-X6). Tables and checkpoints lie under the shared folder."""
 
 from __future__ import annotations
 
 import os
 import uuid
 
-from ..bindings import read
+from ..bindings import documents_of, read
+from ..functions.numeric import rnd
 from ..session import ensure_checkpoint_dir
 from ..streaming import jobs
+from . import sqlviews as V
+from .model import model
 from .registry import register
+from .signals import SCORE_COLS, R, _round_scores, _sql_scores
+
+
+def _stream(spark, sf_dir, table):
+    """A landed table as a stream (the file source wants a pattern or dir)."""
+    schema = read(spark, sf_dir, table).schema
+    return jobs.ingest_stream(spark, os.path.join(sf_dir.rstrip("/"), f"{table[:-1]}[{table[-1]}].parquet"), schema)
+
+
+def _run(spark, name):
+    run = f"{name}-{uuid.uuid4().hex}"
+    return run, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{run}"
 
 
 @register("stream_weekly_event_counts", """
 SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, count(*) AS n
-FROM events GROUP BY 1, 2""")
+FROM events GROUP BY 1, 2
+HAVING date_trunc('week', any_value(ts)) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
 def stream_weekly_event_counts(spark, sf_dir):
-    """X1 + X5: file-source stream (explicit schema, availableNow), weekly
-    windows aligned to Monday, complete-mode state, result table stored
-    under the shared checkpoint folder and read back."""
+    """X1 + X5: weekly windows aligned to Monday, appended once the watermark
+    has passed them."""
+    run, out = _run(spark, "weekly")
     schema = read(spark, sf_dir, "events").schema
-    run = f"weekly-{uuid.uuid4().hex}"
-    out = os.path.join(ensure_checkpoint_dir(spark), "tables", run)
-    src = os.path.join(sf_dir.rstrip("/"), "event[s].parquet")   # glob: the file source wants a pattern or dir
+    src = os.path.join(sf_dir.rstrip("/"), "event[s].parquet")
     return jobs.weekly_counts_table(spark, src, schema, "ts", "event_type", out, run)
+
+
+@register("stream_users_once", "SELECT DISTINCT user_id FROM events")
+def stream_users_once(spark, sf_dir):
+    """Repeats of a key within the watermark are dropped."""
+    run, out = _run(spark, "users")
+    once = jobs.dedup_stream(_stream(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", "60 days")
+    jobs.run_available(once.select("user_id"), run, out)
+    return spark.read.parquet(out)
+
+
+@register("stream_tags", V.with_(*V.SIGNAL_CHAIN, V.FLAGS) + f"""
+SELECT g.document_id, g.keyword_id, {V.rnd_sql('g.match_score', R)} AS match_score, f.is_regulatory, f.is_diga
+FROM g_sig g JOIN f_flags f USING (document_id)""")
+def stream_tags(spark, sf_dir):
+    """A document stream tagged (exact and fuzzy) with flags."""
+    m = model(spark, sf_dir)
+    run, out = _run(spark, "tags")
+    jobs.run_available(jobs.tag_stream(documents_of(_stream(spark, sf_dir, "documents")), m.K, m.S), run, out)
+    return spark.read.parquet(out).select("document_id", "keyword_id", rnd("match_score", R).alias("match_score"),
+                                          "is_regulatory", "is_diga")
+
+
+def _scored_stream(spark, sf_dir):
+    m = model(spark, sf_dir)
+    run, out = _run(spark, "scored")
+    docs = documents_of(_stream(spark, sf_dir, "documents"))
+    jobs.run_available(docs, run, foreach_batch=jobs.score_batches(f"{out}/signals", f"{out}/scores", m.K, m.S, m.as_of))
+    return f"{out}/scores"
+
+
+@register("stream_signals_scored", V.with_(*V.SCORED_CHAIN) + f"""
+SELECT document_id, keyword_id, urgency, {_sql_scores()} FROM scored""")
+def stream_signals_scored(spark, sf_dir):
+    """Micro-batches scored against all signals so far."""
+    sc = spark.read.parquet(_scored_stream(spark, sf_dir))
+    return _round_scores(sc.select("document_id", "keyword_id", "urgency", *SCORE_COLS))
+
+
+@register("stream_alert_feed", V.with_(*V.SCORED_CHAIN)
+          + "SELECT document_id, keyword_id FROM scored WHERE strategic_score >= 6.0")
+def stream_alert_feed(spark, sf_dir):
+    """Each alert once, from the stream of scored signals."""
+    path = _scored_stream(spark, sf_dir)
+    schema = spark.read.parquet(path).schema
+    run, out = _run(spark, "alerts")
+    feed = jobs.alert_feed(jobs.ingest_stream(spark, path, schema))
+    jobs.run_available(feed.select("document_id", "keyword_id"), run, out)
+    return spark.read.parquet(out)

@@ -1,18 +1,17 @@
 """Sinks (K1-K8): appends, child rows, upsert without a table format,
-day-partition replace, key deletes, CSV export, alert rows, run stats.
+day-partition replace, key deletes, CSV export, run stats.
 
-Writes go to Parquet partitioned by a date/month column so replacing or
-upserting only rewrites the touched partitions
-(``partitionOverwriteMode=dynamic``); Spark's commit protocol makes a
-partition rewrite atomic per task and retried tasks idempotent.
+Writes go to Parquet partitioned by a date/month column. Replacing days
+rewrites those partitions only; an upsert writes a new version of the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from .operators.relational import latest_per
 
 
 def default_flags(docs: DataFrame) -> DataFrame:
@@ -29,39 +28,56 @@ def write_documents(new: DataFrame, path: str, flags_path: str | None = None,
         default_flags(new).write.mode("append").parquet(flags_path)
 
 
-def write_child(docs: DataFrame, path: str, extra_col: str = "extra", key: str = "external_id") -> None:
-    """K2: child-table rows of a document subtype (struct column flattened)."""
+def write_child(docs: DataFrame, path: str, extra_col: str = "extra", key: str = "document_id") -> None:
+    """K2: child-table rows of a document subtype (struct column flattened),
+    keyed by the stored document."""
     docs.select(key, f"{extra_col}.*").write.mode("append").parquet(path)
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     """K3: merged table = target rows whose key is not updated + the newest
-    update per key. Aggregate dedup (max_by), so a hot key stays map-side."""
-    cols = [c for c in updates.columns if c not in keys]
-    latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_r")) \
-                    .select(*keys, "_r.*")
+    update per key."""
+    latest = latest_per(updates, keys, order_col)
     kept = target.join(latest.select(*keys), keys, "left_anti")
     return kept.unionByName(latest.select(*target.columns))
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Finished versions of a table folder, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root)]
+    done = [p for p in found if p.getName().startswith("v") and
+            fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return [f"{path}/{n}" for n in sorted(p.getName() for p in done)]
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest finished version of an upserted table; None before the first."""
+    found = _versions(spark, path)
+    return spark.read.parquet(found[-1]) if found else None
+
+
 def write_upsert(target_path: str, updates: DataFrame, keys: list[str], order_col: str,
                  partition_col: str) -> None:
-    """K3 on disk: rewrite only the partitions the updates touch."""
+    """K3 on disk: a new version of the table, complete before it counts.
+
+    Readers take the newest version whose write has finished, so a failure in
+    between loses nothing, and a key whose new row lies in another partition
+    leaves no old row behind. Repeating an upsert gives the same table.
+    """
     spark = updates.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    target = spark.read.parquet(target_path)
-    parts = updates.select(partition_col).distinct()
-    touched = target.join(F.broadcast(parts), partition_col, "left_semi")
-    merged = upsert(touched, updates, keys, order_col)
-    # Materialise before overwriting the partitions we read from.
-    ckpt = merged.checkpoint(eager=True)
-    ckpt.write.mode("overwrite").partitionBy(partition_col).parquet(target_path)
+    now = read_latest(spark, target_path)
+    merged = latest_per(updates, keys, order_col) if now is None else upsert(now, updates, keys, order_col)
+    n = len(_versions(spark, target_path))
+    merged.write.mode("overwrite").partitionBy(partition_col).parquet(f"{target_path}/v{n:08d}")
 
 
 def overwrite_day(df: DataFrame, path: str, date_col: str = "date") -> None:
     """K4: replace exactly the days present in ``df`` (idempotent re-run)."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(date_col).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -8,28 +8,25 @@ from landed files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_any
 from ..functions.text import html_to_text
 
-FEED_ITEM_SCHEMA = ("struct<title: string, link: string, pubDate: string, published: string, "
-                    "updated: string, summary: string, description: string, "
-                    "category: array<string>, author: string>")
+#: Items of both feed kinds: plain texts, or (entries) attributes of link and
+#: category and a named author.
+FEED_ITEM_SCHEMA = ("struct<title: string, "
+                    "link: array<struct<_VALUE: string, _href: string, _rel: string>>, "
+                    "pubDate: string, published: string, updated: string, "
+                    "summary: string, description: string, content: struct<_VALUE: string>, "
+                    "category: array<struct<_VALUE: string, _term: string>>, "
+                    "author: struct<_VALUE: string, name: string>>")
 
 FEED_DATE_FORMATS = ["rfc822", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'",
                      "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
 
 
-def read_feed_files(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Landed XML feed files -> one row per item (explicit schema)."""
-    schema = FEED_ITEM_SCHEMA[len("struct<"):-1]
-    return spark.read.format("xml").option("rowTag", row_tag).schema(
-        ", ".join(f.replace(":", "") for f in schema.split(", "))).load(path) \
-        .withColumn("feed", F.input_file_name())
-
-
 def parse_feed_items(raw: DataFrame, xml_col: str = "xml", feed_col: str = "feed",
                      order_col: str | None = "pos", max_per_feed: int | None = None) -> DataFrame:
     """XML items -> (feed, title, link, published, summary, tags, author).
@@ -47,29 +44,34 @@ def parse_feed_items(raw: DataFrame, xml_col: str = "xml", feed_col: str = "feed
 def items_to_rows(p: DataFrame, feed_col: str, order_col: str | None,
                   max_per_feed: int | None) -> DataFrame:
     i = lambda c: F.col(f"i.{c}")
-    summary = F.coalesce(i("summary"), i("description"))
+    summary = F.coalesce(i("summary"), i("description"), i("content._VALUE"))
     summary = F.when(summary.contains("<"), html_to_text(summary)).otherwise(summary)
     raw_date = F.coalesce(i("pubDate"), i("published"), i("updated"))
+    links = F.filter(i("link"), lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.get(F.transform(links, lambda x: F.coalesce(x["_href"], F.trim(x["_VALUE"]))), 0)
+    tags = F.filter(F.transform(i("category"), lambda x: F.coalesce(x["_term"], F.trim(x["_VALUE"]))),
+                    lambda x: F.coalesce(x, F.lit("")) != "")
     out = p.select(
         F.col(feed_col).alias("feed"), *([F.col(order_col)] if order_col else []),
-        F.trim(i("title")).alias("title"), i("link").alias("link"),
+        F.trim(i("title")).alias("title"), link.alias("link"),
         raw_date.alias("published_raw"),
         parse_date_any(raw_date, FEED_DATE_FORMATS).alias("published"),
         summary.alias("summary"),
-        F.coalesce(i("category"), F.array().cast("array<string>")).alias("tags"),
-        i("author").alias("author"))
+        F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
+        F.coalesce(i("author.name"), F.trim(i("author._VALUE"))).alias("author"))
     if max_per_feed is not None and order_col:
         w = Window.partitionBy("feed").orderBy(order_col)
         out = out.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_per_feed).drop("_rn")
     return out
 
 
+_DAY = "struct<Year: string, Month: string, Day: string>"
 ARTICLE_SCHEMA = (
-    "struct<PMID: string, ArticleTitle: string, "
-    "Abstract: struct<AbstractText: array<struct<_Label: string, _VALUE: string>>>, "
-    "PubDate: struct<Year: string, Month: string, Day: string>, Journal: string, "
-    "AuthorList: struct<Author: array<struct<LastName: string, ForeName: string>>>, "
-    "Affiliation: string>")
+    "struct<MedlineCitation: struct<PMID: struct<_VALUE: string, _Version: string>, Article: struct<"
+    "ArticleTitle: string, Abstract: struct<AbstractText: array<struct<_Label: string, _VALUE: string>>>, "
+    f"ArticleDate: {_DAY}, Journal: struct<Title: string, JournalIssue: struct<PubDate: {_DAY}>>, "
+    "AuthorList: struct<Author: array<struct<LastName: string, ForeName: string, "
+    "AffiliationInfo: array<struct<Affiliation: string>>>>>>>>")
 
 _MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
@@ -80,28 +82,33 @@ def month_number(m: Column) -> Column:
     return F.coalesce(m.try_cast("int"), F.when(by_name > 0, by_name.cast("int")))
 
 
-def parse_articles(raw: DataFrame, xml_col: str = "xml", max_authors: int = 5) -> DataFrame:
-    """S3: article XML -> id, title, labelled abstract, date, journal,
-    first authors, affiliation country."""
+def parse_articles(raw: DataFrame, xml_col: str = "xml", max_authors: int | None = 5) -> DataFrame:
+    """S3: article XML -> id, title, labelled abstract, date (article date,
+    else issue date), journal, first authors, country of the first affiliation."""
     from ..functions.text import affiliation_country
-    a = raw.select(F.from_xml(F.col(xml_col), ARTICLE_SCHEMA).alias("a"))
-    parts = F.transform(F.col("a.Abstract.AbstractText"),
-                        lambda x: F.when(F.coalesce(x["_Label"], F.lit("")) != "",
-                                         F.concat(x["_Label"], F.lit(": "), x["_VALUE"]))
-                                   .otherwise(x["_VALUE"]))
-    authors = F.transform(F.slice(F.col("a.AuthorList.Author"), 1, max_authors),
-                          lambda x: F.concat_ws(" ", x["LastName"], x["ForeName"]))
-    y = F.col("a.PubDate.Year").try_cast("int")
-    mth = F.coalesce(month_number(F.col("a.PubDate.Month")), F.lit(1))
-    day = F.coalesce(F.col("a.PubDate.Day").try_cast("int"), F.lit(1))
+    c = raw.select(F.from_xml(F.col(xml_col), ARTICLE_SCHEMA).alias("a")).select("a.MedlineCitation.*")
+    a = c.select(F.coalesce(F.trim("PMID._VALUE"), F.lit("")).alias("pmid"), "Article.*")
+    parts = F.transform("Abstract.AbstractText", lambda x: F.concat(
+        F.when(F.coalesce(x["_Label"], F.lit("")) != "", F.concat(x["_Label"], F.lit(": "))).otherwise(""),
+        F.coalesce(x["_VALUE"], F.lit(""))))
+    named = F.filter("AuthorList.Author", lambda x: F.coalesce(x["LastName"], F.lit("")) != "")
+    names = F.transform(named, lambda x: F.trim(F.concat_ws(" ", x["LastName"], x["ForeName"])))
+    names = F.coalesce(names, F.array().cast("array<string>"))
+    places = F.flatten(F.transform("AuthorList.Author", lambda x: F.coalesce(
+        x["AffiliationInfo"]["Affiliation"], F.array().cast("array<string>"))))
+    day = F.coalesce("ArticleDate", "Journal.JournalIssue.PubDate")
+    year = day["Year"].try_cast("int")
+    month = F.when(day["Month"].isNull(), 1).otherwise(F.coalesce(month_number(day["Month"]), F.lit(1)))
+    dom = F.when(day["Day"].isNull(), 1).otherwise(day["Day"].try_cast("int"))
     return a.select(
-        F.concat(F.lit("PMID:"), F.col("a.PMID")).alias("external_id"),
-        F.col("a.ArticleTitle").alias("title"),
-        F.array_join(parts, " ").alias("abstract"),
-        F.try_to_date(F.format_string("%04d-%02d-%02d", y, mth, day), "yyyy-MM-dd").alias("publish_date"),
-        F.col("a.Journal").alias("journal"),
-        F.array_join(authors, ", ").alias("authors"),
-        affiliation_country(F.col("a.Affiliation")).alias("country"))
+        F.concat(F.lit("PMID:"), "pmid").alias("external_id"),
+        F.coalesce("ArticleTitle", F.lit("Untitled")).alias("title"),
+        F.coalesce(F.array_join(parts, " "), F.lit("")).alias("abstract"),
+        F.when(year.isNotNull() & dom.isNotNull(),
+               F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, dom), "yyyy-MM-dd")).alias("publish_date"),
+        F.coalesce("Journal.Title", F.lit("")).alias("journal"),
+        F.array_join(F.slice(names, 1, max_authors) if max_authors else names, ", ").alias("authors"),
+        F.coalesce(affiliation_country(F.get(places, 0)), F.lit("")).alias("country"))
 
 
 def to_document(items: DataFrame, source_id: int, document_type: str, language: str = "en",

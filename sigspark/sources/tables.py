@@ -3,7 +3,7 @@ reads (S9, S10, S11, S12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..bindings import as_of_ts
@@ -23,36 +23,45 @@ def load_lexicon(spark: SparkSession, sections: dict[str, list[dict]], levels: d
     return new
 
 
-def load_lexicon_yaml(spark: SparkSession, path: str, existing: DataFrame | None = None) -> DataFrame:
-    """S9 from a YAML file shaped ``level_<n>_<name>: [{keyword, cluster}]``."""
-    import yaml
-    with open(path, encoding="utf-8") as fh:
-        cfg = yaml.safe_load(fh)
-    sections = {k: v for k, v in cfg.items() if k.startswith("level_") and isinstance(v, list)}
-    levels = {k: int(k.split("_")[1]) for k in sections}
-    return load_lexicon(spark, sections, levels, existing)
+def load_sources(spark: SparkSession, entries: list[dict], existing: DataFrame | None = None) -> DataFrame:
+    """Source catalogue entries -> source rows with their defaults; the
+    first entry of a name counts, names that are stored already do not."""
+    seen: dict[str, tuple] = {}
+    for e in entries:
+        seen.setdefault(e["name"], (e["name"], e["source_type"], e.get("country"), e.get("region"), e.get("url"),
+                                    e.get("access_method"), int(e.get("refresh_hours", 24)),
+                                    int(e.get("trust_level", 3)), True))
+    new = spark.createDataFrame(list(seen.values()), "source_name string, source_type string, country string, "
+                                "region string, url string, access_method string, refresh_hours int, "
+                                "trust_level int, active boolean")
+    return new if existing is None else new.join(existing.select("source_name"), "source_name", "left_anti")
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
-               where: str | None = None) -> DataFrame:
-    """Full or filtered read; filters and columns reach the scan."""
-    df = spark.read.parquet(path)
-    if where:
-        df = df.filter(where)
-    return df.select(*columns) if columns else df
+def with_source_ids(rows: DataFrame, sources: DataFrame, name: str = "source_name") -> tuple[DataFrame, DataFrame]:
+    """(rows with the id of their source, sources with the new ones).
+
+    Names that are not stored get the next ids in the order of their names.
+    """
+    top = sources.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("_top"))
+    new = rows.select(name).where(F.col(name).isNotNull()).distinct().join(sources.select(name), name, "left_anti")
+    new = new.crossJoin(F.broadcast(top)).select(  # one row; new names are few
+        name, (F.col("_top") + F.row_number().over(Window.orderBy(name))).alias("source_id"))
+    every = sources.unionByName(new, allowMissingColumns=True)
+    return rows.join(every.select(name, "source_id"), name, "left"), every
 
 
 def append_absent(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key is not yet stored (dedup inside the batch too)."""
+    """Keys that are not yet stored, each once; ``rows`` holds key columns
+    only or rows that do not differ within a key."""
     return rows.dropDuplicates(key).join(target.select(*key).distinct(), key, "left_anti")
 
 
 def since(df: DataFrame, marks: DataFrame, key: str, ts_col: str, as_of: str, days: int = 30) -> DataFrame:
-    """Rows newer than the source's high-water mark, else a lookback
-    window. ``marks`` (source, mark) is one row per source: broadcast."""
-    j = df.join(F.broadcast(marks), key, "left")
+    """Rows at or after the source's high-water mark, else a lookback
+    window. ``marks``: (source, mark)."""
+    j = df.join(marks, key, "left")
     lo = F.coalesce(F.col("mark"), as_of_ts(as_of) - F.make_dt_interval(F.lit(days)))
-    return j.filter(F.col(ts_col) > lo).drop("mark")
+    return j.filter(F.col(ts_col) >= lo).drop("mark")
 
 
 def high_water_marks(df: DataFrame, key: str, ts_col: str) -> DataFrame:

@@ -16,11 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import lexicon as L
 from .. import sinks as K
 from ..operators import scoring, tagging
+from ..operators.relational import first_per, new_only
 from ..session import ensure_checkpoint_dir
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
@@ -34,39 +41,41 @@ def ingest_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return r.load(path)
 
 
+def event_time(df: DataFrame, ts_col: str, delay: str) -> DataFrame:
+    """Event time with a watermark; times without a zone are the session's (UTC)."""
+    return df.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, delay)
+
+
 def dedup_stream(docs: DataFrame, key: str = "content_hash", ts_col: str = "scraped_at",
                  delay: str = "1 day") -> DataFrame:
     """Drop repeats of a key seen within the watermark delay (state is
     bounded by the delay). Full-history dedup against the stored table is
     ``new_against_table`` inside foreachBatch."""
-    return docs.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark([key])
+    return event_time(docs, ts_col, delay).dropDuplicatesWithinWatermark([key])
 
 
-def new_against_table(batch: DataFrame, stored_path: str, key: str) -> DataFrame:
-    """X2 (full history): left-anti against the stored table's keys."""
+def new_against_table(batch: DataFrame, stored_path: str, key: str, order: list[str]) -> DataFrame:
+    """X2 (full history): the batch's first row per key whose key is not in
+    the stored table; a table that is not there yet holds nothing."""
     spark = batch.sparkSession
-    try:
-        seen = spark.read.parquet(stored_path).select(key)
-    except Exception:  # first run: nothing stored yet
-        return batch.dropDuplicates([key])
-    return batch.dropDuplicates([key]).join(seen, key, "left_anti")
+    if not path_exists(spark, stored_path):
+        return first_per(batch, [key], order)
+    return new_only(batch, spark.read.parquet(stored_path), [key], order)
 
 
-def tag_stream(docs: DataFrame, terms: list[tuple]) -> DataFrame:
-    """Stateless exact tagging of a document stream (narrow stage with
-    the lexicon inlined as a literal; no shuffle, no state)."""
-    d = tagging.with_search_text(docs)
-    m = tagging.match_terms(d.select("document_id", "search_text"), terms)
-    head = F.substring("search_text", 1, 200)
-    return m.select("document_id", F.col("t.keyword_id").alias("keyword_id"),
-                    F.when(head.contains(F.col("t.kw")), F.lit(9.5)).otherwise(F.lit(8.0)).alias("match_score"))
+def tag_stream(docs: DataFrame, K_: DataFrame, S: DataFrame) -> DataFrame:
+    """Stateless tagging of a document stream: exact and fuzzy signals
+    with their document's flags (no shuffle, no state)."""
+    m = tagging.with_source_type(tagging.with_hits(docs, K_), S)
+    m = m.select("document_id", "hits", *tagging.merged_flags(tagging.match_flags(), tagging.type_flags()))
+    return tagging.signals(m, "document_id", *L.FLAG_NAMES)
 
 
 def weekly_counts(events: DataFrame, ts_col: str, label: str, delay: str = "2 days") -> DataFrame:
     """Event-time counts per (week, label); weeks start on Monday
     (1970-01-01 was a Thursday, hence the 4-day start offset)."""
     w = F.window(ts_col, "7 days", startTime="4 days")
-    return events.withWatermark(ts_col, delay).groupBy(w.alias("w"), label) \
+    return event_time(events, ts_col, delay).groupBy(w.alias("w"), label) \
                  .agg(F.count(F.lit(1)).alias("n")) \
                  .select(F.to_date(F.col("w.start")).alias("week_start"), label, "n")
 
@@ -74,31 +83,30 @@ def weekly_counts(events: DataFrame, ts_col: str, label: str, delay: str = "2 da
 def alert_feed(scored: DataFrame, min_score: float = 6.0, ts_col: str = "scraped_at",
                delay: str = "12 hours") -> DataFrame:
     """Alert each signal once (dedup on its key within the watermark)."""
-    return scored.filter(F.col("strategic_score") >= min_score) \
-                 .withWatermark(ts_col, delay) \
+    return event_time(scored.filter(F.col("strategic_score") >= min_score), ts_col, delay) \
                  .dropDuplicatesWithinWatermark(["document_id", "keyword_id"])
 
 
-def score_batches(G_path: str, D: DataFrame, K_: DataFrame, S: DataFrame, out_path: str, as_of: str):
-    """foreachBatch scorer. Novelty needs counts over all signals, so each
-    micro-batch is scored against the stored signal table plus itself."""
+def score_batches(signals_path: str, out_path: str, K_: DataFrame, S: DataFrame, as_of: str):
+    """foreachBatch scorer of new documents.
+
+    The batch is tagged and scored; novelty counts run over the narrow signal
+    rows of all earlier batches and this one. Both outputs are folders by
+    epoch that a retried batch replaces, so it never counts twice.
+    """
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(G_path).select("document_id", "keyword_id", "match_score")
-            allg = stored.unionByName(batch.select("document_id", "keyword_id", "match_score"))
-        except Exception:
-            allg = batch.select("document_id", "keyword_id", "match_score")
-        flags = tagging.document_flags(D, S, allg, K_)
-        sc = scoring.score(allg, D, K_, S, flags, as_of)
-        new = sc.join(batch.select("document_id", "keyword_id"), ["document_id", "keyword_id"], "left_semi")
-        new.write.mode("append").parquet(out_path)
-        batch.select("document_id", "keyword_id", "match_score").write.mode("append").parquet(G_path)
+        scoring.signal_rows(batch, S, K_).write.mode("overwrite").parquet(f"{signals_path}/epoch={epoch}")
+        every = spark.read.parquet(signals_path)
+        new = every.filter(F.col("epoch") == epoch)
+        older = every.filter(F.col("epoch") <= epoch).select("keyword_id", "source_id", "publish_date")
+        scoring.finish(new.drop("epoch"), as_of, over=older) \
+               .write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
     return run
 
 
 def upsert_batches(target_path: str, keys: list[str], order_col: str, partition_col: str):
-    """foreachBatch upsert (K3) touching only the batch's partitions."""
+    """foreachBatch upsert (K3); a repeated batch gives the same table."""
     def run(batch: DataFrame, epoch: int) -> None:
         K.write_upsert(target_path, batch, keys, order_col, partition_col)
     return run
@@ -119,16 +127,10 @@ def run_available(df: DataFrame, name: str, sink_path: str | None = None, mode:
 
 
 def weekly_counts_table(spark: SparkSession, events_dir: str, schema, ts_col: str, label: str,
-                        out_path: str, name: str) -> DataFrame:
-    """X5 end to end: stream the landed files, keep the running weekly counts
-    (complete mode, bounded state: weeks x labels) and overwrite the result
-    table per micro-batch; return the stored table."""
-    ev = ingest_stream(spark, events_dir, schema)
-    counts = ev.groupBy(F.window(ts_col, "7 days", startTime="4 days").alias("w"), label) \
-               .agg(F.count(F.lit(1)).alias("n")) \
-               .select(F.to_date(F.col("w.start")).alias("week_start"), label, "n")
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
-    run_available(counts, name, mode="complete", foreach_batch=sink)
-    return spark.read.parquet(out_path)
+                        out_path: str, name: str, delay: str = "2 days") -> DataFrame:
+    """X5 end to end: stream the landed files and append each week once the
+    watermark has passed it; weeks that are still open at the end are state,
+    which the next run goes on with. Returns the stored table."""
+    counts = weekly_counts(ingest_stream(spark, events_dir, schema), ts_col, label, delay)
+    run_available(counts, name, sink_path=out_path)
+    return spark.read.schema(counts.schema).parquet(out_path)

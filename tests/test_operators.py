@@ -45,7 +45,7 @@ def test_whole_text_is_matched_unless_capped(spark):
 def test_lexicon_of_any_size(spark):
     rows = [(i, f"term{i}x", 1, "c", True) for i in range(2500)] + [(9000, "one two three", 1, "c", True)]
     k = spark.createDataFrame(rows, "keyword_id int, keyword string, level int, cluster string, active boolean")
-    d = _docs(spark, [(1, 0, "t", "term7x and term2499x and one two thre", None, None, None, "news", None)])
+    d = _docs(spark, [(1, 0, "one two thre", "term7x and term2499x", None, None, None, "news", None)])
     got = {(r.keyword_id, r.match_kind) for r in TG.tag(d, k).collect()}
     assert got == {(7, "exact"), (2499, "exact"), (9000, "fuzzy")}
 
@@ -183,22 +183,183 @@ def test_feed_parser_fallbacks(spark):
     assert str(rows[1].published) == "2024-03-06" and rows[1].summary == "plain"
 
 
+def test_atom_entries(spark):
+    from sigspark.sources.feeds import parse_feed_items
+    xml = ("<entry><title>T</title><link rel=\"self\" href=\"https://a/self\"/><link href=\"https://a/x\"/>"
+           "<updated>2024-03-06T10:00:00Z</updated><category term=\"news\"/><category term=\"eu\"/>"
+           "<author><name>Jo</name></author><content>long &lt;b&gt;text&lt;/b&gt;</content></entry>")
+    r = parse_feed_items(spark.createDataFrame([("f", 1, xml)], "feed string, pos int, xml string")).first()
+    assert (r.link, r.tags, r.author, str(r.published)) == ("https://a/x", ["news", "eu"], "Jo", "2024-03-06")
+
+
 def test_article_parser(spark):
     from sigspark.sources.feeds import parse_articles
-    xml = ("<PubmedArticle><PMID>42</PMID><ArticleTitle>Study</ArticleTitle>"
-           "<Abstract><AbstractText Label=\"BACKGROUND\">bg</AbstractText><AbstractText>rest</AbstractText></Abstract>"
-           "<PubDate><Year>2024</Year><Month>Mar</Month></PubDate><Journal>J</Journal>"
-           "<AuthorList><Author><LastName>Doe</LastName><ForeName>Jo</ForeName></Author></AuthorList>"
-           "<Affiliation>Dept, Uni, Kenya.</Affiliation></PubmedArticle>")
-    r = parse_articles(spark.createDataFrame([(xml,)], "xml string")).first()
-    assert r.external_id == "PMID:42" and r.abstract == "BACKGROUND: bg rest"
-    assert str(r.publish_date) == "2024-03-01" and r.authors == "Doe Jo" and r.country == "Kenya"
+
+    def article(extra="", authors="", pmid="<PMID Version=\"1\">42</PMID>"):
+        return (f"<PubmedArticle><MedlineCitation>{pmid}<Article><Journal><Title>J</Title><JournalIssue><PubDate>"
+                f"<Year>2023</Year><Month>Mar</Month></PubDate></JournalIssue></Journal>{extra}"
+                f"<AuthorList>{authors}</AuthorList></Article></MedlineCitation></PubmedArticle>")
+    full = article("<ArticleTitle>Study</ArticleTitle><Abstract><AbstractText Label=\"BACKGROUND\">bg</AbstractText>"
+                   "<AbstractText>rest</AbstractText></Abstract><ArticleDate><Year>2024</Year><Month>05</Month>"
+                   "<Day>07</Day></ArticleDate>",
+                   "<Author><CollectiveName>Group</CollectiveName></Author><Author><LastName>Doe</LastName>"
+                   "<ForeName>Jo</ForeName><AffiliationInfo><Affiliation>Dept, Uni, Kenya.</Affiliation>"
+                   "</AffiliationInfo></Author><Author><LastName>Roe</LastName></Author>")
+    rows = parse_articles(spark.createDataFrame([(1, full), (2, article())], "k int, xml string")).collect()
+    r = next(x for x in rows if x.title == "Study")
+    assert (r.external_id, r.abstract, r.journal) == ("PMID:42", "BACKGROUND: bg rest", "J")
+    assert (str(r.publish_date), r.authors, r.country) == ("2024-05-07", "Doe Jo, Roe", "Kenya")
+    r = next(x for x in rows if x.title != "Study")
+    assert (r.title, r.abstract, str(r.publish_date), r.authors, r.country) == ("Untitled", "", "2023-03-01", "", "")
+
+
+def test_trial_parser(spark):
+    import json
+    from sigspark.sources.payloads import parse_trials
+
+    def study(nct, **mods):
+        return json.dumps({"protocolSection": {"identificationModule": {"nctId": nct, "briefTitle": "B"}, **mods}})
+    rows = [(1, study("N1", designModule={"phases": ["PHASE1", "PHASE2"], "enrollmentInfo": {"count": 7}},
+                      statusModule={"overallStatus": "OPEN", "startDateStruct": {"date": "2024-05"}},
+                      armsInterventionsModule={"interventions": [{"name": "x"}, {"type": "y"}]},
+                      conditionsModule={"conditions": ["c1", "c2"]},
+                      contactsLocationsModule={"locations": [{"country": "DE"}, {}, {"country": "FR"}, {"country": "DE"}]})),
+            (2, study("N1")), (3, study("")), (4, "{}"), (5, study("N2")), (6, "not json")]
+    got = {r.external_id: r for r in parse_trials(spark.createDataFrame(rows, "pos int, payload string"),
+                                                  order_col="pos").collect()}
+    assert set(got) == {"N1", "N2"}
+    a, b = got["N1"], got["N2"]
+    assert (a.phase, a.enrollment, str(a.start_date), a.interventions) == ("PHASE1, PHASE2", 7, "2024-05-01", ["x", ""])
+    assert (a.conditions, a.countries, a.country, a.status) == (["c1", "c2"], ["DE", "FR"], "DE", "OPEN")
+    assert (b.phase, b.start_date, b.conditions, b.country, b.full_text) == ("N/A", None, [], "", "")
+
+
+def test_paper_and_device_parsers(spark):
+    import json
+    from sigspark.sources.payloads import parse_device_catalog, parse_drucksachen
+    papers = [(1, {"id": "1", "drucksachetyp": "Antrag", "dokumentnummer": "20/1", "urheber": [{"titel": "A"}, {"titel": "B"}]}),
+              (2, {"id": "1", "drucksachetyp": "Antrag", "dokumentnummer": "20/9"}), (3, {"drucksachetyp": "Antrag"})]
+    r, = parse_drucksachen(spark.createDataFrame([(i, json.dumps(x)) for i, x in papers], "pos int, payload string"),
+                           types=["Antrag"], order_col="pos").collect()
+    assert (r.external_id, r.title, r.full_text, r.extra.institution) == ("BT-20/1", "Ohne Titel", "", "BT")
+    assert (r.extra.urheber, r.extra.wahlperiode) == ("A, B", 0)
+    risk = [{"type": {"coding": [{"code": "other"}]}}, {"type": {"coding": [{"code": "riskClass"}]}, "valueCode": [{"code": "I"}]}]
+    entries = [
+        {"resourceType": "DeviceDefinition", "id": "d1", "deviceName": [{"type": "z", "name": "n"}, {"type": "udi-label-name", "name": "Brainy"}],
+         "manufacturerString": "", "manufacturerReference": {"display": "Maker"}, "note": [{"text": ""}, {"text": "use"}], "property": risk},
+        {"resourceType": "CatalogEntry", "referencedItem": {"reference": "DeviceDefinition/d1"}, "status": "active",
+         "validityPeriod": {"start": "2024-02-03T00:00:00"}},
+        {"resourceType": "DeviceDefinition", "id": "d2"}, {"resourceType": "DeviceDefinition"}]
+    raw = spark.createDataFrame([(json.dumps({"entry": [{"resource": e} for e in entries]}),)], "payload string")
+    got = {r.device_id: r for r in parse_device_catalog(raw, neuro_terms=("brain",)).collect()}
+    a, b = got["d1"], got["d2"]
+    assert set(got) == {"d1", "d2"}
+    assert (a.app_name, a.manufacturer, a.indication, a.risk_class) == ("Brainy", "Maker", "use", "I")
+    assert (a.listing_status, str(a.listing_date), a.neuro_relevant) == ("permanent", "2024-02-03", True)
+    assert (b.app_name, b.manufacturer, b.listing_status, b.listing_date, b.neuro_relevant) == ("Unknown", "", "unknown", None, False)
+
+
+def test_sources_and_ids(spark):
+    from sigspark.sources.tables import load_lexicon, load_sources, with_source_ids
+    have = spark.createDataFrame([(4, "a")], "source_id int, source_name string")
+    new = load_sources(spark, [{"name": "a", "source_type": "x"}, {"name": "b", "source_type": "y"},
+                               {"name": "b", "source_type": "z", "trust_level": 5}], have).collect()
+    assert [(r.source_name, r.source_type, r.trust_level, r.refresh_hours) for r in new] == [("b", "y", 3, 24)]
+    rows = spark.createDataFrame([(1, "a"), (2, "c"), (3, "b"), (4, "c")], "k int, source_name string")
+    with_ids, every = with_source_ids(rows, have)
+    assert {(r.k, r.source_id) for r in with_ids.collect()} == {(1, 4), (2, 6), (3, 5), (4, 6)}
+    assert every.count() == 3
+    k = load_lexicon(spark, {"s": [{"keyword": "x"}, {"keyword": "x"}, {"keyword": "y"}]}, {"s": 2},
+                     spark.createDataFrame([("y", 2)], "keyword string, level int"))
+    assert [r.keyword for r in k.collect()] == ["x"]
+
+
+def test_upsert_versions(spark, tmpdir_path):
+    """A key that moves to another partition leaves no old row; repeats are harmless."""
+    from sigspark import sinks as K
+    path = tmpdir_path + "/t"
+    assert K.read_latest(spark, path) is None
+    first = spark.createDataFrame([("a", "p1", 1), ("b", "p1", 1)], "k string, p string, o int")
+    K.write_upsert(path, first, ["k"], "o", "p")
+    moved = spark.createDataFrame([("a", "p2", 2), ("a", "p3", 3), ("c", "p1", 1)], "k string, p string, o int")
+    for _ in range(2):
+        K.write_upsert(path, moved, ["k"], "o", "p")
+        assert {(r.k, r.p) for r in K.read_latest(spark, path).collect()} == {("a", "p3"), ("b", "p1"), ("c", "p1")}
+    import os
+    os.remove(sorted(x for x in __import__("glob").glob(path + "/v*/_SUCCESS"))[-1])
+    assert K.read_latest(spark, path).count() == 3  # an unfinished version does not count
+
+
+def test_writers(spark, tmpdir_path):
+    """K1, K2 and K6: appends with default flags, child rows, CSV."""
+    from sigspark import sinks as K
+    d = _docs(spark, [(1, 0, "t", "x", None, None, None, "news", None)]).withColumn("extra", F.struct(F.lit(7).alias("n")))
+    K.write_documents(d.drop("extra").withColumn("scraped_at", F.lit("2024-03-01 00:00:00").cast("timestamp")),
+                      tmpdir_path + "/d", tmpdir_path + "/f")
+    assert spark.read.parquet(tmpdir_path + "/d").first().publish_month == "2024-03"
+    flags = spark.read.parquet(tmpdir_path + "/f").first()
+    assert flags.document_id == 1 and not any(flags[f] for f in L.FLAG_NAMES)
+    K.write_child(d, tmpdir_path + "/c")
+    assert tuple(spark.read.parquet(tmpdir_path + "/c").first()) == (1, 7)
+    K.export_csv(d.select("document_id", "title"), tmpdir_path + "/csv")
+    assert spark.read.option("header", True).csv(tmpdir_path + "/csv").first().title == "t"
+
+
+def test_documents_from_items(spark):
+    """P1 + P6: parsed items become document rows."""
+    from sigspark.sources.feeds import to_document
+    items = spark.createDataFrame([("T", "l", None, "S"), ("T2", None, None, None)],
+                                  "title string, link string, published date, summary string")
+    rows = to_document(items, 3, "news").collect()
+    assert all(r.external_id.startswith("src3-") and r.content_hash for r in rows) and len({r.external_id for r in rows}) == 2
+
+
+def test_filters_and_first_rows(spark):
+    df = spark.createDataFrame([(1, "k", ["a"], 2), (2, "k", ["b", "c"], 1), (3, None, [], 1), (4, None, ["c"], 0)],
+                               "id int, k string, tags array<string>, o int")
+    assert [r.id for r in df.filter(RL.has_any("tags", ["c", "z"])).orderBy("id").collect()] == [2, 4]
+    assert df.filter(RL.has_any("tags", [])).count() == 4
+    assert {(r.k, r.id) for r in RL.first_per(df, ["k"], ["o", "id"]).collect()} == {("k", 2), (None, 4)}
+    seen = spark.createDataFrame([("k",)], "k string")
+    assert [r.id for r in RL.new_only(df, seen, ["k"], ["o", "id"]).collect()] == [4]
+    dim = spark.createDataFrame([("k", "label")], "k string, name string")
+    assert {r.name for r in RL.left_lookup(df, dim, "k", {"name": "-"}).collect()} == {"label", "-"}
+    flags = spark.createDataFrame([(1, True), (2, False)], "document_id int, f boolean")
+    assert [r.document_id for r in RL.by_flag(df.withColumnRenamed("id", "document_id"), flags, "f").collect()] == [1]
+
+
+def test_only_unscored_signals(spark):
+    """Scored keys count for novelty and are not scored again."""
+    d = _docs(spark, [(i, 1, "t", "x", None, None, "USA", "news", None) for i in (1, 2, 3)])
+    k = spark.createDataFrame([(1, "x", 2, "c", True)], "keyword_id int, keyword string, level int, cluster string, active boolean")
+    s = spark.createDataFrame([(1, "s", 3)], "source_id int, source_name string, trust_level int")
+    g = spark.createDataFrame([(i, 1, 8.0) for i in (1, 2, 3)], "document_id long, keyword_id int, match_score double")
+    every = {r.document_id: r for r in SC.score(g, d, k, s, None).collect()}
+    rest = SC.score(g, d, k, s, None, already=spark.createDataFrame([(1, 1)], "document_id long, keyword_id int")).collect()
+    assert {r.document_id for r in rest} == {2, 3}
+    assert all(r.novelty_score == every[r.document_id].novelty_score for r in rest)
+
+
+def test_scored_batches_repeat(spark, tmpdir_path):
+    """A retried batch replaces its output; a missing table holds nothing."""
+    from sigspark.streaming import jobs
+    d = _docs(spark, [(i, 1, "license", "text", None, None, "USA", "news", "u") for i in (1, 2)])
+    k = spark.createDataFrame([(1, "license", 2, "c", True)], "keyword_id int, keyword string, level int, cluster string, active boolean")
+    s = spark.createDataFrame([(1, "s", "news", 3)], "source_id int, source_name string, source_type string, trust_level int")
+    run = jobs.score_batches(tmpdir_path + "/g", tmpdir_path + "/o", k, s, L.AS_OF)
+    for epoch, ids in ((0, [1]), (1, [2]), (1, [2])):
+        run(d.filter(F.col("document_id").isin(ids)), epoch)
+    out = {r.document_id: r.kw_signals for r in spark.read.parquet(tmpdir_path + "/o").collect()}
+    assert out == {1: 1, 2: 2} and spark.read.parquet(tmpdir_path + "/o").count() == 2
+    assert jobs.new_against_table(d, tmpdir_path + "/none", "title", ["document_id"]).first().document_id == 1
+    d.select("title").write.parquet(tmpdir_path + "/seen")
+    assert jobs.new_against_table(d, tmpdir_path + "/seen", "title", ["document_id"]).count() == 0
 
 
 def test_union_distinct_and_latest(spark):
     a = spark.createDataFrame([(1, "k1", "a")], "id int, k string, v string")
     b = spark.createDataFrame([(2, "k1", "b"), (3, "k2", "c")], "id int, k string, v string")
-    got = {(r.k, r.v) for r in RL.union_distinct([a, b], "k").collect()}
+    got = {(r.k, r.v) for r in RL.union_distinct([a, b], ["k"], ["id"]).collect()}
     assert got == {("k1", "a"), ("k2", "c")}
     n = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "doc int, turn int, t string")
     assert {(r.doc, r.t) for r in RL.latest_per(n, ["doc"], "turn").collect()} == {(1, "y"), (2, "z")}
@@ -228,14 +389,16 @@ def test_stream_tagging_equals_batch(spark, tmpdir_path):
     """X1 + X3: a drained stream gives the batch result."""
     from sigspark.streaming import jobs
     src = os.path.join(tmpdir_path, "landed")
-    docs = spark.createDataFrame([(1, "the license", "x"), (2, "keit und", "y"), (3, "none", "z")],
-                                 "document_id long, title string, full_text string")
+    docs = spark.createDataFrame([(1, 0, "the license", "x", "news"), (2, 0, "keit und", "y", "law"),
+                                  (3, 0, "none", "z", None)],
+                                 "document_id long, source_id int, title string, full_text string, document_type string")
     docs.write.parquet(src)
-    terms = [(4, "license", 2, "c"), (8, "keit", 3, "e")]
-    batch = {tuple(r) for r in jobs.tag_stream(spark.read.parquet(src), terms).collect()}
+    k = spark.createDataFrame([(4, "license", 2, "c", True), (8, "keit", 3, "e", True)],
+                              "keyword_id int, keyword string, level int, cluster string, active boolean")
+    s = spark.createDataFrame([(0, "news")], "source_id int, source_type string")
+    batch = {tuple(r) for r in jobs.tag_stream(spark.read.parquet(src), k, s).collect()}
     out = os.path.join(tmpdir_path, "out")
-    st = jobs.tag_stream(jobs.ingest_stream(spark, src, docs.schema), terms)
-    jobs.run_available(st, "tag-test", out)
+    jobs.run_available(jobs.tag_stream(jobs.ingest_stream(spark, src, docs.schema), k, s), "tag-test", out)
     streamed = {tuple(r) for r in spark.read.parquet(out).collect()}
     assert streamed == batch and len(batch) == 2
 
