@@ -58,12 +58,14 @@ def parse_blacklist(raw: DataFrame, col: str = "payload") -> DataFrame:
         F.coalesce("abuseConfidenceScore", F.lit(0.0)).alias("confidence"))
 
 
-def by_country(F_: DataFrame, k: int = 50) -> DataFrame:
-    """Count and mean confidence (1 decimal) per origin, top k."""
+def by_country(F_: DataFrame, k: int | None = None) -> DataFrame:
+    """Count and mean confidence (1 decimal) per origin; ``k`` for a
+    listing of the most frequent ones."""
     agg = F_.groupBy("country_code").agg(F.count(F.lit(1)).alias("count"),
                                          F.avg("confidence").alias("_avg"))
-    return agg.orderBy(F.desc("count"), "country_code").limit(k) \
-              .select("country_code", "count", rnd("_avg", 1).alias("avg_confidence"))
+    if k is not None:
+        agg = agg.orderBy(F.desc("count"), "country_code").limit(k)
+    return agg.select("country_code", "count", rnd("_avg", 1).alias("avg_confidence"))
 
 
 def split_flows(agg: DataFrame, targets: list[str] | None = None) -> DataFrame:
@@ -90,9 +92,22 @@ def mean_confidence(flows: DataFrame, k: int = 20) -> DataFrame:
             .select("country_code", rnd("_m", 4).alias("mean_confidence"))
 
 
-def log_weight(x: Column, global_max: Column) -> Column:
-    """P20: edge width max(.8, log1p(x) / log1p(max) * 5)."""
-    return F.greatest(F.lit(0.8), F.log1p(x) / F.log1p(global_max) * 5.0)
+def rising_rows(T: DataFrame, n: int = 5) -> DataFrame:
+    """The first n rising topics of each keyword and geography (by
+    interest, then topic) as rows with interest 0 on the latest date."""
+    from .relational import top_n_per
+    rising = T.filter(F.col("is_rising") & F.col("related_topic").isNotNull())
+    rising = rising.groupBy("keyword", "geography", "related_topic").agg(F.max("interest_score").alias("_i"))
+    top = top_n_per(rising, ["keyword", "geography"], [F.desc("_i"), F.col("related_topic")], n)
+    day = T.agg(F.max("date").alias("date"))
+    return top.crossJoin(F.broadcast(day)).select(  # one row
+        "keyword", "geography", "date", F.lit(0.0).alias("interest_score"), F.lit(True).alias("is_rising"), "related_topic")
+
+
+def log_weight(x: Column, global_max: Column, linear: bool = False) -> Column:
+    """P20: edge width max(.8, share of the maximum * 5), by logarithms or linear."""
+    share = x / global_max if linear else F.log1p(x) / F.log1p(global_max)
+    return F.greatest(F.lit(0.8), share * 5.0)
 
 
 def opacity(x: Column, global_max: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ("signals", "relational", "text", "series", "ingest", "streams")
+_MODULES = ("signals", "relational", "text", "series", "ingest", "streams", "pages")
 
 
 def _load():

@@ -215,20 +215,17 @@ def events_since_mark(spark, sf_dir):
 # ------------------------------------------------------------------ K8 --
 @register("run_stats", """
 WITH h AS (SELECT source, doc_id, sha256(coalesce(text, 'None')) AS hsh FROM documents),
-f AS (SELECT source, count(*) AS fetched, count(*) FILTER (WHERE n_chars >= 20) AS parsed FROM documents GROUP BY 1),
+f AS (SELECT source, count(*) AS fetched, count(*) FILTER (WHERE n_chars >= 20) AS parsed, max(doc_id) AS mark FROM documents GROUP BY 1),
 firsts AS (SELECT hsh, min(doc_id) AS doc_id FROM h GROUP BY hsh),
 n AS (SELECT h.source, count(*) AS new FROM h JOIN firsts USING (hsh, doc_id) GROUP BY 1)
-SELECT f.source, fetched, parsed, coalesce(n.new, 0) AS new, fetched - parsed AS errors
+SELECT f.source, fetched, parsed, coalesce(n.new, 0) AS new, fetched - parsed AS errors, f.mark AS high_water_mark
 FROM f LEFT JOIN n USING (source)""")
 def q_run_stats(spark, sf_dir):
     """K8: per-source fetched / parsed (>= 20 chars) / new (first copy of
     each content hash) / errors."""
     d = read(spark, sf_dir, "documents")
-    parsed = d.filter(F.col("n_chars") >= 20)
-    h = d.select("source", "doc_id", content_hash("text").alias("hsh"))
-    firsts = h.groupBy("hsh").agg(F.min("doc_id").alias("doc_id"))
-    new = h.join(firsts, ["hsh", "doc_id"], "left_semi")
-    return K.run_stats(d, parsed, new, "source")
+    h = d.select("source", "doc_id", "n_chars", content_hash("text").alias("hsh"))
+    return K.run_stats(h, "source", F.col("n_chars") >= 20, "hsh", "doc_id", mark="doc_id")
 
 
 # ------------------------------------------------------------------ K3 --

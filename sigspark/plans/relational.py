@@ -491,7 +491,7 @@ def _fsql(t, terms):
 @register("text_filters", DOCS + f"""
 SELECT count(*) FILTER (WHERE {_fsql('lower(full_text)', FILTER_TERMS)}) AS n_any,
        count(*) FILTER (WHERE {_fsql('lower(full_text)', GROUPS[0])} AND {_fsql('lower(full_text)', GROUPS[1])}) AS n_all_groups,
-       count(*) FILTER (WHERE CASE (SELECT source FROM documents o WHERE o.doc_id = dn_docs.document_id)
+       count(*) FILTER (WHERE CASE source
             {' '.join(f"WHEN '{s}' THEN {_fsql('lower(full_text)', t)}" for s, t in SOURCE_FILTERS.items())}
             ELSE TRUE END) AS n_source_switch
 FROM dn_docs""")
@@ -499,9 +499,7 @@ def text_filters(spark, sf_dir):
     """F1 contains-any, F2 all groups, F3 per-source filter switch (sources
     without a list keep every row)."""
     from ..functions.text import contains_all_groups, contains_any
-    d = model(spark, sf_dir).Dn
-    o = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source")
-    j = d.join(o, "document_id")
+    j = model(spark, sf_dir).Dn
     sw = None
     for s, terms in SOURCE_FILTERS.items():
         c = contains_any("full_text", terms)
@@ -539,7 +537,6 @@ def run_totals(spark, sf_dir):
     from .. import sinks as K
     d = read(spark, sf_dir, "documents")
     h = d.select("source", "doc_id", content_hash("text").alias("hsh"))
-    new = h.join(h.groupBy("hsh").agg(F.min("doc_id").alias("doc_id")), ["hsh", "doc_id"], "left_semi")
-    st = K.run_stats(d, d, new, "source")
+    st = K.run_stats(h, "source", F.lit(True), "hsh", "doc_id")
     return st.agg(F.sum("fetched").alias("total_fetched"), F.sum("new").alias("total_new"),
                   F.count(F.lit(1)).alias("n_sources"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bindings import read, trends_view
+from ..bindings import flows_view, read, trends_view
 from ..functions.numeric import rnd, rnd_sql
 from ..operators import relational as RL
 from ..operators import series as SR
@@ -103,7 +103,7 @@ F_SQL = """WITH f_ips AS (
   SELECT 'ip' || CAST(event_id AS VARCHAR) AS ip, 'C' || CAST(user_id % 60 AS VARCHAR) AS country_code,
          least(value, 100.0) AS confidence FROM events),
 agg AS (SELECT country_code, count(*) AS count, floor(avg(confidence) * 10.0 + 0.5) / 10.0 AS avg_confidence
-        FROM f_ips GROUP BY country_code ORDER BY count DESC, country_code LIMIT 50),
+        FROM f_ips GROUP BY country_code),
 flows AS (SELECT country_code, t.target_country,
                  CASE WHEN count // 7 = 0 AND count > 0 THEN 1 ELSE count // 7 END AS attack_count, avg_confidence
           FROM agg CROSS JOIN (VALUES ('USA'), ('Germany'), ('United Kingdom'), ('France'), ('Italy'),
@@ -111,24 +111,14 @@ flows AS (SELECT country_code, t.target_country,
 """
 
 
-def _blacklist(spark, sf_dir):
-    """Blacklist payloads derived from events: one small JSON document per event."""
-    e = read(spark, sf_dir, "events")
-    entry = F.struct(F.concat(F.lit("ip"), F.col("event_id").cast("string")).alias("ipAddress"),
-                     F.concat(F.lit("C"), (F.col("user_id") % 60).cast("string")).alias("countryCode"),
-                     F.least(F.col("value"), F.lit(100.0)).alias("abuseConfidenceScore"))
-    raw = e.select(F.to_json(F.struct(F.array(entry).alias("data"))).alias("payload"))
-    return SR.parse_blacklist(raw)
-
-
 def _flows(spark, sf_dir):
-    return SR.split_flows(SR.by_country(_blacklist(spark, sf_dir), 50))
+    return SR.split_flows(SR.by_country(flows_view(spark, sf_dir)))
 
 
-@register("blacklist_by_country", F_SQL + "SELECT country_code, count, avg_confidence FROM agg")
+@register("blacklist_by_country", F_SQL + "SELECT country_code, count, avg_confidence FROM agg ORDER BY count DESC, country_code LIMIT 50")
 def blacklist_by_country(spark, sf_dir):
-    """S7 + A18 + P21: parse payloads, count and mean confidence, top 50."""
-    return SR.by_country(_blacklist(spark, sf_dir), 50)
+    """A18 + P21: count and mean confidence, a listing of 50 origins."""
+    return SR.by_country(flows_view(spark, sf_dir), 50)
 
 
 @register("flow_split", F_SQL + "SELECT country_code, target_country, attack_count, avg_confidence FROM flows")
@@ -167,6 +157,7 @@ def flow_mean_confidence(spark, sf_dir):
 , tot AS (SELECT country_code, target_country, sum(attack_count) AS attacks FROM flows GROUP BY 1, 2)
 SELECT country_code, target_country,
        {rnd_sql('greatest(0.8, ln(1 + attacks) / ln(1 + max(attacks) OVER ()) * 5.0)')} AS width,
+       {rnd_sql('greatest(0.8, attacks / max(attacks) OVER () * 5.0)')} AS width_linear,
        {rnd_sql('least(0.8, greatest(0.25, attacks / max(attacks) OVER ()))')} AS opacity,
        {rnd_sql('greatest(4.0, least(20.0, attacks / max(attacks) OVER () * 20.0))')} AS marker
 FROM tot""")
@@ -180,5 +171,18 @@ def flow_edge_styles(spark, sf_dir):
     x, m = F.col("attacks").cast("double"), F.col("mx").cast("double")
     return j.select("country_code", "target_country",
                     rnd(SR.log_weight(x, m)).alias("width"),
+                    rnd(SR.log_weight(x, m, linear=True)).alias("width_linear"),
                     rnd(SR.opacity(x, m)).alias("opacity"),
                     rnd(SR.marker_size(x, m)).alias("marker"))
+
+
+@register("trends_rising_rows", """
+WITH t AS (SELECT event_type AS keyword, 'G' || CAST(user_id % 31 AS VARCHAR) AS geography, CAST(ts AS DATE) AS date, value,
+                  CASE WHEN event_id % 11 = 0 THEN 'k' || json_extract_string(props, '$.k') END AS topic FROM events),
+g AS (SELECT keyword, geography, topic, max(value) AS v FROM t WHERE topic IS NOT NULL GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY keyword, geography ORDER BY v DESC, topic) AS k FROM g)
+SELECT keyword, geography, (SELECT max(date) FROM t) AS date, 0.0 AS interest_score, TRUE AS is_rising, topic AS related_topic
+FROM r WHERE k <= 5""")
+def trends_rising_rows(spark, sf_dir):
+    """Top-five rising rows appended to the series of each pair."""
+    return SR.rising_rows(trends_view(spark, sf_dir))

@@ -7,7 +7,7 @@ rewrites those partitions only; an upsert writes a new version of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicon as L
@@ -90,17 +90,20 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def run_stats(fetched: DataFrame, parsed: DataFrame, new: DataFrame, key: str = "source",
-              ts_col: str | None = None) -> DataFrame:
-    """K8: per-source fetched / parsed / new / errors (+ high-water mark)."""
-    f = fetched.groupBy(key).agg(F.count(F.lit(1)).alias("fetched"))
-    p = parsed.groupBy(key).agg(F.count(F.lit(1)).alias("parsed"))
-    aggs = [F.count(F.lit(1)).alias("new")]
-    if ts_col:
-        aggs.append(F.max(ts_col).alias("high_water_mark"))
-    n = new.groupBy(key).agg(*aggs)
-    j = f.join(p, key, "left").join(n, key, "left")
-    return j.select(key, "fetched", F.coalesce("parsed", F.lit(0)).alias("parsed"),
-                    F.coalesce("new", F.lit(0)).alias("new"),
-                    (F.col("fetched") - F.coalesce("parsed", F.lit(0))).alias("errors"),
-                    *(["high_water_mark"] if ts_col else []))
+def run_stats(rows: DataFrame, key: str, parsed: Column, hash_col: str, order: str,
+              mark: str | None = None) -> DataFrame:
+    """K8: per-source fetched / parsed / new / errors (+ high-water mark).
+
+    New is the first row (by ``order``) of each content hash. One pass: rows
+    are combined per hash and source, and only these counts meet by hash.
+    """
+    aggs = [F.count(F.lit(1)).alias("fetched"), F.count_if(parsed).alias("parsed"), F.min(order).alias("_first")]
+    if mark:
+        aggs.append(F.max(mark).alias("high_water_mark"))
+    g = rows.groupBy(hash_col, key).agg(*aggs)
+    first = F.min("_first").over(Window.partitionBy(hash_col))  # a row per source at most
+    g = g.withColumn("new", (F.col("_first") == first).cast("int"))
+    return g.groupBy(key).agg(
+        F.sum("fetched").alias("fetched"), F.sum("parsed").alias("parsed"), F.sum("new").alias("new"),
+        (F.sum("fetched") - F.sum("parsed")).alias("errors"),
+        *([F.max("high_water_mark").alias("high_water_mark")] if mark else []))
