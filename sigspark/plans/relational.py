@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import lexicon as L
 from ..bindings import notes_view, read, trends_view
 from ..functions.text import clean_url, content_hash, html_title
 from ..operators import relational as RL

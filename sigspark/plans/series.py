@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bindings import flows_view, read, trends_view
+from ..bindings import flows_view, trends_view
 from ..functions.numeric import rnd, rnd_sql
 from ..operators import relational as RL
 from ..operators import series as SR

@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 
 from .. import lexicon as L
-from ..functions.numeric import rnd_sql  # noqa: F401  (shared by plans)
 
 
 def q(s) -> str:

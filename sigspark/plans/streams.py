@@ -7,7 +7,7 @@ import os
 import uuid
 
 from ..bindings import documents_of, read
-from ..functions.numeric import rnd
+from ..functions.numeric import rnd, rnd_sql
 from ..session import ensure_checkpoint_dir
 from ..streaming import jobs
 from . import sqlviews as V
@@ -50,7 +50,7 @@ def stream_users_once(spark, sf_dir):
 
 
 @register("stream_tags", V.with_(*V.SIGNAL_CHAIN, V.FLAGS) + f"""
-SELECT g.document_id, g.keyword_id, {V.rnd_sql('g.match_score', R)} AS match_score, f.is_regulatory, f.is_diga
+SELECT g.document_id, g.keyword_id, {rnd_sql('g.match_score', R)} AS match_score, f.is_regulatory, f.is_diga
 FROM g_sig g JOIN f_flags f USING (document_id)""")
 def stream_tags(spark, sf_dir):
     """A document stream tagged (exact and fuzzy) with flags."""

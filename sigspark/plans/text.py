@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..bindings import notes_view, read
 from ..functions import text as T
+from ..functions.dates import to_date_safe
 from ..functions.numeric import rnd, rnd_sql
 from ..operators import classify as C
 from ..operators import textstats as TS
@@ -213,6 +214,16 @@ def term_freq_top25(spark, sf_dir):
     return TS.term_freq(d, _toks(F.col("full_text")), 25)
 
 
+@register("term_freq_long", V.with_(V.D_DOCS) + f"""
+SELECT word, count(*) AS n
+FROM (SELECT unnest(list_filter(regexp_extract_all(lower(full_text), '[a-z]{{4,}}'), lambda w: NOT list_contains({STOP_SQL}, w))) AS word FROM d_docs)
+GROUP BY word ORDER BY n DESC, word LIMIT 25""")
+def term_freq_long(spark, sf_dir):
+    """P16, second pattern: words of four letters or more."""
+    d = spread(model(spark, sf_dir).D, "document_id")
+    return TS.term_freq(d, T.tokens("full_text", "[a-z]{4,}", L.STOP_WORDS), 25)
+
+
 @register("tag_freq", CLS_T + """
 , packed AS (SELECT CASE WHEN len(topics[1:5]) > 0 THEN '[Tags: ' || array_to_string(topics[1:5], ', ') || '] ' || substr(t, 1, 40)
                          ELSE substr(t, 1, 40) END AS note FROM cls2),
@@ -433,7 +444,9 @@ SELECT document_id,
   'DOC-' || source || '-' || CAST(document_id AS VARCHAR) AS ext_id,
   substr(regexp_replace(trim(string_split(language || ', ' || source || ', ' || coalesce(country, ''), ',')[-1]), '\\.+$', ''), 1, 95) AS affiliation_country,
   array_to_string(list_transform(['a', 'b'], lambda x: upper(x) || ':' || language), '; ') AS joined,
-  CASE WHEN publish_date IS NULL THEN 'N/A' ELSE strftime(publish_date, '%b %Y') END AS month_label
+  CASE WHEN publish_date IS NULL THEN 'N/A' ELSE strftime(publish_date, '%b %Y') END AS month_label,
+  format('{{:,}}', n_chars) AS chars_label,
+  CASE WHEN document_type = 'news' THEN 'news' ELSE 'trends' END AS derived_source_type
 FROM dn_docs""")
 def text_scalars(spark, sf_dir):
     """P3 clip, P17 default, P25 derived language, P7 external id, P11
@@ -450,7 +463,9 @@ def text_scalars(spark, sf_dir):
         F.array_join(F.transform(F.array(F.lit("a"), F.lit("b")),
                                  lambda x: F.concat(F.upper(x), F.lit(":"), F.col("language"))), "; ").alias("joined"),
         F.when(F.col("publish_date").isNull(), "N/A")
-         .otherwise(F.date_format("publish_date", "MMM yyyy")).alias("month_label"))
+         .otherwise(F.date_format("publish_date", "MMM yyyy")).alias("month_label"),
+        F.format_number("n_chars", 0).alias("chars_label"),
+        F.when(F.col("document_type") == "news", "news").otherwise("trends").alias("derived_source_type"))
 
 
 @register("safe_dates", """
@@ -462,7 +477,7 @@ def safe_dates(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     s = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("bad-"), F.col("event_id").cast("string"))) \
          .otherwise(F.date_format("ts", "yyyy-MM-dd"))
-    return e.select("event_id", F.try_to_date(s, "yyyy-MM-dd").alias("d"))
+    return e.select("event_id", to_date_safe(s).alias("d"))
 
 
 @register("display_values", V.with_(*V.SCORED_CHAIN) + """

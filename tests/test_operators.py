@@ -328,6 +328,23 @@ def test_filters_and_first_rows(spark):
     assert [r.document_id for r in RL.by_flag(df.withColumnRenamed("id", "document_id"), flags, "f").collect()] == [1]
 
 
+def test_small_forms(spark, tmpdir_path):
+    """P12, S7 and X7."""
+    from sigspark import sinks as K
+    from sigspark.operators.series import parse_blacklist
+    from sigspark.streaming import jobs
+    df = spark.createDataFrame([(["x", "yy", "zzz"],), ([],)], "a array<string>")
+    got = [r.f for r in df.select(T.first_match("a", lambda w: F.length(w) > 1, "-").alias("f")).collect()]
+    assert got == ["yy", "-"]
+    raw = spark.createDataFrame([('{"data": [{"ipAddress": "1", "countryCode": "DE", "abuseConfidenceScore": 90}, '
+                                  '{"ipAddress": "2"}]}',), ("bad",)], "payload string")
+    assert {tuple(r) for r in parse_blacklist(raw).collect()} == {("1", "DE", 90.0), ("2", "??", 0.0)}
+    run = jobs.upsert_batches(tmpdir_path + "/u", ["k"], "o", "p")
+    for epoch in (0, 0, 1):
+        run(spark.createDataFrame([("a", "p1", epoch)], "k string, p string, o int"), epoch)
+    assert [r.o for r in K.read_latest(spark, tmpdir_path + "/u").collect()] == [1]
+
+
 def test_only_unscored_signals(spark):
     """Scored keys count for novelty and are not scored again."""
     d = _docs(spark, [(i, 1, "t", "x", None, None, "USA", "news", None) for i in (1, 2, 3)])
