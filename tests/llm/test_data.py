@@ -182,6 +182,23 @@ def test_pipeline_empty(shipped):
         assert docs.count() == 0
 
 
+def test_pipeline_cases(docs, shipped):
+    """Null ids, nulls in every column, long texts, repeats and clashing columns pass all stages."""
+    import corpus_pipeline as P
+    seen, rows = {}, docs
+    for name, stage in P.STAGES:
+        path = new_path(shipped, f"test-cases-{name}")
+        stage(shipped, rows, "").write.parquet(path)
+        rows = shipped.read.parquet(path)
+        seen[name] = [r["doc_id"] for r in rows.collect()]
+    assert set(seen["language_id"]) == {1, 2, 3, 7, 9, 10, 11, 12, 13, 14, None}
+    assert set(seen["exact_dedup"]) == {2, 3, 7, 9, 10, 11, 12, 13, 14, None}  # the longest of equal texts
+    assert set(seen["ngram_join"]) <= set(seen["exact_dedup"]) and {2, 7, None} <= set(seen["ngram_join"])
+    assert seen["mixing"] and max(seen["mixing"].count(i) for i in seen["mixing"]) <= 6
+    assert sorted(map(str, seen["sentencepiece"])) == sorted(map(str, seen["mixing"]))
+    assert rows.columns == P.COLUMNS + ["pieces"]
+
+
 def test_operators_agree_with_stage_order():
     import corpus_pipeline as P
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "ngram_join", "mixing", "sentencepiece"]
