@@ -94,15 +94,16 @@ def indel_ratio(a, b) -> Column:
     return F.when(tot == 0, F.lit(100.0)).otherwise((F.lit(1.0) - indel / tot) * 100.0)
 
 
-def fuzzy_possible(a, b, threshold: float) -> Column:
+def fuzzy_possible(a, b, threshold: float, la: Column | None = None, lb: Column | None = None) -> Column:
     """False when indel_ratio is provably below ``threshold``.
 
     ratio >= t  <=>  indel <= (1 - t/100) * (la + lb). Both |la - lb| and the
     Levenshtein distance are lower bounds of indel, so pairs failing either
     bound are dropped before the quadratic DP (exact, not a heuristic).
+    ``la``, ``lb``: the lengths, where they are known.
     """
     a, b = col_(a), col_(b)
-    la, lb = F.length(a), F.length(b)
+    la, lb = F.length(a) if la is None else la, F.length(b) if lb is None else lb
     budget = F.floor((1.0 - threshold / 100.0) * (la + lb) + 1e-9).cast("int")
     return (F.abs(la - lb) <= budget) & (F.call_function("levenshtein", a, b, budget) >= 0)
 

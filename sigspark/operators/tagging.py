@@ -24,7 +24,7 @@ def lexicon_row(K: DataFrame) -> DataFrame:
     kw = F.lower("keyword")
     act = K.filter(F.coalesce(F.col("active"), F.lit(True)))
     term = F.struct(F.col("keyword_id").cast("int").alias("keyword_id"), kw.alias("kw"),
-                    F.size(words(kw)).alias("n"), F.col("level").cast("int").alias("level"), "cluster")
+                    F.size(words(kw)).alias("n"), F.length(kw).alias("len"), F.col("level").cast("int").alias("level"), "cluster")
     return act.agg(F.sort_array(F.collect_list(term)).alias("terms"))
 
 
@@ -54,17 +54,26 @@ def fuzzy_hits(text: Column, terms: Column, threshold: float = L.FUZZY_THRESHOLD
 
     ``max_words`` limits the words that are looked at (off by default).
     """
-    def ratio(t, ws):
+    def windows(ws):
+        """For each window size that a term needs: its windows with their lengths."""
         size = F.least(F.size(ws), F.lit(max_words)) if max_words else F.size(ws)
-        lim = size - t["n"]
-        starts = F.when(lim >= 0, F.sequence(F.lit(0), lim, t["n"])).otherwise(F.array().cast("array<int>"))
-        chunks = F.transform(starts, lambda s: F.array_join(F.slice(ws, s + 1, t["n"]), " "))
-        near = F.filter(chunks, lambda c: fuzzy_possible(t["kw"], c, threshold))
-        good = F.filter(F.transform(near, lambda c: indel_ratio(t["kw"], c)), lambda r: r >= threshold)
+
+        def of(n):
+            lim = size - n
+            starts = F.when(lim >= 0, F.sequence(F.lit(0), lim, n)).otherwise(F.array().cast("array<int>"))
+            chunks = F.transform(starts, lambda s: F.array_join(F.slice(ws, s + 1, n), " "))
+            return F.struct(n.alias("n"), F.transform(
+                chunks, lambda c: F.struct(c.alias("c"), F.length(c).alias("len"))).alias("chunks"))
+        return F.transform(F.array_distinct(F.transform(long_miss, lambda t: t["n"])), of)
+
+    def hit(t, wins):
+        chunks = F.get(F.filter(wins, lambda w: w["n"] == t["n"]), 0)["chunks"]
+        near = F.filter(chunks, lambda x: fuzzy_possible(t["kw"], x["c"], threshold, t["len"], x["len"]))
+        good = F.filter(F.transform(near, lambda x: indel_ratio(t["kw"], x["c"])), lambda r: r >= threshold)
         return _hit(t, F.get(good, 0) / 100.0 * L.FUZZY_SCALE, "fuzzy")
 
     long_miss = F.filter(terms, lambda t: (t["n"] >= L.FUZZY_MIN_TERM_WORDS) & ~text.contains(t["kw"]))
-    hits = _bind(words(text), lambda ws: F.transform(long_miss, lambda t: ratio(t, ws)))
+    hits = _bind(words(text), lambda ws: _bind(windows(ws), lambda wins: F.transform(long_miss, lambda t: hit(t, wins))))
     return F.filter(hits, lambda h: h["match_score"].isNotNull())
 
 
