@@ -126,7 +126,9 @@ def html_title(c) -> Column:
 
 
 def html_links(c) -> Column:
-    return F.regexp_extract_all(col_(c), F.lit(r"""(?i)<a\s[^>]*href="([^"]*)\""""), 1)
+    """href values of links, in double, single or no quotes."""
+    raw = F.regexp_extract_all(col_(c), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), 1)
+    return F.transform(raw, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
 
 
 def clean_url(c) -> Column:

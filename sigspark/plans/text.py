@@ -225,8 +225,8 @@ def term_freq_long(spark, sf_dir):
 
 
 @register("tag_freq", CLS_T + """
-, packed AS (SELECT CASE WHEN len(topics[1:5]) > 0 THEN '[Tags: ' || array_to_string(topics[1:5], ', ') || '] ' || substr(t, 1, 40)
-                         ELSE substr(t, 1, 40) END AS note FROM cls2),
+, packed AS (SELECT CASE WHEN len(topics[1:5]) > 0 THEN '[Tags: ' || array_to_string(topics[1:5], ', ') || '] ' || t
+                         ELSE t END AS note FROM cls2),
 parsed AS (SELECT regexp_extract(note, '^\\[Tags:\\s*(.+?)\\]', 1) AS raw FROM packed)
 SELECT tag, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> '')) AS tag
                                 FROM parsed WHERE raw <> '')
@@ -234,7 +234,7 @@ GROUP BY tag ORDER BY n DESC, tag LIMIT 20""")
 def tag_freq(spark, sf_dir):
     """A23 + P15: build '[Tags: a, b] text' notes, parse them back, count tags."""
     d = _cls2(spark, sf_dir)
-    packed = d.select(T.join_tags("topics", F.substring("t", 1, 40)).alias("note"))
+    packed = d.select(T.join_tags("topics", "t").alias("note"))
     tags, _rest = T.split_tags("note")
     return packed.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")) \
                  .orderBy(F.desc("n"), "tag").limit(20)
@@ -359,15 +359,15 @@ SELECT page_id,
        trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
        regexp_replace(url, '[?#].*$', '') AS clean_url,
        regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1) AS host,
-       CAST(len(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS INTEGER) AS n_links,
-       CAST(length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(stripped, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS BIGINT) AS text_len
+       array_to_string(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1), '|') AS links,
+       trim(regexp_replace(replace(replace(replace(replace(replace(replace(stripped, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text
 FROM p""")
 def page_extract(spark, sf_dir):
     """S2 + P4 + P8: title, visible text, links, host and clean URL of each page."""
     p = read(spark, sf_dir, "pages")
     return p.select("page_id", T.html_title("html").alias("title"), T.clean_url("url").alias("clean_url"),
-                    T.url_host("url").alias("host"), F.size(T.html_links("html")).alias("n_links"),
-                    F.length(T.html_to_text("html")).cast("bigint").alias("text_len"))
+                    T.url_host("url").alias("host"), F.array_join(T.html_links("html"), "|").alias("links"),
+                    T.html_to_text("html").alias("text"))
 
 
 @register("page_links_resolved", r"""

@@ -328,6 +328,12 @@ def test_filters_and_first_rows(spark):
     assert [r.document_id for r in RL.by_flag(df.withColumnRenamed("id", "document_id"), flags, "f").collect()] == [1]
 
 
+def test_links_in_any_quotes(spark):
+    h = """<a class=x href='/one'>1</a><A HREF="/two">2</A><a href=/three>3</a><a name="n">4</a>"""
+    r = spark.createDataFrame([(h,)], "h string").select(T.html_links("h").alias("l")).first()
+    assert r.l == ["/one", "/two", "/three"]
+
+
 def test_small_forms(spark, tmpdir_path):
     """P12, S7 and X7."""
     from sigspark import sinks as K
