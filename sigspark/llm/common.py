@@ -55,8 +55,29 @@ def as_id(df: DataFrame, id_col: str, *cols: Column) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), *cols)
 
 
+#: What operators keep in a Python worker between its tasks.
+_KEPT: list[dict] = []
+
+
+def keep_in_worker() -> dict:
+    """A dictionary that outlives a task but not another operator's tasks."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def release(but: dict | None = None) -> None:
+    """Drop what other operators' tasks have left in this Python worker."""
+    for kept in _KEPT:
+        if kept is not but:
+            kept.clear()
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of all executors."""
+    """Make this package importable in the Python workers of all executors.
+
+    Rows hold whole texts, so that Arrow batches are kept to 2,000 rows.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc = spark.sparkContext
     if getattr(sc, "_sigspark_shipped", False):
         return

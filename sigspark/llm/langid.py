@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_id, split_of, table
+from .common import as_id, release, split_of, table
 from .wordhash import slices, string_buffers
 
 BUCKETS, SMOOTH, PENALTY, ROUNDS = 1 << 16, 0.05, 3.0, 12
@@ -60,6 +60,7 @@ def per_text(col: pa.Array):
 def count_trigrams(docs: DataFrame) -> DataFrame:
     """lang, bucket, n over all rows of (lang, text)."""
     def count(batches):
+        release()
         seen: dict[str, np.ndarray] = {}
         for whole in batches:
             for b in slices(whole, "text"):
@@ -157,6 +158,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     names = [x for x in rows.columns if x != "text"]
 
     def run(batches):
+        release()
         m = shared.value
         blind = np.log(BUCKETS)
         for whole in batches:
@@ -189,6 +191,7 @@ def filter_accepted(docs: DataFrame, model: Model, text_col: str = "text", min_s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**16 doubles at most
 
     def run(batches):
+        release()
         m = shared.value
         for whole in batches:
             for b in slices(whole, text_col):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import dealt, forest, matrix, sorted_units, units
-from .common import as_id, stored, table
+from .common import as_id, release, stored, table
 from .graph import components
 from .wordhash import U, mix, runs, slices, words
 
@@ -62,6 +62,7 @@ def shingle_sets(col: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
 def signatures(docs: DataFrame) -> DataFrame:
     """id, n_set, f0, f1 (fingerprint), sig (VALUES MinHashes), bands."""
     def run(batches):
+        release()
         for whole in batches:
             for b in slices(whole, "text"):
                 sets = shingle_sets(b.column("text"))
@@ -195,6 +196,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = units(at, sizes, ["band"], "id", HASH_LIMIT).join(reps.select("id", "sig"), "id")
 
     def prune(batches):
+        release()
         for t in sorted_units(batches, ["band", "i", "j"]):
             links = candidate_links(t, bounds)
             if links:
@@ -209,6 +211,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unit = ["component", "i", "j"]
 
     def verify(batches):
+        release()
         for t in sorted_units(batches, unit):
             ids, counts, links = verified(t, threshold, WIDTH)
             if ids:

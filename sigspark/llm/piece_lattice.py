@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import Store, numbered, spread
-from .common import table
+from .common import keep_in_worker, release, table
 from .wordhash import U, mix, slices, string_buffers
 
 NULL_KEY = 0x5EED
@@ -247,11 +247,12 @@ class Lattices(Store):
         return out, per
 
 
-_LATTICES: dict[tuple, Lattices] = {}
+_LATTICES = keep_in_worker()
 
 
 def lattices(model: str, alpha: float) -> Lattices:
     """The Python worker's lattices; they serve the worker's later tasks, too."""
+    release(but=_LATTICES)
     if (model, alpha) not in _LATTICES:
         _LATTICES[model, alpha] = Lattices(Pieces(model, alpha))
     return _LATTICES[model, alpha]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import Store, numbered, spread
-from .common import new_path, table
+from .common import keep_in_worker, new_path, release, table
 from .wordhash import slices
 
 #: Parquet settings: row group and page bytes, dictionaries for the token
@@ -107,11 +107,12 @@ class Encoder(Store):
         return ids, np.diff(np.concatenate([[0], ends])) + 1
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS = keep_in_worker()
 
 
 def encoder(path: str) -> Encoder:
     """The Python worker's encoder; it serves the worker's later tasks, too."""
+    release(but=_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
