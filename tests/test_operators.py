@@ -234,6 +234,19 @@ def test_trial_parser(spark):
     assert (b.phase, b.start_date, b.conditions, b.country, b.full_text) == ("N/A", None, [], "", "")
 
 
+def test_trials_parsed_returns_every_study(spark):
+    """Every document is parsed: where a pair's first record has no id, its
+    second one is the study's row."""
+    from __spark_entry__ import queries
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars").collect()):
+        if not (r.doc_id % 2 == 0 and r.doc_id % 7 == 0):
+            want.setdefault(f"NCT{r.doc_id // 2:08d}", r.n_chars)
+    got = [(r.external_id, r.enrollment) for r in queries()["trials_parsed"](spark, sf).collect()]
+    assert sorted(got) == sorted(want.items())
+
+
 def test_paper_and_device_parsers(spark):
     import json
     from sigspark.sources.payloads import parse_device_catalog, parse_drucksachen
