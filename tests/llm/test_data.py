@@ -199,6 +199,25 @@ def test_pipeline_cases(docs, shipped):
     assert rows.columns == P.COLUMNS + ["pieces"]
 
 
+def test_pipeline_dedup_drops_single_rows(shipped):
+    """Repeated rows, rows without an id and ids with two texts, in both dedup stages."""
+    import corpus_pipeline as P
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdefg"]
+    near = {t: t.replace(t.split()[30], "other") for t in long}
+    same = [(1, long[0])] * 3 + [(None, long[1])] * 4 + [(2, long[2]), (None, long[2]), (3, long[2]), (3, long[3])]
+    close = [(4, long[4]), (4, near[long[4]]), (None, long[5]), (None, near[long[5]]),
+             (6, long[6]), (7, near[long[6]]), (7, "a text of its own")]
+    one = lambda x: [(i, t, None, "s", len(t)) for i, t in x]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    ids = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    got = P.exact_duplicates(shipped, shipped.createDataFrame(one(same + close), schema).repartition(3), "")
+    want = [(1, long[0]), (None, long[1]), (2, long[2]), (3, long[3])]
+    assert ids(got) == sorted(want + close, key=str)
+    got = ids(P.near_duplicates(shipped, shipped.createDataFrame(one(same + close), schema).repartition(3), ""))
+    assert len(got) == 8 and {i for i, _ in got} == {1, None, 2, 3, 4, 6, 7}
+    assert set(want) | {(6, long[6]), (7, "a text of its own")} <= set(got)
+
+
 def test_operators_agree_with_stage_order():
     import corpus_pipeline as P
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "ngram_join", "mixing", "sentencepiece"]
