@@ -19,9 +19,12 @@ their shuffle) are summed over buckets, and a window inside one bucket adds
 the rest. Buckets are cut by the hash of the row, so a source with a third of
 all rows is spread over many tasks.
 
+Every row has its own place in the mix: its key is id, size, digest (of text
+and source) and the number among equal rows (``copy``). Rows without an id or
+with a repeated one are dealt by the whole key, others by the id alone.
+
 Cases: null source is a source of its own, last in order; null text and null
-or repeated ids are rows like any other (rows that repeat an id are ordered by
-size; equal rows share what they take); texts without words take nothing; an
+or repeated ids are rows like any other; texts without words take nothing; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -37,11 +40,34 @@ GOLDEN = 0.6180339887498949
 BLOCK, SLOT_BUCKET, ROW_BUCKET = 256, 16384, 2048
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source, size (words of the whole text): the only pass over texts."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"),
+#: What tells rows apart, whatever their ids.
+KEY = ["id", "size", "digest", "copy"]
+
+
+def same_key(a: str, b: str) -> Column:
+    return F.expr(" and ".join(f"{a}.{k} <=> {b}.{k}" for k in KEY))
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None = None) -> DataFrame:
+    """row, id, source, size (words of the whole text), digest: the only pass
+    over texts. ``row`` numbers the rows unless ``row_col`` does."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"),
                        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_CLASS)), F.lit(0))
-                       .cast("long").alias("size"))
+                       .cast("long").alias("size"), F.xxhash64(text_col, source_col).alias("digest"))
+
+
+def numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with shared (the row has no id or a repeated one) and copy."""
+    given = sizes.where("id is not null")
+    often = given.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("shared"))
+    given = given.join(often, "id", "left").select(*sizes.columns, F.coalesce("shared", F.lit(False)).alias("shared"))
+    rows = stored(given.unionByName(sizes.where("id is null").withColumn("shared", F.lit(True))), "mix-shared")
+    many = (rows.where("shared").withColumn("same", F.xxhash64("id", "size", "digest"))
+            .withColumn("bucket", F.floor(F.col("row") / ROW_BUCKET)).withColumn("one", F.lit(1)))
+    many = _offset(many, ["same"], "bucket", [F.col("row")], "one", "copy")
+    return many.select(*rows.columns, F.col("copy").cast("long").alias("copy")).unionByName(
+        rows.where("not shared").withColumn("copy", F.lit(0).cast("long")))
 
 
 def targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -74,8 +100,9 @@ def targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
 
 def order_key(id_col: str, epoch: Column, seed: int) -> Column:
     """Place of a row in its source's epoch: 60 bits of an MD5."""
+    whole = F.when(F.col("shared"), F.concat_ws(":", F.lit(""), *KEY[1:]))
     salt = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"),
-                       F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+                       F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(whole, F.lit(""))))
     return F.conv(F.substring(F.md5(salt.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -92,8 +119,8 @@ def _offset(rows: DataFrame, group: list[str], bucket: str, order: list[Column],
 
 
 def streams(sizes: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
-    """source_no, epoch, id, size, start: each document of each epoch in the
-    place it has in its source's stream, as far as the source's quota goes."""
+    """source_no, epoch, KEY, start: each document of each epoch in the place
+    it has in its source's stream, as far as the source's quota goes."""
     goal = goal.withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     epochs = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.ceil(F.col("quota") / F.col("source_size")))
                              .otherwise(F.lit(0)).cast("int"))
@@ -102,15 +129,15 @@ def streams(sizes: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
     rows = (sizes.where("size > 0").alias("s")
             .join(F.broadcast(epochs.alias("e")) if _few(goal) else epochs.alias("e"),
                   F.expr("s.source <=> e.source"))
-            .select("e.source_no", "e.source_size", "e.n_rows", "e.quota", "s.id", "s.size",
+            .select("e.source_no", "e.source_size", "e.n_rows", "e.quota", "s.shared", *[f"s.{k}" for k in KEY],
                     F.explode(F.sequence(F.lit(0), F.col("e.epochs") - 1)).alias("epoch")))
     rows = rows.withColumn("key", order_key("id", F.col("epoch"), seed))
     width = F.floor(F.lit(2 ** 60) / F.greatest(F.ceil(F.col("n_rows") / ROW_BUCKET), F.lit(1))) + 1
     rows = rows.withColumn("bucket", F.floor(F.col("key") / width))
     rows = _offset(rows, ["source_no", "epoch"], "bucket",
-                   [F.col("key"), F.col("id").asc_nulls_last(), F.col("size")], "size", "before")
+                   [F.col("key"), F.col("id").asc_nulls_last(), *map(F.col, KEY[1:])], "size", "before")
     rows = rows.withColumn("start", F.col("epoch") * F.col("source_size") + F.col("before"))
-    return rows.where("start < quota").select("source_no", "epoch", "id", "size", "start", "quota")
+    return rows.where("start < quota").select("source_no", "epoch", *KEY, "start", "quota")
 
 
 def _few(goal: DataFrame) -> bool:
@@ -154,11 +181,12 @@ def slots(spark: SparkSession, goal: DataFrame, block: int) -> DataFrame:
 
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             max_epochs: int = 3, block: int = BLOCK, seed: int = 7):
+             max_epochs: int = 3, block: int = BLOCK, seed: int = 7, row_col: str | None = None):
     """(sizes, targets, spans). A span says which words of which document a
-    slot holds: slot, source_no, block_no, epoch, id, size, first, words."""
+    slot holds: slot, source_no, block_no, epoch, KEY, first, words. ``sizes``
+    has the key of every row."""
     spark = docs.sparkSession
-    sizes = stored(sized(docs, id_col, text_col, source_col), "mix-size")
+    sizes = stored(numbered(stored(sized(docs, id_col, text_col, source_col, row_col), "mix-rows")), "mix-size")
     goal = stored(targets(sizes, max_epochs), "mix-target")
     rows = streams(sizes, goal, seed)
     end = F.least(F.col("start") + F.col("size"), F.col("quota"))
@@ -166,23 +194,18 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))))
     lo = F.greatest(F.col("start"), F.col("block_no") * block)
     hi = F.least(F.col("stop"), (F.col("block_no") + 1) * block)
-    parts = parts.select("source_no", "block_no", "epoch", "id", "size",
+    parts = parts.select("source_no", "block_no", "epoch", *KEY,
                          (lo - F.col("start")).alias("first"), (hi - lo).alias("words"))
     return sizes, goal, parts.join(slots(spark, goal, block), ["source_no", "block_no"])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes, goal, spans = schedule(table(spark, sf_dir, "documents"))
-    taken = spans.groupBy("source_no", "id", "size").agg(F.sum("words").alias("taken"))
-    rows = sizes.groupBy("source", "id", "size").agg(F.count("*").alias("copies"))
-    rows = (rows.alias("r").join(goal.alias("g"), F.expr("r.source <=> g.source"))
-            .select("r.id", "r.size", "r.copies", "g.source_no", "g.source_size", "g.target").alias("r")
-            .join(taken.alias("t"), F.expr("r.id <=> t.id and r.size = t.size and r.source_no = t.source_no"), "left")
-            .select("r.*", F.coalesce("t.taken", F.lit(0)).alias("taken")))
-    # equal rows share what they take: the first ones take the remainder
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    share = F.floor(F.col("taken") / F.col("copies")) + (F.col("copy") <= F.col("taken") % F.col("copies")).cast("long")
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", share.alias("taken"))
+    taken = spans.groupBy(*KEY).agg(F.sum("words").alias("taken"))
+    rows = sizes.alias("r").join(goal.alias("g"), F.expr("r.source <=> g.source"))
+    rows = rows.select("r.*", "g.source_size", "g.target").alias("r").join(taken.alias("t"), same_key("r", "t"), "left")
+    return rows.select(F.col("r.id").alias("doc_id"), "r.size", "source_size", "target",
+                       F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 ORACLE = r"""

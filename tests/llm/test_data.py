@@ -218,6 +218,34 @@ def test_pipeline_dedup_drops_single_rows(shipped):
     assert set(want) | {(6, long[6]), (7, "a text of its own")} <= set(got)
 
 
+def test_pipeline_mix_takes_single_rows(shipped, monkeypatch):
+    """Rows without an id, ids with several texts and equal rows each take their own part of the mix."""
+    import corpus_pipeline as P
+    monkeypatch.setattr(mixing, "ROW_BUCKET", 4)
+    rows = [(None, f"n{k} " * (k + 1), None, "a", k) for k in range(30)]
+    rows += [(5, f"r{k} " * (k + 1), None, "a", k) for k in range(30)] + [(9, "equal row", None, "b", 0)] * 20
+    rows += [(100 + k, f"u{k} " * 7, None, "bc"[k % 2], k) for k in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = shipped.createDataFrame(rows, schema).repartition(3)
+    sizes, goal, spans = mixing.schedule(docs)
+    assert sizes.count() == len(rows) == sizes.select(*mixing.KEY).distinct().count()
+    quota = {r["source"]: int(r["target"] + 0.5) for r in goal.collect()}
+    got = P.mix(shipped, docs, "").collect()
+    times, given = {}, {}
+    for r in got:
+        times[r["doc_id"], r["text"]] = times.get((r["doc_id"], r["text"]), 0) + 1
+    for i, t, *_ in rows:
+        given[i, t] = given.get((i, t), 0) + 1
+    assert all(n <= 3 * given[k] for k, n in times.items())
+    for source, want in quota.items():  # the last document alone may be cut
+        have = sum(len(r["text"].split()) for r in got if r["source"] == source)
+        assert abs(have - want) <= 15
+    key = mixing.order_key("id", mixing.F.lit(0), 7)
+    assert sizes.where("id is null or id = 5").select(key).distinct().count() == 60
+    again = mixing.schedule(docs.repartition(5))[2].collect()
+    assert sorted(map(str, again)) == sorted(map(str, spans.collect()))
+
+
 def test_operators_agree_with_stage_order():
     import corpus_pipeline as P
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "ngram_join", "mixing", "sentencepiece"]
