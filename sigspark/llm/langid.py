@@ -5,7 +5,14 @@ per language over all training texts. A document is a mixture: each trigram
 comes from one of its languages, and expectation-maximisation estimates the
 proportions. Starting from all languages, those are taken out one by one
 whose loss of log-likelihood is below a penalty of ``PENALTY * log(n)``; what
-is left is the document's language set.
+is left is the document's language set, however small a share is. Languages
+whose loss is below one penalty all together, even before the proportions are
+fitted anew, go at once; of single languages the likeliest one is left.
+
+``filter_accepted`` takes whatever language set is selected, whether or not one
+of its languages leads. As the selection always leaves one, only ``und`` and
+texts that share no trigram with any language (for which every language is
+chance) go, and no proportions are needed for it.
 
 The model has languages x 2**16 counts, whatever the corpus; it is gathered
 by a Spark aggregation and broadcast. Each text is scored whole by itself.
@@ -89,6 +96,7 @@ class Model:
         cols = np.array([where[x] for x in counts.column("lang").to_pylist()], np.int64)
         if len(rows):
             n[rows, cols] = counts.column("n").to_numpy()
+        self.learned = n.any(1)
         self.p = (n + SMOOTH) / (n.sum(0) + SMOOTH * BUCKETS)
 
     def mixture(self, counts: np.ndarray):
@@ -103,10 +111,15 @@ class Model:
         single = c @ np.log(p)
         use = np.arange(k)
         pi, like = self._em(p, c, n, np.full(k, 1.0 / k))
-        use = np.flatnonzero(pi >= 0.02)
-        if len(use) < k:
-            pi, like = self._em(p[:, use], c, n, pi[use] / pi[use].sum())
         penalty = PENALTY * np.log(n + 1.0)
+        order = np.argsort(pi)
+        rest = np.cumsum((p * pi)[:, order[::-1]], 1)[:, ::-1]  # column s: without the s smallest ones
+        with np.errstate(divide="ignore"):
+            likes = c @ np.log(rest) - n * np.log(np.cumsum(pi[order[::-1]])[::-1])
+        gone = int(np.flatnonzero(like - likes <= penalty).max(initial=0))
+        if gone:
+            use = np.sort(order[gone:])
+            pi, like = self._em(p[:, use], c, n, pi[use] / pi[use].sum())
         while len(use) > 1:
             out = int(np.argmin(pi))
             rest = np.delete(np.arange(len(use)), out)
@@ -117,6 +130,9 @@ class Model:
             if like - like2 > penalty:
                 break
             use, pi, like = use[rest], pi2, like2
+        if len(use) == 1:
+            use = np.array([int(np.argmax(single))])
+            like = single[use[0]]
         full = np.zeros(k)
         full[use] = pi
         best = int(np.argmax(full))
@@ -185,9 +201,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"{kept}, lang_pred string, score double, n_langs int, fit double")
 
 
-def filter_accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.2) -> DataFrame:
+def filter_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The accepted rows of ``docs`` with all their columns, in one pass: those
-    not ``und`` whose score reaches ``min_score`` (below it no language leads)."""
+    not ``und`` that have a trigram which some language has."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**16 doubles at most
 
     def run(batches):
@@ -198,10 +214,7 @@ def filter_accepted(docs: DataFrame, model: Model, text_col: str = "text", min_s
                 texts = b.column(text_col).to_pylist()
                 keep = []
                 for k, c in per_text(b.column(text_col)):
-                    fine = bool(m.langs) and texts[k] is not None and bool(_LETTER.search(texts[k]))
-                    if fine:
-                        pi, sure, _ = m.mixture(c)
-                        fine = bool(pi.max() * sure >= min_score)
+                    fine = texts[k] is not None and bool(_LETTER.search(texts[k])) and bool(m.learned[c > 0].any())
                     keep.append(fine)
                 yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -75,6 +75,26 @@ def test_language_cases(docs, no_docs):
     assert {1, 7, 9, 12, None} <= kept and not kept & {4, 5, 6, 8}
 
 
+def test_language_filter_keeps_multilingual_and_short(shipped):
+    """Texts of three to seven languages in equal parts, short texts and a share below 2% count."""
+    rng = np.random.default_rng(3)
+    words = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(40)] for k in range(7)}
+    say = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    schema = "doc_id long, text string, lang string"
+    model = langid.train(shipped.createDataFrame([(k, say(x, 400), x) for k, x in enumerate(words)], schema))
+    rows = [(n, " ".join(say(x, 60) for x in list(words)[:n]), None) for n in (3, 4, 5, 6, 7)]
+    rows += [(20 + k, w, None) for k, x in enumerate(words) for w in [words[x][0], say(x, 2)]]
+    rows += [(50, "日", None), (51, "12 34", None), (52, None, None)]
+    docs = shipped.createDataFrame(rows, schema)
+    assert ({r["doc_id"] for r in langid.filter_accepted(docs, model).collect()}
+            == {r[0] for r in rows} - {50, 51, 52})
+    got = {r["id"]: r["n_langs"] for r in langid.identify(docs, model).collect()}
+    assert [got[n] for n in (3, 4, 5, 6, 7)] == [3, 4, 5, 6, 7]
+    (_, counts), = langid.per_text(pa.array([say("l0", 990) + " " + say("l1", 10)]))
+    share = dict(zip(model.langs, model.mixture(counts)[0]))
+    assert 0.0 < share["l1"] < 0.02 and sum(x > 0 for x in share.values()) == 2
+
+
 def test_language_mixture(shipped):
     rows = [r for r in read(shipped, "documents").where("n_chars > 2000").collect()]
     model = langid.train(read(shipped, "documents"))
