@@ -62,10 +62,11 @@ def numbered(sizes: DataFrame) -> DataFrame:
     given = sizes.where("id is not null")
     often = given.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("shared"))
     given = given.join(often, "id", "left").select(*sizes.columns, F.coalesce("shared", F.lit(False)).alias("shared"))
-    rows = stored(given.unionByName(sizes.where("id is null").withColumn("shared", F.lit(True))), "mix-shared")
+    rows = given.unionByName(sizes.where("id is null").withColumn("shared", F.lit(True)))
+    rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "mix-shared")
     many = (rows.where("shared").withColumn("same", F.xxhash64("id", "size", "digest"))
-            .withColumn("bucket", F.floor(F.col("row") / ROW_BUCKET)).withColumn("one", F.lit(1)))
-    many = _offset(many, ["same"], "bucket", [F.col("row")], "one", "copy")
+            .withColumn("bucket", F.floor(F.col("place") / ROW_BUCKET)).withColumn("one", F.lit(1)))
+    many = _offset(many, ["same"], "bucket", [F.col("place")], "one", "copy")
     return many.select(*rows.columns, F.col("copy").cast("long").alias("copy")).unionByName(
         rows.where("not shared").withColumn("copy", F.lit(0).cast("long")))
 
