@@ -243,9 +243,14 @@ def cumulative_daily_events(spark, sf_dir):
 @register("docs_page_2", DOCS + """
 SELECT document_id, title FROM dn_docs ORDER BY document_id LIMIT 12 OFFSET 24""")
 def docs_page_2(spark, sf_dir):
-    """The third page of 12 by id, after the second page's last id."""
+    """The third page of 12 by id, after the second page's last id (read
+    from the pages before it, 12 ids each)."""
     d = model(spark, sf_dir).Dn
-    return RL.paginate(d, "document_id", after=23, size=12).select("document_id", "title")
+    last = None
+    for _ in range(2):
+        ids = [r[0] for r in RL.paginate(d.select("document_id"), "document_id", after=last, size=12).collect()]
+        last = max(ids, default=last)
+    return RL.paginate(d, "document_id", after=last, size=12).select("document_id", "title")
 
 
 @register("max_scaled_edges", """

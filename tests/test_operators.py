@@ -247,6 +247,19 @@ def test_trials_parsed_returns_every_study(spark):
     assert sorted(got) == sorted(want.items())
 
 
+def test_third_page_of_ids_with_gaps(spark, tmpdir_path):
+    import os
+    from __spark_entry__ import queries
+    sf = "/root/testdata/sf0.001"
+    for name in os.listdir(sf):
+        if name != "documents.parquet":
+            os.symlink(f"{sf}/{name}", f"{tmpdir_path}/{name}")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id * 3 + 50 as doc_id", "* except (doc_id)")
+    docs.write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = [r.document_id for r in queries()["docs_page_2"](spark, tmpdir_path).collect()]
+    assert got == sorted(r.doc_id for r in docs.select("doc_id").collect())[24:36]
+
+
 def test_paper_and_device_parsers(spark):
     import json
     from sigspark.sources.payloads import parse_device_catalog, parse_drucksachen
