@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from . import (chat, embed_dedup, exact_dedup, langid, lm_scoring, mixing, ngram_join, piece_lattice, quality,
-               token_files)
+               resampling, token_files)
 from .common import ship
 
 
@@ -28,6 +28,7 @@ QUERIES = {f.__name__: _shipped(f) for f in (
     piece_lattice.op8_sentencepiece,
     lm_scoring.op9_lm_scoring,
     embed_dedup.op10_embedding_dedup,
+    resampling.op13_resampling,
 )}
 ORACLE = {
     "op2_ngram_join": ngram_join.ORACLE,
@@ -35,4 +36,5 @@ ORACLE = {
     "op6_chat_formatting": chat.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_embedding_dedup": embed_dedup.ORACLE,
+    "op13_resampling": resampling.ORACLE,
 }
