@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import functools
 
-from . import (chat, embed_dedup, exact_dedup, fingerprints, langid, lm_scoring, mixing, ngram_join, piece_lattice, quality,
-               resampling, token_files)
+from . import (alignment, chat, embed_dedup, exact_dedup, fingerprints, langid, lm_scoring, mixing, ngram_join,
+               piece_lattice, quality, resampling, token_files)
 from .common import ship
 
 
@@ -28,6 +28,7 @@ QUERIES = {f.__name__: _shipped(f) for f in (
     piece_lattice.op8_sentencepiece,
     lm_scoring.op9_lm_scoring,
     embed_dedup.op10_embedding_dedup,
+    alignment.op11_alignment,
     fingerprints.op12_fingerprints,
     resampling.op13_resampling,
 )}
