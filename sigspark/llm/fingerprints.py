@@ -222,15 +222,18 @@ def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     shared = spark.sparkContext.broadcast(border)
 
     @F.pandas_udf("int")
-    def block(k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.Series:
-        at = np.searchsorted(shared.value, _sortable(k1.to_numpy(), k2.to_numpy(), k3.to_numpy()), "right")
-        return pd.Series(np.maximum(at - 1, 0).astype(np.int32))
-
-    heads = spark.createDataFrame([(*k, (i - 1) % len(firsts)) for i, k in enumerate(firsts)],
-                                  "k1 long, k2 long, k3 long, block int")
-    extra = rows.join(heads, ["k1", "k2", "k3"]).dropDuplicates(["block"]).withColumn("extra", F.lit(True))
-    own = rows.withColumn("block", block("k1", "k2", "k3")).withColumn("extra", F.lit(False))
-    return (own.unionByName(extra).repartition(parts, "block")
+    def place(k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.Series:
+        """The row's block; for the first row of block b: -1 - b."""
+        key = _sortable(k1.to_numpy(), k2.to_numpy(), k3.to_numpy())
+        at = np.searchsorted(shared.value, key, "right") - 1
+        return pd.Series(np.where(shared.value[at] == key, -1 - at, at).astype(np.int32))
+
+    at = F.col("place")
+    own = F.struct(F.when(at < 0, -1 - at).otherwise(at).alias("block"), F.lit(False).alias("extra"))
+    before = F.struct(F.when(at == -1, len(firsts) - 1).otherwise(-2 - at).alias("block"), F.lit(True).alias("extra"))
+    rows = rows.withColumn("place", place("k1", "k2", "k3"))
+    rows = rows.withColumn("in", F.explode(F.when(at < 0, F.array(own, before)).otherwise(F.array(own))))
+    return (rows.select("in.block", "in.extra", "id", "text", "k1", "k2", "k3").repartition(parts, "block")
             .sortWithinPartitions("block", "extra", "k1", "k2", "k3").select("block", "extra", "id", "text"))
 
 
