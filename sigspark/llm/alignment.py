@@ -4,13 +4,13 @@
    its multiplicity (combined before the shuffle, so a text that holds a third
    of all rows costs one row a task).
 2. Each different text is encoded once by both tokenizers and aligned on the
-   byte offsets of its token ends. Ids are stored, two bytes each; about
+   byte offsets of its token ends. Ids are stored in packed pages; about
    ``BLOCK_BYTES`` of a task's texts are a block, which stores its linked id
    pairs with their counts, weighted by multiplicity.
 3. Pair counts are summed over blocks, and the highest count of each B id is
    found. The pairs of a block get their totals back by a join on the pair, so
    what moves is a block's different pairs and not every link.
-4. A block's totals and its texts meet in one partition; texts stream past the
+4. A block's totals and its pages meet in one partition; pages stream past the
    totals and sum up their links, which follow from the stored ids again.
 5. The measures of a text join all its rows by the text's SHA-256. Spark
    splits that join where one text has many rows.
@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,10 @@ from .wordhash import slices, string_buffers
 BLOCK_BYTES = 64 << 20
 #: Rows of pairs that are kept apart before they are added up.
 PAIR_ROWS = 1 << 20
-#: Text bytes that are worked on at once.
-SLICE = 1 << 20
+#: Text bytes that are encoded at once, and ids of a stored page.
+SLICE, PAGE_IDS = 1 << 20, 1 << 14
+_MEASURES = ("key binary, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
+             "groups_sha256 string")
 
 
 def _byte_level() -> dict[str, int]:
@@ -155,10 +158,13 @@ def links(ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.n
     every group): token ends of both cut the same bytes into spans, one for
     each pair of tokens that overlap."""
     end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
-    cuts = np.union1d(end_a, end_b)
-    both = np.intersect1d(end_a, end_b, assume_unique=True)
-    return (np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts),
-            np.searchsorted(end_a, both), np.searchsorted(end_b, both))
+    ends = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, np.uint8)  # 1: an A token ends here, 2: a B token
+    ends[end_a] = 1
+    ends[end_b] += 2
+    kind = ends[np.flatnonzero(ends)]
+    is_a, is_b = (kind & 1).astype(np.int64), (kind >> 1).astype(np.int64)
+    link_a, link_b, both = np.cumsum(is_a) - is_a, np.cumsum(is_b) - is_b, kind == 3
+    return link_a, link_b, link_a[both], link_b[both]
 
 
 class Written:
@@ -207,34 +213,48 @@ def _added(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[heads], np.add.reduceat(n, heads) if len(heads) else n[:0]
 
 
-def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """A binary per text of its ids, two bytes each."""
-    off = np.concatenate([[0], np.cumsum(2 * counts)]).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts),
-                                            [None, pa.py_buffer(off), pa.py_buffer(values.astype("<u2").tobytes())])
+def _pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
 
 
-def _ids(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = col.to_pylist()
-    return (np.frombuffer(b"".join(raw), "<u2").astype(np.int64),
-            np.fromiter((len(r) // 2 for r in raw), np.int64, len(raw)))
+def _unpack(raw: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype).astype(np.int64)
 
 
-_TEXT = "block long, key binary, times long, n_groups long, groups_sha256 string, a binary, b binary"
+#: A page holds some texts of a block: their keys and digests (32 bytes each),
+#: their numbers (A tokens, B tokens, groups) and all their ids, packed.
+_PAGE = "block long, keys binary, digests binary, numbers binary, a binary, b binary"
 
 
-def aligned(texts: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Different texts (key, text, times) -> their ids and digests, block by
-    block, and behind them the block's pairs (``pair``, ``n``; no key)."""
-    names = [c.split()[0] for c in _TEXT.split(", ")]
+def _pages(block: int, keys: list[bytes], digests: list[bytes], numbers: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray):
+    """Page rows of about ``PAGE_IDS`` ids, one text at least."""
+    ends = np.cumsum(numbers, axis=1)
+    page = (ends[0] + ends[1]) // PAGE_IDS
+    cut = [0, *(np.flatnonzero(np.diff(page)) + 1).tolist(), len(keys)]
+    cols: list[list] = [[] for _ in range(6)]
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        at_a, at_b = (0, 0) if lo == 0 else ends[:2, lo - 1]
+        for col, value in zip(cols, (block, b"".join(keys[lo:hi]), b"".join(digests[lo:hi]),
+                                     _pack(np.ascontiguousarray(numbers[:, lo:hi]).astype("<i8")),
+                                     _pack(ids_a[at_a:ends[0, hi - 1]].astype("<u2")),
+                                     _pack(ids_b[at_b:ends[1, hi - 1]].astype("<u2")))):
+            col.append(value)
+    n = len(cols[0])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]], pa.nulls(n, pa.int64()),
+         pa.nulls(n, pa.int64())], names=[c.split()[0] for c in _PAGE.split(", ")] + ["pair", "n"])
+
 
+def aligned(texts: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Different texts (key, text, times) -> pages, block by block, and behind
+    them the block's pairs (``pair``, ``n``; no keys)."""
     def pair_rows(block, counts):
         pairs, n = counts.total()
         for lo in range(0, len(pairs), 100_000):
             p = pairs[lo:lo + 100_000]
-            none = [pa.nulls(len(p), t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), block)), *none, pa.array(p),
-                                              pa.array(n[lo:lo + 100_000])], names=names + ["pair", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(p), block)), *[pa.nulls(len(p), pa.binary())] * 5, pa.array(p),
+                 pa.array(n[lo:lo + 100_000])], names=[c.split()[0] for c in _PAGE.split(", ")] + ["pair", "n"])
 
     def run(batches):
         a, b = tokenizers(path_a, path_b)
@@ -249,21 +269,16 @@ def aligned(texts: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK
                 counts.add((ids_b[link_b] << 16) | ids_a[link_a], times[text[link_a]])
                 tokens = written.groups(ids_a, ids_b, last_a, last_b)
                 stop = np.cumsum(n_a + n_b).tolist()
-                sha = ["" if lo == hi else hashlib.sha256("".join(tokens[lo:hi])[:-1].encode()).hexdigest()
-                       for lo, hi in zip([0, *stop[:-1]], stop)]
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), part.column("key"), part.column("times"),
-                     pa.array(np.bincount(text[last_a], minlength=n)), pa.array(sha, pa.string()),
-                     _binary(ids_a, n_a).cast(pa.binary()), _binary(ids_b, n_b).cast(pa.binary()),
-                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names + ["pair", "n"])
+                sha = [hashlib.sha256("".join(tokens[lo:hi])[:-1].encode()).digest() for lo, hi in zip([0, *stop[:-1]], stop)]
+                groups = np.bincount(text[last_a], minlength=part.num_rows)
+                yield _pages(block, part.column("key").to_pylist(), sha, np.stack([n_a, n_b, groups]), ids_a, ids_b)
                 size += int(a.size[ids_a].sum())
                 if size > block_bytes:
                     yield from pair_rows(block, counts)
                     block, size, counts = block + 1, 0, PairCounts()
         yield from pair_rows(block, counts)
 
-    return texts.select("key", "text", "times").mapInArrow(run, f"{_TEXT}, pair long, n long")
+    return texts.select("key", "text", "times").mapInArrow(run, f"{_PAGE}, pair long, n long")
 
 
 def pair_totals(pairs: DataFrame) -> DataFrame:
@@ -276,55 +291,56 @@ def pair_totals(pairs: DataFrame) -> DataFrame:
 
 def measures(rows: DataFrame, totals: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Per different text: key, n_a, n_b, n_groups, n_links, n_best, count_sum,
-    groups_sha256. A block's totals come before its texts."""
+    groups_sha256. A block's totals come before its pages."""
     spark = rows.sparkSession
-    pairs = rows.where("key is null").select("block", "pair")
-    known = pairs.join(totals, "pair").select("block", F.lit(0).alias("kind"), "pair", "total", "best",
-                                              *[F.lit(None).cast(t).alias(c) for c, t in
-                                                (("key", "binary"), ("n_groups", "long"), ("groups_sha256", "string"),
-                                                 ("a", "binary"), ("b", "binary"))])
-    texts = rows.where("key is not null").select(
-        "block", F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in
-                                           (("pair", "long"), ("total", "long"), ("best", "boolean"))],
-        "key", "n_groups", "groups_sha256", "a", "b")
+    pairs = rows.where("keys is null").select("block", "pair")
+    known = pairs.join(totals, "pair").select("block", F.lit(0).alias("kind"), "pair", "total", "best")
+    pages = rows.where("keys is not null").select("block", F.lit(1).alias("kind"), "keys", "digests", "numbers", "a", "b")
     blocks = pairs.agg(F.count_distinct("block")).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
-    met = known.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind", "pair")
+    met = (known.unionByName(pages, allowMissingColumns=True).repartition(parts, "block")
+           .sortWithinPartitions("block", "kind", "pair"))
+    sizes = spark.sparkContext.broadcast((TokensA(path_a).size, TokensB(path_b).size))  # a number per vocabulary entry
+    names = [c.split()[0] for c in _MEASURES.split(", ")]
+
+    def measured(row, size_a, size_b, pair, total, best):
+        n_a, n_b, groups = _unpack(row["numbers"], "<i8").reshape(3, -1)
+        ids_a, ids_b = _unpack(row["a"], "<u2"), _unpack(row["b"], "<u2")
+        n = len(n_a)
+        link_a, link_b, _, _ = links(ids_a, ids_b, size_a, size_b)
+        text = np.repeat(np.arange(n), n_a)[link_a]
+        at = np.searchsorted(pair, (ids_b[link_b] << 16) | ids_a[link_a])
+        sums = np.zeros(n, np.int64)
+        np.add.at(sums, text, total[at])
+        sha = [row["digests"][32 * k:32 * k + 32].hex() if n_a[k] else "" for k in range(n)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([row["keys"][32 * k:32 * k + 32] for k in range(n)], pa.binary()), pa.array(n_a), pa.array(n_b),
+             pa.array(groups), pa.array(np.bincount(text, minlength=n)),
+             pa.array(np.bincount(text[best[at].astype(bool)], minlength=n)), pa.array(sums), pa.array(sha, pa.string())],
+            names=names)
 
     def run(batches):
-        a, b = tokenizers(path_a, path_b)
-        block, table_of, read = None, None, []
+        release()
+        size_a, size_b = sizes.value
+        block, found, read = None, None, []
         for whole in batches:
-            numbers = whole.column("block").to_numpy()
-            kinds = whole.column("kind").to_numpy()
-            mark = numbers.astype(np.int64) * 2 + kinds
+            mark = whole.column("block").to_numpy() * 2 + whole.column("kind").to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])).tolist() + [len(mark)]
             for lo, hi in zip(cut[:-1], cut[1:]):
                 part = whole.slice(lo, hi - lo)
-                if numbers[lo] != block:
-                    block, table_of, read = numbers[lo], None, []
-                if not kinds[lo]:
+                if mark[lo] // 2 != block:
+                    block, found, read = mark[lo] // 2, None, []
+                if mark[lo] % 2 == 0:
                     read.append([part.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "total", "best")])
                     continue
-                if table_of is None:
-                    table_of = [np.concatenate(x) for x in zip(*read)] if read else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]
+                if found is None:
+                    found = [np.concatenate(x) for x in zip(*read)] if read else [np.zeros(0, np.int64)] * 3
                     read = []
-                pair, total, best = table_of
-                (ids_a, n_a), (ids_b, n_b) = _ids(part.column("a")), _ids(part.column("b"))
-                link_a, link_b, _, _ = links(ids_a, ids_b, a.size, b.size)
-                text = np.repeat(np.arange(len(n_a)), n_a)[link_a]
-                at = np.searchsorted(pair, (ids_b[link_b] << 16) | ids_a[link_a])
-                sums = np.zeros(len(n_a), np.int64)
-                np.add.at(sums, text, total[at])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(n_a), pa.array(n_b), part.column("n_groups"),
-                     pa.array(np.bincount(text, minlength=len(n_a))),
-                     pa.array(np.bincount(text[best[at].astype(bool)], minlength=len(n_a))), pa.array(sums),
-                     part.column("groups_sha256")], names=[c.split()[0] for c in schema.split(", ")])
-
-    schema = ("key binary, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
-              "groups_sha256 string")
-    return met.mapInArrow(run, schema)
+                for k in range(part.num_rows):
+                    yield measured({c: part.column(c)[k].as_py() for c in ("keys", "digests", "numbers", "a", "b")},
+                                   size_a, size_b, *found)
+
+    return met.mapInArrow(run, _MEASURES)
 
 
 def _key(text) -> F.Column:
@@ -338,7 +354,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     some = rows.where("text <> ''")
     texts = some.groupBy("text").agg(F.count("*").alias("times"))
     found = stored(aligned(texts.withColumn("key", _key("text")), path_a, path_b, block_bytes), "align-texts")
-    totals = stored(pair_totals(found.where("key is null").select("pair", "n")), "align-pairs")
+    totals = stored(pair_totals(found.where("keys is null").select("pair", "n")), "align-pairs")
     each = stored(measures(found, totals, path_a, path_b), "align-measures")
     out = rows.select("id", F.when(F.col("text") != "", _key("text")).alias("key")).join(each, "key", "left")
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
