@@ -44,11 +44,14 @@ class Store:
     """Hash -> number, for ``limit`` chunks at a time.
 
     ``learn(strings)`` works out new chunks and appends their values to the
-    subclass's arrays; ``clear()`` empties them.
+    subclass's arrays; ``clear()`` empties them, also when ``crowded()``.
     """
 
     limit = 2_000_000
 
+    def crowded(self) -> bool:
+        return False
+
     def __init__(self):
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -59,7 +62,7 @@ class Store:
         inside = place < len(self.keys)
         have[inside] = self.keys[place[inside]] == keys[inside]
         new = np.flatnonzero(~have)
-        if len(new) and len(self.keys) and len(self.keys) + len(new) > self.limit:
+        if len(new) and len(self.keys) and (len(self.keys) + len(new) > self.limit or self.crowded()):
             Store.__init__(self)
             self.clear()
             have[:] = False

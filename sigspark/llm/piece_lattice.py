@@ -100,6 +100,8 @@ class Lattices(Store):
     """
 
     limit = 300_000
+    #: Edges that are kept: 16 bytes each, whatever the length of the chunks.
+    edges = 4_000_000
     #: Longer chunks are filtered one by one with rescaled sums.
     long = 200
 
@@ -116,6 +118,9 @@ class Lattices(Store):
         self.prev = np.zeros(0, np.int32)
         self.piece = np.zeros(0, np.int32)
 
+    def crowded(self) -> bool:
+        return len(self.cum) > self.edges
+
     def _edges(self, chars: np.ndarray, start: np.ndarray, length: np.ndarray):
         """(from, to, piece, weight) of every piece found in the chunks; the
         node before character i of chunk c is i + c."""
@@ -283,7 +288,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         lat = lattices(model, alpha)
         pieces = lat.pieces
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text"):
                 ids, n = lat.sample(b.column("text"), row_keys(b.column("id")), seed)
                 off = np.concatenate([[0], np.cumsum(n)])
                 if not digest:
@@ -313,7 +318,7 @@ def with_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         lat = lattices(model, alpha)
         for whole in batches:
-            for b in slices(whole, text_col, 4 << 20):
+            for b in slices(whole, text_col):
                 ids, n = lat.sample(b.column(text_col), row_keys(b.column(id_col)), seed)
                 off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
