@@ -9,10 +9,13 @@ is left is the document's language set, however small a share is. Languages
 whose loss is below one penalty all together, even before the proportions are
 fitted anew, go at once; of single languages the likeliest one is left.
 
-``filter_accepted`` takes whatever language set is selected, whether or not one
-of its languages leads. As the selection always leaves one, only ``und`` and
-texts that share no trigram with any language (for which every language is
-chance) go, and no proportions are needed for it.
+``filter_accepted`` adds a component without a language, for which all trigrams
+are alike, to the mixture. Languages are taken out one by one, and a text is
+accepted as soon as the languages left are likelier than that component alone
+by their penalties; if none is, it is rejected. What is foreign to all
+languages (codes, names, other scripts) is the component's share, so a text
+stays if any part of it speaks for a language by more than a penalty, whether
+it is short or has many languages.
 
 The model has languages x 2**16 counts, whatever the corpus; it is gathered
 by a Spark aggregation and broadcast. Each text is scored whole by itself.
@@ -96,7 +99,6 @@ class Model:
         cols = np.array([where[x] for x in counts.column("lang").to_pylist()], np.int64)
         if len(rows):
             n[rows, cols] = counts.column("n").to_numpy()
-        self.learned = n.any(1)
         self.p = (n + SMOOTH) / (n.sum(0) + SMOOTH * BUCKETS)
 
     def mixture(self, counts: np.ndarray):
@@ -143,6 +145,26 @@ class Model:
         sure = 1.0 / (1.0 + np.exp(-np.clip(lead, -30, 30)))
         return full, sure, like / n
 
+    def accepts(self, counts: np.ndarray) -> bool:
+        """Whether some language set beside the component without a language
+        has a better penalised likelihood than that component alone."""
+        at = np.flatnonzero(counts)
+        if not len(at) or not self.langs:
+            return False
+        c = counts[at].astype(float)
+        n = c.sum()
+        p = np.column_stack([np.full(len(at), 1.0 / BUCKETS), self.p[at]])
+        nothing, penalty = -n * np.log(BUCKETS), PENALTY * np.log(n + 1.0)
+        use = np.arange(p.shape[1])  # 0: no language
+        pi, like = self._em(p, c, n, np.full(len(use), 1.0 / len(use)))
+        while len(use) > 1:
+            if like - nothing > penalty * (len(use) - 1):
+                return True
+            rest = np.delete(np.arange(len(use)), 1 + int(np.argmin(pi[1:])))
+            use = use[rest]
+            pi, like = self._em(p[:, use], c, n, (pi[rest] + 1e-9) / (pi[rest] + 1e-9).sum())
+        return False
+
     @staticmethod
     def _em(p: np.ndarray, c: np.ndarray, n: float, pi: np.ndarray):
         for _ in range(ROUNDS):
@@ -202,8 +224,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def filter_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The accepted rows of ``docs`` with all their columns, in one pass: those
-    not ``und`` that have a trigram which some language has."""
+    """The rows of ``docs`` that the mixture accepts, with all their columns:
+    a letter, and a language that the penalised likelihood keeps."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**16 doubles at most
 
     def run(batches):
@@ -214,7 +236,7 @@ def filter_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Da
                 texts = b.column(text_col).to_pylist()
                 keep = []
                 for k, c in per_text(b.column(text_col)):
-                    fine = texts[k] is not None and bool(_LETTER.search(texts[k])) and bool(m.learned[c > 0].any())
+                    fine = texts[k] is not None and bool(_LETTER.search(texts[k])) and m.accepts(c)
                     keep.append(fine)
                 yield b.filter(pa.array(keep, pa.bool_()))
 
