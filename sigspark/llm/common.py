@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,15 @@ def as_id(df: DataFrame, id_col: str, *cols: Column) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), *cols)
 
 
+def row_keyed(docs: DataFrame, *cols, name: str = "row") -> DataFrame:
+    """The given columns and a key for every row: a hash of its file and its
+    place in it. Rows that come from no file are stored with a number."""
+    try:
+        return docs.select(*cols, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:
+        return stored(docs.select(*cols, F.monotonically_increasing_id().alias(name)), "rows")
+
+
 #: What operators keep in a Python worker between its tasks.
 _KEPT: list[dict] = []
 
@@ -70,6 +81,7 @@ def release(but: dict | None = None) -> None:
     for kept in _KEPT:
         if kept is not but:
             kept.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def ship(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, stored, table
+from .common import SPACE_CLASS, row_keyed, stored, table
 
 
 def normalised(text: Column) -> Column:
@@ -36,8 +36,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int,
     """One narrow row per document; the only pass over all texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("raw"),
-                       normalised(F.col(text_col)).alias("norm"))
-    cols = ["id", F.length("raw").alias("n_raw"), F.length("norm").alias("n_norm"),
+                       normalised(F.col(text_col)).alias("norm"), *([] if hash_all else ["row"]))
+    cols = ["id", *([] if hash_all else ["row"]), F.length("raw").alias("n_raw"), F.length("norm").alias("n_norm"),
             F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix")]
     return rows.select(*cols, *([F.sha2(F.col("norm"), 256).alias("sha")] if hash_all else []))
 
@@ -49,8 +49,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the one with the most characters before normalising, then
     the smallest id stays. With ``hash_all`` the first pass also hashes every
     text, for callers that need each digest; otherwise level 3 reads the
-    texts of surviving rows only (one join that carries texts).
+    texts of surviving rows only (one join that carries texts; rows are told
+    apart by their place in the input, so ids may repeat or be null).
     """
+    if not hash_all:
+        docs = row_keyed(docs, id_col, text_col)
     sig = stored(signatures(docs, id_col, text_col, prefix_chars, hash_all), "dedup-sig")
     lengths = sig.groupBy("n_norm").count().where("count > 1").select("n_norm")
     level1 = stored(sig.join(lengths, "n_norm", "left_semi"), "dedup-length")
@@ -60,12 +63,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if hash_all:
         level3 = level2
     else:
-        ids = level2.select("id").distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("id"),
+        texts = docs.select("row", F.col(id_col).cast("long").alias("id"),
                             F.coalesce(F.col(text_col), F.lit("")).alias("raw"),
                             normalised(F.col(text_col)).alias("norm"))
-        level3 = stored(texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
-                        .select("id", F.length("raw").alias("n_raw"),
+        level3 = stored(texts.join(level2.select("row"), "row", "left_semi")
+                        .select("row", "id", F.length("raw").alias("n_raw"),
                                 F.sha2(F.col("norm"), 256).alias("sha")), "dedup-full")
     by_length = level3.groupBy("sha", "n_raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     classes = (by_length.groupBy("sha")
@@ -77,11 +79,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "sha"]
         marked = marked.select(*out)
     else:
-        found = level3.select("id", "sha").join(classes, "sha").select("id", "keep_id", "group_size")
-        found = found.distinct()
-        marked = (sig.select("id").alias("a").join(found.alias("b"), F.expr("a.id <=> b.id"), "left")
-                  .select("a.id", F.when(F.col("group_size").isNull(), F.col("a.id"))
-                          .otherwise(F.col("b.keep_id")).alias("keep_id"),
+        found = level3.select("row", "sha").join(classes, "sha").select("row", "keep_id", "group_size")
+        marked = (sig.select("row", "id").join(found, "row", "left")
+                  .select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
                           F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")))
     return marked.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 

@@ -31,6 +31,19 @@ def test_exact_dedup(docs, no_docs, hash_all):
     assert exact_dedup.exact_dedup(no_docs, hash_all=hash_all).count() == 0
 
 
+@pytest.mark.parametrize("hash_all", [True, False])
+def test_exact_dedup_of_repeated_ids(shipped, hash_all):
+    """A third of the rows without an id, ids with texts of different classes: one result a row."""
+    rows = [(None, "same")] * 30 + [(1, "same"), (1, "other text"), (2, "other text"), (2, "alone"), (3, "same"), (3, "same")]
+    rows += [(k, f"row {k % 40}") for k in range(10, 70)]
+    got = exact_dedup.exact_dedup(shipped.createDataFrame(rows, "doc_id long, text string").repartition(4),
+                                  prefix_chars=2, hash_all=hash_all).collect()
+    count = {t: sum(u == t for _, u in rows) for _, t in rows}
+    first = {t: min(i for i, u in rows if u == t and i is not None) for _, t in rows}
+    want = [(i, first[t] if count[t] > 1 else i, count[t]) for i, t in rows]
+    assert sorted(map(str, [(r["id"], r["keep_id"], r["group_size"]) for r in got])) == sorted(map(str, want))
+
+
 def shingles(text):
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})
     w = WORD.findall(low)
