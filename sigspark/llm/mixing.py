@@ -202,11 +202,13 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes, goal, spans = schedule(table(spark, sf_dir, "documents"))
-    taken = spans.groupBy(*KEY).agg(F.sum("words").alias("taken"))
+    taken = spans.groupBy(*KEY).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"),
+                                    F.count_distinct("slot").alias("n_slots"))
     rows = sizes.alias("r").join(goal.alias("g"), F.expr("r.source <=> g.source"))
     rows = rows.select("r.*", "g.source_size", "g.target").alias("r").join(taken.alias("t"), same_key("r", "t"), "left")
     return rows.select(F.col("r.id").alias("doc_id"), "r.size", "source_size", "target",
-                       F.coalesce("taken", F.lit(0)).alias("taken"))
+                       F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot",
+                       F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
 
 
 ORACLE = r"""
@@ -218,20 +220,37 @@ p AS (SELECT source, sum(size)::BIGINT AS source_size,
              (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
       FROM s GROUP BY source),
 q AS (SELECT *, 3 * source_size AS cap, (sum(source_size) OVER ())::BIGINT AS total,
-             row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS k FROM p),
+             row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS k,
+             row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM p),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT
              / (sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS lev FROM q),
 m AS (SELECT min_by(lev, k) FILTER (WHERE lev * weight <= cap) AS lev FROM l),
-g AS (SELECT source, source_size, least(cap::DOUBLE, m.lev * weight) AS target,
+g AS (SELECT source, source_no, source_size, least(cap::DOUBLE, m.lev * weight) AS target,
              floor(least(cap::DOUBLE, m.lev * weight) + 0.5)::BIGINT AS quota FROM q, m),
-r AS (SELECT s.doc_id, s.size, g.source, g.source_size, g.target, g.quota, e.epoch,
+need AS (SELECT source_no, (quota + 255) // 256 AS need, coalesce(sum((quota + 255) // 256) OVER (
+                  ORDER BY source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before,
+                (sum((quota + 255) // 256) OVER ())::BIGINT AS n FROM g),
+cuts AS (SELECT source_no, need, before / n::DOUBLE AS lo FROM need WHERE need > 0),
+points AS (SELECT slot, x - floor(x) AS u
+           FROM (SELECT slot, (slot::DOUBLE + 0.5::DOUBLE) * CAST('0.6180339887498949' AS DOUBLE) AS x
+                 FROM (SELECT unnest(range((SELECT max(n) FROM need))) AS slot))),
+ranked AS (SELECT source_no, slot, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS block_no
+           FROM points ASOF JOIN cuts ON u >= lo),
+slots AS (SELECT b.source_no, b.block_no, coalesce(slot, b.n + b.block_no) AS slot
+          FROM (SELECT source_no, n, unnest(range(need)) AS block_no FROM need) b LEFT JOIN ranked USING (source_no, block_no)),
+r AS (SELECT s.doc_id, s.size, g.source, g.source_no, g.source_size, g.target, g.quota, e.epoch,
              e.epoch * g.source_size + coalesce(sum(s.size) OVER (
                PARTITION BY g.source, e.epoch
                ORDER BY substr(md5('7:' || e.epoch || ':' || s.doc_id), 1, 15), s.doc_id
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source
       CROSS JOIN (SELECT unnest([0, 1, 2]) AS epoch) e)
-SELECT doc_id, size, source_size, target,
-       sum(greatest(0, least(start + size, quota) - start))::BIGINT AS taken
-FROM r GROUP BY ALL
+SELECT r.doc_id, size, source_size, target, taken, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots
+FROM (SELECT *, greatest(0, least(start + size, quota) - start) AS words,
+             sum(greatest(0, least(start + size, quota) - start)) OVER (PARTITION BY doc_id)::BIGINT AS taken,
+             unnest(CASE WHEN size > 0 AND start < quota
+                         THEN range((start // 256)::BIGINT, ((least(start + size, quota) - 1) // 256 + 1)::BIGINT) ELSE [-1] END) AS block_no
+      FROM r) r
+LEFT JOIN slots USING (source_no, block_no)
+GROUP BY ALL
 """
