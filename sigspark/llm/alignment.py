@@ -296,9 +296,10 @@ def measures(rows: DataFrame, totals: DataFrame, path_a: str, path_b: str) -> Da
     pairs = rows.where("keys is null").select("block", "pair")
     known = pairs.join(totals, "pair").select("block", F.lit(0).alias("kind"), "pair", "total", "best")
     pages = rows.where("keys is not null").select("block", F.lit(1).alias("kind"), "keys", "digests", "numbers", "a", "b")
-    blocks = pairs.agg(F.count_distinct("block")).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
-    met = (known.unionByName(pages, allowMissingColumns=True).repartition(parts, "block")
+    blocks = pairs.agg(F.count_distinct("block"), F.max(F.shiftright("block", 32))).first()
+    parts, tasks = max(1, blocks[0]), (blocks[1] or 0) + 1
+    place = (F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF) * tasks) % parts  # a block each, or nearly
+    met = (known.unionByName(pages, allowMissingColumns=True).repartitionById(parts, place.cast("int"))
            .sortWithinPartitions("block", "kind", "pair"))
     sizes = spark.sparkContext.broadcast((TokensA(path_a).size, TokensB(path_b).size))  # a number per vocabulary entry
     names = [c.split()[0] for c in _MEASURES.split(", ")]

@@ -40,11 +40,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_id, ceil_div, release, stored, table
+from .common import as_id, ceil_div, release, row_keyed, stored, table
 from .wordhash import U, _powers, mix, slices, words
 
 EXACT, NEAR, PASSAGE = 4, 256, 4
@@ -192,10 +191,7 @@ def update(prints: DataFrame, edits: DataFrame) -> DataFrame:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and the row's key k1, k2, k3: id, hash of the text, place in the input."""
     cols = [F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
-    try:
-        rows = docs.select(*cols, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("k3"))
-    except AnalysisException:  # no files: number the rows of a stored copy
-        rows = stored(docs.select(*cols, F.monotonically_increasing_id().alias("k3")), "fingerprint-rows")
+    rows = row_keyed(docs, *cols, name="k3")
     return rows.select("id", "text", F.coalesce("id", F.lit(_LOWEST)).alias("k1"), F.xxhash64("text").alias("k2"), "k3")
 
 
@@ -233,7 +229,7 @@ def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     before = F.struct(F.when(at == -1, len(firsts) - 1).otherwise(-2 - at).alias("block"), F.lit(True).alias("extra"))
     rows = rows.withColumn("place", place("k1", "k2", "k3"))
     rows = rows.withColumn("in", F.explode(F.when(at < 0, F.array(own, before)).otherwise(F.array(own))))
-    return (rows.select("in.block", "in.extra", "id", "text", "k1", "k2", "k3").repartition(parts, "block")
+    return (rows.select("in.block", "in.extra", "id", "text", "k1", "k2", "k3").repartitionById(len(firsts), "block")
             .sortWithinPartitions("block", "extra", "k1", "k2", "k3").select("block", "extra", "id", "text"))
 
 
