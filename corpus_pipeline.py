@@ -3,11 +3,13 @@
 Every stage reads its predecessor's rows from Parquet, works on all of them
 and writes its own. All stages but the last return the columns of documents.
 
-1. language ID: documents without a learned language go.
+1. language ID: documents go whose mixture is no likelier with any language
+   than without one.
 2. exact dedup: of equal texts the longest row with the smallest id stays.
 3. n-gram Jaccard join: of each class of near copies the smallest id stays.
-4. mixing: every document as often as the mix takes it, at most three times;
-   the last document of a source's share stays if half of it or more is taken.
+4. mixing: every document as often as the mix takes it, at most three times,
+   each file in the order of the schedule's slots; the last document of a
+   source's share stays if half of it or more is taken.
 5. SentencePiece: sampled piece ids (``pieces``) beside the columns.
 
 Cases: null and empty texts go in stage 1; stages 2 and 3 keep or drop single
@@ -18,23 +20,18 @@ other; an empty table passes as an empty table; further columns are left out.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm import exact_dedup, langid, mixing, ngram_join, piece_lattice
-from sigspark.llm.common import new_path, ship, stored
+from sigspark.llm.common import new_path, row_keyed, ship, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """The stage's input with a key of its own (``row``) for every row: a hash
-    of file and place in it. An input that is no file is stored with a number."""
-    try:
-        return docs.select(*COLUMNS, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"))
-    except AnalysisException:
-        return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    """The stage's input with a key of its own (``row``) for every row."""
+    return row_keyed(docs, *COLUMNS)
 
 
 def _first_of_each(rows: DataFrame, classes: DataFrame, *order) -> DataFrame:
@@ -48,8 +45,8 @@ def _first_of_each(rows: DataFrame, classes: DataFrame, *order) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the stage's own rows with a language; rejects ``und`` and
-    texts that share nothing with any of its languages."""
+    """Learns from the stage's own rows with a language; rejects texts without
+    a letter and those whose mixture keeps no language."""
     ship(spark)
     model = langid.train(docs)
     return langid.filter_accepted(docs.select(*COLUMNS), model)
@@ -71,15 +68,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, once per epoch that takes them."""
+    """Documents that the mix takes, once per epoch that takes them; every file
+    has the order of the first slots that hold its documents."""
     ship(spark)
     rows = _rows(docs)
     sizes, _, spans = mixing.schedule(rows, row_col="row")
-    taken = (spans.groupBy(*mixing.KEY, "epoch").agg(F.sum("words").alias("words"))
-             .where("2 * words >= size").groupBy(*mixing.KEY).agg(F.count("*").cast("int").alias("times")))
-    times = sizes.alias("s").join(taken.alias("t"), mixing.same_key("s", "t")).select("s.row", "t.times")
-    rows = rows.join(times, "row")
-    return rows.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    taken = (spans.groupBy(*mixing.KEY, "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+             .where("2 * words >= size"))
+    copies = sizes.alias("s").join(taken.alias("t"), mixing.same_key("s", "t")).select("s.row", "t.slot")
+    return rows.join(copies, "row").sortWithinPartitions("slot", "row").select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
