@@ -113,17 +113,21 @@ def document_side(D: DataFrame, S: DataFrame) -> DataFrame:
 
 
 def novelty_counts(base: DataFrame, as_of: str, days: int = L.NOVELTY_RECENT_DAYS):
-    """Per-keyword and per-(keyword, source) signal counts."""
+    """Per-keyword and per-(keyword, source) signal counts (J14 / W4); rows
+    with a column ``n`` stand for as many signals."""
     cutoff = F.to_date(as_of_ts(as_of) - F.make_dt_interval(F.lit(days)))
-    recent = F.col("publish_date") >= cutoff
-    by_kw = base.groupBy("keyword_id").agg(
-        F.count(F.lit(1)).alias("kw_signals"),
-        F.count_if(F.coalesce(recent, F.lit(False))).alias("kw_recent"))
-    by_kw_src = base.groupBy("keyword_id", "source_id").agg(
-        F.count(F.lit(1)).alias("kw_src_signals"))
+    n = F.col("n") if "n" in base.columns else F.lit(1).cast("long")
+    recent = F.when(F.col("publish_date") >= cutoff, n).otherwise(F.lit(0).cast("long"))
+    by_kw = base.groupBy("keyword_id").agg(F.sum(n).alias("kw_signals"), F.sum(recent).alias("kw_recent"))
+    by_kw_src = base.groupBy("keyword_id", "source_id").agg(F.sum(n).alias("kw_src_signals"))
     return by_kw, by_kw_src
 
 
+def signal_counts(signals: DataFrame) -> DataFrame:
+    """Signals per keyword, source and day: what novelty needs of older ones."""
+    return signals.groupBy("keyword_id", "source_id", "publish_date").agg(F.count(F.lit(1)).alias("n"))
+
+
 def novelty_expr(as_of: str, days: int = L.NOVELTY_RECENT_DAYS) -> Column:
     """N1 + N2 + N3 from joined counts (own signal excluded where required)."""
     cutoff = F.to_date(as_of_ts(as_of) - F.make_dt_interval(F.lit(days)))
@@ -140,9 +144,9 @@ def finish(base: DataFrame, as_of: str, weights: dict | None = None,
            default_geo_need: float = L.DEFAULT_GEO_NEED, over: DataFrame | None = None) -> DataFrame:
     """Scores of signal rows that carry their document's columns and flags.
 
-    The novelty counts are aggregates of ``over`` (all signals; by default
-    ``base`` itself), narrow columns of a stored table, so no text is matched
-    again; the planner picks their joins.
+    The novelty counts are aggregates of ``over`` (all signals, or counts of
+    them; by default ``base`` itself), narrow columns of a stored table, so no
+    text is matched again; the planner picks their joins.
     """
     by_kw, by_kw_src = novelty_counts(base if over is None else over, as_of)
     j = base.join(by_kw, "keyword_id").join(by_kw_src, ["keyword_id", "source_id"])

@@ -6,8 +6,13 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import functions as F
+
+from .. import lexicon as L
 from ..bindings import documents_of, read
+from ..bucketed import BucketTable
 from ..functions.numeric import rnd, rnd_sql
+from ..functions.text import content_hash
 from ..session import ensure_checkpoint_dir
 from ..streaming import jobs
 from . import sqlviews as V
@@ -61,11 +66,28 @@ def stream_tags(spark, sf_dir):
                                           "is_regulatory", "is_diga")
 
 
-def _scored_stream(spark, sf_dir):
+def _landed(rows, name, source, key, batches=3, foreach_batch=None):
+    """Land ``rows`` in ``batches`` ranges of ``key``, one after the other, and
+    drain the stream after each: every range is one micro-batch."""
+    spark = rows.sparkSession
+    top = rows.agg((F.max(key) + 1).alias("top"))
+    part = F.floor(F.col(key) * batches / F.col("top"))
+    rows = rows.crossJoin(F.broadcast(top)).withColumn("_part", part).drop("top")  # one row
+    for k in range(batches):
+        rows.filter(F.col("_part") == k).drop("_part").write.mode("append").parquet(source)
+        stream = jobs.ingest_stream(spark, source, rows.drop("_part").schema)
+        jobs.run_available(stream, name, foreach_batch=foreach_batch)
+
+
+def _scored_stream(spark, sf_dir, batches=None):
     m = model(spark, sf_dir)
     run, out = _run(spark, "scored")
-    docs = documents_of(_stream(spark, sf_dir, "documents"))
-    jobs.run_available(docs, run, foreach_batch=jobs.score_batches(f"{out}/signals", f"{out}/scores", m.K, m.S, m.as_of))
+    score = jobs.score_batches(f"{out}/state", f"{out}/scores", m.K, m.S, m.as_of)
+    if batches is None:
+        jobs.run_available(documents_of(_stream(spark, sf_dir, "documents")), run, foreach_batch=score)
+    else:
+        _landed(read(spark, sf_dir, "documents"), run, f"{out}/landed", "doc_id", batches,
+                lambda batch, epoch: score(documents_of(batch), epoch))
     return f"{out}/scores"
 
 
@@ -77,13 +99,57 @@ def stream_signals_scored(spark, sf_dir):
     return _round_scores(sc.select("document_id", "keyword_id", "urgency", *SCORE_COLS))
 
 
+@register("stream_novelty", V.with_(*V.SIGNAL_CHAIN) + f"""
+, b AS (SELECT g.document_id, g.keyword_id, d.source_id, d.publish_date,
+               CAST(floor(g.document_id * 3 / (SELECT max(doc_id) + 1 FROM documents)) AS INTEGER) AS batch
+        FROM g_sig g JOIN d_docs d USING (document_id) JOIN s_src USING (source_id)),
+c AS (SELECT *, coalesce(publish_date >= {V.CUTOFF}, FALSE) AS recent FROM b),
+n AS (SELECT *, count(*) OVER kw AS kw_signals, count(*) FILTER (WHERE recent) OVER kw AS kw_recent,
+             count(*) OVER ks AS kw_src_signals FROM c
+      WINDOW kw AS (PARTITION BY keyword_id ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             ks AS (PARTITION BY keyword_id, source_id ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT document_id, keyword_id, kw_signals, kw_recent, kw_src_signals,
+       {rnd_sql(f"least({V._rarity('kw_signals')} + CASE WHEN kw_recent - CAST(recent AS INTEGER) = 0 THEN {L.NOVELTY_FIRST_POINTS} ELSE 0.0 END + CASE WHEN kw_src_signals - 1 = 0 THEN {L.NOVELTY_NEW_SOURCE_POINTS} ELSE 0.0 END, 10.0)", R)} AS novelty_score
+FROM n""")
+def stream_novelty(spark, sf_dir):
+    """X4 + N1-N3 in three micro-batches: each signal's novelty against the
+    signals of its own and earlier batches, from maintained counts."""
+    sc = spark.read.parquet(_scored_stream(spark, sf_dir, 3))
+    return sc.select("document_id", "keyword_id", "kw_signals", "kw_recent", "kw_src_signals",
+                     rnd("novelty_score", R).alias("novelty_score"))
+
+
 @register("stream_alert_feed", V.with_(*V.SCORED_CHAIN)
           + "SELECT document_id, keyword_id FROM scored WHERE strategic_score >= 6.0")
 def stream_alert_feed(spark, sf_dir):
-    """Each alert once, from the stream of scored signals."""
+    """Each alert once ever, from the stream of scored signals."""
     path = _scored_stream(spark, sf_dir)
-    schema = spark.read.parquet(path).schema
+    scored = spark.read.parquet(path)
     run, out = _run(spark, "alerts")
-    feed = jobs.alert_feed(jobs.ingest_stream(spark, path, schema))
-    jobs.run_available(feed.select("document_id", "keyword_id"), run, out)
-    return spark.read.parquet(out)
+    feed = jobs.ingest_stream(spark, path, scored.schema).filter("strategic_score >= 6.0")
+    once = jobs.first_seen_batches(f"{out}/seen", f"{out}/alerts", ["document_id", "keyword_id"], ["scraped_at"])
+    jobs.run_available(feed.select("document_id", "keyword_id", "scraped_at"), run, foreach_batch=once)
+    return spark.read.parquet(f"{out}/alerts").select("document_id", "keyword_id")
+
+
+@register("stream_new_documents", """
+SELECT sha256(coalesce(text, 'None')) AS content_hash, min(doc_id) AS document_id FROM documents GROUP BY 1""")
+def stream_new_documents(spark, sf_dir):
+    """X2 / J8 over the whole history: the first document of each content, in
+    three micro-batches by id."""
+    run, out = _run(spark, "new-docs")
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), content_hash("text").alias("content_hash"))
+    once = jobs.first_seen_batches(f"{out}/seen", f"{out}/new", ["content_hash"], ["document_id"])
+    _landed(d, run, f"{out}/landed", "document_id", 3, once)
+    return spark.read.parquet(f"{out}/new").select("content_hash", "document_id")
+
+
+@register("stream_latest_events", """
+SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value
+FROM events GROUP BY user_id""")
+def stream_latest_events(spark, sf_dir):
+    """X7 + K3: the newest event of each user, upserted in three micro-batches."""
+    run, out = _run(spark, "latest")
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    _landed(e, run, f"{out}/landed", "event_id", 3, jobs.upsert_batches(f"{out}/latest", ["user_id"], "event_id"))
+    return BucketTable(spark, f"{out}/latest", ["user_id"]).read().select("user_id", "event_id", "event_type", "value")

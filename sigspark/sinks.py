@@ -2,7 +2,7 @@
 day-partition replace, key deletes, CSV export, run stats.
 
 Writes go to Parquet partitioned by a date/month column. Replacing days
-rewrites those partitions only; an upsert writes a new version of the table.
+rewrites those partitions only; an upsert rewrites the hash buckets it hits.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from .bucketed import BucketTable
 from .operators.relational import latest_per
 
 
@@ -42,37 +43,22 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order_col: st
     return kept.unionByName(latest.select(*target.columns))
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Finished versions of a table folder, oldest first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = [s.getPath() for s in fs.listStatus(root)]
-    done = [p for p in found if p.getName().startswith("v") and
-            fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return [f"{path}/{n}" for n in sorted(p.getName() for p in done)]
+def read_latest(spark: SparkSession, path: str, keys: list[str], buckets: int = 32) -> DataFrame | None:
+    """The newest committed state of an upserted table; None before the first."""
+    return BucketTable(spark, path, keys, buckets).read()
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest finished version of an upserted table; None before the first."""
-    found = _versions(spark, path)
-    return spark.read.parquet(found[-1]) if found else None
+def write_upsert(target_path: str, updates: DataFrame, keys: list[str], order_col: str, buckets: int = 32,
+                 keep: int = 2) -> None:
+    """K3 on disk: buckets that hold updated keys are written anew, others stay.
 
-
-def write_upsert(target_path: str, updates: DataFrame, keys: list[str], order_col: str,
-                 partition_col: str) -> None:
-    """K3 on disk: a new version of the table, complete before it counts.
-
-    Readers take the newest version whose write has finished, so a failure in
-    between loses nothing, and a key whose new row lies in another partition
-    leaves no old row behind. Repeating an upsert gives the same table.
+    The newest update of a key replaces its stored row. The commit counts once
+    its manifest is in place; folders that the last ``keep`` manifests do not
+    name are removed. Repeating an upsert gives the same table.
     """
-    spark = updates.sparkSession
-    now = read_latest(spark, target_path)
-    merged = latest_per(updates, keys, order_col) if now is None else upsert(now, updates, keys, order_col)
-    n = len(_versions(spark, target_path))
-    merged.write.mode("overwrite").partitionBy(partition_col).parquet(f"{target_path}/v{n:08d}")
+    table = BucketTable(updates.sparkSession, target_path, keys, buckets)
+    table.commit(updates, lambda old, new: upsert(old, new, keys, order_col))
+    table.vacuum(keep)
 
 
 def overwrite_day(df: DataFrame, path: str, date_col: str = "date") -> None:

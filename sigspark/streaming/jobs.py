@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import lexicon as L
-from .. import sinks as K
+from ..bucketed import BucketTable, SeenKeys, combined, newest
 from ..operators import scoring, tagging
 from ..operators.relational import first_per, new_only
 from ..session import ensure_checkpoint_dir
@@ -49,8 +49,8 @@ def event_time(df: DataFrame, ts_col: str, delay: str) -> DataFrame:
 def dedup_stream(docs: DataFrame, key: str = "content_hash", ts_col: str = "scraped_at",
                  delay: str = "1 day") -> DataFrame:
     """Drop repeats of a key seen within the watermark delay (state is
-    bounded by the delay). Full-history dedup against the stored table is
-    ``new_against_table`` inside foreachBatch."""
+    bounded by the delay). Dedup over the whole history is
+    ``first_seen_batches``."""
     return event_time(docs, ts_col, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -82,33 +82,56 @@ def weekly_counts(events: DataFrame, ts_col: str, label: str, delay: str = "2 da
 
 def alert_feed(scored: DataFrame, min_score: float = 6.0, ts_col: str = "scraped_at",
                delay: str = "12 hours") -> DataFrame:
-    """Alert each signal once (dedup on its key within the watermark)."""
+    """X6 with bounded state: each signal once within the watermark (once ever:
+    ``first_seen_batches``)."""
     return event_time(scored.filter(F.col("strategic_score") >= min_score), ts_col, delay) \
                  .dropDuplicatesWithinWatermark(["document_id", "keyword_id"])
 
 
-def score_batches(signals_path: str, out_path: str, K_: DataFrame, S: DataFrame, as_of: str):
-    """foreachBatch scorer of new documents.
+def score_batches(state_path: str, out_path: str, K_: DataFrame, S: DataFrame, as_of: str, buckets: int = 32):
+    """foreachBatch scorer of new documents against all signals so far.
 
-    The batch is tagged and scored; novelty counts run over the narrow signal
-    rows of all earlier batches and this one. Both outputs are folders by
-    epoch that a retried batch replaces, so it never counts twice.
+    Signal counts per keyword, source and day are kept in a bucketed table. A
+    batch is tagged once, adds its own counts to the buckets of its keywords
+    and reads these buckets back; earlier signals are never read again. Every
+    output has the epoch for its version, and a retried batch replaces it.
     """
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        scoring.signal_rows(batch, S, K_).write.mode("overwrite").parquet(f"{signals_path}/epoch={epoch}")
-        every = spark.read.parquet(signals_path)
-        new = every.filter(F.col("epoch") == epoch)
-        older = every.filter(F.col("epoch") <= epoch).select("keyword_id", "source_id", "publish_date")
-        scoring.finish(new.drop("epoch"), as_of, over=older) \
-               .write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        here = f"{state_path}/signals/epoch={epoch}"
+        scoring.signal_rows(batch, S, K_).write.mode("overwrite").parquet(here)
+        new = spark.read.parquet(here)
+        counts = BucketTable(spark, f"{state_path}/counts", ["keyword_id"], buckets)
+        key = ["keyword_id", "source_id", "publish_date"]
+        counts.commit(scoring.signal_counts(new), combined(key, n=F.sum), version=epoch)
+        known = counts.read(epoch, counts.touched(new))
+        scoring.finish(new, as_of, over=known).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        counts.vacuum(keep=3)
     return run
 
 
-def upsert_batches(target_path: str, keys: list[str], order_col: str, partition_col: str):
-    """foreachBatch upsert (K3); a repeated batch gives the same table."""
+def upsert_batches(target_path: str, keys: list[str], order_col: str, buckets: int = 32):
+    """foreachBatch upsert (K3): the newest row of a key by ``order_col``,
+    in whatever order batches come; only buckets with keys of the batch are
+    written. A repeated epoch gives the same table."""
     def run(batch: DataFrame, epoch: int) -> None:
-        K.write_upsert(target_path, batch, keys, order_col, partition_col)
+        table = BucketTable(batch.sparkSession, target_path, keys, buckets)
+        table.commit(batch, newest(keys, order_col), version=epoch)
+        table.vacuum(keep=3)
+    return run
+
+
+def first_seen_batches(seen_path: str, out_path: str, key: list[str], order: list[str], buckets: int = 32,
+                       words: int = 1 << 14):
+    """X2 / X6 over the whole history: the first row of every key that ever
+    came, appended once. Keys are probed against Bloom filters, and only
+    buckets that may hold one of them are read."""
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        seen = SeenKeys(spark, seen_path, key, buckets, words)
+        here = f"{out_path}/epoch={epoch}"
+        seen.unseen(first_per(batch, key, order), epoch - 1).write.mode("overwrite").parquet(here)
+        seen.add(spark.read.parquet(here), epoch)
     return run
 
 

@@ -300,22 +300,6 @@ def test_sources_and_ids(spark):
     assert [r.keyword for r in k.collect()] == ["x"]
 
 
-def test_upsert_versions(spark, tmpdir_path):
-    """A key that moves to another partition leaves no old row; repeats are harmless."""
-    from sigspark import sinks as K
-    path = tmpdir_path + "/t"
-    assert K.read_latest(spark, path) is None
-    first = spark.createDataFrame([("a", "p1", 1), ("b", "p1", 1)], "k string, p string, o int")
-    K.write_upsert(path, first, ["k"], "o", "p")
-    moved = spark.createDataFrame([("a", "p2", 2), ("a", "p3", 3), ("c", "p1", 1)], "k string, p string, o int")
-    for _ in range(2):
-        K.write_upsert(path, moved, ["k"], "o", "p")
-        assert {(r.k, r.p) for r in K.read_latest(spark, path).collect()} == {("a", "p3"), ("b", "p1"), ("c", "p1")}
-    import os
-    os.remove(sorted(x for x in __import__("glob").glob(path + "/v*/_SUCCESS"))[-1])
-    assert K.read_latest(spark, path).count() == 3  # an unfinished version does not count
-
-
 def test_writers(spark, tmpdir_path):
     """K1, K2 and K6: appends with default flags, child rows, CSV."""
     from sigspark import sinks as K
