@@ -116,7 +116,6 @@ def notes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N: one note per (conv_id, turn); updated_at grows with the turn."""
     c = read(spark, sf_dir, "conversations")
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"),
         F.col("conv_id").alias("document_id"),
         F.col("text").alias("note_text"),
         F.col("role").alias("author"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bindings import as_of_ts
+from . import ranks
 
 
 def _c(c) -> Column:
@@ -157,13 +158,9 @@ def union_distinct(dfs: list[DataFrame], keys: list[str], order: list[str]) -> D
 
 
 def nodes(edges: DataFrame, a: str, b: str, name: str = "node") -> DataFrame:
-    """Distinct node set of an edge list with a dense sorted index.
-
-    The index needs a global order; the distinct node set is small (bounded
-    by the label dictionaries), so one final ordered window over it is fine.
-    """
+    """Distinct node set of an edge list with a dense sorted index."""
     n = edges.select(F.col(a).alias(name)).union(edges.select(F.col(b).alias(name))).distinct()
-    return n.withColumn("node_idx", F.row_number().over(Window.orderBy(name)) - 1)
+    return ranks.place(n, [F.col(name)], "_place").select(name, (F.col("_place") - 1).alias("node_idx"))
 
 
 # ---------------------------------------------------------------- windows --
@@ -189,9 +186,8 @@ def top_n_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
 
 
 def cumulative(daily: DataFrame, order: str, value: str, name: str = "cumulative") -> DataFrame:
-    """Running total over an already-aggregated (small) daily series."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn(name, F.sum(value).over(w))
+    """Running total over a series with one row per ``order`` value."""
+    return ranks.running(daily, [F.col(order)], F.col(value), name)
 
 
 def paginate(df: DataFrame, key: str, after=None, size: int = 12) -> DataFrame:

@@ -124,22 +124,23 @@ def trend_insight(trend: DataFrame, words: DataFrame, n_rising: int = 4) -> Data
                       F.when((F.col("active_months") >= 2) & (F.size(rising) > 0), F.array_join(rising, "|")).alias("rising"))
 
 
-def top_words_per_row(df: DataFrame, key: str, toks: Column, n: int) -> DataFrame:
+def top_words_per_row(df: DataFrame, keys: list[str], toks: Column, n: int) -> DataFrame:
     """The n most frequent words of each row's text; ties by first
     appearance. One group per row key (bounded by that text's length)."""
-    ex = df.select(key, F.posexplode(toks).alias("pos", "word"))
-    c = ex.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "first")
+    ex = df.select(*keys, F.posexplode(toks).alias("pos", "word"))
+    c = ex.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "first")
     top = c.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n)
-    return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rk", "word"))).alias("_w")) \
-              .select(key, F.transform("_w", lambda x: x["word"]).alias("top_words"))
+    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rk", "word"))).alias("_w")) \
+              .select(*keys, F.transform("_w", lambda x: x["word"]).alias("top_words"))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Every pair of observed labels with its count, zero where none."""
+    """Every pair of observed labels with its count, zero where none (the
+    result is the product of both label sets; the planner picks the smaller
+    one to broadcast, if it is small)."""
     n = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    one = n.agg(F.collect_set(b).alias("_bs"))  # the distinct columns, one row
-    grid = n.select(a).distinct().crossJoin(F.broadcast(one)).select(a, F.explode("_bs").alias(b))
+    grid = n.select(a).distinct().crossJoin(n.select(b).distinct())
     return grid.join(n, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -62,7 +62,8 @@ def feed_items(spark, sf_dir):
 @register("trials_parsed", V.with_(V.D_DOCS) + """
 , t AS (SELECT *, document_id // 2 AS study, CASE WHEN country IS NULL THEN ['Kenya'] WHEN country = 'Kenya' THEN ['Kenya']
                      ELSE [country, 'Kenya'] END AS places,
-               row_number() OVER (PARTITION BY document_id // 2 ORDER BY document_id) AS k FROM d_docs)
+               row_number() OVER (PARTITION BY document_id // 2 ORDER BY document_id) AS k
+        FROM d_docs WHERE NOT (document_id % 2 = 0 AND document_id % 7 = 0))
 SELECT 'NCT' || lpad(CAST(study AS VARCHAR), 8, '0') AS external_id,
        CASE WHEN document_id % 5 = 0 THEN 'Untitled' ELSE title END AS title,
        CASE WHEN document_id % 4 = 0 THEN publish_date ELSE CAST(date_trunc('month', publish_date) AS DATE) END AS start_date,
@@ -70,7 +71,7 @@ SELECT 'NCT' || lpad(CAST(study AS VARCHAR), 8, '0') AS external_id,
        language || '|' || source AS conditions, 'drug ' || source AS interventions,
        array_to_string(places, '|') AS countries, places[1] AS country,
        source AS sponsor, n_chars AS enrollment, upper(language) AS status, full_text
-FROM t WHERE k = 1 AND document_id % 7 <> 0""")
+FROM t WHERE k = 1""")
 def trials_parsed(spark, sf_dir):
     """Nested trial JSON -> flat trial rows (distinct countries in
     document order, first one as the country; 'Y-m-d' then 'Y-m' dates; two
@@ -187,14 +188,17 @@ def device_catalog(spark, sf_dir):
 
 # ------------------------------------------------------------ S11, S12 --
 @register("pages_absent_titles", r"""
-WITH t AS (SELECT DISTINCT trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages)
-SELECT title FROM t WHERE title NOT IN (SELECT title FROM t ORDER BY title LIMIT 60)""")
+WITH t AS (SELECT trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
+                  page_id <= (SELECT avg(page_id) FROM pages) AS stored FROM pages)
+SELECT title FROM t GROUP BY title HAVING NOT bool_or(stored)""")
 def pages_absent_titles(spark, sf_dir):
-    """Manual rows (page titles) appended only when absent by title."""
+    """Titles of the later half of the pages, appended only when absent
+    among those of the earlier half."""
     from ..functions.text import html_title
-    p = read(spark, sf_dir, "pages").select(html_title("html").alias("title"))
-    target = p.distinct().orderBy("title").limit(60)  # the rows that are there already
-    return TB.append_absent(target, p, ["title"])
+    p = read(spark, sf_dir, "pages").select("page_id", html_title("html").alias("title"))
+    half = p.agg(F.avg("page_id").alias("half"))  # one row
+    p = p.crossJoin(F.broadcast(half)).withColumn("stored", F.col("page_id") <= F.col("half"))
+    return TB.append_absent(p.filter("stored").select("title"), p.filter("not stored").select("title"), ["title"])
 
 
 @register("events_since_mark", """

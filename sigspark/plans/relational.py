@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import notes_view, read, trends_view
 from ..functions.text import clean_url, content_hash, html_title
+from ..operators import ranks as RK
 from ..operators import relational as RL
 from ..operators import tagging
 from . import sqlviews as V
@@ -243,14 +244,19 @@ def cumulative_daily_events(spark, sf_dir):
 @register("docs_page_2", DOCS + """
 SELECT document_id, title FROM dn_docs ORDER BY document_id LIMIT 12 OFFSET 24""")
 def docs_page_2(spark, sf_dir):
-    """The third page of 12 by id, after the second page's last id (read
-    from the pages before it, 12 ids each)."""
-    d = model(spark, sf_dir).Dn
-    last = None
-    for _ in range(2):
-        ids = [r[0] for r in RL.paginate(d.select("document_id"), "document_id", after=last, size=12).collect()]
-        last = max(ids, default=last)
-    return RL.paginate(d, "document_id", after=last, size=12).select("document_id", "title")
+    """The third page of 12 by id; ids come first, so only 36 are sorted."""
+    d = model(spark, sf_dir).Dn.select("document_id", "title")
+    return d.orderBy("document_id").offset(24).limit(12)
+
+
+@register("docs_pages", DOCS + """
+, p AS (SELECT document_id, row_number() OVER (ORDER BY publish_date DESC NULLS FIRST, title, document_id) - 1 AS k FROM dn_docs)
+SELECT document_id, k // 12 + 1 AS page, k % 12 + 1 AS place FROM p""")
+def docs_pages(spark, sf_dir):
+    """The page and place of every document, newest first, then by title."""
+    d = model(spark, sf_dir).Dn.select("document_id", "publish_date", "title")
+    order = [F.col("publish_date").desc_nulls_first(), F.col("title"), F.col("document_id")]
+    return RK.pages(d, order, 12).select("document_id", "page", "place")
 
 
 @register("max_scaled_edges", """

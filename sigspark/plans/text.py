@@ -316,20 +316,21 @@ def trend_insight(spark, sf_dir):
 
 
 @register("note_top_words", """
-WITH tk AS (SELECT note_id, w.word, w.pos
-            FROM (SELECT conv_id * 1000 + turn AS note_id,
+WITH tk AS (SELECT conv_id, turn, w.word, w.pos
+            FROM (SELECT conv_id, turn,
                          unnest(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'),
                                                    lambda x: NOT list_contains(""" + STOP_SQL + """, x)),
                                                lambda x, i: {'word': x, 'pos': i})) AS w
                   FROM conversations)),
-c AS (SELECT note_id, word, count(*) AS n, min(pos) AS first FROM tk GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY n DESC, first) AS rk FROM c)
-SELECT note_id, array_to_string(list(word ORDER BY rk), ',') AS top_words FROM r WHERE rk <= 10 GROUP BY note_id""")
+c AS (SELECT conv_id, turn, word, count(*) AS n, min(pos) AS first FROM tk GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, first) AS rk FROM c)
+SELECT conv_id AS document_id, turn, array_to_string(list(word ORDER BY rk), ',') AS top_words
+FROM r WHERE rk <= 10 GROUP BY conv_id, turn""")
 def note_top_words(spark, sf_dir):
-    """Top 10 words per note, ties by first appearance."""
+    """Top 10 words per note (a turn of a conversation), ties by first appearance."""
     n = notes_view(spark, sf_dir)
-    t = TS.top_words_per_row(n, "note_id", _toks(F.col("note_text")), 10)
-    return t.select("note_id", F.array_join("top_words", ",").alias("top_words"))
+    t = TS.top_words_per_row(n, ["document_id", "turn"], _toks(F.col("note_text")), 10)
+    return t.select("document_id", "turn", F.array_join("top_words", ",").alias("top_words"))
 
 
 WEIGHTS = {"keit": 2.0, "that": 1.5, "license": 3.0, "pour": 1.0, "para": 2.5}

@@ -3,10 +3,11 @@ reads (S9, S10, S11, S12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bindings import as_of_ts
+from ..operators import ranks
 
 
 def load_lexicon(spark: SparkSession, sections: dict[str, list[dict]], levels: dict[str, int],
@@ -44,8 +45,8 @@ def with_source_ids(rows: DataFrame, sources: DataFrame, name: str = "source_nam
     """
     top = sources.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("_top"))
     new = rows.select(name).where(F.col(name).isNotNull()).distinct().join(sources.select(name), name, "left_anti")
-    new = new.crossJoin(F.broadcast(top)).select(  # one row; new names are few
-        name, (F.col("_top") + F.row_number().over(Window.orderBy(name))).alias("source_id"))
+    new = ranks.place(new, [F.col(name)], "_place").crossJoin(F.broadcast(top)).select(  # one row
+        name, (F.col("_top") + F.col("_place")).cast("int").alias("source_id"))
     every = sources.unionByName(new, allowMissingColumns=True)
     return rows.join(every.select(name, "source_id"), name, "left"), every
 
