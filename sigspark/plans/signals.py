@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..bindings import as_of_ts
+from ..bindings import as_of_ts, read
 from ..functions.numeric import rnd, rnd_sql
 from ..operators import alerts as AL
-from ..operators import tagging
+from ..operators import anchors, tagging
 from . import sqlviews as V
 from .model import model
 from .registry import register
@@ -279,3 +279,31 @@ def fuzzy_hits_per_term(spark, sf_dir):
     fz = tagging.tag_fuzzy(m.D, _full_k(spark))
     return fz.groupBy("keyword_id").agg(F.count(F.lit(1)).alias("n_docs"),
                                         rnd(F.max("match_score"), R).alias("best_score"))
+
+
+# --------------------------------------------------------------------------
+# A lexicon that comes from data (M1, J9): words and word pairs of ``benchmark``
+# --------------------------------------------------------------------------
+def _benchmark_terms(spark, sf_dir):
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    b = read(spark, sf_dir, "benchmark").select(w.alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))),
+                        lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
+    terms = b.select(F.explode(F.concat("w", pairs)).alias("keyword")).filter(F.col("keyword").isNotNull()).distinct()
+    return terms.withColumn("keyword_id", F.col("keyword"))
+
+
+@register("lexicon_terms", V.with_(V.D_DOCS, V.D_SEARCH, """b_words AS (
+  SELECT regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark),
+b_terms AS (
+  SELECT DISTINCT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS keyword
+  FROM b_words)""") + f"""
+SELECT keyword, count(*) AS n_docs,
+       count(*) FILTER (WHERE contains(substr(search_text, 1, {L.EXACT_HEAD_CHARS}), keyword)) AS n_head
+FROM d_search JOIN b_terms ON contains(search_text, keyword) GROUP BY keyword""")
+def lexicon_terms(spark, sf_dir):
+    """M1 / J9 with every word and word pair of ``benchmark`` as a term: the
+    documents that contain it, at all and in their heads."""
+    hits = anchors.tag_indexed(model(spark, sf_dir).D, _benchmark_terms(spark, sf_dir))
+    return hits.groupBy(F.col("keyword_id").alias("keyword")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("match_score") == L.EXACT_HEAD_SCORE).alias("n_head"))
