@@ -294,7 +294,7 @@ def _benchmark_terms(spark, sf_dir):
 
 
 @register("lexicon_terms", V.with_(V.D_DOCS, V.D_SEARCH, """b_words AS (
-  SELECT regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark),
+  SELECT regexp_extract_all(lower(text), '\\p{L}+') AS w FROM benchmark),
 b_terms AS (
   SELECT DISTINCT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS keyword
   FROM b_words)""") + f"""

@@ -355,10 +355,10 @@ def test_small_forms(spark, tmpdir_path):
     raw = spark.createDataFrame([('{"data": [{"ipAddress": "1", "countryCode": "DE", "abuseConfidenceScore": 90}, '
                                   '{"ipAddress": "2"}]}',), ("bad",)], "payload string")
     assert {tuple(r) for r in parse_blacklist(raw).collect()} == {("1", "DE", 90.0), ("2", "??", 0.0)}
-    run = jobs.upsert_batches(tmpdir_path + "/u", ["k"], "o", "p")
+    run = jobs.upsert_batches(tmpdir_path + "/u", ["k"], "o", 4)
     for epoch in (0, 0, 1):
         run(spark.createDataFrame([("a", "p1", epoch)], "k string, p string, o int"), epoch)
-    assert [r.o for r in K.read_latest(spark, tmpdir_path + "/u").collect()] == [1]
+    assert [r.o for r in K.read_latest(spark, tmpdir_path + "/u", ["k"], 4).collect()] == [1]
 
 
 def test_only_unscored_signals(spark):
