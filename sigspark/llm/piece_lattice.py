@@ -99,19 +99,16 @@ class Lattices(Store):
     piece is an edge numbered ``size + c`` and drawn as its byte pieces.
     """
 
-    limit = 300_000
-    #: Edges that are kept: 16 bytes each, whatever the length of the chunks.
-    edges = 4_000_000
     #: Longer chunks are filtered one by one with rescaled sums.
     long = 200
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, pieces: Pieces, edges: int):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.edges, self.limit = pieces, edges, edges // 12
         self.clear()
 
     def clear(self):
-        self.nodes = 0
+        self.nodes, self.room = 0, {}
         self.end = np.zeros(0, np.int64)
         self.root = np.zeros(0, bool)
         self.cum = np.zeros(0, np.float64)
@@ -121,6 +118,18 @@ class Lattices(Store):
     def crowded(self) -> bool:
         return len(self.cum) > self.edges
 
+    def _append(self, name: str, values: np.ndarray) -> None:
+        """Add values to an array that doubles its room when it is full."""
+        now = getattr(self, name)
+        n = len(now) + len(values)
+        room = self.room.get(name, now)
+        if n > len(room):
+            room = np.empty(max(n, 2 * len(room)), now.dtype)
+            room[:len(now)] = now
+            self.room[name] = room
+        room[len(now):n] = values
+        setattr(self, name, room[:n])
+
     def _edges(self, chars: np.ndarray, start: np.ndarray, length: np.ndarray):
         """(from, to, piece, weight) of every piece found in the chunks; the
         node before character i of chunk c is i + c."""
@@ -206,11 +215,11 @@ class Lattices(Store):
         cum[tails] = 1.0
         root = np.zeros(len(chars) + len(strings), bool)
         root[first] = True
-        self.end = np.concatenate([self.end, self.nodes + first + length])
-        self.root = np.concatenate([self.root, root])
-        self.cum = np.concatenate([self.cum, self.nodes + dst + cum])
-        self.prev = np.concatenate([self.prev, (self.nodes + src).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, pid.astype(np.int32)])
+        self._append("end", self.nodes + first + length)
+        self._append("root", root)
+        self._append("cum", self.nodes + dst + cum)
+        self._append("prev", self.nodes + src)
+        self._append("piece", pid)
         self.nodes += len(root)
 
     def sample(self, col: pa.Array, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,16 +227,19 @@ class Lattices(Store):
         chunk, counts = numbered(col, self, first_space=True, only_spaces=True)
         doc = np.repeat(np.arange(len(counts)), counts)
         first = np.cumsum(counts) - counts
-        order = np.arange(len(chunk)) - first[doc]
+        number = np.arange(len(chunk)) - first[doc]
         base = mix(keys.astype(np.uint64) ^ mix(np.full(1, seed, np.uint64)))
-        state = mix(base[doc] + order.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        state = mix(base[doc] + number.astype(np.uint64) * U(0x9E3779B97F4A7C15))
         node, who, step = self.end[chunk], np.arange(len(chunk)), 0
         length = np.zeros(len(chunk), np.int64)
         drawn = []
         while len(who):
             r = mix(state[who] + U((step + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
             u = ((r >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
-            e = np.searchsorted(self.cum, node + u, "left")
+            want = node + u
+            order = np.argsort(want)  # in order, so that the search stays within the cache
+            e = np.empty(len(want), np.int64)
+            e[order] = np.searchsorted(self.cum, want[order], "left")
             drawn.append((who, self.piece[e]))
             length[who] += 1
             node = self.prev[e].astype(np.int64)
@@ -255,12 +267,17 @@ class Lattices(Store):
 _LATTICES = keep_in_worker()
 
 
-def lattices(model: str, alpha: float) -> Lattices:
+#: Lattice edges that a Python worker keeps: 16 bytes each, whatever the
+#: length of the chunks. Fewer of them only mean that chunks are filtered again.
+EDGES = 4_000_000
+
+
+def lattices(model: str, alpha: float, edges: int = EDGES) -> Lattices:
     """The Python worker's lattices; they serve the worker's later tasks, too."""
     release(but=_LATTICES)
-    if (model, alpha) not in _LATTICES:
-        _LATTICES[model, alpha] = Lattices(Pieces(model, alpha))
-    return _LATTICES[model, alpha]
+    if (model, alpha, edges) not in _LATTICES:
+        _LATTICES[model, alpha, edges] = Lattices(Pieces(model, alpha), edges)
+    return _LATTICES[model, alpha, edges]
 
 
 def row_keys(ids: pa.Array) -> np.ndarray:
@@ -279,13 +296,13 @@ def decode_bytes(pieces: Pieces, ids: np.ndarray, counts: np.ndarray) -> tuple[n
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0,
-           alpha: float = 1.0, digest: bool = False) -> DataFrame:
+           alpha: float = 1.0, digest: bool = False, edges: int = 2 * EDGES) -> DataFrame:
     """id, ids of a sampled segmentation; with ``digest`` instead of the ids:
     n_pieces, ids_crc32 and whether decoding the ids gives the text back."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        lat = lattices(model, alpha)
+        lat = lattices(model, alpha, edges)
         pieces = lat.pieces
         for whole in batches:
             for b in slices(whole, "text"):

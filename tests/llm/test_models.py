@@ -128,7 +128,7 @@ def every_segmentation(p, s):
 def test_sampling_follows_the_lattice(word):
     """Frequencies of sampled segmentations against all weighted ways."""
     p = piece_lattice.Pieces(MODEL, 0.3)
-    lat = piece_lattice.Lattices(p)
+    lat = piece_lattice.Lattices(p, 4_000_000)
     ways = every_segmentation(p, word)
     total = sum(w for _, w in ways)
     n = 20_000
