@@ -100,6 +100,9 @@ class Model:
         if len(rows):
             n[rows, cols] = counts.column("n").to_numpy()
         self.p = (n + SMOOTH) / (n.sum(0) + SMOOTH * BUCKETS)
+        #: For ``accepts``: half by counts, half alike for all learned trigrams,
+        #: so that a text repeated without end does not make others foreign.
+        self.either = 0.5 * self.p + 0.5 * (n > 0) / np.maximum((n > 0).sum(0), 1)
 
     def mixture(self, counts: np.ndarray):
         """(proportions of all languages, confidence in the first, mean
@@ -153,7 +156,7 @@ class Model:
             return False
         c = counts[at].astype(float)
         n = c.sum()
-        p = np.column_stack([np.full(len(at), 1.0 / BUCKETS), self.p[at]])
+        p = np.column_stack([np.full(len(at), 1.0 / BUCKETS), self.either[at]])
         nothing, penalty = -n * np.log(BUCKETS), PENALTY * np.log(n + 1.0)
         use = np.arange(p.shape[1])  # 0: no language
         pi, like = self._em(p, c, n, np.full(len(use), 1.0 / len(use)))
