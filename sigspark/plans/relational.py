@@ -9,6 +9,7 @@ from ..bindings import notes_view, read, trends_view
 from ..functions.text import clean_url, content_hash, html_title
 from ..operators import ranks as RK
 from ..operators import relational as RL
+from ..operators import search as SE
 from ..operators import tagging
 from . import sqlviews as V
 from .model import model
@@ -320,6 +321,33 @@ def regex_search(spark, sf_dir):
     return d.filter(RL.search("full_text", "keit[a-z]+ und")).select("document_id")
 
 
+@register("search_phrases", r"""
+WITH q AS (SELECT item_id, array_to_string(list_slice(string_split_regex(trim(text), '\s+'), 2, 5), ' ') AS pattern FROM benchmark)
+SELECT item_id, doc_id AS document_id FROM documents JOIN q ON contains(documents.text, q.pattern)""")
+def search_phrases(spark, sf_dir):
+    """a phrase of every benchmark item (its second to fifth word), looked
+    up in all documents by one index."""
+    words = F.split(F.trim("text"), r"\s+")
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(words, 2, 4), " ").alias("pattern"))
+    found = SE.search_all(read(spark, sf_dir, "documents"), q, "doc_id", "text", regex=False)
+    return found.select(F.col("query").alias("item_id"), F.col("doc_id").alias("document_id"))
+
+
+@register("search_patterns", r"""
+WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
+q AS (SELECT item_id, w[2] || '\s+' || w[3] || '[a-z]*|' || w[5] || 's? ' || w[6] || '\s' AS pattern FROM w)
+SELECT item_id, doc_id AS document_id FROM documents JOIN q ON regexp_matches(documents.text, q.pattern)""")
+def search_patterns(spark, sf_dir):
+    """a regular expression of every benchmark item (two pairs of its
+    words, either of which may occur), tried on all documents by one index."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)
+    w = [F.get(words, i) for i in (1, 2, 4, 5)]
+    pattern = F.concat(w[0], F.lit(r"\s+"), w[1], F.lit("[a-z]*|"), w[2], F.lit("s? "), w[3], F.lit(r"\s"))
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), pattern.alias("pattern"))
+    found = SE.search_all(read(spark, sf_dir, "documents"), q, "doc_id", "text")
+    return found.select(F.col("query").alias("item_id"), F.col("doc_id").alias("document_id"))
+
+
 @register("pages_with_title", r"""
 SELECT page_id FROM pages
 WHERE trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> ''""")
