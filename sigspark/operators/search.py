@@ -193,8 +193,10 @@ def search_all(docs: DataFrame, queries: DataFrame, key: str, text: str, index:
     q = queries.select("query", "pattern")
     hit = _matches(F.col("text"), F.col("pattern"), regex, case)
     texts = d.withColumns({"block": _block(F.col("id")), "bit": _bit(F.col("id"))})
-    c = some.join(q, "query").withColumnRenamed("block", "of")
-    out = texts.join(c, F.col("block").eqNullSafe(F.col("of")) & (F.getbit("bits", "bit") == 1)).filter(hit).select("query", "id")
+    # one row for each id, so that no pattern is tried before the id is known to fit
+    held = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.getbit("bits", i) == 1)
+    c = some.select("query", F.col("block").alias("of"), F.explode(held).alias("at")).join(q, "query")
+    out = texts.join(c, F.col("block").eqNullSafe(F.col("of")) & (F.col("bit") == F.col("at"))).filter(hit).select("query", "id")
 
     rest = q.join(scan, "query", "left_semi")
     parts = -(-rest.count() // SCAN_PATTERNS)
