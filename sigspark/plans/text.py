@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.dates import to_date_safe
 from ..functions.numeric import rnd, rnd_sql
 from ..operators import classify as C
+from ..operators import heavy as HV
 from ..operators import textstats as TS
 from ..operators.scoring import weighted_relevance
 from ..session import spread, stored_once
@@ -259,6 +260,44 @@ def country_term_matrix(spark, sf_dir):
     return grid.join(c, ["country", "word"], "left").select("country", "word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _top_sql(keys: str) -> str:
+    return V.with_(V.D_DOCS) + f""", tk AS (SELECT {keys}, unnest({TOKENS_SQL.format(t='full_text')}) AS word FROM d_docs),
+c AS (SELECT {keys}, word, count(*) AS n FROM tk GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, word) AS place FROM c)
+SELECT {keys}, place, word, n FROM r WHERE place <= 25"""
+
+
+def _top_by(spark, sf_dir, keys):
+    d = spread(model(spark, sf_dir).D, "document_id")
+    top = HV.heavy_hitters(d, keys, _toks(F.col("full_text")), 25).top
+    return top.select(*keys, "place", F.col("value").alias("word"), "n")
+
+
+@register("top_words_by_source", _top_sql("source"))
+def top_words_by_source(spark, sf_dir):
+    """The 25 most frequent words of every source, by bins."""
+    return _top_by(spark, sf_dir, ["source"])
+
+
+@register("top_words_by_language_type", _top_sql("language, document_type"))
+def top_words_by_language_type(spark, sf_dir):
+    """The 25 most frequent words of every language and document type."""
+    return _top_by(spark, sf_dir, ["language", "document_type"])
+
+
+@register("source_term_grid", V.with_(V.D_DOCS) + f"""
+, tk AS (SELECT source, unnest({TOKENS_SQL.format(t='full_text')}) AS word FROM d_docs WHERE source IS NOT NULL),
+c AS (SELECT source, word, count(*) AS n FROM tk GROUP BY 1, 2),
+ts AS (SELECT source FROM c GROUP BY source ORDER BY sum(n) DESC, source LIMIT 15),
+tw AS (SELECT word FROM c GROUP BY word ORDER BY sum(n) DESC, word LIMIT 40)
+SELECT ts.source, tw.word, coalesce(c.n, 0) AS n FROM ts CROSS JOIN tw LEFT JOIN c USING (source, word)""")
+def source_term_grid(spark, sf_dir):
+    """Sources with most words x most frequent words, by bins."""
+    d = spread(model(spark, sf_dir).D, "document_id")
+    g = HV.heavy_grid(d, "source", _toks(F.col("full_text")), 15, 40)
+    return g.select("source", F.col("value").alias("word"), "n")
+
+
 TREND_DAYS, TREND_AS_OF = 200, "2024-12-31"
 
 
