@@ -3,14 +3,18 @@ over the document model and the star schema (J*, A1-A8, T*, U*, W*, F*)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..bindings import notes_view, read, trends_view
 from ..functions.text import clean_url, content_hash, html_title
+from ..operators import distinct as DS
 from ..operators import ranks as RK
 from ..operators import relational as RL
 from ..operators import search as SE
 from ..operators import tagging
+from ..session import ensure_checkpoint_dir
 from . import sqlviews as V
 from .model import model
 from .registry import register
@@ -71,6 +75,49 @@ def distinct_counts(spark, sf_dir):
     return RL.n_unique(model(spark, sf_dir).Dn, ["source_id", "country", "document_type", "language"])
 
 
+def _period_sql(table: str, day: str) -> str:
+    """Every row once for each period it counts in."""
+    return " UNION ALL ".join(
+        f"SELECT *, '{p}' AS period, {start} AS start FROM {table}" + (f" WHERE {day} IS NOT NULL" if p != "all" else "")
+        for p, start in (("day", day), ("week", f"CAST(date_trunc('week', {day}) AS DATE) + 6"),
+                         ("month", f"last_day({day})"), ("all", "CAST(NULL AS DATE)")))
+
+
+def _distinct_in_batches(spark, batches, keys, day, value):
+    """Distinct counts from states that the batches were merged into."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/distinct-{uuid.uuid4().hex}"
+    states = DS.DistinctStates(spark, path, keys, day)
+    for version, rows in enumerate(batches):
+        states.add(rows, value, version)
+    return states
+
+
+@register("distinct_sources_by_period", DOCS + f"""
+, p AS ({_period_sql('dn_docs', 'publish_date')})
+SELECT country, document_type, period, start, count(DISTINCT source_id) AS n_sources
+FROM p WHERE source_id IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def distinct_sources_by_period(spark, sf_dir):
+    """A5: different sources per country and type for days, weeks, months and
+    all time, from day states that two batches (older and newer scrapes) fill."""
+    m = model(spark, sf_dir)
+    d = m.Dn.select("country", "document_type", "publish_date", "source_id",
+                    F.coalesce(F.col("scraped_at") < F.to_timestamp(F.lit(m.as_of)) - F.expr("INTERVAL 36 HOURS"), F.lit(False)).alias("old"))
+    st = _distinct_in_batches(spark, [d.filter("old"), d.filter("not old")], ["country", "document_type"], "publish_date", "source_id")
+    return st.counts(name="n_sources")
+
+
+@register("distinct_users_by_period", f"""
+WITH e AS (SELECT *, CAST(ts AS DATE) AS day FROM events), p AS ({_period_sql('e', 'day')})
+SELECT period, start, count(DISTINCT user_id) AS n_users FROM p WHERE user_id IS NOT NULL GROUP BY 1, 2""")
+def distinct_users_by_period(spark, sf_dir):
+    """A5: different users over all event types per day, week, month and all
+    time, from states kept per type and day; one batch per half of the time."""
+    e = read(spark, sf_dir, "events").select("event_type", "user_id", F.to_date("ts").alias("day"))
+    late = F.coalesce(F.col("day") >= F.lit("2024-01-16").cast("date"), F.lit(False))
+    st = _distinct_in_batches(spark, [e.filter(~late), e.filter(late)], ["event_type"], "day", "user_id")
+    return st.counts([], name="n_users")
+
+
 @register("kind_kpis", DOCS + """
 SELECT count(*) FILTER (WHERE document_type = 'journal_article') AS papers,
        count(*) FILTER (WHERE document_type = 'clinical_trial') AS trials,
