@@ -153,3 +153,19 @@ def stream_latest_events(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     _landed(e, run, f"{out}/landed", "event_id", 3, jobs.upsert_batches(f"{out}/latest", ["user_id"], "event_id"))
     return BucketTable(spark, f"{out}/latest", ["user_id"]).read().select("user_id", "event_id", "event_type", "value")
+
+
+@register("stream_run_stats", """
+SELECT count(*) AS fetched, count(*) FILTER (WHERE n_chars >= 20) AS parsed,
+       count(*) FILTER (WHERE NOT coalesce(n_chars >= 20, FALSE)) AS errors,
+       count(DISTINCT CASE WHEN n_chars >= 20 THEN sha256(coalesce(text, 'None')) END) AS new
+FROM documents""")
+def stream_run_stats(spark, sf_dir):
+    """Fetched, parsed, errors and new rows over three micro-batches,
+    observed by the writes that land them."""
+    run, out = _run(spark, "observed")
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", content_hash("text").alias("content_hash"))
+    batches = jobs.observed_batches(f"{out}/runs", f"{out}/seen", F.col("n_chars") >= 20, ["content_hash"], ["doc_id"])
+    _landed(d, run, f"{out}/landed", "doc_id", 3, batches)
+    stats = spark.read.schema(jobs.STATS_SCHEMA).parquet(f"{out}/runs/stats")
+    return stats.agg(*[F.sum(c).alias(c) for c in ("fetched", "parsed", "errors", "new")])

@@ -7,7 +7,7 @@ rewrites those partitions only; an upsert rewrites the hash buckets it hits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicon as L
@@ -76,6 +76,21 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_observed(rows: DataFrame, path: str, metrics: dict[str, Column], mode: str = "overwrite",
+                   partition_by: tuple[str, ...] = ()) -> dict[str, int]:
+    """K8 without a pass of its own: write rows and return the metrics
+    (aggregates) of what was written.
+
+    They are taken in the stage that writes. Its tasks count once for each
+    partition, also when a task or a stage runs again, which does not hold for
+    metrics taken before a shuffle.
+    """
+    seen = Observation()
+    out = rows.observe(seen, *[c.alias(n) for n, c in metrics.items()])
+    out.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    return seen.get
+
+
 def run_stats(rows: DataFrame, key: str, parsed: Column, hash_col: str, order: str,
               mark: str | None = None) -> DataFrame:
     """K8: per-source fetched / parsed / new / errors (+ high-water mark).

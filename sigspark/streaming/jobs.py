@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +21,7 @@ from ..bucketed import BucketTable, SeenKeys, combined, newest
 from ..operators import scoring, tagging
 from ..operators.relational import first_per, new_only
 from ..session import ensure_checkpoint_dir
+from ..sinks import write_observed
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -135,6 +136,33 @@ def first_seen_batches(seen_path: str, out_path: str, key: list[str], order: lis
     return run
 
 
+STATS_SCHEMA = "fetched long, parsed long, errors long, new long"
+
+
+def observed_batches(out_path: str, seen_path: str, parsed: Column, key: list[str], order: list[str], buckets: int = 32):
+    """foreachBatch ingest whose run statistics come from its writes.
+
+    Rows land once, those that do not parse in a partition of their own
+    (``parsed=false``, kept for another try); the first parsed row of every key
+    that never came before goes to the new rows. Fetched, parsed and errors are
+    observed while rows land, new while new rows are written, and the batch's
+    statistics are a row of its epoch, which a repeated batch replaces.
+    """
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        landed, fresh = f"{out_path}/landed/epoch={epoch}", f"{out_path}/new/epoch={epoch}"
+        rows = batch.withColumn("parsed", F.coalesce(parsed, F.lit(False)))
+        took = write_observed(rows, landed, {"fetched": F.count(F.lit(1)), "parsed": F.count_if("parsed"),
+                                             "errors": F.count_if(~F.col("parsed"))}, partition_by=("parsed",))
+        seen = SeenKeys(spark, seen_path, key, buckets)
+        good = spark.read.schema(rows.schema).parquet(landed).filter("parsed").drop("parsed")
+        took |= write_observed(seen.unseen(first_per(good, key, order), epoch - 1), fresh, {"new": F.count(F.lit(1))})
+        seen.add(spark.read.schema(batch.schema).parquet(fresh), epoch)
+        stats = spark.createDataFrame([(took["fetched"], took["parsed"], took["errors"], took["new"])], STATS_SCHEMA)
+        stats.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/stats/epoch={epoch}")
+    return run
+
+
 def run_available(df: DataFrame, name: str, sink_path: str | None = None, mode: str = "append",
                   foreach_batch=None) -> StreamingQuery:
     """Drain everything available now, then stop (batch-like trigger)."""
