@@ -63,27 +63,62 @@ def first_rule(text, rules: list[tuple[str, list[str]]], default: str | None,
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
 
+#: Bits of a block: a sum of two blocks and a carry stays a positive long.
+LCS_BITS = 62
+
+
 def lcs_length(a, b) -> Column:
-    """Longest-common-subsequence length, row DP in nested ``aggregate``.
+    """Longest-common-subsequence length: one step of bit operations per
+    character of ``b`` and block of 62 characters of ``a``.
 
-    Only run on candidate pairs that passed cheap exact-safe bounds (see
-    ``indel_ratio_bounded``); the DP is quadratic in the string lengths.
+    Bit i of the state is cleared when the subsequence grows at character i of
+    ``a``; a step adds the places where ``a`` has the character to the state,
+    with the carry going from block to block. No row of the table is kept.
     """
     a, b = col_(a), col_(b)
     la, lb = F.length(a), F.length(b)
-
-    def row(prev, i):
-        ai = F.substring(a, i, 1)
-
-        def cell(cur, j):
-            v = F.when(ai == F.substring(b, j, 1), F.element_at(prev, j) + 1) \
-                 .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, j)))
-            return F.concat(cur, F.array(v))
-        return F.aggregate(F.sequence(F.lit(1), lb), F.array(F.lit(0)), cell)
-
-    res = F.aggregate(F.sequence(F.lit(1), la), F.array_repeat(F.lit(0), lb + 1), row,
-                      lambda r: F.element_at(r, lb + 1))
-    return F.when((la == 0) | (lb == 0), F.lit(0)).otherwise(res)
+    full = F.lit((1 << LCS_BITS) - 1)
+    zero = F.lit(0).cast("long")
+    chars = F.regexp_extract_all(b, F.lit("(?s)."), 0)
+    own = F.regexp_extract_all(a, F.lit("(?s)."), 0)
+
+    def places(part, c):
+        """Bits of the places where the characters ``part`` are ``c``."""
+        at = F.transform(part, lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(zero))
+        return F.aggregate(at, zero, lambda v, m: v.bitwiseOR(m))
+
+    def masks(part):
+        different = F.array_distinct(part)
+        return F.map_from_arrays(different, F.transform(different, lambda c: places(part, c)))
+
+    def in_block(table):
+        def step(v, c):
+            u = v.bitwiseAND(F.coalesce(F.try_element_at(table, c), zero))
+            return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+        return F.aggregate(chars, full, step)
+
+    def in_blocks(tables):
+        def step(vs, c):
+            def block(state, vm):
+                u = vm["v"].bitwiseAND(F.coalesce(F.try_element_at(vm["m"], c), zero))
+                total = vm["v"] + u + state["carry"]
+                new = total.bitwiseOR(vm["v"] - u).bitwiseAND(full)
+                return F.struct(F.array_append(state["vs"], new).alias("vs"), F.shiftright(total, LCS_BITS).alias("carry"))
+            start = F.struct(F.array().cast("array<bigint>").alias("vs"), zero.alias("carry"))
+            pairs = F.zip_with(vs, tables, lambda v, m: F.struct(v.alias("v"), m.alias("m")))
+            return F.aggregate(pairs, start, block, lambda s: s["vs"])
+        return F.aggregate(chars, F.transform(tables, lambda _m: full), step)
+
+    def cleared(v):
+        return F.lit(LCS_BITS) - F.bit_count(v)
+
+    # values that several steps use are worked out once, as the element of an array
+    short = F.get(F.transform(F.array(masks(own)), lambda m: cleared(in_block(m))), 0)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((la - 1) / LCS_BITS).cast("int")),
+                        lambda k: masks(F.slice(own, k * LCS_BITS + 1, LCS_BITS)))
+    long = F.get(F.transform(F.array(parts), lambda ts: F.aggregate(
+        in_blocks(ts), F.lit(0), lambda n, v: n + cleared(v))), 0)
+    return F.when((la == 0) | (lb == 0), F.lit(0)).when(la <= LCS_BITS, short).otherwise(long)
 
 
 def indel_ratio(a, b) -> Column:

@@ -4,6 +4,7 @@ samples, sinks, and streaming = batch."""
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,25 @@ def test_bounded_ratio_never_drops_a_match(spark):
             assert r.rb is None or r.rb < 85
 
 
+def test_lcs_length_equals_the_table(spark):
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    r = random.Random(11)
+    sizes = [0, 1, 2, 7, 30, 61, 62, 63, 64, 123, 124, 125, 190]
+    rows = [("".join(r.choices(al, k=n)), "".join(r.choices(al, k=r.choice(sizes)))) for al in ("ab", "abcdef gh", "aé日😀\n ") for n in sizes]
+    rows += [(x, x) for x in ("a" * 62, "a" * 63, "ab" * 62, "😀" * 125)] + [(None, "a"), ("a", None)]
+    got = spark.createDataFrame(rows, "a string, b string").withColumn("n", T.lcs_length("a", "b")).collect()
+    for x in got:
+        assert x.n == (None if x.a is None or x.b is None else table(x.a, x.b)), x
+
+
 def test_fuzzy_first_window_wins(spark):
     # no exact hit; windows of 3 words, step 3: [foo bar baz] [and attion to] [and xttion of]
     d = _docs(spark, [(1, 0, "foo", "bar baz and attion to and xttion of", None, None, None, "news", None)])
