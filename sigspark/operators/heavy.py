@@ -15,6 +15,9 @@ The count of a bin is an upper bound for each value in it, so:
 Nothing is estimated: the result equals the full count for every width and
 data set. ``width`` and ``first`` only decide how many values are counted; if
 frequencies are so flat that every bin reaches the floor, that is all of them.
+The bins to be counted are stored and broadcast if they are ``MOST_BINS`` rows
+at most, so that other elements are dropped where they are read; with more
+(very many groups) all values are counted.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored_once
 
-WIDTH, FIRST = 1 << 14, 8
+WIDTH, FIRST, MOST_BINS = 1 << 14, 8, 200_000
 
 
 @dataclass
@@ -55,7 +58,7 @@ def _placed(df: DataFrame, groups: list[str], *ties: str) -> DataFrame:
 
 
 def heavy_hitters(df: DataFrame, groups: list[str], values: Column, k: int, width: int = WIDTH,
-                  first: int = FIRST) -> Heavy:
+                  first: int = FIRST, most: int = MOST_BINS) -> Heavy:
     """The k most frequent elements of the array ``values`` in each group, ties
     by value. Null elements do not count; null group values are a group."""
     rows = df.select(*groups, F.explode(values).alias("value")).filter(F.col("value").isNotNull()) \
@@ -64,15 +67,28 @@ def heavy_hitters(df: DataFrame, groups: list[str], values: Column, k: int, widt
     bins = _placed(stored_once(rows.groupBy(*groups, "bin").agg(one), "heavy-bins"), groups, "bin")
 
     def counts(some: DataFrame) -> DataFrame:
-        mine = _joined(rows, some.select(*groups, "bin"), [*groups, "bin"])
+        mine = _joined(rows, F.broadcast(some), [*groups, "bin"])  # ``most`` rows at most
         return stored_once(mine.groupBy(*groups, "value").agg(one), "heavy-counts")
 
-    counted = counts(bins.filter(F.col("place") <= first * k))
+    def chosen(some: DataFrame) -> tuple[DataFrame, int]:
+        some = stored_once(some.select(*groups, "bin"), "heavy-chosen")
+        return some, some.count()
+
+    def whole() -> Heavy:
+        every = stored_once(rows.groupBy(*groups, "value").agg(one), "heavy-counts")
+        return Heavy(_placed(every, groups, "value").filter(F.col("place") <= k), every, True)
+
+    fullest, n = chosen(bins.filter(F.col("place") <= first * k))
+    if n > most:
+        return whole()
+    counted = counts(fullest)
     floor = _placed(counted, groups, "value").filter(F.col("place") <= k).groupBy(*groups).agg(
         F.when(F.count(F.lit(1)) == k, F.min("n")).otherwise(1).alias("floor"))
-    rest = _joined(bins.filter(F.col("place") > first * k), floor, groups).filter(F.col("n") >= F.col("floor"))
-    rest = stored_once(rest.select(*groups, "bin"), "heavy-rest")
-    again = not rest.isEmpty()
+    beyond = _joined(bins.filter(F.col("place") > first * k), floor, groups).filter(F.col("n") >= F.col("floor"))
+    rest, n = chosen(beyond)
+    if n > most:
+        return whole()
+    again = n > 0
     if again:
         counted = counted.unionByName(counts(rest))
     return Heavy(_placed(counted, groups, "value").filter(F.col("place") <= k), counted, again)

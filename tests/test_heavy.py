@@ -29,13 +29,13 @@ def _brute(rows, k):
             for i, (v, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:k])}
 
 
-@pytest.mark.parametrize("width, first", [(1, 1), (7, 1), (64, 2), (1 << 14, 8)])
-def test_top_equals_full_counts(spark, width, first):
+@pytest.mark.parametrize("width, first, most", [(1, 1, 99), (7, 1, 99), (64, 2, 10 ** 6), (1 << 14, 8, 10 ** 6), (64, 2, 3), (64, 1, 20)])
+def test_top_equals_full_counts(spark, width, first, most):
     rows = _rows(width)
     d = spark.createDataFrame(rows, "g string, vs array<string>").repartition(5)
-    h = H.heavy_hitters(d, ["g"], F.col("vs"), 4, width, first)
+    h = H.heavy_hitters(d, ["g"], F.col("vs"), 4, width, first, most)
     assert {(r.g, r.place, r.value, r.n) for r in h.top.collect()} == _brute(rows, 4)
-    whole = H.heavy_hitters(d, [], F.col("vs"), 4, width, first)
+    whole = H.heavy_hitters(d, [], F.col("vs"), 4, width, first, most)
     assert {(None, r.place, r.value, r.n) for r in whole.top.collect()} == _brute([(None, v) for _, v in rows], 4)
 
 
