@@ -66,3 +66,18 @@ def test_empty_sides(spark):
     one = spark.createDataFrame([(1, "x", 1, "c", True)], KEYWORDS)
     assert AN.tag_indexed(_docs(spark, ["x"]), none).count() == 0
     assert AN.tag_indexed(_docs(spark, ["x"]).filter("false"), one).count() == 0
+
+
+def test_words_and_pairs_are_verified_on_pieces(spark):
+    """Terms of letters cost the length of a run and not that of the text; rows that repeat an id are rows."""
+    texts = ["the " * 48 + "anchorage of naïve Straße", "x-ray of  the anchor\tof the", "ofthe of.the of the" * 3, "the of", ""] * 30
+    words = ["the", "of", "anchor", "anchor of", "of the", "f t", "ray of", "naïve straße", "ve stra", "e o", "e", "age of naïve", "the the"]
+    k = spark.createDataFrame([(i, w, 1, "c", True) for i, w in enumerate(words)], KEYWORDS)
+    rows = [(i // 2 if i % 3 else None, t[:30], t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "document_id long, title string, full_text string").repartition(3).localCheckpoint()
+
+    def told(df):
+        return sorted((str(r.document_id), r.keyword_id, r.match_score) for r in df.collect())
+    assert told(AN.tag_indexed(d, k)) == told(TG.tag_exact(d, k))
+    plan = AN.tag_indexed(d, k.filter("keyword not like '% % %'"))._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(piece" in plan and "Contains(text" not in plan
