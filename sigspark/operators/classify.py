@@ -29,7 +29,8 @@ def classify_multi(text, rules: list[tuple[str, list[str]]], default: str | None
                                      for label, terms in rules]))
     if default is None:
         return hits
-    return F.when(F.size(hits) == 0, F.array(F.lit(default))).otherwise(hits)
+    # the hits are worked out once, as the element of an array, and used twice
+    return F.get(F.transform(F.array(hits), lambda h: F.when(F.size(h) == 0, F.array(F.lit(default))).otherwise(h)), 0)
 
 
 def classify_first(text, rules: list[tuple[str, list[str]]], default: str | None,

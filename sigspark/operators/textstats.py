@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored_once
+
 # explode_outer + a NULL filter instead of explode: an inner explode lets the
 # optimizer infer "size(array) > 0" and push it (with the whole array
 # expression) below a repartition into the scan stage; this keeps the
@@ -138,8 +140,9 @@ def top_words_per_row(df: DataFrame, keys: list[str], toks: Column, n: int) -> D
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Every pair of observed labels with its count, zero where none (the
     result is the product of both label sets; the planner picks the smaller
-    one to broadcast, if it is small)."""
-    n = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    one to broadcast, if it is small). The counts are stored: both label sets
+    and the cells come from them, and ``df`` is worked out once."""
+    n = stored_once(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")), "crosstab")
     grid = n.select(a).distinct().crossJoin(n.select(b).distinct())
     return grid.join(n, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n"))
 

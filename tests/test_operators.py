@@ -461,3 +461,25 @@ def test_no_python_udf_in_flagship_plan(spark):
     plan = entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan
+
+
+def test_crosstab_works_its_rows_out_once(spark):
+    from sigspark.operators import textstats as TS
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+    rows = [("x", "de"), ("x", "en"), ("x", "de"), ("y", None), (None, "en")]
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "label string, lang string")
+    got = {tuple(r) for r in TS.crosstab(d, "label", "lang").collect()}
+    assert read.value == len(rows)
+    assert {("x", "de", 2), ("x", "en", 1), ("y", "de", 0), ("y", "en", 0)} <= got and len(got) == 9
+
+
+def test_default_label_in_a_single_look(spark):
+    d = spark.createDataFrame([("a b",), ("zz",), (None,)], "t string")
+    labels = C.classify_multi("t", [("A", ["a"]), ("B", ["b"])], "none")
+    out = d.select("t", labels.alias("l"))
+    assert {r.t: r.l for r in out.collect()} == {"a b": ["A", "B"], "zz": ["none"], None: ["none"]}
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == 2
