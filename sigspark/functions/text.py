@@ -143,6 +143,17 @@ def fuzzy_possible(a, b, threshold: float, la: Column | None = None, lb: Column
     return (F.abs(la - lb) <= budget) & (F.call_function("levenshtein", a, b, budget) >= 0)
 
 
+def fuzzy_budget(la: Column, threshold: float) -> Column:
+    """The largest indel of a string of length ``la`` and any other one whose
+    ratio reaches ``threshold`` (above 0).
+
+    With s = 1 - threshold / 100, indel <= s * (la + lb) and lb <= la + indel,
+    so indel <= 2 * s * la / (1 - s).
+    """
+    s = 1.0 - threshold / 100.0
+    return F.floor(2.0 * s / (1.0 - s) * la + 1e-6).cast("int")
+
+
 def html_to_text(c) -> Column:
     """Strip script/style blocks and tags, decode common entities, squeeze blanks."""
     x = col_(c)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions.text import fuzzy_possible, indel_ratio, search_text, words
+from ..functions.text import fuzzy_budget, fuzzy_possible, indel_ratio, search_text, words
 from ..session import spread
 
 SIGNAL_COLS = ("document_id", "keyword_id", "match_score", "match_kind")
@@ -38,20 +38,28 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def held_terms(text: Column, terms: Column) -> Column:
+    """``terms`` with ``held``: the text contains it (looked for once, for exact and fuzzy hits)."""
+    return F.transform(terms, lambda t: t.withField("held", text.contains(t["kw"])))
+
+
 def exact_hits(text: Column, terms: Column, head: int = L.EXACT_HEAD_CHARS) -> Column:
-    """M1: terms contained in the text; 9.5 inside its head, else 8.0."""
+    """M1: ``held_terms`` contained in the text; 9.5 inside its head, else 8.0."""
     return F.transform(
-        F.filter(terms, lambda t: text.contains(t["kw"])),
+        F.filter(terms, lambda t: t["held"]),
         lambda t: _hit(t, F.when(F.substring(text, 1, head).contains(t["kw"]), F.lit(L.EXACT_HEAD_SCORE))
                        .otherwise(F.lit(L.EXACT_BODY_SCORE)), "exact"))
 
 
 def fuzzy_hits(text: Column, terms: Column, threshold: float = L.FUZZY_THRESHOLD,
                max_words: int | None = None) -> Column:
-    """M2: for terms of three words or more without an exact hit, the first
-    non-overlapping window of as many words (start 0, step n) whose ratio
+    """M2: for ``held_terms`` of three words or more without an exact hit, the
+    first non-overlapping window of as many words (start 0, step n) whose ratio
     reaches the threshold; it scores ratio / 100 * 7.
 
+    Every window meets one call first: an edit distance under the largest budget
+    that the term has for any length. What is left meets that of its own length.
+
     ``max_words`` limits the words that are looked at (off by default).
     """
     def windows(ws):
@@ -62,17 +70,19 @@ def fuzzy_hits(text: Column, terms: Column, threshold: float = L.FUZZY_THRESHOLD
             lim = size - n
             starts = F.when(lim >= 0, F.sequence(F.lit(0), lim, n)).otherwise(F.array().cast("array<int>"))
             chunks = F.transform(starts, lambda s: F.array_join(F.slice(ws, s + 1, n), " "))
-            return F.struct(n.alias("n"), F.transform(
-                chunks, lambda c: F.struct(c.alias("c"), F.length(c).alias("len"))).alias("chunks"))
+            return F.struct(n.alias("n"), chunks.alias("chunks"))
         return F.transform(F.array_distinct(F.transform(long_miss, lambda t: t["n"])), of)
 
     def hit(t, wins):
         chunks = F.get(F.filter(wins, lambda w: w["n"] == t["n"]), 0)["chunks"]
-        near = F.filter(chunks, lambda x: fuzzy_possible(t["kw"], x["c"], threshold, t["len"], x["len"]))
-        good = F.filter(F.transform(near, lambda x: indel_ratio(t["kw"], x["c"])), lambda r: r >= threshold)
+        if threshold > 0:
+            chunks = F.filter(chunks, lambda c: F.call_function("levenshtein", t["kw"], c, t["budget"]) >= 0)
+        near = F.filter(chunks, lambda c: fuzzy_possible(t["kw"], c, threshold, t["len"]))
+        good = F.filter(F.transform(near, lambda c: indel_ratio(t["kw"], c)), lambda r: r >= threshold)
         return _hit(t, F.get(good, 0) / 100.0 * L.FUZZY_SCALE, "fuzzy")
 
-    long_miss = F.filter(terms, lambda t: (t["n"] >= L.FUZZY_MIN_TERM_WORDS) & ~text.contains(t["kw"]))
+    long_miss = F.filter(terms, lambda t: (t["n"] >= L.FUZZY_MIN_TERM_WORDS) & ~t["held"])
+    long_miss = F.transform(long_miss, lambda t: t.withField("budget", fuzzy_budget(t["len"], threshold)))
     hits = _bind(words(text), lambda ws: _bind(windows(ws), lambda wins: F.transform(long_miss, lambda t: hit(t, wins))))
     return F.filter(hits, lambda h: h["match_score"].isNotNull())
 
@@ -86,17 +96,24 @@ def with_hits(docs: DataFrame, K: DataFrame, exact: bool = True, fuzzy: bool = T
     terms = F.col("terms")
 
     def hits(text):
-        parts = [exact_hits(text, terms, head)] if exact else []
-        if fuzzy:
-            parts.append(fuzzy_hits(text, terms, threshold, max_words))
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
+        def of(known):
+            parts = [exact_hits(text, known, head)] if exact else []
+            if fuzzy:
+                parts.append(fuzzy_hits(text, known, threshold, max_words))
+            return F.concat(*parts) if len(parts) > 1 else parts[0]
+        return _bind(held_terms(text, terms), of)
 
     return d.withColumn("hits", _bind(search_text("title", "full_text", cap), hits)).drop("terms")
 
 
 def signals(matched: DataFrame, *cols: str) -> DataFrame:
-    """One row per hit: the given columns and the hit's fields."""
-    return matched.select(*cols, F.explode("hits").alias("t")).select(
+    """One row per hit: the given columns and the hit's fields.
+
+    An inner explode would let the optimizer infer that ``hits`` is not empty and
+    push that, with the whole matching, below the matching itself: each text
+    would be matched twice.
+    """
+    return matched.select(*cols, F.explode_outer("hits").alias("t")).filter(F.col("t").isNotNull()).select(
         *cols, "t.keyword_id", F.col("t.kw").alias("keyword"), "t.level", "t.cluster",
         "t.match_score", "t.match_kind")
 

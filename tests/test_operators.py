@@ -483,3 +483,23 @@ def test_default_label_in_a_single_look(spark):
     out = d.select("t", labels.alias("l"))
     assert {r.t: r.l for r in out.collect()} == {"a b": ["A", "B"], "zz": ["none"], None: ["none"]}
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == 2
+
+
+def test_a_text_is_matched_once(spark):
+    """No filter on the hits repeats the matching below the matching."""
+    from sigspark.bindings import lexicon_view
+    d = _docs(spark, [(1, 0, "and attion of", "x", None, None, None, "news", None)])
+    k = lexicon_view(spark, L.TEST_LEXICON + L.TEST_FUZZY_TERMS)
+    for g in (TG.tag(d, k), TG.tag_exact(d, k), TG.tag_fuzzy(d, k)):
+        plan = g._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(concat_ws(") == 1
+
+
+def test_fuzzy_budget_covers_every_length(spark):
+    d = spark.range(1, 80).select(F.col("id").cast("int").alias("la")).crossJoin(
+        spark.range(0, 400).select(F.col("id").cast("int").alias("lb")))
+    for threshold in (50, 85, 99):
+        share = 1.0 - threshold / 100.0
+        own = F.floor(share * (F.col("la") + F.col("lb")) + 1e-9).cast("int")
+        fits = d.filter(F.abs(F.col("la") - F.col("lb")) <= own)  # else no ratio reaches the threshold
+        assert fits.filter(own > T.fuzzy_budget(F.col("la"), threshold)).count() == 0
