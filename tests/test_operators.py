@@ -503,3 +503,22 @@ def test_fuzzy_budget_covers_every_length(spark):
         own = F.floor(share * (F.col("la") + F.col("lb")) + 1e-9).cast("int")
         fits = d.filter(F.abs(F.col("la") - F.col("lb")) <= own)  # else no ratio reaches the threshold
         assert fits.filter(own > T.fuzzy_budget(F.col("la"), threshold)).count() == 0
+
+
+@pytest.mark.parametrize("ids", [range(10), [0], [5, None, 6, 7, 7], range(0, 1000, 7), []])
+def test_batches_land_by_bounds_of_their_key(spark, tmpdir_path, ids, monkeypatch):
+    """Each row lands in the batch floor(id * 3 / (max + 1)); a scan may take the bounds."""
+    from sigspark.plans import streams
+    landed, path = [], os.path.join(tmpdir_path, "landed")
+
+    def drained(_stream, _name, foreach_batch=None):
+        landed.append(sorted(r.id for r in spark.read.schema("id long").parquet(path).collect()))
+    monkeypatch.setattr(streams.jobs, "run_available", drained)
+    spark.createDataFrame([(i,) for i in ids], "id long").write.mode("overwrite").parquet(path + "-in")
+    rows = spark.read.parquet(path + "-in")
+    monkeypatch.setattr(type(rows), "crossJoin", None)  # bounds of a joined row would not reach the scan
+    streams._landed(rows, "none", path, "id")
+    known = [i for i in ids if i is not None]
+    assert landed == [sorted(i for i in known if i * 3 // (max(known) + 1) <= k) for k in range(3)]
+    plan = rows.filter((F.col("id") >= 0) & (F.col("id") < 4))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,0)" in plan
