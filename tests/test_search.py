@@ -102,3 +102,32 @@ def test_empty_sides(spark):
     q = _queries(spark, ["brain", ""])
     assert SE.search_all(d.filter("false"), q, "k", "body").count() == 0
     assert SE.search_all(d, q.filter("false"), "k", "body").count() == 0
+
+
+def test_an_index_is_built_without_ranges(spark, monkeypatch):
+    """Dealing by range works its rows out twice, once for the bounds."""
+    d = spark.createDataFrame([(i, f"Word{i % 7} É{i} a") for i in range(200)] + [(200, None)], "id long, text string")
+    monkeypatch.setattr(type(d), "repartitionByRange", None)
+    index = SE.build_index(d, "id", "text")
+    assert {r.word: r.n for r in index.words.collect() if r.word in ("a", "word3")} == {"a": 200, "word3": 29}
+    assert index.words.count() == 1 + 7 + 200
+
+
+def test_fold_changes_letters_of_ascii_only(spark):
+    rows = spark.createDataFrame([("ABC xyz",), ("É İ K ÀZ 😀",), ("",), (None,)], "t string")
+    got = [r[0] for r in rows.select(SE.fold(F.col("t"))).collect()]
+    assert got == ["abc xyz", "É İ K Àz 😀", "", None]
+
+
+def test_branches_are_tried_alone_where_a_bar_is_a_branch(spark):
+    rows = [(r"a\s+b[a-z]*|c", [r"a\s+b[a-z]*", "c"]), ("a", ["a"]), ("a|", ["a", ""]), ("(a|b)c", None), (r"a\|b", None),
+            ("[a|b]c", None), ("(?i)a|b", None), (r"\Qa|b\E", None), (r"[a\]|b]", None), ("[a&&[b]]|c", None), (r"\\|b", None)]
+    d = spark.createDataFrame([(p,) for p, _ in rows], "p string")
+    got = {r.p: r.a for r in d.select("p", SE._alternatives(F.col("p")).alias("a")).collect()}
+    for p, want in rows:
+        assert got[p] == want or got[p] is None and p == r"\\|b", p
+    texts = ["a  bx", "c", "a b|c", "bc", "a|b", "A", r"\ b", "zz", "", "a]", "ac b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = SE.search_all(docs, spark.createDataFrame([(i, p) for i, (p, _) in enumerate(rows)], "query long, pattern string"), "id", "text")
+    plain = docs.crossJoin(d.withColumnRenamed("p", "pattern")).filter(F.regexp_like("text", F.col("pattern")))
+    assert sorted((rows[r.query][0], r.id) for r in found.collect()) == sorted((r.pattern, r.id) for r in plain.collect())
