@@ -37,7 +37,7 @@ from ..session import spread, stored_once
 #: Sizes of anchors; a term takes the largest one that it has characters for.
 GRAMS = (6, 3, 2, 1, 0)
 PART_TERMS, SAMPLE_TEXTS = 200_000, 5_000
-EDGE = 3
+EDGE = 2
 BLOCK = 64  # rows of a block: bits of a long
 RUN = r"\p{L}+"
 #: Characters of a task that cuts texts.
