@@ -206,16 +206,17 @@ def search_all(docs: DataFrame, queries: DataFrame, key: str, text: str, index:
     q = queries.select("query", "pattern")
     hit = _matches(F.col("text"), F.col("pattern"), regex, case)
     if regex:  # an id is tried with the branches whose pieces it holds: one of them is quicker than all at once
+        q = q.withColumn("alone", _alternatives(F.col("pattern")))  # once a query, not once a candidate
         own = F.exists("branches", lambda b: (F.getbit(b["bits"], F.col("bit")) == 1) & _matches(
-            F.col("text"), F.get(_alternatives(F.col("pattern")), b["branch"]), regex, case))
-        hit = F.when(_alternatives(F.col("pattern")).isNull(), hit).otherwise(own)
+            F.col("text"), F.get(F.col("alone"), b["branch"]), regex, case))
+        hit = F.when(F.col("alone").isNull(), hit).otherwise(own)
     texts = d.withColumns({"block": _block(F.col("id")), "bit": _bit(F.col("id"))})
     # one row for each id, so that no pattern is tried before the id is known to fit
     held = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.getbit("bits", i) == 1)
     c = some.select("query", F.col("block").alias("of"), "branches", F.explode(held).alias("at")).join(q, "query")
     out = texts.join(c, F.col("block").eqNullSafe(F.col("of")) & (F.col("bit") == F.col("at"))).filter(hit).select("query", "id")
 
-    rest = q.join(scan, "query", "left_semi")
+    rest = q.select("query", "pattern").join(scan, "query", "left_semi")
     parts = -(-rest.count() // SCAN_PATTERNS)
     for part in range(parts):
         mine = rest if parts == 1 else rest.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == part)
