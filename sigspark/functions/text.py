@@ -37,6 +37,25 @@ def words(c) -> Column:
     return F.filter(F.split(col_(c), r"\s+"), lambda w: w != "")
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, not once per use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def single_spaced(c) -> Column:
+    """Every run of whitespace as one blank, also at the ends.
+
+    Line breaks are most of what is no blank; what is left to the (slower)
+    pattern is looked for first.
+    """
+    blanks = F.replace(col_(c), F.lit("\n"), F.lit(" "))
+
+    def squeezed(x):
+        other = contains_any(x, ["  ", "\t", "\x0b", "\f", "\r"], lower=False)
+        return F.when(other, F.regexp_replace(x, r"\s{2,}|[^\S ]", " ")).otherwise(x)
+    return bind(blanks, squeezed)
+
+
 def contains_any(text, terms: list[str], lower: bool = True) -> Column:
     """True when ``text`` contains any term; an empty list keeps every row."""
     if not terms:
@@ -139,10 +158,15 @@ def fuzzy_possible(a, b, threshold: float, la: Column | None = None, lb: Column
     """
     a, b = col_(a), col_(b)
     la, lb = F.length(a) if la is None else la, F.length(b) if lb is None else lb
-    budget = F.floor((1.0 - threshold / 100.0) * (la + lb) + 1e-9).cast("int")
+    budget = fuzzy_edits(la, lb, threshold)
     return (F.abs(la - lb) <= budget) & (F.call_function("levenshtein", a, b, budget) >= 0)
 
 
+def fuzzy_edits(la: Column, lb: Column, threshold: float) -> Column:
+    """The largest indel of strings of these lengths whose ratio reaches ``threshold``."""
+    return F.floor((1.0 - threshold / 100.0) * (la + lb) + 1e-9).cast("int")
+
+
 def fuzzy_budget(la: Column, threshold: float) -> Column:
     """The largest indel of a string of length ``la`` and any other one whose
     ratio reaches ``threshold`` (above 0).

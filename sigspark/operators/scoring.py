@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..bindings import as_of_ts
-from ..session import stored_once
+from ..session import short_scans, stored_once
 from .tagging import match_flags, merged_flags, normalize_country, signals, type_flags, with_hits
 
 
@@ -178,7 +178,8 @@ def score_documents(D: DataFrame, S: DataFrame, K: DataFrame, as_of: str = L.AS_
                     **options) -> DataFrame:
     """Tag -> flags -> score: M1-M12 over all documents. The signals are
     stored once; counts and scores read the stored rows."""
-    sig = stored_once(signal_rows(D, S, K, **options), "signals")
+    with short_scans(D.sparkSession):
+        sig = stored_once(signal_rows(D, S, K, **options), "signals")
     return finish(sig, as_of, weights, default_geo_need)
 
 

@@ -13,19 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions.text import fuzzy_budget, fuzzy_possible, indel_ratio, search_text, words
+from ..functions.text import bind, fuzzy_budget, fuzzy_edits, fuzzy_possible, indel_ratio, search_text, single_spaced, words
 from ..session import spread
 
 SIGNAL_COLS = ("document_id", "keyword_id", "match_score", "match_kind")
 
 
-def lexicon_row(K: DataFrame) -> DataFrame:
-    """The active lexicon as one row: an array of its terms in id order."""
+def lexicon_row(K: DataFrame, threshold: float = L.FUZZY_THRESHOLD) -> DataFrame:
+    """The active lexicon as one row: an array of its terms in id order, with
+    what fuzzy hits of the threshold need of them."""
     kw = F.lower("keyword")
     act = K.filter(F.coalesce(F.col("active"), F.lit(True)))
     term = F.struct(F.col("keyword_id").cast("int").alias("keyword_id"), kw.alias("kw"),
                     F.size(words(kw)).alias("n"), F.length(kw).alias("len"), F.col("level").cast("int").alias("level"), "cluster")
-    return act.agg(F.sort_array(F.collect_list(term)).alias("terms"))
+    row = act.agg(F.sort_array(F.collect_list(term)).alias("terms"))
+    return row.withColumn("terms", F.transform("terms", lambda t: with_fit(t, threshold))) if threshold > 0 else row
 
 
 def _hit(t: Column, score: Column, kind: str) -> Column:
@@ -33,11 +35,6 @@ def _hit(t: Column, score: Column, kind: str) -> Column:
                     t["cluster"].alias("cluster"), score.alias("match_score"), F.lit(kind).alias("match_kind"))
 
 
-def _bind(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, not once per use."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def held_terms(text: Column, terms: Column) -> Column:
     """``terms`` with ``held``: the text contains it (looked for once, for exact and fuzzy hits)."""
     return F.transform(terms, lambda t: t.withField("held", text.contains(t["kw"])))
@@ -51,39 +48,74 @@ def exact_hits(text: Column, terms: Column, head: int = L.EXACT_HEAD_CHARS) -> C
                        .otherwise(F.lit(L.EXACT_BODY_SCORE)), "exact"))
 
 
+def with_fit(t: Column, threshold: float) -> Column:
+    """A term with ``fit``, null for terms that have no fuzzy hits: ``edits`` that
+    the threshold allows a window of each length (up to ``top``, which is too
+    long), and for these edits the term cut into one part more (``parts``), so
+    that they leave a part whole. Lengths that do not fit have no parts."""
+    none = F.greatest(fuzzy_budget(t["len"], threshold), F.lit(0)) + 1
+
+    def allowed(n):
+        k = fuzzy_edits(t["len"], n, threshold)
+        return F.when(F.abs(t["len"] - n) <= k, k).otherwise(none)
+
+    def parts(edits):
+        def of(k):
+            def cut(i):
+                return F.floor(i * t["len"] / (k + 1)).cast("int")
+            whole = F.transform(F.sequence(F.lit(0), k), lambda i: F.substring(t["kw"], cut(i) + 1, cut(i + 1) - cut(i)))
+            return F.when((k < none) & F.array_contains(edits, k), whole).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.sequence(F.lit(0), none), of)
+
+    fit = bind(F.transform(F.sequence(F.lit(0), t["len"] + none), allowed), lambda edits: F.struct(
+        (F.size(edits) - 1).alias("top"), edits.alias("edits"), parts(edits).alias("parts")))
+    return t.withField("fit", F.when(t["n"] >= L.FUZZY_MIN_TERM_WORDS, fit))
+
+
+def fitting(chunks: Column, kw: Column, fit: Column) -> Column:
+    """The windows that hold a part of the term and are within the edits of their length."""
+    def of(edits, parts, top):
+        def held(c):
+            k = F.get(edits, F.least(F.length(c), top))
+            return F.exists(F.get(parts, k), lambda p: c.contains(p)) & (F.call_function("levenshtein", kw, c, k) >= 0)
+        return F.filter(chunks, held)
+    return bind(fit["edits"], lambda edits: bind(fit["parts"], lambda parts: bind(fit["top"], lambda top: of(edits, parts, top))))
+
+
 def fuzzy_hits(text: Column, terms: Column, threshold: float = L.FUZZY_THRESHOLD,
                max_words: int | None = None) -> Column:
     """M2: for ``held_terms`` of three words or more without an exact hit, the
     first non-overlapping window of as many words (start 0, step n) whose ratio
     reaches the threshold; it scores ratio / 100 * 7.
 
-    Every window meets one call first: an edit distance under the largest budget
-    that the term has for any length. What is left meets that of its own length.
+    Windows are cut from the text in one pass, without an array of its words. A
+    window's length gives the edits that the ratio allows; it must hold one of
+    the term's parts, one part more than these edits, before the edit distance
+    is worked out, and only what is left meets the ratio.
 
     ``max_words`` limits the words that are looked at (off by default).
     """
-    def windows(ws):
-        """For each window size that a term needs: its windows with their lengths."""
-        size = F.least(F.size(ws), F.lit(max_words)) if max_words else F.size(ws)
-
+    def windows(spaced):
+        """For each window size that a term needs: its windows."""
         def of(n):
-            lim = size - n
-            starts = F.when(lim >= 0, F.sequence(F.lit(0), lim, n)).otherwise(F.array().cast("array<int>"))
-            chunks = F.transform(starts, lambda s: F.array_join(F.slice(ws, s + 1, n), " "))
+            pattern = F.concat(F.lit(r"\G ?([^ ]+(?: [^ ]+){"), (n - 1).cast("string"), F.lit("}+)"))
+            chunks = F.regexp_extract_all(spaced, pattern, F.lit(1))
+            if max_words:
+                chunks = F.slice(chunks, 1, F.floor(F.lit(max_words) / n).cast("int"))
             return F.struct(n.alias("n"), chunks.alias("chunks"))
         return F.transform(F.array_distinct(F.transform(long_miss, lambda t: t["n"])), of)
 
     def hit(t, wins):
         chunks = F.get(F.filter(wins, lambda w: w["n"] == t["n"]), 0)["chunks"]
         if threshold > 0:
-            chunks = F.filter(chunks, lambda c: F.call_function("levenshtein", t["kw"], c, t["budget"]) >= 0)
+            chunks = fitting(chunks, t["kw"], t["fit"])
         near = F.filter(chunks, lambda c: fuzzy_possible(t["kw"], c, threshold, t["len"]))
         good = F.filter(F.transform(near, lambda c: indel_ratio(t["kw"], c)), lambda r: r >= threshold)
         return _hit(t, F.get(good, 0) / 100.0 * L.FUZZY_SCALE, "fuzzy")
 
     long_miss = F.filter(terms, lambda t: (t["n"] >= L.FUZZY_MIN_TERM_WORDS) & ~t["held"])
-    long_miss = F.transform(long_miss, lambda t: t.withField("budget", fuzzy_budget(t["len"], threshold)))
-    hits = _bind(words(text), lambda ws: _bind(windows(ws), lambda wins: F.transform(long_miss, lambda t: hit(t, wins))))
+    spaced = single_spaced(F.when(F.size(long_miss) > 0, text))
+    hits = bind(spaced, lambda x: bind(windows(x), lambda wins: F.transform(long_miss, lambda t: hit(t, wins))))
     return F.filter(hits, lambda h: h["match_score"].isNotNull())
 
 
@@ -92,7 +124,7 @@ def with_hits(docs: DataFrame, K: DataFrame, exact: bool = True, fuzzy: bool = T
               max_words: int | None = None, head: int = L.EXACT_HEAD_CHARS,
               partitions: int | None = None) -> DataFrame:
     """``docs`` with ``hits``: every exact and fuzzy match of a document."""
-    d = spread(docs, "document_id", partitions).crossJoin(F.broadcast(lexicon_row(K)))  # one row
+    d = spread(docs, "document_id", partitions).crossJoin(F.broadcast(lexicon_row(K, threshold)))  # one row
     terms = F.col("terms")
 
     def hits(text):
@@ -101,9 +133,9 @@ def with_hits(docs: DataFrame, K: DataFrame, exact: bool = True, fuzzy: bool = T
             if fuzzy:
                 parts.append(fuzzy_hits(text, known, threshold, max_words))
             return F.concat(*parts) if len(parts) > 1 else parts[0]
-        return _bind(held_terms(text, terms), of)
+        return bind(held_terms(text, terms), of)
 
-    return d.withColumn("hits", _bind(search_text("title", "full_text", cap), hits)).drop("terms")
+    return d.withColumn("hits", bind(search_text("title", "full_text", cap), hits)).drop("terms")
 
 
 def signals(matched: DataFrame, *cols: str) -> DataFrame:

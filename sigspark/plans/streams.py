@@ -13,7 +13,7 @@ from ..bindings import documents_of, read
 from ..bucketed import BucketTable
 from ..functions.numeric import rnd, rnd_sql
 from ..functions.text import content_hash
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, short_scans
 from ..streaming import jobs
 from . import sqlviews as V
 from .model import model
@@ -84,7 +84,8 @@ def _scored_stream(spark, sf_dir, batches=None):
     run, out = _run(spark, "scored")
     score = jobs.score_batches(f"{out}/state", f"{out}/scores", m.K, m.S, m.as_of)
     if batches is None:
-        jobs.run_available(documents_of(_stream(spark, sf_dir, "documents")), run, foreach_batch=score)
+        with short_scans(spark):
+            jobs.run_available(documents_of(_stream(spark, sf_dir, "documents")), run, foreach_batch=score)
     else:
         _landed(read(spark, sf_dir, "documents"), run, f"{out}/landed", "doc_id", batches,
                 lambda batch, epoch: score(documents_of(batch), epoch))

@@ -2,7 +2,9 @@
 
 Nothing here overrides what a cluster already configured, except the
 session time zone: every timestamp in the model is naive UTC, so jobs pin
-``spark.sql.session.timeZone`` to UTC (a runtime SQL conf, safe to set).
+``spark.sql.session.timeZone`` to UTC (a runtime SQL conf, safe to set), and,
+while texts are matched, the size of scan tasks, which ``short_scans`` may
+lower and puts back.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +72,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+@contextmanager
+def short_scans(spark: SparkSession, size: str = "16m"):
+    """Scans that run in the block make tasks of ``size`` at most (a smaller
+    setting stays): matching takes much longer than reading, and a few large
+    tasks leave cores idle while the last ones end. Files are cut between
+    row groups only."""
+    key = "spark.sql.files.maxPartitionBytes"
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    before = spark.conf.get(key)
+    if as_bytes(size) < as_bytes(before):
+        spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored_once(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later uses read the
     stored columns they need instead of computing ``df`` again."""

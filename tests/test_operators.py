@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -522,3 +523,70 @@ def test_batches_land_by_bounds_of_their_key(spark, tmpdir_path, ids, monkeypatc
     assert landed == [sorted(i for i in known if i * 3 // (max(known) + 1) <= k) for k in range(3)]
     plan = rows.filter((F.col("id") >= 0) & (F.col("id") < 4))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(id,0)" in plan
+
+
+def test_windows_are_cut_from_the_text(spark):
+    """Windows are those of the words, whatever stands between them, and no array of words is built for them."""
+    from sigspark.bindings import lexicon_view
+    texts = ["", " ", "one two", "\n one\ttwo \r\n three\x0bfour  five\x0csix seven ", "and  attion\nof x all rights\treservd",
+             "x and attion of", "all rights reserved and\n\nattion  of", "größe 😀 😀 and attion oof   all"]
+    kws = ["and attion to", "all rights reserved too", "größe 😀 😀"]
+    d = _docs(spark, [(i, 0, "", t, None, None, None, "news", None) for i, t in enumerate(texts)])
+    k = lexicon_view(spark, [(i, w, 1, "a") for i, w in enumerate(kws)])
+    got = TG.tag_fuzzy(d, k)
+    assert "array_join(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+    want = {}
+    for i, t in enumerate(texts):
+        for n, w in enumerate(kws):
+            ws, m = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if x], len(w.split())
+            if w not in " " + t.lower():
+                for s in range(0, len(ws) - m + 1, m):
+                    c = " ".join(ws[s:s + m])
+                    ratio = 200.0 * lcs(w, c) / (len(w) + len(c))
+                    if ratio >= 85:
+                        want[i, n] = ratio / 100 * 7
+                        break
+    assert {(r.document_id, r.keyword_id): pytest.approx(r.match_score) for r in got.collect()} == want and len(want) >= 2
+
+
+@pytest.mark.parametrize("threshold", [50, 85, 99])
+def test_a_window_that_reaches_the_threshold_holds_a_part(spark, threshold):
+    r = random.Random(threshold)
+    terms = ["a b c", "and attion to", "all rights reserved", "größe der straße 😀 und mehr"]
+    pairs = []
+    for _ in range(3000):
+        w = list(kw := r.choice(terms))
+        for _ in range(r.randrange(len(kw))):
+            at = r.randrange(len(w) + 1)
+            w[at:at + r.randrange(2)] = r.choice(["", *kw])
+        pairs.append((kw, "".join(w)))
+    k = spark.createDataFrame([(i, w, 1, "a", True) for i, w in enumerate(terms)],
+                              "keyword_id int, keyword string, level int, cluster string, active boolean")
+    t = TG.lexicon_row(k, threshold).select(F.explode("terms").alias("t"))
+    d = spark.createDataFrame(pairs, "kw string, c string").join(F.broadcast(t), F.col("kw") == F.col("t.kw"))
+    kept = F.size(TG.fitting(F.array("c"), F.col("kw"), F.col("t.fit"))) == 1
+    good = d.filter(T.indel_ratio("kw", "c") >= threshold)
+    assert good.count() > 100 and good.filter(~kept).count() == 0
+    assert d.filter(kept & ~T.fuzzy_possible("kw", "c", threshold)).count() == 0
+
+
+def test_texts_are_matched_by_short_scans(spark, monkeypatch):
+    from sigspark.plans import streams
+    from sigspark.session import short_scans
+    key, seen = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(streams.jobs, "run_available", lambda *a, **b: seen.append(spark.conf.get(key)))
+    streams._scored_stream(spark, "/root/testdata/sf0.001")
+    with short_scans(spark, "1m"):
+        with short_scans(spark):
+            seen.append(spark.conf.get(key))
+    assert seen == ["16m", "1m"] and spark.conf.get(key) == before
